@@ -2,7 +2,8 @@
 
 Every rule votes good (1), bad (-1) or abstains (0) on a document. Expectation-maximisation over the counts of
 the vote patterns (at most 3 to the power of the number of rules, whatever the corpus) estimates how often each
-rule votes which way on good and on bad documents, and the posterior probability of "good" is the verdict.
+rule votes which way on good documents and on documents that fail in each way, and the posterior probability of
+"good" is the verdict.
 
 Null and empty texts have no words; all rules abstain on them. Repeated rows are judged alike. Extra columns pass
 through. An empty table keeps the starting rates and gives no rows.
@@ -22,7 +23,7 @@ WORD_GAP = r"[ \t-\r]+"
 #: name, measure, limit that makes the vote good, limit that makes it bad; good lies on the side named.
 RULES = (
     ("few_symbols", "symbol_rate", "below", 0.02, 0.10),
-    ("mostly_letters", "mark_rate", "below", 0.07, 0.11),
+    ("mostly_letters", "mark_rate", "below", 0.07, 0.16),
     ("mostly_lower", "upper_rate", "below", 0.15, 0.30),
     ("few_repeats", "repeat_rate", "below", 0.10, 0.30),
     ("few_equal_lines", "dup_line_rate", "below", 0.05, 0.40),
@@ -30,7 +31,7 @@ RULES = (
     ("sentences_end", "end_rate", "above", 0.70, 0.35),
     ("usual_word_length", "length_gap", "below", 0.80, 2.50),
 )
-START_GOOD, START_RIGHT, ROUNDS, SMOOTH = 0.8, 0.8, 15, 1.0
+START_GOOD, WRONG, ROUNDS, SMOOTH = 0.8, 0.02, 10, 1.0
 
 
 def _let(value: Column, body) -> Column:
@@ -112,51 +113,65 @@ def base_failed(prefix: str = "_q_") -> Column:
 
 @dataclass
 class Model:
-    """Prior of "good", and for each rule the probabilities of the votes -1, 0, 1 on good and on bad documents."""
+    """A good class (0) and one class for each way of failing (k + 1: rule k's); for each class its prior and, by rule,
+    the probabilities of the votes -1, 0, 1."""
 
-    prior: float
-    good: list[tuple[float, float, float]]
-    bad: list[tuple[float, float, float]]
+    priors: list[float]
+    votes: list[list[tuple[float, float, float]]]
     names: list[str] = field(default_factory=lambda: [r[0] for r in RULES])
 
-    def weights(self, k: int) -> list[float]:
-        """Log odds that the votes -1, 0, 1 of rule k add."""
-        return [math.log(x / y) for x, y in zip(self.good[k], self.bad[k], strict=True)]
+    @classmethod
+    def start(cls, names: list[str]) -> Model:
+        n = len(names)
+        good, failing, other = (0.02, 0.13, 0.85), (0.85, 0.10, 0.05), (0.2, 0.2, 0.6)
+        bad = [[failing if k == x else other for x in range(n)] for k in range(n)]
+        return cls([START_GOOD, *[(1 - START_GOOD) / n] * n], [[good] * n, *bad], names)
 
-    def log_prior(self) -> float:
-        return math.log(self.prior / (1 - self.prior))
+    def rows(self) -> list[tuple]:
+        """class, rule, vote, log probability; the class's prior is with rule 0."""
+        return [(c, x, v, math.log(p) + (math.log(self.priors[c]) if x == 0 else 0.0)) for c, by in enumerate(self.votes) for x, ps in enumerate(by) for v, p in zip((-1, 0, 1), ps, strict=True)]
 
     def posterior(self) -> Column:
-        log_odds = F.lit(self.log_prior())
-        for k, name in enumerate(self.names):
-            v, w = F.col(f"vote_{name}"), self.weights(k)
-            log_odds = log_odds + F.when(v < 0, w[0]).when(v > 0, w[2]).otherwise(w[1])
-        return 1 / (1 + F.exp(-log_odds))
+        """Probability of the good class, from the columns vote_*."""
+        total = F.lit(0.0)
+        for c in range(1, len(self.priors)):
+            gap = F.lit(math.log(self.priors[c] / self.priors[0]))
+            for x, name in enumerate(self.names):
+                w = [math.log(p / q) for p, q in zip(self.votes[c][x], self.votes[0][x], strict=True)]
+                v = F.col(f"vote_{name}")
+                gap = gap + F.when(v < 0, w[0]).when(v > 0, w[2]).otherwise(w[1])
+            total = total + F.exp(F.least(gap, F.lit(300.0)))
+        return 1 / (1 + total)
 
 
 def fit(patterns: DataFrame, names: list[str] | None = None, rounds: int = ROUNDS) -> Model:
-    """EM over a table of vote patterns (columns vote_*, n); only the rates come back to the driver."""
+    """EM over a table of vote patterns (columns vote_*, n); only the rates come back to the driver.
+
+    A good document gets a rule's bad vote with WRONG probability at most: without that bound the commonest way of
+    failing would take the bad class for itself and the others would count as good.
+    """
     names = names or [r[0] for r in RULES]
-    start = ((1 - START_RIGHT) / 2, (1 - START_RIGHT) / 2 + 0.1, START_RIGHT - 0.1)
-    model = Model(START_GOOD, [start] * len(names), [start[::-1]] * len(names), names)
+    model = Model.start(names)
     at = F.monotonically_increasing_id().alias("at")
-    wide = patterns.select(at, "n", *(f"vote_{x}" for x in names))
-    votes_of = stored(wide.select("at", "n", F.posexplode(F.array(*(f"vote_{x}" for x in names))).alias("rule", "vote")), "vote-rows")
-    spark = patterns.sparkSession
+    wide = stored(patterns.select(at, "n", *(f"vote_{x}" for x in names)), "votes")
+    rows = stored(wide.select("at", "n", F.posexplode(F.array(*(f"vote_{x}" for x in names))).alias("rule", "vote")), "vote-rows")
+    every = Window.partitionBy("at")
     for _ in range(rounds):
-        weights = spark.createDataFrame([(k, v, w) for k in range(len(names)) for v, w in zip((-1, 0, 1), model.weights(k), strict=True)], "rule int, vote int, w double")
-        log_odds = F.sum("w").over(Window.partitionBy("at")) + F.lit(model.log_prior())
-        scored = votes_of.join(F.broadcast(weights), ["rule", "vote"]).select("rule", "vote", "n", log_odds.alias("o")).withColumn("p", 1 / (1 + F.exp(-F.col("o"))))
-        got = {(r[0], r[1]): (r[2], r[3]) for r in scored.groupBy("rule", "vote").agg(F.sum(F.col("n") * F.col("p")), F.sum(F.col("n") * (1 - F.col("p")))).collect()}
+        weights = patterns.sparkSession.createDataFrame(model.rows(), "class int, rule int, vote int, w double")
+        likely = rows.join(F.broadcast(weights), ["rule", "vote"]).groupBy("at", "class").agg(F.sum("w").alias("w"))
+        scaled = likely.withColumn("p", F.exp(F.col("w") - F.max("w").over(every)))
+        post = scaled.select("at", "class", (F.col("p") / F.sum("p").over(every)).alias("p"))
+        got = {r[:3]: r[3] for r in map(tuple, rows.join(post, "at").groupBy("class", "rule", "vote").agg(F.sum(F.col("n") * F.col("p"))).collect())}
         if not got:
             break
-        g, b = (sum(got.get((0, v), (0, 0))[k] for v in (-1, 0, 1)) for k in (0, 1))
-        rates = lambda k, x, total: tuple((got.get((x, v), (0, 0))[k] + SMOOTH) / (total + 3 * SMOOTH) for v in (-1, 0, 1))
-        prior = min(0.999, max(0.001, (g + SMOOTH) / (g + b + 2 * SMOOTH)))
-        new = Model(prior, [rates(0, x, g) for x in range(len(names))], [rates(1, x, b) for x in range(len(names))], names)
-        moved = max(abs(p - q) for s, t in zip(model.good + model.bad, new.good + new.bad, strict=True) for p, q in zip(s, t, strict=True))
+        mass = [sum(got.get((c, 0, v), 0.0) for v in (-1, 0, 1)) for c in range(len(names) + 1)]
+        priors = [(m + SMOOTH) / (sum(mass) + SMOOTH * len(mass)) for m in mass]
+        by = [[tuple((got.get((c, x, v), 0.0) + SMOOTH) / (mass[c] + 3 * SMOOTH) for v in (-1, 0, 1)) for x in range(len(names))] for c in range(len(mass))]
+        by[0] = [(d, z * (1 - d) / (z + u), u * (1 - d) / (z + u)) for d, z, u in ((min(p[0], WRONG), p[1], p[2]) for p in by[0])]
+        new = Model(priors, by, names)
+        moved = max(abs(p - q) for s, t in zip(model.votes, new.votes, strict=True) for i, j in zip(s, t, strict=True) for p, q in zip(i, j, strict=True))
         model = new
-        if moved < 1e-4:
+        if moved < 1e-3:
             break
     return model
 
@@ -170,7 +185,7 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     measured = with_measures(docs.select("doc_id", "text"))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     voted = stored(measured.select("doc_id", *(F.col(f"_q_{x}").alias(x) for x in counts), *votes(), base_failed().alias("base_failed")), "quality")
-    model = fit(stored(patterns(voted), "votes"))
+    model = fit(patterns(voted))
     return voted.withColumn("posterior", model.posterior()).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
 
 
@@ -178,6 +193,6 @@ def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that the rules keep, columns unchanged. Texts are measured twice instead of being shuffled."""
     columns = docs.columns
     measured = with_measures(docs, "_q_")
-    model = fit(stored(patterns(measured.select(*votes())), "votes"))
+    model = fit(patterns(measured.select(*votes())))
     voted = measured.select("*", *(v.alias(f"vote_{r[0]}") for v, r in zip(votes(), RULES, strict=True)))
     return voted.filter(~base_failed() & (model.posterior() >= threshold)).select(*(F.col(f"`{c}`") for c in columns))
