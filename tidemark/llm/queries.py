@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, quality, sharding
+from . import bpe, decontaminate, linededup, quality, sharding, tokenfiles
 from .common import documents
 
 
@@ -26,6 +26,26 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    read = tokenfiles.read_tokens(docs, tokenfiles.write_tokens(docs, _tokenizer("word_bpe_49k.json")))
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    coded = bpe.encode(docs, _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_text=False)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign(documents(spark, sf_dir))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -37,7 +57,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op6_decontaminate, op9_sharding, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op6_decontaminate, op7_token_files, op8_byte_bpe, op9_sharding, op10_line_dedup)}
 
 #: DuckDB SQL over the same tables.
 ORACLE = {
