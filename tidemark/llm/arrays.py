@@ -82,14 +82,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def prefix_hash(data: np.ndarray, lower: bool) -> np.ndarray:
-    """Sums of a polynomial over the bytes; one more than bytes."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        np.cumsum((_TABLE_LOWER if lower else _TABLE)[data] * _power(_BASE, len(data)), out=out[1:]) if len(data) else None
+def prefix_sums(units: np.ndarray) -> np.ndarray:
+    """Sums of a polynomial over 64-bit units; one more than units."""
+    out = np.zeros(len(units) + 1, np.uint64)
+    if len(units):
+        with np.errstate(over="ignore"):
+            np.cumsum(units * _power(_BASE, len(units)), out=out[1:])
     return out
 
 
+def prefix_hash(data: np.ndarray, lower: bool) -> np.ndarray:
+    """The same over bytes."""
+    return prefix_sums((_TABLE_LOWER if lower else _TABLE)[data])
+
+
 def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte ranges, equal for equal bytes wherever they stand."""
     if not len(start):
