@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fmindex, jaccard, linededup, quality, sharding, suffixes, tokenfiles
+from . import bpe, decontaminate, fmindex, jaccard, linededup, lm, quality, sharding, suffixes, tokenfiles
 from .common import documents
 
 
@@ -13,6 +13,11 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", lm.held_out().alias("held_out"))
+    return lm.score(docs, lm.train(docs.filter("not held_out")))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir))
 
@@ -71,7 +76,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op3_quality_rules, op4_substring_dedup, op5_suffix_array_dedup, op6_decontaminate, op7_token_files, op8_byte_bpe, op9_sharding, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_lm_scoring, op3_quality_rules, op4_substring_dedup, op5_suffix_array_dedup, op6_decontaminate, op7_token_files, op8_byte_bpe, op9_sharding, op10_line_dedup)}
 
 #: DuckDB SQL over the same tables.
 ORACLE = {
