@@ -3,12 +3,13 @@
 A document's set holds the hashes of its distinct shingles of `words` lower-cased words (the whole sequence where it has
 fewer). Documents link when |A and B| / |A or B| reaches `threshold`.
 
-1. Blocking without loss. Sets of sizes up to `high` that link differ in at most d = 2 high (1 - t) / (1 + t) shingles. Shingles are
-   dealt by hash into m > d parts, so a linked pair agrees on some whole part; where more than d of a set's parts hold
-   something, it agrees on one that does. Keys are hashes of (size class, part, what the part holds). A set with d
-   filled parts or fewer also gives the keys of its prefix (the sets it could miss do too), which is lossless by itself.
-   A part is shared by near copies and hardly by others, whatever line or passage is frequent. Inside a task only the first document of a key
-   travels on; the others become edges to it, so a key is never heavier than the number of batches.
+1. Blocking without loss. Linked sets of sizes up to `high` differ in at most d = 2 high (1 - t) / (1 + t) shingles. Shingles are
+   dealt by hash into m > d parts; a difference spoils one part, so where more than d of a set's parts hold two shingles or
+   more, a linked set has one of these in full. Keys are hashes of (size class, part, what the part holds). Frequent
+   shingles are left out of the parts first (sets differ by no more without them); sets with too few parts left, and all
+   that they could miss are such too, give keys of parts with all shingles, and if these are too few, of their prefix.
+   Inside a task only the first document of a key travels on; the others become edges to it, so a key is never heavier
+   than the number of batches.
 2. Components of the edges are the groups in which all links lie. Sets that are equal are one member.
 3. Every group gets a signature tree: members in order of size, nodes with OR-combined bitmaps of shingle hashes, ranges
    of sizes and the most shingles that share a bit. A dual traversal drops pairs of nodes whose greatest possible overlap is too
@@ -37,6 +38,8 @@ from .components import components
 WORDS, THRESHOLD = 5, Fraction(4, 5)
 CHUNK = 800
 FANOUT = 8
+#: Frequent shingles: in AGAIN sets of one run of documents and 3 * AGAIN of all that; at most COMMON of them (8 bytes each).
+AGAIN, COMMON = 3, 250_000
 #: Members of groups up to this number are broadcast (16 bytes each) to fetch their texts; more are joined by shuffle.
 BROADCAST_MEMBERS = 2_000_000
 NULL_ID = -(2**63)
@@ -79,44 +82,57 @@ def size_classes(most: int) -> np.ndarray:
     """Greatest set size of each class, up to one that holds `most`."""
     out = [4]
     while out[-1] < most:
-        out.append(out[-1] * 3 // 2)
+        out.append(max(out[-1] + 1, out[-1] * 5 // 4))
     return np.array(out)
 
 
-def block_keys(h: np.ndarray, offs: np.ndarray, t: Fraction = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, document of each key)."""
+def _part_keys(h: np.ndarray, offs: np.ndarray, doc: np.ndarray, cls: np.ndarray, m: np.ndarray, tag: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the parts that hold two shingles or more, the row of (doc, cls, m) of each, and how many each row has."""
+    n = np.diff(offs)[doc]
+    base = np.cumsum(m) - m
+    total = int(m.sum())
+    each = np.repeat(np.arange(len(doc)), n)
+    x = h[ranges(offs[doc], n)]
+    place = base[each] + (((x >> np.uint64(32)) * m[each].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+    full = np.flatnonzero(np.bincount(place, minlength=total) >= 2)
+    owner = np.repeat(np.arange(len(doc)), m)[full]
+    with np.errstate(over="ignore"):
+        keys = mix(_sums(mix(x), place, total)[full] + (cls[owner] * 4 + tag).astype(np.uint64) * _ODD[1] + (full - base[owner]).astype(np.uint64) * _ODD[2])
+    return keys, owner, np.bincount(owner, minlength=len(doc))
+
+
+def block_keys(h: np.ndarray, offs: np.ndarray, common: np.ndarray, t: Fraction = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, document of each key). common: hashes, sorted, that the keys leave out where they can; any will do."""
     n = np.diff(offs)
     if not len(h):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     p, q = t.numerator, t.denominator
     high = size_classes(int(n.max()) * q // p + 1)
     differ = 2 * high * (q - p) // (q + p)
-    parts = differ + 1 + (differ + 1) // 5 + 2
+    parts = np.maximum(differ + 1, -(-high * 8 * (q - p) // (5 * (q + p))) + differ + differ // 6)
+    known = np.zeros(len(h), bool)
+    if len(common):
+        known = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
+    own_offs = np.concatenate([[0], np.cumsum(~known)])[offs]
     doc = np.flatnonzero(n)
     first, last = np.searchsorted(high, n[doc]), np.searchsorted(high, n[doc] * q // p)
-    many = last - first + 1
-    doc, cls = np.repeat(doc, many), ranges(first, many)
-    m = parts[cls]
-    base = np.cumsum(m) - m
-    member = ranges(offs[doc], n[doc])
-    each = np.repeat(np.arange(len(doc)), n[doc])
-    x = h[member]
-    part = ((x >> np.uint64(32)) * m[each].astype(np.uint64)) >> np.uint64(32)
-    place = base[each] + part.astype(np.int64)
-    total = int(m.sum())
-    filled = np.bincount(place, minlength=total) > 0
-    sums = _sums(mix(x), place, total)
-    owner = np.repeat(np.arange(len(doc)), m)
-    with np.errstate(over="ignore"):
-        keys = mix(sums + cls[owner].astype(np.uint64) * _ODD[1] + (np.arange(total) - base[owner]).astype(np.uint64) * _ODD[2])
-    out_keys, out_docs = [keys[filled]], [doc[owner[filled]]]
-    few = np.flatnonzero(np.add.reduceat(filled, base) <= differ[cls])
-    if len(few):
-        size = n[doc[few]]
+    doc, cls = np.repeat(doc, last - first + 1), ranges(first, last - first + 1)
+    out_keys, out_docs = [], []
+    for tag, (values, at) in enumerate(((h[~known], own_offs), (h, offs))):
+        keys, owner, filled = _part_keys(values, at, doc, cls, parts[cls], tag)
+        out_keys.append(keys)
+        out_docs.append(doc[owner])
+        few = filled <= differ[cls]
+        doc, cls = doc[few], cls[few]
+        if not len(doc):
+            break
+    else:
+        order = np.lexsort((h, known, np.repeat(np.arange(len(n)), n)))
+        size = n[doc]
         prefix = size - -(-size * p // q) + 1
         with np.errstate(over="ignore"):
-            out_keys.append(mix(h[ranges(offs[doc[few]], prefix)] * _ODD[3] + np.repeat(cls[few], prefix).astype(np.uint64)))
-        out_docs.append(np.repeat(doc[few], prefix))
+            out_keys.append(mix(h[order[ranges(offs[doc], prefix)]] * _ODD[3] + np.repeat(cls, prefix).astype(np.uint64)))
+        out_docs.append(np.repeat(doc, prefix))
     return np.concatenate(out_keys), np.concatenate(out_docs)
 
 
@@ -142,7 +158,30 @@ def _batch(columns: list, names: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, parts, strict=True)], names=[x for x, _ in parts])
 
 
-def _write_keys(buckets: int, words: int, t: Fraction):
+def _frequent_here(words: int):
+    """Task: documents in; shingles of AGAIN different sets of a run of documents out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch, most=16 << 20):
+                h, offs = shingle_sets(b.column("text"), words)
+                doc = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
+                once = np.zeros(len(offs) - 1, bool)
+                once[np.unique(_sums(mix(h), doc, len(offs) - 1), return_index=True)[1]] = True
+                x, n = np.unique(h[once[doc]], return_counts=True)
+                yield _batch([x[n >= AGAIN].view(np.int64), n[n >= AGAIN]], "h long, n long")
+
+    return run
+
+
+def common_shingles(docs: DataFrame, words: int = WORDS) -> np.ndarray:
+    """Hashes of at most COMMON frequent shingles, sorted. They make the keys more selective; the result is exact with any."""
+    counts = docs.select("text").mapInArrow(_frequent_here(words), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    top = counts.filter(F.col("n") >= 3 * AGAIN).orderBy(F.desc("n"), "h").limit(COMMON).select("h").toPandas()["h"]
+    return np.sort(top.to_numpy(np.int64).view(np.uint64))
+
+
+def _write_keys(buckets: int, words: int, t: Fraction, common):
     """Task: documents in, their sizes and set hashes and their keys by bucket out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +193,7 @@ def _write_keys(buckets: int, words: int, t: Fraction):
                 doc = np.repeat(np.arange(len(n)), n)
                 whole = [_sums(mix(h ^ odd), doc, len(n)) for odd in _ODD[:2]]
                 rows = [[int(ids[0] % buckets), 0, ids.tobytes(), n.astype(np.int64).tobytes(), whole[0].tobytes(), whole[1].tobytes()]]
-                keys, owner = block_keys(h, offs, t)
+                keys, owner = block_keys(h, offs, common.value, t)
                 local, a, z = _first_of_key(keys, ids[owner])
                 if len(a):
                     rows.append([int(ids[0] % buckets), 1, a.tobytes(), z.tobytes(), b"", b""])
@@ -320,7 +359,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: Fraction = T
     id_type = dict(docs.dtypes)["doc_id"]
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text")
     buckets = partitions(spark)
-    keys = docs.mapInArrow(_write_keys(buckets, words, threshold), _KEYS)
+    common = spark.sparkContext.broadcast(common_shingles(docs, words))
+    keys = docs.mapInArrow(_write_keys(buckets, words, threshold, common), _KEYS)
     found = stored(keys.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_read_keys, _FOUND), "blocks")
     rows = found.filter("kind = 0").select(F.col("a").alias("doc_id"), "n", "f", "g")
     sets = rows.filter("n > 0").groupBy("n", "f", "g").agg(F.min("doc_id").alias("set_id"))
