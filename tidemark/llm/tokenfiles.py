@@ -29,8 +29,8 @@ END = 1
 ROUNDS = 5
 PAIRS_A_ROUND = 3000
 LEAST = 6
-#: Words in a worker's dictionary; it starts anew beyond.
-DICTIONARY = 400_000
+#: Words in each of the two generations of a worker's dictionary.
+DICTIONARY = 500_000
 
 
 
@@ -51,15 +51,19 @@ def repair(ids: np.ndarray, ends: np.ndarray, vocabulary: int, rounds: int = ROU
         filled[1 << 20] = 0
         least = max(LEAST, int(np.partition(filled, -PAIRS_A_ROUND)[-PAIRS_A_ROUND]))
         at = np.flatnonzero((filled >= least)[slot])
-        pairs, index, counts = np.unique(key[at], return_inverse=True, return_counts=True)
+        # a slot stands for the pair that is first in it
+        pair_of = np.zeros(1 << 20, np.int64)
+        pair_of[slot[at[::-1]]] = key[at[::-1]]
+        at = at[pair_of[slot[at]] == key[at]]
+        counts = np.bincount(slot[at], minlength=1 << 20)
         good = np.flatnonzero(counts >= LEAST)
         if not len(good):
             break
         good = good[np.argsort(-counts[good], kind="stable")][:PAIRS_A_ROUND]
-        rank = np.full(len(pairs), 1 << 40, np.int64)
+        rank = np.full(1 << 20, -1, np.int64)
         rank[good] = np.arange(len(good))
-        index = rank[index]
-        at, index = at[index < 1 << 40], index[index < 1 << 40]
+        index = rank[slot[at]]
+        at, index = at[index >= 0], index[index >= 0]
         taken = np.zeros(len(s) + 1, bool)
         left = np.full(len(s) + 1, -1, np.int64)
         for _ in range(3):  # where places overlap the commoner pair wins, then the earlier place
@@ -76,7 +80,7 @@ def repair(ids: np.ndarray, ends: np.ndarray, vocabulary: int, rounds: int = ROU
             taken[at[win]] = taken[at[win] + 1] = True
         places = np.flatnonzero(left >= 0)
         used, renamed = np.unique(left[places], return_inverse=True)
-        pair = pairs[good[used]]
+        pair = pair_of[good[used]]
         rule = np.stack([pair >> 32, pair & 0xFFFFFFFF], axis=1)
         s[places] = top + renamed
         last[places] = last[places + 1]
@@ -148,6 +152,7 @@ class WordCoder:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         plain = sorted(w for w in vocab if w.endswith("</w>") and len(w) == 12 and w[:-4].isascii() and w[:-4].isalpha() and w.islower())
         self.mark = next((w[:-4] for w in plain if self.ids([w[:-4]]) == [[vocab[w]]]), None)
@@ -173,17 +178,31 @@ class WordCoder:
             for w, x in zip(line, self.ids([w.decode() for w in line]), strict=True):
                 self.known[w] = np.array(x, "<u4").tobytes()
 
-    def __call__(self, text: str | None) -> bytes:
-        words = (text or "").encode().split()
+    def stem(self, word: bytes) -> tuple[bytes, bytes]:
+        """A word that has the same ids without its last bytes, and these: the tokenizer lowers case and parts letters from marks."""
+        if not word.isascii() or b"<|" in word:
+            return word, b""
+        low = word.lower()
+        cut = len(low.rstrip(b".,"))
+        return (low[:cut], low[cut:]) if 0 < cut < len(low) and low[cut - 1 : cut].isalpha() else (low, b"")
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        cut = [(t or "").encode().split() for t in texts]
+        if len(self.known) > DICTIONARY:
+            self.old, self.known = self.known, {}
         known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        if len(known) > DICTIONARY:
-            known.clear()
-        self.learn([*{w for w in words if w not in known}])
-        return b"".join([known[w] for w in words])
+        missing = []
+        for w in set().union(*cut) if cut else ():
+            if w not in known:
+                if got := self.old.get(w):
+                    known[w] = got
+                else:
+                    missing.append(w)
+        stems = [self.stem(w) for w in missing]
+        self.learn([*{x for pair in stems for x in pair if x and x not in known}])
+        known.update((w, known[a] + known[z] if z else known[a]) for w, (a, z) in zip(missing, stems, strict=True))
+        get = known.__getitem__
+        return [b"".join([get(w) for w in words]) for words in cut]
 
 
 _CODERS: dict[int, WordCoder] = {}
@@ -224,9 +243,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end: int = END, path: str
 
         last = np.array([end], "<u4").tobytes()
         for b in batches:
-            for name, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+            for name, ids in zip(b.column("doc_id").to_pylist(), code(b.column("text").to_pylist()), strict=True):
                 names.append(name)
-                held.append(np.frombuffer(code(text.as_py()) + last, "<u4"))
+                held.append(np.frombuffer(ids + last, "<u4"))
                 size += len(held[-1])
                 if size >= SHARD_TOKENS:
                     yield flush()
