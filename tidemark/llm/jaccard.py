@@ -6,8 +6,8 @@ fewer). Documents link when |A and B| / |A or B| reaches `threshold`.
 1. Blocking without loss. Linked sets of sizes up to `high` differ in at most d = 2 high (1 - t) / (1 + t) shingles. Shingles are
    dealt by hash into m > d parts; a difference spoils one part, so where more than d of a set's parts hold two shingles or
    more, a linked set has one of these in full. Keys are hashes of (size class, part, what the part holds). Frequent
-   shingles are left out of the parts first (sets differ by no more without them); sets with too few parts left, and all
-   that they could miss are such too, give keys of parts with all shingles, and if these are too few, of their prefix.
+   shingles are left out of the parts (sets differ by no more without them). Sets with too few parts left, and all that
+   they could miss are such too, give the keys of their prefix, in which frequent shingles come last.
    Inside a task only the first document of a key travels on; the others become edges to it, so a key is never heavier
    than the number of batches.
 2. Components of the edges are the groups in which all links lie. Sets that are equal are one member.
@@ -36,10 +36,10 @@ from .common import partitions, stored, tune
 from .components import components
 
 WORDS, THRESHOLD = 5, Fraction(4, 5)
-CHUNK = 800
+CHUNK = 2500
 FANOUT = 8
 #: Frequent shingles: in AGAIN sets of one run of documents and 3 * AGAIN of all that; at most COMMON of them (8 bytes each).
-AGAIN, COMMON = 3, 250_000
+AGAIN, COMMON = 2, 500_000
 #: Members of groups up to this number are broadcast (16 bytes each) to fetch their texts; more are joined by shuffle.
 BROADCAST_MEMBERS = 2_000_000
 NULL_ID = -(2**63)
@@ -86,7 +86,7 @@ def size_classes(most: int) -> np.ndarray:
     return np.array(out)
 
 
-def _part_keys(h: np.ndarray, offs: np.ndarray, doc: np.ndarray, cls: np.ndarray, m: np.ndarray, tag: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _part_keys(h: np.ndarray, offs: np.ndarray, doc: np.ndarray, cls: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of the parts that hold two shingles or more, the row of (doc, cls, m) of each, and how many each row has."""
     n = np.diff(offs)[doc]
     base = np.cumsum(m) - m
@@ -97,7 +97,7 @@ def _part_keys(h: np.ndarray, offs: np.ndarray, doc: np.ndarray, cls: np.ndarray
     full = np.flatnonzero(np.bincount(place, minlength=total) >= 2)
     owner = np.repeat(np.arange(len(doc)), m)[full]
     with np.errstate(over="ignore"):
-        keys = mix(_sums(mix(x), place, total)[full] + (cls[owner] * 4 + tag).astype(np.uint64) * _ODD[1] + (full - base[owner]).astype(np.uint64) * _ODD[2])
+        keys = mix(_sums(mix(x), place, total)[full] + cls[owner].astype(np.uint64) * _ODD[1] + (full - base[owner]).astype(np.uint64) * _ODD[2])
     return keys, owner, np.bincount(owner, minlength=len(doc))
 
 
@@ -117,19 +117,13 @@ def block_keys(h: np.ndarray, offs: np.ndarray, common: np.ndarray, t: Fraction
     doc = np.flatnonzero(n)
     first, last = np.searchsorted(high, n[doc]), np.searchsorted(high, n[doc] * q // p)
     doc, cls = np.repeat(doc, last - first + 1), ranges(first, last - first + 1)
-    out_keys, out_docs = [], []
-    for tag, (values, at) in enumerate(((h[~known], own_offs), (h, offs))):
-        keys, owner, filled = _part_keys(values, at, doc, cls, parts[cls], tag)
-        out_keys.append(keys)
-        out_docs.append(doc[owner])
-        few = filled <= differ[cls]
+    keys, owner, filled = _part_keys(h[~known], own_offs, doc, cls, parts[cls])
+    out_keys, out_docs = [keys], [doc[owner]]
+    few = np.flatnonzero(filled <= differ[cls])
+    if len(few):
         doc, cls = doc[few], cls[few]
-        if not len(doc):
-            break
-    else:
         order = np.lexsort((h, known, np.repeat(np.arange(len(n)), n)))
-        size = n[doc]
-        prefix = size - -(-size * p // q) + 1
+        prefix = n[doc] - -(-n[doc] * p // q) + 1
         with np.errstate(over="ignore"):
             out_keys.append(mix(h[order[ranges(offs[doc], prefix)]] * _ODD[3] + np.repeat(cls, prefix).astype(np.uint64)))
         out_docs.append(np.repeat(doc, prefix))
