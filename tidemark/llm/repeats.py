@@ -28,6 +28,8 @@ from .arrays import SPACE, covered, prefix_hash, prefix_sums, range_hash, ranges
 from .common import partitions, stored, tune
 
 CROWDED = 40
+#: Bytes of text that a task looks at together.
+SLICE = 3 << 19
 NULL_ID = -(2**63)
 
 
@@ -129,7 +131,7 @@ def _read_post(row) -> tuple[np.ndarray, ...]:
 def _write_posts(make: Callable, length: int, gram: int, buckets: int, crowded: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, most=4 << 20):
+            for b in slices(batch, most=SLICE):
                 u = make(b.column("text"))
                 v, h, doc, s, windows = segments(u, length, gram)
                 ids = b.column("doc_id").to_numpy()[doc]
@@ -206,7 +208,7 @@ def _read_segments(make: Callable, length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, most=4 << 20):
+            for b in slices(batch, most=SLICE):
                 u = make(b.column("text"))
                 ids = b.column("doc_id").to_pylist()
                 want = b.column("want")
@@ -304,7 +306,7 @@ def remove_repeats(docs: DataFrame, make: Callable, index: Callable, length: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, most=4 << 20):
+            for b in slices(batch, most=SLICE):
                 u = make(b.column("text"))
                 lists = b.column("gone")
                 lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists

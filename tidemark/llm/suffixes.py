@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from .repeats import CROWDED, Units, byte_units, remove_repeats
 
 BYTES, GRAM = 100, 32
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 3 << 18
 
 
 def suffix_ranks(text: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
@@ -25,7 +25,7 @@ def suffix_ranks(text: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
     word = np.zeros(n, np.uint64)
     for k in range(8):
         word = (word << np.uint64(8)) | padded[k : k + n]
-    out = [(8, np.unique(word, return_inverse=True)[1])]
+    out = [(8, np.unique(word, return_inverse=True)[1].astype(np.int32))]
     while out[-1][0] * 2 <= depth:
         span, rank = out[-1]
         out.append((span * 2, pair_rank(rank, span)))
@@ -37,7 +37,8 @@ def pair_rank(rank: np.ndarray, shift: int) -> np.ndarray:
     after = np.zeros(len(rank), np.int64)
     if shift < len(rank):
         after[:-shift] = rank[shift:] + 1
-    return np.unique((rank.astype(np.int64) << 32) | after, return_inverse=True)[1]
+    after |= rank.astype(np.int64) << 32
+    return np.unique(after, return_inverse=True)[1].astype(np.int32)
 
 
 def previous_smaller(x: np.ndarray) -> np.ndarray:
