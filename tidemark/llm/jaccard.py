@@ -86,8 +86,8 @@ def size_classes(most: int) -> np.ndarray:
     return np.array(out)
 
 
-def _part_keys(h: np.ndarray, offs: np.ndarray, doc: np.ndarray, cls: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the parts that hold two shingles or more, the row of (doc, cls, m) of each, and how many each row has."""
+def _part_keys(h: np.ndarray, offs: np.ndarray, doc: np.ndarray, cls: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the parts that hold two shingles or more, the part and the row of (doc, cls, m) of each, and how many each row has."""
     n = np.diff(offs)[doc]
     base = np.cumsum(m) - m
     total = int(m.sum())
@@ -98,14 +98,15 @@ def _part_keys(h: np.ndarray, offs: np.ndarray, doc: np.ndarray, cls: np.ndarray
     owner = np.repeat(np.arange(len(doc)), m)[full]
     with np.errstate(over="ignore"):
         keys = mix(_sums(mix(x), place, total)[full] + cls[owner].astype(np.uint64) * _ODD[1] + (full - base[owner]).astype(np.uint64) * _ODD[2])
-    return keys, owner, np.bincount(owner, minlength=len(doc))
+    return keys, full - base[owner], owner, np.bincount(owner, minlength=len(doc))
 
 
-def block_keys(h: np.ndarray, offs: np.ndarray, common: np.ndarray, t: Fraction = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, document of each key). common: hashes, sorted, that the keys leave out where they can; any will do."""
+def block_keys(h: np.ndarray, offs: np.ndarray, common: np.ndarray, t: Fraction = THRESHOLD, lanes: int = 6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, document and lane of each key). Equal keys share a lane, and near copies share few lanes, so that an edge
+    between them is found a few times and not once for each key. common: hashes, sorted, that the keys leave out where they can; any will do."""
     n = np.diff(offs)
     if not len(h):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     p, q = t.numerator, t.denominator
     high = size_classes(int(n.max()) * q // p + 1)
     differ = 2 * high * (q - p) // (q + p)
@@ -117,17 +118,19 @@ def block_keys(h: np.ndarray, offs: np.ndarray, common: np.ndarray, t: Fraction
     doc = np.flatnonzero(n)
     first, last = np.searchsorted(high, n[doc]), np.searchsorted(high, n[doc] * q // p)
     doc, cls = np.repeat(doc, last - first + 1), ranges(first, last - first + 1)
-    keys, owner, filled = _part_keys(h[~known], own_offs, doc, cls, parts[cls])
-    out_keys, out_docs = [keys], [doc[owner]]
+    keys, part, owner, filled = _part_keys(h[~known], own_offs, doc, cls, parts[cls])
+    out_keys, out_docs, out_lanes = [keys], [doc[owner]], [cls[owner] * lanes + part % lanes]
     few = np.flatnonzero(filled <= differ[cls])
     if len(few):
         doc, cls = doc[few], cls[few]
         order = np.lexsort((h, known, np.repeat(np.arange(len(n)), n)))
         prefix = n[doc] - -(-n[doc] * p // q) + 1
+        x = h[order[ranges(offs[doc], prefix)]]
+        out_lanes.append(np.repeat(cls, prefix) * lanes + (x % np.uint64(lanes)).astype(np.int64))
         with np.errstate(over="ignore"):
-            out_keys.append(mix(h[order[ranges(offs[doc], prefix)]] * _ODD[3] + np.repeat(cls, prefix).astype(np.uint64)))
+            out_keys.append(mix(x * _ODD[3] + np.repeat(cls, prefix).astype(np.uint64)))
         out_docs.append(np.repeat(doc, prefix))
-    return np.concatenate(out_keys), np.concatenate(out_docs)
+    return np.concatenate(out_keys), np.concatenate(out_docs), np.concatenate(out_lanes)
 
 
 def _first_of_key(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,20 +190,20 @@ def _write_keys(buckets: int, words: int, t: Fraction, common):
                 doc = np.repeat(np.arange(len(n)), n)
                 whole = [_sums(mix(h ^ odd), doc, len(n)) for odd in _ODD[:2]]
                 rows = [[int(ids[0] % buckets), 0, ids.tobytes(), n.astype(np.int64).tobytes(), whole[0].tobytes(), whole[1].tobytes()]]
-                keys, owner = block_keys(h, offs, common.value, t)
+                keys, owner, lane = block_keys(h, offs, common.value, t, max(6, buckets // 40))
                 local, a, z = _first_of_key(keys, ids[owner])
                 if len(a):
                     rows.append([int(ids[0] % buckets), 1, a.tobytes(), z.tobytes(), b"", b""])
-                keys, owner = keys[local], owner[local]
-                bucket = (keys % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                keys, owner, bucket = keys[order] // np.uint64(buckets), owner[order], bucket[order]
-                edges = np.searchsorted(bucket, np.arange(buckets + 1))
-                for k in np.flatnonzero(np.diff(edges)).tolist():
+                keys, owner, lane = keys[local], owner[local], lane[local]
+                order = np.argsort(lane, kind="stable")
+                keys, owner, lane = keys[order], owner[order], lane[order]
+                used, edges = np.unique(lane, return_index=True)
+                edges = np.append(edges, len(lane))
+                for k, bucket in enumerate(used.tolist()):
                     at = slice(edges[k], edges[k + 1])
                     names, places = np.unique(owner[at], return_inverse=True)
                     x = keys[at]
-                    rows.append([k, 2, ids[names].tobytes(), places.astype(np.uint32 if len(names) > 65535 else np.uint16).tobytes(), (x & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), ((x >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16).tobytes()])
+                    rows.append([bucket, 2, ids[names].tobytes(), places.astype(np.uint32 if len(names) > 65535 else np.uint16).tobytes(), (x & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), ((x >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16).tobytes()])
                 yield _batch([*zip(*rows, strict=True)], _KEYS)
 
     return run
