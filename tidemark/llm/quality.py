@@ -31,6 +31,8 @@ RULES = (
     ("sentences_end", "end_rate", "above", 0.70, 0.35),
     ("usual_word_length", "length_gap", "below", 0.80, 2.50),
 )
+#: Rejected ids up to this number are broadcast (8 bytes each); more are joined by shuffle.
+BROADCAST_REJECTED = 2_000_000
 START_GOOD, WRONG, ROUNDS, SMOOTH = 0.8, 0.02, 10, 1.0
 
 
@@ -190,9 +192,8 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that the rules keep, columns unchanged. Texts are measured twice instead of being shuffled."""
-    columns = docs.columns
-    measured = with_measures(docs, "_q_")
-    model = fit(patterns(measured.select(*votes())))
-    voted = measured.select("*", *(v.alias(f"vote_{r[0]}") for v, r in zip(votes(), RULES, strict=True)))
-    return voted.filter(~base_failed() & (model.posterior() >= threshold)).select(*(F.col(f"`{c}`") for c in columns))
+    """The rows of docs that the rules keep, columns unchanged. Rows that share a doc_id stay if one of them is kept."""
+    verdicts = judge(docs, threshold).groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    gone = stored(verdicts.filter("not kept").select(F.col("doc_id").alias("_q_id")), "rejected")
+    few = gone.count() <= BROADCAST_REJECTED
+    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].eqNullSafe(gone["_q_id"]), "left_anti")
