@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import events, store, topics, vectors
 from tidemark.plans.queries import ORACLE, queries
+from tidemark.plans.views import Tables
 from tidemark.sources import feeds
 from tidemark.streaming import jobs
 
@@ -106,3 +107,23 @@ def test_streams_equal_batch(spark, tmp_path):
     q = stream.writeStream.foreachBatch(jobs.ingest_batch(target, cursors, "kind", "id")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.read.parquet(target).count() == 60
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_items_hold_whole_texts(spark):
+    t = Tables(spark, DATA)
+    longer = t.documents.filter("length(text) > 5000").join(t.items, F.col("doc_id") == F.col("id"))
+    assert longer.count() > 0
+    assert longer.filter("content <> text").count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+@pytest.mark.parametrize("name", ["s05_upsert_all", "p17_key_points_titles", "p13_entities"])
+def test_whole_items_same_as_sql(spark, name):
+    test_same_as_sql(spark, name)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_upsert_reads_all_items(spark):
+    t = Tables(spark, DATA)
+    assert queries()["s05_upsert_all"](spark, DATA).count() == t.items.select("external_id").distinct().count()

@@ -48,6 +48,8 @@ add("s04_append_new", lambda t: ids(store.append_new(t.items.filter("id % 3 = 0"
     "WITH old AS (SELECT * FROM items WHERE id % 3 = 0), new AS (SELECT *, row_number() OVER (PARTITION BY source_type, external_id ORDER BY id) AS n FROM items) SELECT id, external_id FROM old UNION ALL SELECT id, external_id FROM new WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM old WHERE old.source_type = new.source_type AND old.external_id = new.external_id)")
 add("s05_upsert", lambda t: ids(store.upsert(t.items.filter("id % 2 = 0"), t.items.filter("id % 3 = 0"), ["external_id"]), "external_id"),
     "WITH old AS (SELECT * FROM items WHERE id % 2 = 0), new AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY external_id ORDER BY id DESC) AS n FROM items WHERE id % 3 = 0) WHERE n = 1) SELECT id, external_id FROM old WHERE external_id NOT IN (SELECT external_id FROM new) UNION ALL SELECT id, external_id FROM new")
+add("s05_upsert_all", lambda t: ids(store.upsert(t.items.filter("id % 3 <> 0"), t.items.filter("id % 2 = 0 or id % 3 = 0"), ["external_id"]), "external_id"),
+    "WITH old AS (SELECT * FROM items WHERE id % 3 <> 0), new AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY external_id ORDER BY id DESC) AS n FROM items WHERE id % 2 = 0 OR id % 3 = 0) WHERE n = 1) SELECT id, external_id FROM old WHERE external_id NOT IN (SELECT external_id FROM new) UNION ALL SELECT id, external_id FROM new")
 add("s06_update_where", lambda t: ids(store.update_where(t.items, t.members.select(F.col("content_item_id").alias("id")), {"state": F.lit("read"), "delivered": F.lit(True)}), "state", "delivered"),
     "SELECT id, CASE WHEN m THEN 'read' ELSE state END AS state, CASE WHEN m THEN true ELSE delivered END AS delivered FROM (SELECT *, id IN (SELECT content_item_id FROM members) AS m FROM items)")
 add("s07_delete_cascade", lambda t: store.delete_cascade({"links": (t.content_topics, "topic_id")}, t.topics.filter("name = 'beta'").select(F.col("topic_id").cast("long").alias("topic_id")), "topic_id")["links"].select("content_id", "topic_id"),
@@ -264,6 +266,9 @@ KW = lambda x: f"[w FOR w IN regexp_extract_all(lower({x}), '{X.TOKEN}', 1) IF l
 add("p15_keywords", lambda t: t.items.select("id", _join(X.keywords(F.col("title"))).alias("words")), f"SELECT id, array_to_string(list_sort(list_distinct({KW('title')})), ',') AS words FROM items")
 add("p16_bigrams", lambda t: t.items.select("id", F.array_join(X.bigrams(F.col("title")), ",").alias("pairs")), f"SELECT id, array_to_string({PAIRS}, ',') AS pairs FROM (SELECT *, regexp_extract_all(lower(title), '([a-z]+)', 1) AS ws FROM items)")
 add("p17_key_points", lambda t: t.items.select("id", F.array_join(X.key_points(F.concat(F.lit("Google and GPT-4 raise $5B, up 12.5%: "), F.col("id").cast("string"), F.lit(" users"))), "|").alias("points")), "SELECT id, 'Google|GPT-4|5B' AS points FROM items")
+POINTS = [r"(?i)\b(OpenAI|Anthropic|Google|Meta|Microsoft|Apple|Nvidia)\b", r"(?i)\b(GPT-?\d+|Claude|Gemini|Llama|ChatGPT)\b", "(阿里|腾讯|百度|字节跳动|华为|小米)", r"(?i)\$(\d+(?:\.\d+)?[BMK]?)", r"(\d+(?:\.\d+)?%)", r"(?i)(\d+(?:,\d+)*)\s*(?:用户|users?|downloads?)"]
+add("p17_key_points_titles", lambda t: t.items.select("id", F.array_join(X.key_points(F.col("title")), "|").alias("points")),
+    "SELECT id, array_to_string(list_slice(list_filter([" + ", ".join(f"regexp_extract(title, '{_edge(p)}', 1)" for p in POINTS) + "], lambda x: x <> ''), 1, 3), '|') AS points FROM items")
 add("p18_title_similarity", lambda t: t.items.join(t.items.select((F.col("id") - 1).alias("id"), F.col("title").alias("other")), "id").select("id", F.round(X.title_similarity(F.col("title"), F.col("other")), 6).alias("score")),
     f"WITH n AS (SELECT id, title, {NORM} AS t FROM items), k AS (SELECT *, list_distinct({KW('t')}) AS w FROM n) SELECT a.id, round(CASE WHEN a.title = '' OR b.title = '' THEN 0 WHEN a.t = b.t THEN 1 ELSE coalesce(len(list_intersect(a.w, b.w)) / nullif(len(list_distinct(list_concat(a.w, b.w))), 0), 0) END, 6) AS score FROM k a JOIN k b ON b.id = a.id + 1")
 add("p19_cosine", lambda t: t.content_embeddings.join(t.content_embeddings.select((F.col("content_id") - 1).alias("content_id"), F.col("embedding").alias("o")), "content_id").select("content_id", F.round(X.cosine(F.col("embedding"), F.col("o")), 5).alias("cosine"), F.round(X.sim01(F.col("embedding"), F.col("o")), 5).alias("sim")),

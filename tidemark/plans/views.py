@@ -13,7 +13,7 @@ SQL = {
 SELECT d.doc_id AS id, CAST(substring(d.source, 4) AS BIGINT) AS subscription_id,
  CASE d.doc_id % 4 WHEN 0 THEN 'reddit' WHEN 1 THEN 'twitter' WHEN 2 THEN 'hackernews' ELSE 'rss' END AS source_type,
  concat('x', d.doc_id % 980) AS external_id,
- substring(split_part(d.text, chr(10), 1), 1, 100) AS title, substring(d.text, 1, 5000) AS content, p.url AS url,
+ substring(split_part(d.text, chr(10), 1), 1, 100) AS title, d.text AS content, p.url AS url,
  concat('@', d.source) AS author, d.lang AS category,
  {T0} + {SEC}((d.doc_id * 7919) % 2592000) AS published_at,
  l.doc_id IS NOT NULL AS processed,
