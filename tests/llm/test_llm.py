@@ -251,6 +251,15 @@ def test_quality_counts_and_verdicts(spark):
     assert out[300].n_words == 0 and not out[300].kept
 
 
+def test_quality_counts_no_repeats_in_long_texts_of_different_words(spark):
+    n = (1 << 20) + 10
+    words = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("w"), i.cast("string"))).alias("w"))
+    text = lambda w: F.array_join(w, " ")
+    docs = words.select(F.lit(1).alias("doc_id"), text(F.col("w")).alias("text")).unionAll(words.select(F.lit(2), text(F.concat(F.col("w"), F.slice("w", 5, 4)))))
+    out = {r.doc_id: (r._q_n_words, r._q_n_repeat_words) for r in quality.with_measures(docs).select("doc_id", "_q_n_words", "_q_n_repeat_words").collect()}
+    assert out == {1: (n, 0), 2: (n + 4, 8)}
+
+
 def test_quality_runs_no_python(spark, docs):
     plan = quality.with_measures(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan

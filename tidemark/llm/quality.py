@@ -42,26 +42,21 @@ def _let(value: Column, body) -> Column:
 
 
 def _repeat_words(words: Column, n: Column) -> Column:
-    """Words under 3-word windows that occur twice or more: windows' hashes are sorted with their positions in the low bits."""
-    bits = F.when(n < (1 << 20), F.lit(20)).otherwise(F.lit(32))
-
-    def count(width: Column) -> Column:
-        tagged = F.sort_array(
-            F.transform(
-                F.sequence(F.lit(0), n - 3),
-                lambda i: F.call_function("shiftleft", F.xxhash64(words[i], words[i + 1], words[i + 2]), width).bitwiseOR(i.cast("long")),
-            )
-        )
-
-        def marked(s: Column) -> Column:
-            same = lambda a, b: F.call_function("shiftright", a, width) == F.call_function("shiftright", b, width)
-            twins = F.filter(s, lambda x, i: F.coalesce(same(x, F.get(s, i - 1)), F.lit(False)) | F.coalesce(same(x, F.get(s, i + 1)), F.lit(False)))
-            low = lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), width) - 1)
-            return F.size(F.array_distinct(F.flatten(F.transform(twins, lambda x: F.array(low(x), low(x) + 1, low(x) + 2)))))
-
-        return _let(tagged, marked)
-
-    return F.when(n >= 3, _let(bits, count)).otherwise(0).cast("long")
+    """Words under 3-word windows that occur twice or more: windows are sorted by 64-bit hash and position, and neighbours of
+    one hash count as equal when their words are."""
+    windows = F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(words[i], words[i + 1], words[i + 2]).alias("h"), i.alias("i"))))
+
+    def marked(s: Column) -> Column:
+        def same(a: Column, b: Column) -> Column:
+            out = a["h"] == b["h"]
+            for k in range(3):
+                out = out & (words[a["i"] + k] == words[b["i"] + k])
+            return F.coalesce(out, F.lit(False))
+
+        twins = F.filter(s, lambda x, i: same(x, F.get(s, i - 1)) | same(x, F.get(s, i + 1)))
+        return F.size(F.array_distinct(F.flatten(F.transform(twins, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
+
+    return F.when(n >= 3, _let(windows, marked)).otherwise(0).cast("long")
 
 
 def with_measures(docs: DataFrame, prefix: str = "_q_") -> DataFrame:
