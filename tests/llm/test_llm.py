@@ -70,6 +70,27 @@ def test_jaccard(docs, rows, chunk):
     assert sorted((none_first(r.doc_id), r.n_shingles, none_first(r.component_id)) for r in jaccard.near_duplicates(docs, chunk=chunk).collect()) == want
 
 
+def test_jaccard_lanes_are_split_by_key(docs):
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 1 << 63, 90).astype(np.uint64)) for _ in range(400)]
+    sets += [np.append(x[1:], np.uint64(k)) for k, x in enumerate(sets[:50])]
+    h, offs = np.concatenate([np.sort(x) for x in sets]), np.cumsum([0, *map(len, sets)])
+    t, lanes, none = jaccard.THRESHOLD, 6, np.zeros(0, np.uint64)
+    most = jaccard.most_keys(np.diff(offs), t)
+    keys, owner, lane = jaccard.block_keys(h, offs, none, t, lanes)
+    assert len(keys) <= most.sum()
+    assert np.bincount(lane).max() > 1000
+    split_keys, split_owner, group = jaccard.block_keys(h, offs, none, t, lanes, jaccard.lane_splits(most, lanes, t, 500))
+    assert np.array_equal(keys, split_keys) and np.array_equal(owner, split_owner)
+    assert np.bincount(group).max() <= 550
+    order = np.argsort(keys, kind="stable")
+    same = keys[order][1:] == keys[order][:-1]
+    assert same.any() and (group[order][1:] == group[order][:-1])[same].all()
+    assert all(len(np.unique(lane[group == g])) == 1 for g in np.unique(group))
+    want = sorted(map(str, jaccard.near_duplicates(docs).collect()))
+    assert sorted(map(str, jaccard.near_duplicates(docs, lane_keys=50).collect())) == want
+
+
 def test_signature_tree_finds_all_pairs():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 400, rng.integers(5, 60)).astype(np.uint64)) for _ in range(80)]

@@ -42,6 +42,8 @@ FANOUT = 8
 AGAIN, COMMON = 2, 500_000
 #: Members of groups up to this number are broadcast (16 bytes each) to fetch their texts; more are joined by shuffle.
 BROADCAST_MEMBERS = 2_000_000
+#: Keys that meet in one group at most, by the count of what documents can give (about 50 bytes each in a worker).
+LANE_KEYS = 2_000_000
 NULL_ID = -(2**63)
 _ODD = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
@@ -101,16 +103,48 @@ def _part_keys(h: np.ndarray, offs: np.ndarray, doc: np.ndarray, cls: np.ndarray
     return keys, full - base[owner], owner, np.bincount(owner, minlength=len(doc))
 
 
-def block_keys(h: np.ndarray, offs: np.ndarray, common: np.ndarray, t: Fraction = THRESHOLD, lanes: int = 6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _parts(high: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Most shingles in which linked sets of each class differ, and the parts of the class."""
+    p, q = t.numerator, t.denominator
+    differ = 2 * high * (q - p) // (q + p)
+    return differ, np.maximum(differ + 1, -(-high * 8 * (q - p) // (5 * (q + p))) + differ + differ // 6)
+
+
+def most_keys(n: np.ndarray, t: Fraction) -> np.ndarray:
+    """The most keys that sets of these sizes can give, by class: every part with two shingles, and the prefix."""
+    n = n[n > 0]
+    if not len(n):
+        return np.zeros(0, np.int64)
+    p, q = t.numerator, t.denominator
+    high = size_classes(int(n.max()) * q // p + 1)
+    first, last = np.searchsorted(high, n), np.searchsorted(high, n * q // p)
+    cls = ranges(first, last - first + 1)
+    n = np.repeat(n, last - first + 1)
+    return np.bincount(cls, weights=np.minimum(_parts(high, t)[1][cls], n // 2) + n - -(-n * p // q) + 1, minlength=len(high)).astype(np.int64)
+
+
+def lane_splits(most: np.ndarray, lanes: int, t: Fraction, lane_keys: int = LANE_KEYS) -> np.ndarray:
+    """Groups into which each lane of a class is dealt by key, so that none holds more than about lane_keys keys."""
+    if not len(most):
+        return np.ones(1, np.int64)
+    high = [4]
+    while len(high) < len(most):
+        high.append(max(high[-1] + 1, high[-1] * 5 // 4))
+    parts = _parts(np.array(high), t)[1]
+    fullest = -(-most * -(-parts // lanes) // parts)
+    return np.maximum(1, -(-fullest // lane_keys))
+
+
+def block_keys(h: np.ndarray, offs: np.ndarray, common: np.ndarray, t: Fraction = THRESHOLD, lanes: int = 6, splits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(keys, document and lane of each key). Equal keys share a lane, and near copies share few lanes, so that an edge
-    between them is found a few times and not once for each key. common: hashes, sorted, that the keys leave out where they can; any will do."""
+    between them is found a few times and not once for each key. common: hashes, sorted, that the keys leave out where they can; any will do.
+    splits: by class, the groups that each of its lanes is dealt into by key."""
     n = np.diff(offs)
     if not len(h):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     p, q = t.numerator, t.denominator
     high = size_classes(int(n.max()) * q // p + 1)
-    differ = 2 * high * (q - p) // (q + p)
-    parts = np.maximum(differ + 1, -(-high * 8 * (q - p) // (5 * (q + p))) + differ + differ // 6)
+    differ, parts = _parts(high, t)
     known = np.zeros(len(h), bool)
     if len(common):
         known = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
@@ -130,7 +164,14 @@ def block_keys(h: np.ndarray, offs: np.ndarray, common: np.ndarray, t: Fraction
         with np.errstate(over="ignore"):
             out_keys.append(mix(x * _ODD[3] + np.repeat(cls, prefix).astype(np.uint64)))
         out_docs.append(np.repeat(doc, prefix))
-    return np.concatenate(out_keys), np.concatenate(out_docs), np.concatenate(out_lanes)
+    keys, lane = np.concatenate(out_keys), np.concatenate(out_lanes)
+    if splits is not None:
+        split = np.ones(max(len(high), len(splits)), np.int64)
+        split[: len(splits)] = splits
+        own = split[lane // lanes]
+        base = (np.cumsum(split) - split)[lane // lanes] * lanes
+        lane = base + lane % lanes * own + (keys % own.astype(np.uint64)).astype(np.int64)
+    return keys, np.concatenate(out_docs), lane
 
 
 def _first_of_key(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,6 +187,7 @@ def _first_of_key(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 _KEYS = "bucket int, kind int, ids binary, places binary, low binary, high binary"
+_COUNTS = "kind int, h long, n long"
 _FOUND = "kind int, a long, b long, n long, f long, g long"
 
 
@@ -155,8 +197,8 @@ def _batch(columns: list, names: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, parts, strict=True)], names=[x for x, _ in parts])
 
 
-def _frequent_here(words: int):
-    """Task: documents in; shingles of AGAIN different sets of a run of documents out."""
+def _frequent_here(words: int, t: Fraction):
+    """Task: documents in; shingles of AGAIN different sets of a run of documents out, and the most keys of each class (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,19 +208,23 @@ def _frequent_here(words: int):
                 once = np.zeros(len(offs) - 1, bool)
                 once[np.unique(_sums(mix(h), doc, len(offs) - 1), return_index=True)[1]] = True
                 x, n = np.unique(h[once[doc]], return_counts=True)
-                yield _batch([x[n >= AGAIN].view(np.int64), n[n >= AGAIN]], "h long, n long")
+                yield _batch([np.zeros(int((n >= AGAIN).sum()), np.int32), x[n >= AGAIN].view(np.int64), n[n >= AGAIN]], _COUNTS)
+                most = most_keys(np.diff(offs), t)
+                yield _batch([np.ones(len(most), np.int32), np.arange(len(most)), most], _COUNTS)
 
     return run
 
 
-def common_shingles(docs: DataFrame, words: int = WORDS) -> np.ndarray:
-    """Hashes of at most COMMON frequent shingles, sorted. They make the keys more selective; the result is exact with any."""
-    counts = docs.select("text").mapInArrow(_frequent_here(words), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = counts.filter(F.col("n") >= 3 * AGAIN).orderBy(F.desc("n"), "h").limit(COMMON).select("h").toPandas()["h"]
-    return np.sort(top.to_numpy(np.int64).view(np.uint64))
+def common_shingles(docs: DataFrame, words: int = WORDS, t: Fraction = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of at most COMMON frequent shingles, sorted, and the most keys of each class. The shingles make the keys more
+    selective; the result is exact with any."""
+    counts = docs.select("text").mapInArrow(_frequent_here(words, t), _COUNTS).groupBy("kind", "h").agg(F.sum("n").alias("n"))
+    top = counts.filter((F.col("kind") == 1) | (F.col("n") >= 3 * AGAIN)).orderBy(F.desc("kind"), F.desc("n"), "h").limit(COMMON).toPandas()
+    classes = top[top["kind"] == 1].sort_values("h")
+    return np.sort(top[top["kind"] == 0]["h"].to_numpy(np.int64).view(np.uint64)), classes["n"].to_numpy(np.int64)
 
 
-def _write_keys(buckets: int, words: int, t: Fraction, common):
+def _write_keys(buckets: int, words: int, t: Fraction, common, lanes: int, splits: np.ndarray):
     """Task: documents in, their sizes and set hashes and their keys by bucket out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +236,7 @@ def _write_keys(buckets: int, words: int, t: Fraction, common):
                 doc = np.repeat(np.arange(len(n)), n)
                 whole = [_sums(mix(h ^ odd), doc, len(n)) for odd in _ODD[:2]]
                 rows = [[int(ids[0] % buckets), 0, ids.tobytes(), n.astype(np.int64).tobytes(), whole[0].tobytes(), whole[1].tobytes()]]
-                keys, owner, lane = block_keys(h, offs, common.value, t, max(6, buckets // 40))
+                keys, owner, lane = block_keys(h, offs, common.value, t, lanes, splits)
                 local, a, z = _first_of_key(keys, ids[owner])
                 if len(a):
                     rows.append([int(ids[0] % buckets), 1, a.tobytes(), z.tobytes(), b"", b""])
@@ -350,14 +396,16 @@ def _join_texts(docs: DataFrame, members: DataFrame, n: int, words: int, t: Frac
     return stored(laid.mapInArrow(_grow_trees(words, t), "a long, b long"), "links")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, chunk: int = CHUNK) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, chunk: int = CHUNK, lane_keys: int = LANE_KEYS) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
     spark = tune(docs.sparkSession)
     id_type = dict(docs.dtypes)["doc_id"]
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text")
     buckets = partitions(spark)
-    common = spark.sparkContext.broadcast(common_shingles(docs, words))
-    keys = docs.mapInArrow(_write_keys(buckets, words, threshold, common), _KEYS)
+    lanes = max(6, buckets // 40)
+    frequent, most = common_shingles(docs, words, threshold)
+    common = spark.sparkContext.broadcast(frequent)
+    keys = docs.mapInArrow(_write_keys(buckets, words, threshold, common, lanes, lane_splits(most, lanes, threshold, lane_keys)), _KEYS)
     found = stored(keys.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_read_keys, _FOUND), "blocks")
     rows = found.filter("kind = 0").select(F.col("a").alias("doc_id"), "n", "f", "g")
     sets = rows.filter("n > 0").groupBy("n", "f", "g").agg(F.min("doc_id").alias("set_id"))
