@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, fmindex, jaccard, linededup, lm, quality, sharding, suffixes, tokenfiles
+from tidemark.llm import bpe, decontaminate, fmindex, jaccard, linededup, lm, quality, repeats, sharding, suffixes, tokenfiles
 
 P = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string"
@@ -136,6 +136,24 @@ def test_suffix_array_dedup(docs, rows, shard, crowded):
     assert got == brute_removal(rows, 100, lambda t: list(t.encode()), bytes)
 
 
+def test_minimisers_with_many_segments_go_by_windows(docs, rows):
+    posts = []
+    for k in range(5):  # 30 different segments of minimiser 7 in each batch, none of them crowded; 2 of minimiser 8 in all
+        v, h = np.full(30, 7, np.uint64), np.arange(100 + 30 * k, 130 + 30 * k).astype(np.uint64)
+        if k < 2:
+            v, h = np.append(v, np.uint64(8)), np.append(h, np.uint64(k))
+        at = np.arange(len(v))
+        posts.append(repeats._post(0, 1, v, h, at + 1000 * k, at, np.ones(len(v), np.int64)))
+    batch = repeats._batch([*zip(*posts, strict=True)], repeats._POST)
+    kinds = collections.Counter((kind, key) for b in repeats._match_posts(100)([batch]) for kind, key in zip(b.column("kind").to_pylist(), b.column("key").to_pylist(), strict=True))
+    assert kinds == {(2, 7): 150, (1, 8): 2}
+    want = [x[:3] + x[4:] for x in brute_removal(rows, 20, lambda t: t.encode().split(), b" ".join)]
+    got = sorted((none_first(r.doc_id), r.n_words, r.n_removed, bytes(r.kept)) for r in fmindex.dedup_substrings(docs, together=3).collect())
+    assert got == want
+    got = sorted((none_first(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.dedup_bytes(docs, together=3).collect())
+    assert got == brute_removal(rows, 100, lambda t: list(t.encode()), bytes)
+
+
 def test_longest_previous_factor():
     text = np.frombuffer(b"abracadabra abracadabra cad", np.uint8)
     at = np.arange(len(text))

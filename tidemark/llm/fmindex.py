@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .arrays import prefix_hash, range_hash
-from .repeats import CROWDED, Units, remove_repeats, word_units
+from .repeats import CROWDED, TOGETHER, Units, remove_repeats, word_units
 
 WORDS, GRAM = 20, 6
 SHARD_BYTES = 4 << 20
@@ -113,6 +113,6 @@ def finish(u: Units, mask: np.ndarray, d: int) -> tuple[int, int, bytes]:
     return b - a, int(gone.sum()), kept
 
 
-def dedup_substrings(docs: DataFrame, shard_bytes: int = SHARD_BYTES, crowded: int = CROWDED) -> DataFrame:
+def dedup_substrings(docs: DataFrame, shard_bytes: int = SHARD_BYTES, crowded: int = CROWDED, together: int = TOGETHER) -> DataFrame:
     """doc_id, n_words, n_removed, kept (words that stay, joined by one space, as UTF-8)."""
-    return remove_repeats(docs, word_units, early_windows, WORDS, GRAM, shard_bytes, finish, "n_words long, n_removed long, kept binary", crowded)
+    return remove_repeats(docs, word_units, early_windows, WORDS, GRAM, shard_bytes, finish, "n_words long, n_removed long, kept binary", crowded, together)

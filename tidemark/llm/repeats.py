@@ -8,7 +8,9 @@ same minimiser are a segment. Equal windows have equal minimisers, so they meet
 2. Where a minimiser has several different segments, the first of each is read again, dealt by minimiser, and put into
    shards of bounded size. A shard's index (an FM-index or longest-previous-factor arrays) tells which windows start earlier.
 3. A minimiser that is crowded in some batch (many different segments, as at the edges of a very common passage) is
-   dealt by single windows instead, of which a batch sends only the first. So no key weighs more than batches times CROWDED.
+   dealt by single windows instead, of which a batch sends only the first. So are the segments of a minimiser that has more than
+   TOGETHER different ones in all batches: a shard holds its bytes and TOGETHER segments at most,
+   or one window from each batch. The posts of a bucket are still held together in one task.
 
 Positions are ordered by (doc_id, start). Rows that share a doc_id are versions of one document: what is found in one
 is removed from all of them at that place, and places that coincide never count as earlier. Null doc_ids come first.
@@ -28,6 +30,8 @@ from .arrays import SPACE, covered, prefix_hash, prefix_sums, range_hash, ranges
 from .common import partitions, stored, tune
 
 CROWDED = 40
+#: Different segments that one minimiser puts into an index shard at most; a segment is shorter than two windows.
+TOGETHER = 8000
 #: Bytes of text that a task looks at together.
 SLICE = 3 << 19
 NULL_ID = -(2**63)
@@ -165,42 +169,46 @@ def _found(kind: int, v, ids, start, windows) -> pa.RecordBatch:
     return _batch([np.full(len(v), kind, np.int32), v.view(np.int64), ids, start.astype(np.int32), windows.astype(np.int32)], _FOUND)
 
 
-def _match_posts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _match_posts(together: int):
     """Task: posts in order of bucket; windows found and segments to read out."""
-    bucket, plain, crowded, told = None, [], [], []
 
-    def close() -> Iterator[pa.RecordBatch]:
-        for posts, kind in ((plain, 1), (crowded, 2)):
-            if posts:
-                v, h, ids, start, windows = (np.concatenate(x) for x in zip(*posts, strict=True))
-                head, _, later = _later((v, h), ids, start)
-                if len(later):
-                    yield _found(0, v[later], ids[later], start[later], windows[later])
-                x = v[head]
-                edge = np.concatenate([[0], np.flatnonzero(x[1:] != x[:-1]) + 1])
-                size = np.diff(np.append(edge, len(x)))
-                size = np.repeat(size, size)
-                hot = np.isin(x, np.concatenate(told)) if told else np.zeros(len(x), bool)
-                if kind == 2:
-                    hot[:] = True
-                for mask, out in (((size > 1) & ~hot, 1), (hot, 2)):
-                    at = head[mask]
-                    if len(at):
-                        yield _found(out, v[at], ids[at], start[at], windows[at])
-
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[0] != bucket:
-                yield from close()
-                bucket, plain, crowded, told = row[0], [], [], []
-            if row[1] == 0:
-                v, _, ids, start, windows = _read_post(row)
-                yield _found(0, v, ids, start, windows)
-            elif row[1] == 3:
-                told.append(np.frombuffer(row[2], np.uint64))
-            else:
-                (plain if row[1] == 1 else crowded).append(_read_post(row))
-    yield from close()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, plain, crowded, told = None, [], [], []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            for posts, kind in ((plain, 1), (crowded, 2)):
+                if posts:
+                    v, h, ids, start, windows = (np.concatenate(x) for x in zip(*posts, strict=True))
+                    head, _, later = _later((v, h), ids, start)
+                    if len(later):
+                        yield _found(0, v[later], ids[later], start[later], windows[later])
+                    x = v[head]
+                    edge = np.concatenate([[0], np.flatnonzero(x[1:] != x[:-1]) + 1])
+                    size = np.diff(np.append(edge, len(x)))
+                    size = np.repeat(size, size)
+                    hot = (size > together) | np.isin(x, np.concatenate(told) if told else x[:0])
+                    if kind == 2:
+                        hot[:] = True
+                    for mask, out in (((size > 1) & ~hot, 1), (hot, 2)):
+                        at = head[mask]
+                        if len(at):
+                            yield _found(out, v[at], ids[at], start[at], windows[at])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[0] != bucket:
+                    yield from close()
+                    bucket, plain, crowded, told = row[0], [], [], []
+                if row[1] == 0:
+                    v, _, ids, start, windows = _read_post(row)
+                    yield _found(0, v, ids, start, windows)
+                elif row[1] == 3:
+                    told.append(np.frombuffer(row[2], np.uint64))
+                else:
+                    (plain if row[1] == 1 else crowded).append(_read_post(row))
+        yield from close()
+
+    return run
 
 
 def _read_segments(make: Callable, length: int):
@@ -283,12 +291,12 @@ def _index_shards(index: Callable, length: int, shard_bytes: int):
     return run
 
 
-def repeated_windows(docs: DataFrame, make: Callable, index: Callable, length: int, gram: int, shard_bytes: int, crowded: int = CROWDED) -> DataFrame:
+def repeated_windows(docs: DataFrame, make: Callable, index: Callable, length: int, gram: int, shard_bytes: int, crowded: int = CROWDED, together: int = TOGETHER) -> DataFrame:
     """(doc_id, start, windows): runs of windows that also start earlier. docs: doc_id (long, no nulls), text."""
     spark = tune(docs.sparkSession)
     buckets = partitions(spark)
     posts = docs.mapInArrow(_write_posts(make, length, gram, buckets, crowded), _POST)
-    found = stored(posts.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_match_posts, _FOUND), "segments")
+    found = stored(posts.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_match_posts(together), _FOUND), "segments")
     want = found.filter("kind > 0").groupBy("doc_id").agg(F.collect_list(F.struct("kind", "key", "start", "windows")).alias("want"))
     read = docs.join(want, "doc_id").select("doc_id", "text", "want").mapInArrow(_read_segments(make, length), _SEGMENT)
     laid = read.repartition(buckets, "key").sortWithinPartitions("key")
@@ -296,11 +304,11 @@ def repeated_windows(docs: DataFrame, make: Callable, index: Callable, length: i
     return found.filter("kind = 0").select("doc_id", "start", "windows").unionByName(early)
 
 
-def remove_repeats(docs: DataFrame, make: Callable, index: Callable, length: int, gram: int, shard_bytes: int, finish: Callable, schema: str, crowded: int = CROWDED) -> DataFrame:
+def remove_repeats(docs: DataFrame, make: Callable, index: Callable, length: int, gram: int, shard_bytes: int, finish: Callable, schema: str, crowded: int = CROWDED, together: int = TOGETHER) -> DataFrame:
     """One row per row of docs: what finish(units, removed mask, document) makes of it, under `schema` after doc_id."""
     kind = dict(docs.dtypes)["doc_id"]
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text")
-    gone = repeated_windows(docs, make, index, length, gram, shard_bytes, crowded)
+    gone = repeated_windows(docs, make, index, length, gram, shard_bytes, crowded, together)
     by_doc = gone.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("gone"))
     whole = f"doc_id long, {schema}"
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .repeats import CROWDED, Units, byte_units, remove_repeats
+from .repeats import CROWDED, TOGETHER, Units, byte_units, remove_repeats
 
 BYTES, GRAM = 100, 32
 SHARD_BYTES = 3 << 18
@@ -107,6 +107,6 @@ def finish(u: Units, mask: np.ndarray, d: int) -> tuple[int, int, int, bytes]:
     return b - a, int(gone.sum()), runs, (u.data[a:b][~gone] if runs else u.data[a:b]).tobytes()
 
 
-def dedup_bytes(docs: DataFrame, shard_bytes: int = SHARD_BYTES, crowded: int = CROWDED) -> DataFrame:
+def dedup_bytes(docs: DataFrame, shard_bytes: int = SHARD_BYTES, crowded: int = CROWDED, together: int = TOGETHER) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay; a cut may fall inside a character)."""
-    return remove_repeats(docs, byte_units, early_windows, BYTES, GRAM, shard_bytes, finish, "n_bytes long, n_removed long, n_spans long, kept binary", crowded)
+    return remove_repeats(docs, byte_units, early_windows, BYTES, GRAM, shard_bytes, finish, "n_bytes long, n_removed long, n_spans long, kept binary", crowded, together)
