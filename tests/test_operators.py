@@ -4,6 +4,7 @@ import datetime
 import os
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +66,21 @@ def test_centroid_has_unit_length(spark):
     assert vectors.centroids(members.limit(0), emb).count() == 0
 
 
+def test_approximate_nearest_finds_nine_of_ten_at_the_threshold(spark):
+    rng = np.random.default_rng(6)
+    n, size = 300, 32
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    a, noise = unit(rng.standard_normal((n, size))), rng.standard_normal((n, size))
+    b = 0.71 * a + (1 - 0.71**2) ** 0.5 * unit(noise - (noise * a).sum(axis=1, keepdims=True) * a)
+    rows = [(i, v.tolist()) for i, v in enumerate([*a, *b])]
+    emb = spark.createDataFrame(rows, "content_id long, embedding array<double>")
+    items = spark.range(2 * n).select("id", (F.col("id") >= n).alias("processed"), F.lit(datetime.datetime(2024, 1, 30)).cast("timestamp_ntz").alias("published_at"))
+    exact = {(r.id, r.match) for r in vectors.nearest_processed(items, emb, "2024-01-31 00:00:00").collect()}
+    found = {(r.id, r.match) for r in vectors.nearest_approximate(items, emb, "2024-01-31 00:00:00", size).collect()}
+    assert len(exact) >= n
+    assert len(exact & found) / len(exact) >= 0.9
+
+
 def test_merge_keeps_most_confident(spark):
     df = spark.createDataFrame([("A", 1, 0.7), ("a", 2, 0.9), ("a", 3, 0.5)], "name string, frequency int, confidence double")
     assert [r.confidence for r in topics.merge_suggestions(df).collect()] == [0.9]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,8 +60,21 @@ def nearest_processed(items: DataFrame, embeddings: DataFrame, as_of: str, thres
     return pairs.groupBy("id").agg(F.max(F.struct("score", (-F.col("match")).alias("m"))).alias("r")).select("id", (-F.col("r.m")).alias("match"), F.col("r.score").alias("score"))
 
 
-def nearest_approximate(items: DataFrame, embeddings: DataFrame, as_of: str, dimensions: int, threshold: float = 0.85, days: int = 7, tables: int = 8, bits: int = 10) -> DataFrame:
-    """The same over sign buckets: pairs that share a bucket in some table, then scored exactly."""
+def tables_and_bits(threshold: float, recall: float, most: int = 24) -> tuple[int, int]:
+    """The most bits (10 at most) with which up to `most` tables give a pair at the threshold a common bucket with probability `recall`, and the tables."""
+    same = 1 - math.acos(max(-1.0, min(1.0, 2 * threshold - 1))) / math.pi  # a plane leaves such a pair on one side
+    if same >= 1:
+        return 1, 10
+    for bits in range(10, 0, -1):
+        tables = math.ceil(math.log(1 - recall) / math.log(1 - same**bits)) if same > 0 else most
+        if tables <= most or bits == 1:
+            return tables, bits
+
+
+def nearest_approximate(items: DataFrame, embeddings: DataFrame, as_of: str, dimensions: int, threshold: float = 0.85, days: int = 7, recall: float = 0.96) -> DataFrame:
+    """The same over sign buckets: pairs that share a bucket in some table, then scored exactly. Pairs at the threshold are
+    met with probability `recall`, nearer ones with more."""
+    tables, bits = tables_and_bits(threshold, recall)
     vec = embeddings.join(items.select(F.col("id").alias("content_id"), "processed", "published_at"), "content_id").withColumn("keys", sign_buckets(F.col("embedding"), dimensions, tables, bits))
     q = vec.select(F.col("content_id").alias("id"), F.explode("keys").alias("k"))
     c = vec.filter(F.col("processed") & (F.col("published_at") >= ago(as_of, days))).select(F.col("content_id").alias("match"), F.explode("keys").alias("k"))
