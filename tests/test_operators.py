@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import events, store, topics, vectors
+from tidemark.operators import events, search, store, topics, vectors
 from tidemark.plans.queries import ORACLE, queries
 from tidemark.plans.views import Tables
 from tidemark.sources import feeds
@@ -81,6 +81,21 @@ def test_approximate_nearest_finds_nine_of_ten_at_the_threshold(spark):
     assert len(exact & found) / len(exact) >= 0.9
 
 
+def test_search_finds_phrases(spark):
+    rows = [(1, "Big red apple", "a b a b c"), (2, "red big apple", "b a, c"), (3, "apple", "red; APPLE red"), (4, "Red", "apple pie")]
+    items = spark.createDataFrame(rows, "id long, title string, content string").withColumns({"importance_score": F.lit(5), "published_at": F.lit(None).cast("timestamp_ntz")})
+    index = search.build_index(items, ("title", "content"))
+    find = lambda q: [r.id for r in search.search(index, items, q).collect()]
+    assert find('"red apple"') == [1, 3]
+    assert find('title:"red apple"') == [1]
+    assert find('"a b c"') == [1]
+    assert find('"a b a"') == [1]
+    assert find('apple NOT "red apple"') == [2, 4]
+    assert find('"apple pie" OR "big red" apple') == [1, 4]
+    assert find('pie OR "red big"') == [2, 4]
+    assert find("apple") == [1, 2, 3, 4]
+
+
 def test_merge_keeps_most_confident(spark):
     df = spark.createDataFrame([("A", 1, 0.7), ("a", 2, 0.9), ("a", 3, 0.5)], "name string, frequency int, confidence double")
     assert [r.confidence for r in topics.merge_suggestions(df).collect()] == [0.9]

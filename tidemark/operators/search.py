@@ -1,7 +1,9 @@
-"""Full-text search over an inverted index that is a DataFrame (term, field, id, tf)."""
+"""Full-text search over an inverted index that is a DataFrame (term, field, id, tf, positions)."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,15 +13,26 @@ TERM = r"([\p{L}\p{N}]+)"
 
 def build_index(items: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     parts = F.array(*(F.struct(F.lit(f).alias("field"), F.regexp_extract_all(F.lower(F.coalesce(f, F.lit(""))), F.lit(TERM), F.lit(1)).alias("terms")) for f in fields))
-    rows = items.select("id", F.explode(parts).alias("p")).select("id", "p.field", F.explode("p.terms").alias("term"))
-    return rows.groupBy("term", "field", "id").agg(F.count(F.lit(1)).alias("tf"))
+    rows = items.select("id", F.explode(parts).alias("p")).select("id", "p.field", F.posexplode("p.terms").alias("pos", "term"))
+    return rows.groupBy("term", "field", "id").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+
+
+def phrase_ids(index: DataFrame, terms: list[str], field: str | None = None) -> DataFrame:
+    """Ids of items in which the terms follow each other in one field: positions less the terms' places meet in one start."""
+    rows = index.filter(F.col("term").isin(*set(terms)))
+    if field:
+        rows = rows.filter(F.col("field") == field)
+    starts = lambda k: F.transform("positions", lambda p: F.struct((p - k).alias("start"), F.lit(k).alias("place")))
+    shifted = [F.when(F.col("term") == t, starts(k)) for k, t in enumerate(terms)]
+    at = rows.select("id", "field", F.explode(F.flatten(F.array_compact(F.array(*shifted)))).alias("at")).select("id", "field", "at.*")
+    return at.groupBy("id", "field", "start").agg(F.countDistinct("place").alias("n")).filter(F.col("n") == len(terms)).select("id").distinct()
 
 
 def search(index: DataFrame, items: DataFrame, query: str, category: str | None = None, min_importance: int | None = None, limit: int | None = 50) -> DataFrame:
     """Items with all terms of the query. `a OR b` needs one of both, `NOT a` none, `abc*` a term that starts so, `field:a`
-    a term of that field. Ordered by importance and date."""
+    a term of that field, `"a b"` the terms one after another in one field. Ordered by importance and date."""
     groups: list[tuple[bool, list[str]]] = []
-    words, negate, either = query.split(), False, False
+    words, negate, either = re.findall(r'(?:\w+:)?"[^"]*"|\S+', query), False, False
     for w in words:
         if w == "NOT":
             negate = True
@@ -32,7 +45,17 @@ def search(index: DataFrame, items: DataFrame, query: str, category: str | None
                 groups.append((negate, [w]))
             negate = either = False
 
+    def phrase(w: str) -> tuple[list[str], str] | None:
+        field, quote, text = w.partition('"')
+        return (re.findall(r"[^\W_]+", text.lower()), field.rstrip(":")) if quote and text.endswith('"') else None
+
+    def ids_of(ws: list[str]) -> list[DataFrame]:
+        """Ids of the phrases among ws; other words are matched on the index's rows."""
+        return [phrase_ids(index, *p) for p in map(phrase, ws) if p and p[0]]
+
     def match(w: str):
+        if phrase(w):
+            return F.lit(False)
         field, _, term = w.rpartition(":")
         term = term.lower()
         hit = F.col("term").startswith(term[:-1]) if term.endswith("*") else F.col("term") == term
@@ -49,9 +72,15 @@ def search(index: DataFrame, items: DataFrame, query: str, category: str | None
     if wanted:
         tags = F.array_compact(F.array(*(F.when(any_of(ws), k) for k, ws in enumerate(wanted))))
         hits = index.filter(any_of([w for ws in wanted for w in ws])).select("id", F.explode(tags).alias("g"))
+        for k, ws in enumerate(wanted):
+            for found in ids_of(ws):
+                hits = hits.unionByName(found.withColumn("g", F.lit(k)))
         out = out.join(hits.groupBy("id").agg(F.countDistinct("g").alias("_n")).filter(F.col("_n") == len(wanted)).select("id"), "id", "left_semi")
     for ws in (ws for no, ws in groups if no):
-        out = out.join(index.filter(any_of(ws)).select("id").distinct(), "id", "left_anti")
+        gone = index.filter(any_of(ws)).select("id")
+        for found in ids_of(ws):
+            gone = gone.unionByName(found)
+        out = out.join(gone.distinct(), "id", "left_anti")
     if category is not None:
         out = out.filter(F.col("category") == category)
     if min_importance is not None:
