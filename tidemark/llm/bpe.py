@@ -1,15 +1,19 @@
 """Byte-level BPE by recursive DuckDB queries inside Spark tasks.
 
-A text is cut by the tokenizer's pattern. Each task keeps the pieces that it hasn't met yet as token-position rows (one for
-each byte) that know their next token; the recursive query joins them to the merge table, contracts each piece's leftmost
+A text is cut by the tokenizer's pattern into pieces. A task puts the pieces that it hasn't met yet into token-position rows (one
+for each byte) that know their next token; the recursive query joins them to the merge table, contracts each piece's leftmost
 pair of minimum rank, and repeats on the pieces that still have a pair. Ordered aggregation over token positions gives the
-ids, and over the tokens' bytes the decoded text. Pieces and their ids are kept in a bounded dictionary from one Arrow batch
-to the next, so a piece costs a query once and not once for each place where it stands. Nothing is shuffled.
+ids. Chunks (white space and what follows up to the next) and pieces stay with their ids in bounded dictionaries (`wordbook`),
+so a piece costs a query once and not once for each place where it stands. Nothing is shuffled.
 
-Pieces of more than LONG bytes contract by a heap with the same rule: a recursive query would hold their rows once for
-each contraction, which grows with the square of the length.
+Decoding starts from ids alone: an id sequence is cut before the ids whose bytes begin with white space, the distinct runs
+join the vocabulary, ordered aggregation over their positions gives their bytes, and a row's bytes are those of its runs in turn.
 
-Null and empty texts have no tokens. Repeated rows give repeated results. An empty table gives no rows.
+Pieces of more than LONG bytes contract by a heap with the same rule: a recursive query holds all rounds' rows, about n * n / 2 for
+a piece of n bytes (half a million at LONG, 5 * 10^9 for 100 KB).
+
+Null and empty texts have no tokens. Repeated rows give repeated results. An empty table gives no rows. Ids that the vocabulary
+lacks raise an error.
 """
 
 from __future__ import annotations
@@ -17,7 +21,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,14 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .arrays import SPACE, mix, prefix_hash, prefix_sums, range_hash, ranges, slices, text_parts
 from .common import tune, without
+from .wordbook import Book, distinct_spans, ids_of_spans
 
-LONG = 200
-#: Pieces in each of the two generations of a worker's dictionary.
-DICTIONARY = 500_000
-QUERY_WORDS = 40_000
-#: Code points with the White_Space property: places where the pattern can't look back are just before runs of them.
-BLANK = "\t-\r \x85\xa0  -     　"
+LONG = 1000
+#: Rows that one recursive query may make, and what DuckDB may hold in a worker.
+QUERY_ROWS, QUERY_MEMORY = 1_500_000, "160MB"
+#: Bytes of text that a worker looks at together.
+SLICE = 4 << 20
 EXTRA = T.StructType().add("n_tokens", "long").add("ids", "binary").add("decoded", "binary")
 
 ENCODE = """
@@ -59,7 +63,7 @@ FROM step JOIN (SELECT key >> 12 AS word, max(round) AS round FROM step GROUP BY
   ON last.word = step.key >> 12 AND last.round = step.round
 GROUP BY word ORDER BY word
 """
-DECODE = "SELECT word, string_agg(chars, '' ORDER BY pos) AS chars FROM id_rows JOIN vocabulary USING (id) GROUP BY word ORDER BY word"
+DECODE = "SELECT string_agg(chars, '' ORDER BY pos) FROM id_rows JOIN vocabulary USING (id)"
 NO_TOKEN = (1 << 20) - 1
 
 
@@ -68,8 +72,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def merge_table(ranks: dict[bytes, int]) -> pa.Table:
-    """(pair, rank) of every way to make a token of two tokens."""
+def merge_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Pair and rank of every way to make a token of two tokens."""
     pairs, made = [], []
     for token, rank in ranks.items():
         for i in range(1, len(token)):
@@ -77,34 +81,60 @@ def merge_table(ranks: dict[bytes, int]) -> pa.Table:
             if a is not None and b is not None:
                 pairs.append(a << 20 | b)
                 made.append(rank)
-    return pa.table({"pair": pa.array(pairs, pa.int64()), "rank": pa.array(made, pa.int64())})
+    return np.array(pairs, np.int64), np.array(made, np.int64)
+
+
+def chunk_starts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Where chunks begin: at documents' first bytes and just before white space, where the pattern can't look back. Not inside
+    a run that holds white space beyond ASCII (whose last bytes follow 0xC2, 0x9A, 0x80 or 0x81)."""
+    if not len(data):
+        return np.zeros(0, np.int64)
+    blank = SPACE[data]
+    first = blank.copy()
+    first[1:] &= ~blank[:-1]
+    at = np.flatnonzero(first)
+    p, q = data[np.maximum(at - 1, 0)], data[np.maximum(at - 2, 0)]
+    first[at[(p >= 0x80) & ((q == 0xC2) | (q == 0x9A) | (q == 0x80) | (q == 0x81))]] = False
+    first[offs[:-1][np.diff(offs) > 0]] = True
+    return np.flatnonzero(first)
 
 
 class Codec:
-    """What one Python worker keeps: a DuckDB connection with the merge table, and the pieces met so far."""
+    """What one Python worker keeps: a DuckDB connection with the merge table, and the chunks and pieces met so far."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], merges: tuple[np.ndarray, np.ndarray], pattern: str):
         import duckdb
         import regex
 
         self.ranks = ranks
         # the pattern's white space is the White_Space property; this library's \\s is wider by a few control characters
         self.pattern = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}"))
-        self.chunks = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": QUERY_MEMORY, "temp_directory": ""})
         self.db.execute("SET preserve_insertion_order = false")
-        self.db.register("_m", merge_table(ranks))
-        self.db.execute("CREATE TABLE merges AS SELECT * FROM _m")
-        self.db.unregister("_m")
-        self.db.register("_v", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "chars": [t.decode("latin-1") for t in ranks]}))
-        self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM _v")
-        self.db.unregister("_v")
+        vocabulary = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "chars": [t.decode("latin-1") for t in ranks]})
+        for name, table in (("merges", pa.table({"pair": merges[0], "rank": merges[1]})), ("vocabulary", vocabulary)):
+            self.db.register("_t", table)
+            self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM _t")
+            self.db.unregister("_t")
+        top = max(ranks.values(), default=0) + 1
+        self.sizes, self.opens = np.zeros(top, np.int64), np.zeros(top, bool)
+        self.sizes[list(ranks.values())] = [len(t) for t in ranks]
+        self.opens[[r for t, r in ranks.items() if SPACE[t[0]]]] = True
         self.single = np.array([ranks.get(bytes([i]), NO_TOKEN) for i in range(256)], np.int64)
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.chunks, self.pieces = Book(), Book(32 << 20)
 
     def merge(self, words: list[bytes]) -> list[bytes]:
         """Ids of words of 1 to LONG bytes by the recursive query."""
+        out: list[bytes] = []
+        begin, rows = 0, 0
+        for k, w in enumerate(words):
+            rows += len(w) * len(w) // 2 + len(w)
+            if rows >= QUERY_ROWS or k + 1 == len(words):
+                out += self._merge(words[begin : k + 1])
+                begin, rows = k + 1, 0
+        return out
+
+    def _merge(self, words: list[bytes]) -> list[bytes]:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         tok = self.single[np.frombuffer(b"".join(words), np.uint8)]
         ends = np.cumsum(sizes)
@@ -144,106 +174,120 @@ class Codec:
                 offer(before[i])
         return np.array([self.ranks[p] for p in parts if p is not None], np.uint32).tobytes()
 
-    def decode(self, words: list[bytes]) -> list[bytes]:
-        """Bytes of id sequences by ordered aggregation; no sequence may be empty."""
-        sizes = np.fromiter(map(len, words), np.int64, len(words)) >> 2
-        ids = np.frombuffer(b"".join(words), np.uint32).astype(np.int32)
-        word = np.repeat(np.arange(len(words)), sizes)
-        self.db.register("id_rows", pa.table({"word": word, "pos": np.arange(len(ids)), "id": ids}))
-        out = [x.encode("latin-1") for x in self.db.sql(DECODE).to_arrow_table().column("chars").to_pylist()]
-        self.db.unregister("id_rows")
-        return out
-
-    def learn(self, chunks: list[str]) -> None:
-        """Put the chunks' ids into the dictionary, after they have been decoded to the chunks' own bytes."""
-        pieces = [self.pattern.findall(c) for c in chunks]
-        ids: dict[str, bytes] = {}
-        todo: dict[str, bytes] = {}
-        for p in {p for x in pieces for p in x}:
-            raw = p.encode()
-            if (r := self.ranks.get(raw)) is not None:
-                ids[p] = r.to_bytes(4, "little")
-            elif len(raw) > LONG:
-                ids[p] = self.merge_long(raw)
+    def learn_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, how many each has)."""
+        ids: list[bytes] = [b""] * len(pieces)
+        todo = []
+        for k, p in enumerate(pieces):
+            if (r := self.ranks.get(p)) is not None:
+                ids[k] = r.to_bytes(4, "little")
+            elif len(p) > LONG:
+                ids[k] = self.merge_long(p)
             else:
-                todo[p] = raw
-        names = list(todo)
-        for i in range(0, len(names), QUERY_WORDS):
-            part = names[i : i + QUERY_WORDS]
-            ids.update(zip(part, self.merge([todo[p] for p in part]), strict=True))
-        whole = [b"".join([ids[p] for p in x]) for x in pieces]
-        if self.decode(whole) != [c.encode() for c in chunks]:
-            raise ValueError("ids that don't decode to the text they were made from: the rank file lacks single bytes")
-        self.new.update(zip(chunks, whole, strict=True))
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
-        """(ids as little-endian uint32, decoded bytes) of each text.
-
-        A chunk's ids have been decoded when the dictionary took them, to the chunk itself; the decoded text is made of these.
-        """
-        cut = [self.chunks.findall(t) for t in texts]
-        wanted = set().union(*cut) if cut else set()
-        if len(self.new) > DICTIONARY:
-            self.old, self.new = self.new, {}
-        missing = []
-        for c in wanted:
-            if c not in self.new:
-                if got := self.old.get(c):
-                    self.new[c] = got
-                else:
-                    missing.append(c)
-        if missing:
-            self.learn(missing)
-        get = self.new.__getitem__
-        for chunks in cut:
-            yield b"".join([get(c) for c in chunks]), "".join(chunks).encode()
+                todo.append(k)
+        for k, x in zip(todo, self.merge([pieces[k] for k in todo]), strict=True):
+            ids[k] = x
+        return np.frombuffer(b"".join(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+
+    def learn_chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        cut = [self.pattern.findall(c.decode()) for c in chunks]
+        raw = [p.encode() for x in cut for p in x]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        end = np.cumsum(size)
+        ids, at, n, which = ids_of_spans(self.pieces, data, prefix_hash(data, False), end - size, end, self.learn_pieces)
+        own = n[which]
+        pieces = np.fromiter(map(len, cut), np.int64, len(cut))
+        return ids[ranges(at[which], own)], np.add.reduceat(own, np.cumsum(pieces) - pieces)
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's begin; one more than texts)."""
+        data, offs = text_parts(column)
+        start = chunk_starts(data, offs)
+        if not len(start):
+            return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
+        end = np.append(start[1:], len(data))
+        ids, at, n, which = ids_of_spans(self.chunks, data, prefix_hash(data, False), start, end, self.learn_chunks)
+        own = n[which]
+        total = np.append(0, np.cumsum(own))
+        return ids[ranges(at[which], own)], total[np.searchsorted(start, offs)]
+
+    def decode(self, ids: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of all id sequences, where each one's begin) by ordered aggregation."""
+        if not len(ids):
+            return np.zeros(0, np.uint8), np.zeros(len(offs), np.int64)
+        if int(ids.max()) >= len(self.sizes) or not self.sizes[ids].all():
+            raise ValueError("ids that the vocabulary lacks")
+        cut = self.opens[ids]
+        cut[offs[:-1][np.diff(offs) > 0]] = True
+        start = np.flatnonzero(cut)
+        end = np.append(start[1:], len(ids))
+        sums = prefix_sums(mix(ids.astype(np.uint64) + np.uint64(1)))
+        first, which = distinct_spans(ids.astype("<u4").view(np.uint8), start * 4, end * 4, range_hash(sums, start, end))
+        n = (end - start)[first]
+        wanted = ids[ranges(start[first], n)]
+        self.db.register("id_rows", pa.table({"pos": np.arange(len(wanted), dtype=np.int32), "id": wanted.astype(np.int32)}))
+        raw = self.db.sql(DECODE).fetchall()[0][0].encode("latin-1")
+        self.db.unregister("id_rows")
+        size = np.add.reduceat(self.sizes[wanted], np.cumsum(n) - n)
+        cuts = np.append(0, np.cumsum(size)).tolist()
+        runs = [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        total = np.append(0, np.cumsum(size[which]))
+        return np.frombuffer(b"".join(map(runs.__getitem__, which.tolist())), np.uint8), total[np.searchsorted(start, offs)]
 
 
 _CODECS: dict[str, Codec] = {}
 
 
-def codec(sent, name: str, pattern: str) -> Codec:
-    """The worker's codec for a broadcast rank table."""
+def codec(sent, name: str) -> Codec:
+    """The worker's codec for a broadcast rank table; a worker keeps one from task to task."""
     if name not in _CODECS:
         _CODECS.clear()
-        _CODECS[name] = Codec(sent.value, pattern)
+        _CODECS[name] = Codec(*sent.value)
     return _CODECS[name]
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, keep_text: bool = True) -> DataFrame:
-    """docs with n_tokens, ids (little-endian uint32) and decoded (bytes of the ids)."""
-    spark = tune(docs.sparkSession)
-    docs = without(docs, *EXTRA.names)
+def _send(docs: DataFrame, ranks_path: str, pattern: str):
     ranks = read_ranks(ranks_path)
     name = hashlib.sha256(repr((len(ranks), hash(frozenset(ranks.items())), pattern)).encode()).hexdigest()
-    sent = spark.sparkContext.broadcast(ranks)  # a fixed vocabulary file
+    return docs.sparkSession.sparkContext.broadcast((ranks, merge_table(ranks), pattern)), name  # a fixed vocabulary file
+
+
+def _binary(flat: np.ndarray, offs: np.ndarray) -> pa.Array:
+    raw, at = flat.tobytes(), (offs * flat.itemsize).tolist()
+    return pa.array([raw[a:b] for a, b in zip(at, at[1:], strict=False)], pa.binary())
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, keep_text: bool = True) -> DataFrame:
+    """docs with n_tokens, ids (little-endian uint32) and decoded (the bytes that these ids decode to)."""
+    tune(docs.sparkSession)
+    docs = without(docs, *EXTRA.names)
+    sent, name = _send(docs, ranks_path, pattern)
     stay = [c for c in docs.columns if keep_text or c != "text"]
     schema = T.StructType([*(f for f in docs.schema.fields if f.name in stay), *EXTRA.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(sent, name, pattern)
-        for b in batches:
-            got = [*own.encode([t or "" for t in b.column("text").to_pylist()])]
-            n = pa.array([len(x) // 4 for x, _ in got], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in stay), n, pa.array([x for x, _ in got], pa.binary()), pa.array([y for _, y in got], pa.binary())], names=schema.names)
+        own = codec(sent, name)
+        for batch in batches:
+            for b in slices(batch, most=SLICE):
+                ids, offs = own.encode(b.column("text"))
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in stay), pa.array(np.diff(offs)), _binary(ids, offs), _binary(*own.decode(ids, offs))], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
 def decode(tokens: DataFrame, ranks_path: str, pattern: str, column: str = "ids") -> DataFrame:
     """tokens with `decoded`: the bytes of each row's ids (little-endian uint32); null and empty give no bytes."""
-    spark = tune(tokens.sparkSession)
+    tune(tokens.sparkSession)
     tokens = without(tokens, "decoded")
-    ranks = read_ranks(ranks_path)
-    name = hashlib.sha256(repr((len(ranks), hash(frozenset(ranks.items())), pattern)).encode()).hexdigest()
-    sent = spark.sparkContext.broadcast(ranks)
+    sent, name = _send(tokens, ranks_path, pattern)
     schema = T.StructType([*tokens.schema.fields, *T.StructType().add("decoded", "binary").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(sent, name, pattern)
-        for b in batches:
-            rows = [x or b"" for x in b.column(column).to_pylist()]
-            full = iter(own.decode([x for x in rows if x]) if any(rows) else [])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([next(full) if x else b"" for x in rows], pa.binary())], names=schema.names)
+        own = codec(sent, name)
+        for batch in batches:
+            for b in slices(batch, column, SLICE):
+                data, offs = text_parts(b.column(column))
+                yield pa.RecordBatch.from_arrays([*b.columns, _binary(*own.decode(np.frombuffer(data.tobytes(), "<u4"), offs // 4))], names=schema.names)
 
     return tokens.mapInArrow(run, schema)
