@@ -228,28 +228,104 @@ def test_sharding(docs, rows):
         assert sorted(sharding.permute(np.arange(total), total, 3).tolist()) == [*range(total)]
 
 
-def test_token_files(docs, rows):
-    from tokenizers import Tokenizer
+def tokenizer_files(folder):
+    """The given tokenizer, the same without lower-casing, and one that keeps white space."""
+    import json
 
     path = P.path("word_bpe_49k.json")
-    t = Tokenizer.from_file(path)
-    start, want = 0, []
-    for i, x in sorted(rows, key=lambda r: (none_first(r[0]), r[1] or "")):
-        ids = t.encode(x or "", add_special_tokens=False).ids + [1]
-        want.append((none_first(i), start, len(ids), np.array(ids, "<u4").tobytes()))
-        start += len(ids)
-    got = sorted((none_first(r.doc_id), r.start, r.n_tokens, bytes(r.ids)) for r in tokenfiles.read_tokens(docs, tokenfiles.write_tokens(docs, path)).collect())
-    assert got == sorted(want)
+    with open(path, encoding="utf-8") as f:
+        cased = json.load(f)
+    cased["normalizer"]["normalizers"] = [x for x in cased["normalizer"]["normalizers"] if x["type"] != "Lowercase"]
+    (folder / "cased.json").write_text(json.dumps(cased), encoding="utf-8")
+    return [path, str(folder / "cased.json"), P.path("byte_bpe_50k.json")]
+
+
+def test_token_files(spark, docs, rows, tmp_path):
+    from tokenizers import Tokenizer
+
+    kinds = []
+    for path in tokenizer_files(tmp_path):
+        t = Tokenizer.from_file(path)
+        start, want = 0, []
+        for i, x in sorted(rows, key=lambda r: (none_first(r[0]), r[1] or "")):
+            ids = t.encode(x or "", add_special_tokens=False).ids + [1]
+            want.append((none_first(i), start, len(ids), np.array(ids, "<u4").tobytes()))
+            start += len(ids)
+        with open(path, encoding="utf-8") as f:
+            coder = tokenfiles.WordCoder(f.read())
+        kinds.append((coder.by_word, coder.lowers, coder.parts))
+        for tokens in (tokenfiles.SHARD_TOKENS, 700):
+            files = tokenfiles.write_tokens(docs, path, shard_tokens=tokens)
+            got = sorted((none_first(r.doc_id), r.start, r.n_tokens, bytes(r.ids)) for r in tokenfiles.read_tokens(docs, files).collect())
+            assert got == sorted(want)
+        assert spark.read.parquet(files).count() > 8
+    assert kinds == [(True, True, True), (True, False, False), (False, False, False)]
+
+
+def test_word_coder_equals_the_library():
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    with open(P.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        coder = tokenfiles.WordCoder(f.read())
+    pieces = ["Stone", "r\u00edo", "E\u0301t\u00e9", "it's", "IT'S.", ".", ",,", "a.b", "x,.", "<|endoftext|>", "<|EndOfText|>.", "\u6f22\u5b57\u3002", "9,5", "\u00a0", "\u2003", "\x1c", "\U0001f642.", "ab" * 300 + "."]
+    texts = [rng.choice(["", " ", "\n"]).join(rng.choice(pieces) + rng.choice(["", " ", "\t\r\n", "."]) for _ in range(40)) for _ in range(60)] + [None, "", " "]
+    ids, at, n, which, words = coder(pa.array(texts))
+    flat = np.concatenate([ids[at[w] : at[w] + n[w]] for w in which])
+    ends = np.cumsum(words)
+    sizes = [int(n[which[e - w : e]].sum()) for e, w in zip(ends, words, strict=True)]
+    want = [coder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert sizes == [len(x) for x in want]
+    assert flat.tolist() == [y for x in want for y in x]
+
+
+def as_words(documents):
+    """Documents of ids as write_shard takes them, each id a word."""
+    flat = np.concatenate(documents)
+    ids, which = np.unique(flat, return_inverse=True)
+    return ids.astype(np.uint32), np.arange(len(ids)), np.ones(len(ids), np.int64), which, np.array([len(x) for x in documents])
 
 
 def test_shard_gives_single_documents():
     rng = np.random.default_rng(2)
-    ids = [np.append(rng.integers(2, 9, n), 1) for n in (50, 0, 400, 7)]
-    shard = tokenfiles.write_shard(ids, 10)
-    assert tokenfiles.document_lengths(shard).tolist() == [len(x) for x in ids]
-    assert len(tokenfiles._unpack(shard["stream"])) < sum(map(len, ids))
+    ids = [rng.integers(2, 9, n) for n in (50, 0, 400, 7)] + [np.full(300, 5), np.zeros(0, np.int64)]
+    shard = tokenfiles.write_shard(*as_words(ids), 10)
+    assert tokenfiles.document_lengths(shard).tolist() == [len(x) + 1 for x in ids]
     for k, x in enumerate(ids):
-        assert tokenfiles.decode_document(shard, k).tolist() == x.tolist()
+        assert tokenfiles.decode_document(shard, k).tolist() == [*x.tolist(), 1]
+    stream, starts = tokenfiles._unpack(shard["stream"]), tokenfiles._unpack(shard["starts"]).tolist()
+    assert len(stream) < sum(map(len, ids)) / 2
+    pairs = collections.Counter()
+    for a, b in zip(starts, [*starts[1:], len(stream)], strict=True):
+        k = a
+        while k + 1 < b:  # places that overlap count once
+            pair = tuple(stream[k : k + 2].tolist())
+            pairs[pair] += 1
+            k += 2 if k + 2 < b and tuple(stream[k + 1 : k + 3].tolist()) == pair else 1
+    assert max(pairs.values()) < tokenfiles.LEAST
+
+
+def test_book_forgets_and_learns_again():
+    from tidemark.llm.arrays import prefix_hash
+    from tidemark.llm.wordbook import Book, distinct_spans, ids_of_spans
+
+    rng, book = np.random.default_rng(5), Book(4000)
+
+    def learn(raw, size):
+        cuts = np.append(0, np.cumsum(size))
+        return np.array([int(raw[a:b].sum()) for a, b in zip(cuts, cuts[1:], strict=False) if b > a], np.uint32), (size > 0).astype(np.int64)
+
+    for _ in range(30):
+        size = rng.integers(0, 20, 100)
+        data = rng.integers(97, 100, int(size.sum())).astype(np.uint8)
+        end = np.cumsum(size)
+        ids, at, n, which = ids_of_spans(book, data, prefix_hash(data, False), end - size, end, learn)
+        got = [ids[at[w] : at[w] + n[w]].tolist() for w in which]
+        assert got == [[int(data[a:b].sum())] if b > a else [] for a, b in zip(end - size, end, strict=True)]
+        assert book.nbytes() < 12000
+    data = np.frombuffer(b"abcabd", np.uint8)
+    first, which = distinct_spans(data, np.array([0, 3, 0]), np.array([3, 6, 3]), np.zeros(3, np.uint64))  # one hash for all
+    assert first.tolist() == [0, 1] and which.tolist() == [0, 1, 0]
 
 
 def test_byte_bpe(docs, rows):
@@ -257,10 +333,37 @@ def test_byte_bpe(docs, rows):
 
     path = P.path("byte_bpe_50k.tiktoken")
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
-    out = bpe.decode(bpe.encode(docs, path, P.PATTERN), path, P.PATTERN).collect()
-    got = sorted((none_first(r.doc_id), r.n_tokens, bytes(r.ids), bytes(r.decoded)) for r in out)
+    coded = bpe.encode(docs, path, P.PATTERN)
     want = [(none_first(i), len(x := enc.encode_ordinary(t or "")), np.array(x, "<u4").tobytes(), (t or "").encode()) for i, t in rows]
-    assert got == sorted(want)
+    for out in (coded, bpe.decode(coded, path, P.PATTERN)):
+        assert sorted((none_first(r.doc_id), r.n_tokens, bytes(r.ids), bytes(r.decoded)) for r in out.collect()) == sorted(want)
+    other = F.concat(F.substring("ids", 1, 4), F.unhex(F.lit("2a000000")), F.expr("substring(ids, 9)"))
+    spoilt = bpe.decode(coded.filter("n_tokens > 1").withColumn("ids", other), path, P.PATTERN).collect()
+    assert spoilt and all(bytes(r.decoded) == enc.decode_bytes(np.frombuffer(bytes(r.ids), "<u4").tolist()) for r in spoilt)
+    assert sum(bytes(r.decoded) != (r.text or "").encode() for r in spoilt) > 100
+
+
+def test_byte_bpe_pieces():
+    import pyarrow as pa
+    import tiktoken
+
+    ranks = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec = bpe.Codec(ranks, bpe.merge_table(ranks), P.PATTERN)
+    rng = random.Random(4)
+    gaps = [" ", "  ", "\n", "\u00a0", "\u2003 ", " \u3000", "\x85", "\t \u2028  ", "\x1c", "\u1680  "]
+    texts = ["".join(rng.choice(["it's", "\u00e0", "\u00e9t\u00e9", "\u6f22\u5b57", "x9!", "\u0100b"]) + rng.choice(gaps) for _ in range(30)) for _ in range(200)]
+    texts += ["ab" * 450, "".join(rng.choice("etaoin") for _ in range(3000)), None, "", " ", "\u00a0", "\u00a0  b"]
+    ids, offs = codec.encode(pa.array(texts))
+    want = [enc.encode_ordinary(t or "") for t in texts]
+    assert [ids[a:b].tolist() for a, b in zip(offs, offs[1:], strict=False)] == want
+    raw, at = codec.decode(ids, offs)
+    assert [raw[a:b].tobytes().decode() for a, b in zip(at, at[1:], strict=False)] == [t or "" for t in texts]
+    ids = ids.copy()
+    ids[5] = 300
+    assert codec.decode(ids, offs)[0].tobytes() != raw.tobytes()
+    with pytest.raises(ValueError):
+        codec.decode(np.array([1 << 20], np.uint32), np.array([0, 1]))
 
 
 def test_language_model(docs, rows):

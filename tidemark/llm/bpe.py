@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from .arrays import SPACE, mix, prefix_hash, prefix_sums, range_hash, ranges, slices, text_parts
 from .common import tune, without
-from .wordbook import Book, distinct_spans, ids_of_spans
+from .wordbook import Book, as_list, distinct_spans, ids_of_spans
 
 LONG = 1000
 #: Rows that one recursive query may make, and what DuckDB may hold in a worker.
@@ -174,8 +174,8 @@ class Codec:
                 offer(before[i])
         return np.array([self.ranks[p] for p in parts if p is not None], np.uint32).tobytes()
 
-    def learn_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all pieces, how many each has)."""
+    def learn_pieces(self, raw: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        pieces = as_list(raw, size)
         ids: list[bytes] = [b""] * len(pieces)
         todo = []
         for k, p in enumerate(pieces):
@@ -189,11 +189,11 @@ class Codec:
             ids[k] = x
         return np.frombuffer(b"".join(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
 
-    def learn_chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        cut = [self.pattern.findall(c.decode()) for c in chunks]
-        raw = [p.encode() for x in cut for p in x]
-        size = np.fromiter(map(len, raw), np.int64, len(raw))
-        data = np.frombuffer(b"".join(raw), np.uint8)
+    def learn_chunks(self, raw: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        cut = [self.pattern.findall(c.decode()) for c in as_list(raw, size)]
+        found = [p.encode() for x in cut for p in x]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        data = np.frombuffer(b"".join(found), np.uint8)
         end = np.cumsum(size)
         ids, at, n, which = ids_of_spans(self.pieces, data, prefix_hash(data, False), end - size, end, self.learn_pieces)
         own = n[which]

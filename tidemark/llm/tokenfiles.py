@@ -1,8 +1,9 @@
 """Token-id files with Re-Pair grammar compression.
 
-Documents are dealt by ranges of doc_id, encoded, and cut into shards of about SHARD_TOKENS ids. In each shard frequent id
-pairs are replaced by new ids ("nonterminals") in rounds; every round takes the commonest pairs at once, and never a pair
-that crosses a document's end. A shard's row holds the rules, the length each rule expands to, the compressed stream and
+Documents are dealt by ranges of doc_id, encoded, and cut into shards of SHARD_TOKENS ids or somewhat more. In each shard frequent
+id pairs are replaced by new ids ("nonterminals") in rounds until no pair stands LEAST times; every round takes the commonest
+pairs at once, and never a pair that crosses a document's end. Pairs inside words come first: they are counted and replaced
+once for each distinct word. A shard's row holds the rules, the length each rule expands to, the compressed stream and
 where each document starts in it, so a single document decodes without the others (`decode_document`), and its length is
 known without decoding.
 
@@ -22,89 +23,136 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .arrays import LOWER, SPACE, prefix_hash, ranges, slices, text_parts, word_spans
 from .common import new_path, partitions, tune
+from .wordbook import Book, as_list, ids_of_spans
 
 SHARD_TOKENS = 1_000_000
 END = 1
-ROUNDS = 5
-PAIRS_A_ROUND = 3000
-LEAST = 6
-#: Words in each of the two generations of a worker's dictionary.
-DICTIONARY = 500_000
-
-
-
-def repair(ids: np.ndarray, ends: np.ndarray, vocabulary: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(stream, ends, rules, lengths). ends marks documents' last ids; rule k replaces its pair by the id vocabulary + k."""
-    s, last = ids.astype(np.int64), ends.copy()
-    rules: list[np.ndarray] = []
-    lengths = np.zeros(0, np.int64)
-    top = vocabulary
-    for _ in range(rounds):
-        if len(s) < 2 * LEAST:
-            break
-        free = ~last[:-1]
-        key = (s[:-1] << 32) | s[1:]
-        slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
-        slot[~free] = 1 << 20
-        filled = np.bincount(slot, minlength=(1 << 20) + 1)
-        filled[1 << 20] = 0
-        least = max(LEAST, int(np.partition(filled, -PAIRS_A_ROUND)[-PAIRS_A_ROUND]))
-        at = np.flatnonzero((filled >= least)[slot])
-        # a slot stands for the pair that is first in it
-        pair_of = np.zeros(1 << 20, np.int64)
-        pair_of[slot[at[::-1]]] = key[at[::-1]]
-        at = at[pair_of[slot[at]] == key[at]]
-        counts = np.bincount(slot[at], minlength=1 << 20)
-        good = np.flatnonzero(counts >= LEAST)
-        if not len(good):
-            break
-        good = good[np.argsort(-counts[good], kind="stable")][:PAIRS_A_ROUND]
-        rank = np.full(1 << 20, -1, np.int64)
-        rank[good] = np.arange(len(good))
-        index = rank[slot[at]]
-        at, index = at[index >= 0], index[index >= 0]
-        taken = np.zeros(len(s) + 1, bool)
-        left = np.full(len(s) + 1, -1, np.int64)
-        for _ in range(3):  # where places overlap the commoner pair wins, then the earlier place
-            open_ = ~(taken[at] | taken[at + 1])
-            at, index = at[open_], index[open_]
+#: Pairs that a round replaces at once, and how often a pair must stand in the shard to be replaced at all.
+PAIRS_A_ROUND = 6000
+LEAST = 8
+#: Bytes of text that a worker looks at together.
+SLICE = 2 << 20
+
+
+def _frequent_pairs(s: np.ndarray, live: np.ndarray, weight: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places of pairs that stand LEAST times or more, which pair each is, the pairs by falling count). live marks the places whose
+    pairs may stand so often; it loses those that don't. Counts are exact: sums by slots of a hash are bounds from above, and
+    what passes them is counted by sorting."""
+    at = np.flatnonzero(live)
+    key = (s[at] << 32) | s[at + 1]
+    bits = min(20, max(8, int(4 * len(at)).bit_length()))
+    slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int32)
+    own = None if weight is None else weight[at]
+    most = np.bincount(slot, weights=own, minlength=1 << bits)
+    full = most[most >= LEAST]
+    least = LEAST if len(full) <= PAIRS_A_ROUND else int(np.partition(full, -PAIRS_A_ROUND)[-PAIRS_A_ROUND])
+    most = most[slot]
+    live[at[most < LEAST]] = False
+    keep = most >= least
+    at, key, own = at[keep], key[keep], own if own is None else own[keep]
+    pairs, which = np.unique(key, return_inverse=True)
+    counts = np.bincount(which, weights=own, minlength=len(pairs))
+    live[at[counts[which] < LEAST]] = False
+    good = np.flatnonzero(counts >= LEAST)
+    good = good[np.argsort(-counts[good], kind="stable")]
+    rank = np.full(len(pairs), -1)
+    rank[good] = np.arange(len(good))
+    index = rank[which]
+    stay = index >= 0
+    return at[stay], index[stay], pairs[good]
+
+
+class Grammar:
+    """Rules so far: rule k replaces its pair by the id vocabulary + k and expands to lengths[k] ids."""
+
+    def __init__(self, vocabulary: int):
+        self.vocabulary = vocabulary
+        self.rules, self.lengths = np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
+
+    def sizes(self, x: np.ndarray) -> np.ndarray:
+        out = np.ones(len(x), np.int64)
+        deep = x >= self.vocabulary
+        out[deep] = self.lengths[x[deep] - self.vocabulary]
+        return out
+
+    def shrink(self, s: np.ndarray, last: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """The stream after rounds of replacing until no pair stands LEAST times; never a pair across `last`. weight: how often
+        each place of the stream stands in the shard."""
+        live = np.append(~last[:-1], False) if len(s) else last
+        while live.any():
+            at, index, pairs = _frequent_pairs(s, live, weight)
             if not len(at):
-                break
-            weight = index * (len(s) + 1) + at
-            near = np.diff(at) == 1
-            win = np.ones(len(at), bool)
-            win[1:] &= ~near | (weight[1:] < weight[:-1])
-            win[:-1] &= ~near | (weight[:-1] < weight[1:])
-            left[at[win]] = index[win]
-            taken[at[win]] = taken[at[win] + 1] = True
-        places = np.flatnonzero(left >= 0)
-        used, renamed = np.unique(left[places], return_inverse=True)
-        pair = pair_of[good[used]]
-        rule = np.stack([pair >> 32, pair & 0xFFFFFFFF], axis=1)
-        s[places] = top + renamed
-        last[places] = last[places + 1]
-        keep = np.ones(len(s), bool)
-        keep[places + 1] = False
-        s, last = s[keep], last[keep]
-        size = lambda x: np.where(x < vocabulary, 1, lengths[np.maximum(x - vocabulary, 0)] if len(lengths) else 1)
-        lengths = np.concatenate([lengths, size(rule[:, 0]) + size(rule[:, 1])])
-        rules.append(rule)
-        top += len(rule)
-    return s, last, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), lengths
-
-
-def expand(stream: np.ndarray, rules: np.ndarray, vocabulary: int) -> np.ndarray:
-    s = stream.astype(np.int64)
-    while len(deep := np.flatnonzero(s >= vocabulary)):
-        counts = np.ones(len(s), np.int64)
-        counts[deep] = 2
-        first = np.cumsum(counts) - counts
-        out = np.repeat(s, counts)
-        pair = rules[s[deep] - vocabulary]
-        out[first[deep]], out[first[deep] + 1] = pair[:, 0], pair[:, 1]
-        s = out
-    return s
+                continue  # slots that seemed full held several pairs, none of them frequent; these are no longer live
+            taken, left = np.zeros(len(s) + 1, bool), np.full(len(s) + 1, -1, np.int64)
+            for commoner in (True, False):  # where places overlap the commoner pair wins, then every second place from the left
+                open_ = ~(taken[at] | taken[at + 1])
+                at, index = at[open_], index[open_]
+                near = np.diff(at) == 1
+                win = np.ones(len(at), bool)
+                if commoner:
+                    win[1:] &= ~near | (index[1:] < index[:-1])
+                    win[:-1] &= ~near | (index[:-1] < index[1:])
+                else:
+                    first = np.flatnonzero(np.append(True, ~near))[: len(at)]
+                    win = (at - np.repeat(at[first], np.diff(np.append(first, len(at))))) % 2 == 0
+                left[at[win]] = index[win]
+                taken[at[win]] = taken[at[win] + 1] = True
+            places = np.flatnonzero(left >= 0)
+            used, renamed = np.unique(left[places], return_inverse=True)
+            rule = np.stack([pairs[used] >> 32, pairs[used] & 0xFFFFFFFF], axis=1)
+            s, last = s.copy(), last.copy()
+            s[places] = self.vocabulary + len(self.rules) + renamed
+            last[places] = last[places + 1]
+            self.lengths = np.concatenate([self.lengths, self.sizes(rule[:, 0]) + self.sizes(rule[:, 1])])
+            self.rules = np.concatenate([self.rules, rule])
+            keep = np.ones(len(s), bool)
+            keep[places + 1] = False
+            live[places] = True
+            live[np.maximum(places - 1, 0)] = True
+            s, last, live, weight = s[keep], last[keep], live[keep], weight if weight is None else weight[keep]
+            live &= ~last
+        return s, last, weight
+
+
+def expansions(rules: np.ndarray, lengths: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all rules one after another, where each rule's begin): rules whose parts are done, again and again."""
+    at = np.cumsum(lengths) - lengths
+    flat = np.zeros(int(lengths.sum()), np.int64)
+    done = np.zeros(len(rules), bool)
+    todo = np.arange(len(rules))
+    while len(todo):
+        ready = np.ones(len(todo), bool)
+        for side in (0, 1):
+            x = rules[todo, side]
+            ready &= (x < vocabulary) | done[np.maximum(x - vocabulary, 0)]
+        now, first = todo[ready], at[todo[ready]].copy()
+        for side in (0, 1):
+            x = rules[now, side]
+            plain = x < vocabulary
+            flat[first[plain]] = x[plain]
+            deep = np.maximum(x - vocabulary, 0)
+            n = np.where(plain, 1, lengths[deep])
+            many = np.where(plain, 0, n)
+            flat[ranges(first, many)] = flat[ranges(at[deep], many)]
+            first += n
+        done[now] = True
+        todo = todo[~ready]
+    return flat, at
+
+
+def expand(stream: np.ndarray, rules: np.ndarray, lengths: np.ndarray, vocabulary: int) -> np.ndarray:
+    flat, at = expansions(rules, lengths, vocabulary)
+    deep = stream >= vocabulary
+    rule = np.maximum(stream - vocabulary, 0)
+    n = np.where(deep, lengths[rule] if len(lengths) else 1, 1)
+    first = np.cumsum(n) - n
+    out = np.empty(int(n.sum()), np.int64)
+    out[first[~deep]] = stream[~deep]
+    many = np.where(deep, n, 0)
+    out[ranges(first, many)] = flat[ranges(at[rule] if len(at) else first, many)]
+    return out
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -117,14 +165,29 @@ def _unpack(x: bytes) -> np.ndarray:
     return np.frombuffer(x, f"<u{x[:1].decode()}", offset=1).astype(np.int64)
 
 
-def write_shard(token_ids: list[np.ndarray], vocabulary: int) -> dict[str, bytes | int]:
-    """token_ids: each document's ids, the end id included."""
-    sizes = np.array([len(x) for x in token_ids], np.int64)
-    ends = np.zeros(int(sizes.sum()), bool)
-    ends[np.cumsum(sizes) - 1] = True
-    stream, last, rules, lengths = repair(np.concatenate(token_ids), ends, vocabulary)
-    starts = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1])
-    return {"vocabulary": vocabulary, "n_tokens": int(sizes.sum()), "rules": _pack(rules.ravel()), "lengths": _pack(lengths), "stream": _pack(stream), "starts": _pack(starts)}
+def write_shard(ids: np.ndarray, at: np.ndarray, n: np.ndarray, which: np.ndarray, words: np.ndarray, vocabulary: int, end: int = END) -> dict[str, bytes | int]:
+    """ids, at, n: the distinct words' ids one after another, where each word's begin and how many it has; which: the word at every
+    place; words: how many places each document has. Pairs inside words are replaced first, once for each distinct word with
+    the count of its places; then pairs in the documents' streams. The end id follows each document."""
+    grammar = Grammar(vocabulary)
+    count = np.bincount(which, minlength=len(n))
+    some = np.flatnonzero((n > 0) & (count > 0))
+    source = ids[ranges(at[some], n[some])].astype(np.int64)
+    close = np.zeros(len(source), bool)
+    close[np.cumsum(n[some]) - 1] = True
+    word, close, _ = grammar.shrink(source, close, np.repeat(count[some], n[some]).astype(np.float64))
+    short = np.zeros(len(n), np.int64)
+    short[some] = np.diff(np.flatnonzero(np.append(True, close)))
+    own = short[which]
+    size = np.add.reduceat(np.append(own, 0), np.minimum(np.cumsum(words) - words, len(own))) if len(words) else words
+    size = np.where(words > 0, size, 0) + 1
+    stream = np.full(int(size.sum()), end, np.int64)
+    last = np.zeros(len(stream), bool)
+    last[np.cumsum(size) - 1] = True
+    stream[~last] = word[ranges((np.cumsum(short) - short)[which], own)]
+    stream, last, _ = grammar.shrink(stream, last)
+    starts = np.flatnonzero(np.append(True, last[:-1]))
+    return {"vocabulary": vocabulary, "n_tokens": int(grammar.sizes(stream).sum()), "rules": _pack(grammar.rules.ravel()), "lengths": _pack(grammar.lengths), "stream": _pack(stream), "starts": _pack(starts)}
 
 
 def document_lengths(shard: dict) -> np.ndarray:
@@ -138,11 +201,13 @@ def document_lengths(shard: dict) -> np.ndarray:
 def decode_document(shard: dict, k: int) -> np.ndarray:
     """Ids of the shard's k-th document, without decoding the others."""
     starts, s = _unpack(shard["starts"]), _unpack(shard["stream"])
-    return expand(s[starts[k] : starts[k + 1] if k + 1 < len(starts) else len(s)], _unpack(shard["rules"]).reshape(-1, 2), shard["vocabulary"])
+    return expand(s[starts[k] : starts[k + 1] if k + 1 < len(starts) else len(s)], _unpack(shard["rules"]).reshape(-1, 2), _unpack(shard["lengths"]), shard["vocabulary"])
 
 
 class WordCoder:
-    """Ids of texts by way of their words: the tokenizer drops white space and looks at nothing across it."""
+    """Ids of texts. Where the tokenizer drops white space and looks at nothing across it, texts go word by word through a
+    dictionary; where it also lowers case and parts letters from full stops and commas, words share their stems' ids. Both are
+    tried out on the tokenizer's own vocabulary when the coder is made; a tokenizer without them gets whole texts or whole words."""
 
     def __init__(self, tokenizer_json: str):
         import os
@@ -151,58 +216,77 @@ class WordCoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.known: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.words, self.stems = Book(), Book(24 << 20)
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
-        plain = sorted(w for w in vocab if w.endswith("</w>") and len(w) == 12 and w[:-4].isascii() and w[:-4].isalpha() and w.islower())
-        self.mark = next((w[:-4] for w in plain if self.ids([w[:-4]]) == [[vocab[w]]]), None)
-        self.mark_id = vocab.get(f"{self.mark}</w>")
+        plain = sorted(w.removesuffix("</w>") for w in vocab if w.removesuffix("</w>").isascii() and w.removesuffix("</w>").isalpha())
+        probe = [*plain[:: max(1, len(plain) // 500)], "It's", "ab12", "a-b", "#x", "<b>", "q!?", "\u00e9t\u00e9", "\u6f22\u5b57", "e\u0301", "\u0301x"]
+        alone = self.ids(probe)
+        joined = [y for x in alone for y in x]
+        self.by_word = all(self.ids([f"{a}{gap.join(probe)}{a}"])[0] == joined for gap, a in ((" ", ""), ("\n", " "), (" \t\r\n  ", "\x0b"), ("\x0c", "")))
+        letters = [k for k, w in enumerate(probe) if w.isascii() and w.isalpha()]
+        self.lowers = self.by_word and self.ids([probe[k].upper() for k in letters]) == self.ids([probe[k].lower() for k in letters]) and self.ids([w.upper() for w in probe if w.isascii()]) == self.ids([w.lower() for w in probe if w.isascii()])
+        tails = [".", ",", "..", ".,", ",.", "...", ".,.,"]
+        self.parts = self.lowers and all(self.ids([probe[k] + m for k in letters]) == [alone[k] + x for k in letters] for m, x in zip(tails, self.ids(tails), strict=True))
+        marks = [w for w in plain if len(w) == 8 and w.islower()]
+        coded = self.ids(marks) if self.by_word else []
+        one = next((k for k, x in enumerate(coded) if len(x) == 1), None)
+        self.mark, self.mark_id = (None, -1) if one is None else (marks[one], coded[one][0])
 
     def ids(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def learn(self, words: list[bytes]) -> None:
+    def learn_stems(self, raw: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Encode words in lines of 200 with a one-id word between them; a line whose ids hold that id elsewhere goes word by word."""
+        words = [w.decode() for w in as_list(raw, size)]
         lines = [words[i : i + 200] for i in range(0, len(words), 200)]
-        if self.mark:
-            coded = self.ids([f" {self.mark} ".join(w.decode() for w in line) for line in lines])
-        for k, line in enumerate(lines):
-            if self.mark:
-                flat = np.array(coded[k], "<u4")
-                at = np.flatnonzero(flat == self.mark_id)
-                if len(at) == len(line) - 1:
-                    raw = flat.tobytes()
-                    edges = [-1, *at.tolist(), len(flat)]
-                    self.known.update(zip(line, [raw[4 * a + 4 : 4 * b] for a, b in zip(edges, edges[1:], strict=False)], strict=True))
-                    continue
-            for w, x in zip(line, self.ids([w.decode() for w in line]), strict=True):
-                self.known[w] = np.array(x, "<u4").tobytes()
-
-    def stem(self, word: bytes) -> tuple[bytes, bytes]:
-        """A word that has the same ids without its last bytes, and these: the tokenizer lowers case and parts letters from marks."""
-        if not word.isascii() or b"<|" in word:
-            return word, b""
-        low = word.lower()
-        cut = len(low.rstrip(b".,"))
-        return (low[:cut], low[cut:]) if 0 < cut < len(low) and low[cut - 1 : cut].isalpha() else (low, b"")
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        cut = [(t or "").encode().split() for t in texts]
-        if len(self.known) > DICTIONARY:
-            self.old, self.known = self.known, {}
-        known = self.known
-        missing = []
-        for w in set().union(*cut) if cut else ():
-            if w not in known:
-                if got := self.old.get(w):
-                    known[w] = got
-                else:
-                    missing.append(w)
-        stems = [self.stem(w) for w in missing]
-        self.learn([*{x for pair in stems for x in pair if x and x not in known}])
-        known.update((w, known[a] + known[z] if z else known[a]) for w, (a, z) in zip(missing, stems, strict=True))
-        get = known.__getitem__
-        return [b"".join([get(w) for w in words]) for words in cut]
+        coded = self.ids([f" {self.mark} ".join(line) for line in lines]) if self.mark else [[]] * len(lines)
+        out, n = [], []
+        for line, ids in zip(lines, coded, strict=True):
+            flat = np.array(ids, np.uint32)
+            at = np.flatnonzero(flat == self.mark_id)
+            if self.mark and len(at) == len(line) - 1:
+                n.append(np.diff(np.concatenate([[-1], at, [len(flat)]])) - 1)
+                out.append(flat[flat != self.mark_id])
+            else:
+                each = self.ids(line)
+                n.append(np.fromiter(map(len, each), np.int64, len(each)))
+                out.append(np.array([y for x in each for y in x], np.uint32))
+        return np.concatenate(out), np.concatenate(n)
+
+    def learn_words(self, raw: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not self.lowers:
+            return self.learn_stems(raw, size)
+        end = np.cumsum(size)
+        start = end - size
+        plain = np.add.reduceat((raw >= 0x80).astype(np.int64), start) == 0  # beyond ASCII a word stays as it is
+        low = np.where(np.repeat(plain, size), LOWER[raw], raw)
+        odd = np.append((low[:-1] == 0x3C) & (low[1:] == 0x7C), False)  # the names of special tokens have case
+        plain &= np.add.reduceat(odd.astype(np.int64), start) == 0
+        low = np.where(np.repeat(plain, size), low, raw)
+        cut = end.copy()
+        todo = np.flatnonzero(plain) if self.parts else np.zeros(0, np.int64)
+        while len(todo):
+            todo = todo[(cut[todo] > start[todo]) & ((low[np.maximum(cut[todo] - 1, 0)] == 0x2E) | (low[np.maximum(cut[todo] - 1, 0)] == 0x2C))]
+            cut[todo] -= 1
+        before = low[np.maximum(cut - 1, 0)]
+        cut = np.where((cut > start) & (before >= 0x61) & (before <= 0x7A), cut, end)
+        a, z = np.stack([start, cut], axis=1).ravel(), np.stack([cut, end], axis=1).ravel()
+        ids, at, n, which = ids_of_spans(self.stems, low, prefix_hash(low, False), a, z, self.learn_stems)
+        return ids[ranges(at[which], n[which])], n[which].reshape(-1, 2).sum(axis=1)
+
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of the distinct words, where each word's begin, how many it has, the word at every place, places of each text).
+        A tokenizer that can't go by words has each text as one word."""
+        data, offs = text_parts(column)
+        if self.by_word:
+            start, end, word_offs = word_spans(data, offs, ~SPACE)
+            if not len(start):
+                none = np.zeros(0, np.int64)
+                return none.astype(np.uint32), none, none, none, np.diff(word_offs)
+            return *ids_of_spans(self.words, data, prefix_hash(data, False), start, end, self.learn_words), np.diff(word_offs)
+        each = self.ids([t or "" for t in column.to_pylist()])
+        n = np.fromiter(map(len, each), np.int64, len(each))
+        return np.array([y for x in each for y in x], np.uint32), np.cumsum(n) - n, n, np.arange(len(each)), np.ones(len(each), np.int64)
 
 
 _CODERS: dict[int, WordCoder] = {}
@@ -216,7 +300,7 @@ def _schema(docs: DataFrame) -> T.StructType:
     return out
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, end: int = END, path: str | None = None) -> str:
+def write_tokens(docs: DataFrame, tokenizer_path: str, end: int = END, path: str | None = None, shard_tokens: int = SHARD_TOKENS) -> str:
     """Encode all texts and write the shards; the folder of the files."""
     spark = tune(docs.sparkSession)
     path = path or new_path(spark, "tokens")
@@ -238,16 +322,23 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end: int = END, path: str
         names, held, size = [], [], 0
 
         def flush() -> pa.RecordBatch:
-            row = {"part": part, "shard": shard, "doc_ids": names, **write_shard(held, vocabulary)}
+            ids, at, n, which, words = zip(*held, strict=True)
+            ids_before = np.cumsum([0, *map(len, ids)])
+            words_before = np.cumsum([0, *map(len, n)])
+            row = write_shard(
+                np.concatenate(ids), np.concatenate([x + k for x, k in zip(at, ids_before, strict=False)]), np.concatenate(n),
+                np.concatenate([x + k for x, k in zip(which, words_before, strict=False)]), np.concatenate(words), vocabulary, end,
+            )
+            row |= {"part": part, "shard": shard, "doc_ids": names}
             return pa.RecordBatch.from_arrays([pa.array([row[f.name]], _arrow(f.dataType)) for f in schema.fields], names=schema.names)
 
-        last = np.array([end], "<u4").tobytes()
-        for b in batches:
-            for name, ids in zip(b.column("doc_id").to_pylist(), code(b.column("text").to_pylist()), strict=True):
-                names.append(name)
-                held.append(np.frombuffer(ids + last, "<u4"))
-                size += len(held[-1])
-                if size >= SHARD_TOKENS:
+        for batch in batches:
+            for b in slices(batch, most=min(SLICE, 4 * shard_tokens)):
+                coded = code(b.column("text"))
+                names += b.column("doc_id").to_pylist()
+                held.append(coded)
+                size += int(coded[2][coded[3]].sum()) + b.num_rows
+                if size >= shard_tokens:
                     yield flush()
                     names, held, size, shard = [], [], 0, shard + 1
         if names:
@@ -283,7 +374,7 @@ def read_tokens(docs_schema: DataFrame, path: str) -> DataFrame:
         for b in batches:
             for row in b.to_pylist():
                 sizes = document_lengths(row)
-                raw = expand(_unpack(row["stream"]), _unpack(row["rules"]).reshape(-1, 2), row["vocabulary"]).astype("<u4")
+                raw = expand(_unpack(row["stream"]), _unpack(row["rules"]).reshape(-1, 2), _unpack(row["lengths"]), row["vocabulary"]).astype("<u4")
                 ends = np.cumsum(sizes)
                 ids = [raw[e - n : e].tobytes() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], _arrow(kind)), pa.array(row["first"] + ends - sizes), pa.array(sizes), pa.array(ids, pa.binary())], names=schema.names)

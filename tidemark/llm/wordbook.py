@@ -100,7 +100,7 @@ class Book:
 
 def ids_of_spans(book: Book, data: np.ndarray, sums: np.ndarray, start: np.ndarray, end: np.ndarray, learn: Callable) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(ids, offsets, sizes, which): the ids of the distinct spans one after another, where each begins and how many it has,
-    and which of them every span is. learn(words) gives (ids of all words, how many each has) for words that are new."""
+    and which of them every span is. learn(bytes of new spans one after another, their sizes) gives (their ids, how many each has)."""
     hashes = range_hash(sums, start, end)
     first, which = distinct_spans(data, start, end, hashes)
     h, a, size = hashes[first], start[first], (end - start)[first]
@@ -111,8 +111,7 @@ def ids_of_spans(book: Book, data: np.ndarray, sums: np.ndarray, start: np.ndarr
     raw = data[ranges(a[new], size[new])]
     learnt, n_new = np.zeros(0, np.uint32), np.zeros(0, np.int64)
     if len(new):
-        cuts, whole = np.append(0, np.cumsum(size[new])).tolist(), raw.tobytes()
-        learnt, n_new = learn([whole[x:y] for x, y in zip(cuts, cuts[1:], strict=False)])
+        learnt, n_new = learn(raw, size[new])
         n[new] = n_new
     at = np.cumsum(n) - n
     ids = np.empty(int(n.sum()), np.uint32)
@@ -121,3 +120,8 @@ def ids_of_spans(book: Book, data: np.ndarray, sums: np.ndarray, start: np.ndarr
     if len(new):
         book.add(h[new], raw, size[new], learnt, n_new)
     return ids, at, n, which
+
+
+def as_list(raw: np.ndarray, size: np.ndarray) -> list[bytes]:
+    whole, cuts = raw.tobytes(), np.append(0, np.cumsum(size)).tolist()
+    return [whole[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
