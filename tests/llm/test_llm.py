@@ -379,18 +379,82 @@ def test_language_model(docs, rows):
     assert all(r.score < 0 for r in got)
 
 
-def test_quality_counts_and_verdicts(spark):
+def quality_counts(text):
+    import re
+
+    t = text or ""
+    words = [w.decode() for w in t.encode().split()]
+    seen, dup = set(), 0
+    for line in t.split("\n"):
+        if line.encode().split():
+            dup += line in seen
+            seen.add(line)
+    windows = collections.Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    under = {k for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for k in (i, i + 1, i + 2)}
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(under), len(words) < 50 or 100 * len(under) > 50 * len(words)
+
+
+def test_quality_counts(spark, rows):
+    odd = ["a b c a b c\na b c a b c\n", "x\n x\nx \nx\n\n \n", "#*$%&|<>@ \U0001f642\U0001f642 \u00e9\u0301\x1c\x85\u00a0z", "a a a", "a a a a", "\x0bq\x0c\r\n" * 30]
+    every = rows + [(10_000 + k, t) for k, t in enumerate(odd)]
+    got = quality.judge(spark.createDataFrame(every, SCHEMA)).collect()
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert sorted((none_first(r.doc_id), *(r[x] for x in names)) for r in got) == sorted((none_first(i), *quality_counts(t)) for i, t in every)
+    assert not any(r.kept and r.base_failed for r in got)
+
+
+def plain_em(patterns, rules, rounds):
+    prior, good, bad = quality.START_GOOD, [list(quality.ON_GOOD)] * rules, [list(quality.ON_BAD)] * rules
+    for _ in range(rounds):
+        post = {}
+        for v in patterns:
+            p = prior * math.prod(good[x][v[x] + 1] for x in range(rules))
+            q = (1 - prior) * math.prod(bad[x][v[x] + 1] for x in range(rules))
+            post[v] = p / (p + q)
+        total = sum(patterns.values())
+        mass = sum(n * post[v] for v, n in patterns.items())
+        rate = lambda x, k, w, m, s: (sum(n * w(v) for v, n in patterns.items() if v[x] == k - 1) + quality.PSEUDO * s[k]) / (m + quality.PSEUDO)
+        good = [[rate(x, k, lambda v: post[v], mass, quality.ON_GOOD) for k in range(3)] for x in range(rules)]
+        bad = [[rate(x, k, lambda v: 1 - post[v], total - mass, quality.ON_BAD) for k in range(3)] for x in range(rules)]
+        prior = (mass + 1) / (total + 2)
+    return prior, good, bad
+
+
+def test_quality_model_equals_plain_em(spark):
+    rng = random.Random(6)
+    names = ["a", "b", "c", "d", "e"]
+    truth = {True: [(0.05, 0.15, 0.8), (0.3, 0.1, 0.6), (0.1, 0.5, 0.4), (0.02, 0.08, 0.9), (0.3, 0.4, 0.3)], False: [(0.8, 0.1, 0.1), (0.5, 0.3, 0.2), (0.5, 0.3, 0.2), (0.6, 0.2, 0.2), (0.3, 0.4, 0.3)]}
+    kinds = [rng.random() < 0.8 for _ in range(4000)]
+    votes = [tuple(rng.choices((-1, 0, 1), p)[0] for p in truth[k]) for k in kinds]
+    counts = collections.Counter(votes)
+    table = spark.createDataFrame([(*v, n) for v, n in counts.items()], ", ".join(f"vote_{x} int" for x in names) + ", n long")
+    model = quality.fit(table, names, rounds=12)
+    prior, good, bad = plain_em(counts, len(names), 12)
+    assert abs(model.prior - prior) < 1e-6
+    assert np.allclose(model.good, good, atol=1e-6) and np.allclose(model.bad, bad, atol=1e-6)
+    settled = quality.fit(table, names)
+    assert abs(settled.prior - 0.8) < 0.05 and settled.bad[0][0] > 0.6 and settled.good[3][2] > 0.8  # the rates come from the votes
+    post = {tuple(r[:5]): r[5] for r in table.select(*(f"vote_{x}" for x in names), settled.posterior().alias("p")).collect()}
+    right = sum((post[v] >= 0.5) == k for v, k in zip(votes, kinds, strict=True)) / len(votes)
+    assert right > 0.93
+    one_bad = [p for v, p in post.items() if v.count(-1) == 1]
+    assert min(one_bad) < 0.5 < max(one_bad)  # neither all must pass nor a majority
+
+
+def test_quality_verdicts(spark):
     rng = random.Random(1)
     words = "stone river light under morning quiet garden window paper letter bright travel".split()
-    good = [(i, "\n".join(" ".join(rng.choice(words) + rng.choice(["", "s", "er"]) + str(i % 3 or "") for _ in range(20)) + "." for _ in range(5))) for i in range(60)]
-    bad = [(100 + i, " ".join(f"{rng.choice(words)}###" for _ in range(80))) for i in range(10)] + [(200 + i, "BUY NOW!! " * 60) for i in range(10)]
-    rows = good + bad + [(300, None), (301, ""), (302, "a b c a b c\na b c a b c\n")]
-    out = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert sum(out[i].kept for i, _ in good) >= 57
+    sentences = lambda i, end=".": [" ".join(rng.choice(words) + rng.choice(["", "s", "er"]) + str(i % 3 or "") for _ in range(20)) + end for _ in range(5)]
+    good = [(i, "\n".join(sentences(i))) for i in range(60)] + [(70 + i, "\n".join(sentences(i, ""))) for i in range(3)]  # no full stops: one bad vote
+    bad = [(100 + i, " ".join(f"{rng.choice(words)}{rng.choice(words)}{rng.choice(words)}###" for _ in range(80))) for i in range(10)] + [(200 + i, "BUY NOW!! " * 60) for i in range(10)]
+    judged = quality.judge(spark.createDataFrame(good + bad + [(300, None), (301, "")], SCHEMA))
+    out = {r.doc_id: r for r in judged.collect()}
+    assert sum(out[i].kept for i, _ in good) >= 60
+    assert all(out[70 + i].kept and out[70 + i].vote_sentences_end == -1 for i in range(3))
     assert not any(out[i].kept for i, _ in bad)
-    r = out[302]
-    assert (r.n_words, r.word_chars, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (12, 12, 1, 12, True)
     assert out[300].n_words == 0 and not out[300].kept
+    shares = {r.n_bad: r.kept_share for r in quality.votes_against_verdicts(judged).collect()}
+    assert shares[0] > 0.9 and 0 < shares[1] <= 1 and min(shares.values()) == 0
 
 
 def test_quality_counts_no_repeats_in_long_texts_of_different_words(spark):

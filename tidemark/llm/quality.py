@@ -1,9 +1,12 @@
 """Quality rules by weak supervision, in DataFrame functions only.
 
-Every rule votes good (1), bad (-1) or abstains (0) on a document. Expectation-maximisation over the counts of
-the vote patterns (at most 3 to the power of the number of rules, whatever the corpus) estimates how often each
-rule votes which way on good documents and on documents that fail in each way, and the posterior probability of
-"good" is the verdict.
+Every rule votes good (1), bad (-1) or abstains (0) on a document. Expectation-maximisation over the counts of the vote
+patterns of documents that pass the base rules (at most 3 to the power of the number of rules, whatever the corpus)
+estimates the share of good documents and how often each rule votes which way on good and on bad ones. The posterior
+probability of "good" is the verdict. Nothing but the starting point is set by hand: it says that rules are better than
+chance, and weighs as much as PSEUDO documents a class. What a bad vote counts for follows from how the rules agree.
+
+Rules overlap (symbols, marks and word length; repeats, equal lines and varied words), so that agreement can be seen.
 
 Null and empty texts have no words; all rules abstain on them. Repeated rows are judged alike. Extra columns pass
 through. An empty table keeps the starting rates and gives no rows.
@@ -14,7 +17,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -33,7 +36,9 @@ RULES = (
 )
 #: Rejected ids up to this number are broadcast (8 bytes each); more are joined by shuffle.
 BROADCAST_REJECTED = 2_000_000
-START_GOOD, WRONG, ROUNDS, SMOOTH = 0.8, 0.02, 10, 1.0
+#: Starting share of good documents and chances of the votes -1, 0, 1 on good and on bad ones; their weight in documents.
+START_GOOD, ON_GOOD, ON_BAD, PSEUDO = 0.8, (0.1, 0.2, 0.7), (0.5, 0.3, 0.2), 5.0
+ROUNDS, SETTLED = 50, 1e-4
 
 
 def _let(value: Column, body) -> Column:
@@ -110,65 +115,52 @@ def base_failed(prefix: str = "_q_") -> Column:
 
 @dataclass
 class Model:
-    """A good class (0) and one class for each way of failing (k + 1: rule k's); for each class its prior and, by rule,
-    the probabilities of the votes -1, 0, 1."""
+    """The share of good documents and, by rule, the probabilities of the votes -1, 0, 1 on good and on bad ones."""
 
-    priors: list[float]
-    votes: list[list[tuple[float, float, float]]]
+    prior: float = START_GOOD
+    good: list[tuple[float, float, float]] = field(default_factory=lambda: [ON_GOOD] * len(RULES))
+    bad: list[tuple[float, float, float]] = field(default_factory=lambda: [ON_BAD] * len(RULES))
     names: list[str] = field(default_factory=lambda: [r[0] for r in RULES])
 
     @classmethod
     def start(cls, names: list[str]) -> Model:
-        n = len(names)
-        good, failing, other = (0.02, 0.13, 0.85), (0.85, 0.10, 0.05), (0.2, 0.2, 0.6)
-        bad = [[failing if k == x else other for x in range(n)] for k in range(n)]
-        return cls([START_GOOD, *[(1 - START_GOOD) / n] * n], [[good] * n, *bad], names)
-
-    def rows(self) -> list[tuple]:
-        """class, rule, vote, log probability; the class's prior is with rule 0."""
-        return [(c, x, v, math.log(p) + (math.log(self.priors[c]) if x == 0 else 0.0)) for c, by in enumerate(self.votes) for x, ps in enumerate(by) for v, p in zip((-1, 0, 1), ps, strict=True)]
+        return cls(START_GOOD, [ON_GOOD] * len(names), [ON_BAD] * len(names), names)
 
     def posterior(self) -> Column:
-        """Probability of the good class, from the columns vote_*."""
-        total = F.lit(0.0)
-        for c in range(1, len(self.priors)):
-            gap = F.lit(math.log(self.priors[c] / self.priors[0]))
-            for x, name in enumerate(self.names):
-                w = [math.log(p / q) for p, q in zip(self.votes[c][x], self.votes[0][x], strict=True)]
-                v = F.col(f"vote_{name}")
-                gap = gap + F.when(v < 0, w[0]).when(v > 0, w[2]).otherwise(w[1])
-            total = total + F.exp(F.least(gap, F.lit(300.0)))
-        return 1 / (1 + total)
+        """Probability of "good", from the columns vote_*."""
+        gap = F.lit(math.log((1 - self.prior) / self.prior))
+        for name, p, q in zip(self.names, self.good, self.bad, strict=True):
+            low, none, high = (math.log(y / x) for x, y in zip(p, q, strict=True))
+            v = F.col(f"vote_{name}")
+            gap = gap + F.when(v < 0, low).when(v > 0, high).otherwise(none)
+        return 1 / (1 + F.exp(F.least(gap, F.lit(300.0))))
 
 
 def fit(patterns: DataFrame, names: list[str] | None = None, rounds: int = ROUNDS) -> Model:
-    """EM over a table of vote patterns (columns vote_*, n); only the rates come back to the driver.
-
-    A good document gets a rule's bad vote with WRONG probability at most: without that bound the commonest way of
-    failing would take the bad class for itself and the others would count as good.
-    """
+    """EM over a table of vote patterns (columns vote_*, n). A round is one aggregation into one row of sums."""
     names = names or [r[0] for r in RULES]
     model = Model.start(names)
-    at = F.monotonically_increasing_id().alias("at")
-    wide = stored(patterns.select(at, "n", *(f"vote_{x}" for x in names)), "votes")
-    rows = stored(wide.select("at", "n", F.posexplode(F.array(*(f"vote_{x}" for x in names))).alias("rule", "vote")), "vote-rows")
-    every = Window.partitionBy("at")
+    wide = stored(patterns.select("n", *(f"vote_{x}" for x in names)).coalesce(1), "votes")  # 3 ** rules rows at most
     for _ in range(rounds):
-        weights = patterns.sparkSession.createDataFrame(model.rows(), "class int, rule int, vote int, w double")
-        likely = rows.join(F.broadcast(weights), ["rule", "vote"]).groupBy("at", "class").agg(F.sum("w").alias("w"))
-        scaled = likely.withColumn("p", F.exp(F.col("w") - F.max("w").over(every)))
-        post = scaled.select("at", "class", (F.col("p") / F.sum("p").over(every)).alias("p"))
-        got = {r[:3]: r[3] for r in map(tuple, rows.join(post, "at").groupBy("class", "rule", "vote").agg(F.sum(F.col("n") * F.col("p"))).collect())}
-        if not got:
+        mass = {"good": F.col("n") * model.posterior(), "all": F.col("n").cast("double")}
+        sums = [F.sum(m).alias(k) for k, m in mass.items()]
+        sums += [F.sum(F.when(F.col(f"vote_{x}") == v, m)).alias(f"{k} {x} {v}") for k, m in mass.items() for x in names for v in (-1, 0, 1)]
+        got = {k: v or 0.0 for k, v in wide.agg(*sums).first().asDict().items()}
+        if not got["all"]:
             break
-        mass = [sum(got.get((c, 0, v), 0.0) for v in (-1, 0, 1)) for c in range(len(names) + 1)]
-        priors = [(m + SMOOTH) / (sum(mass) + SMOOTH * len(mass)) for m in mass]
-        by = [[tuple((got.get((c, x, v), 0.0) + SMOOTH) / (mass[c] + 3 * SMOOTH) for v in (-1, 0, 1)) for x in range(len(names))] for c in range(len(mass))]
-        by[0] = [(d, z * (1 - d) / (z + u), u * (1 - d) / (z + u)) for d, z, u in ((min(p[0], WRONG), p[1], p[2]) for p in by[0])]
-        new = Model(priors, by, names)
-        moved = max(abs(p - q) for s, t in zip(model.votes, new.votes, strict=True) for i, j in zip(s, t, strict=True) for p, q in zip(i, j, strict=True))
+
+        def rates(x: str, start: tuple, share, total: float) -> tuple:
+            return tuple((share(f" {x} {v}") + PSEUDO * s) / (total + PSEUDO) for v, s in zip((-1, 0, 1), start, strict=True))
+
+        new = Model(
+            (got["good"] + 1) / (got["all"] + 2),
+            [rates(x, ON_GOOD, lambda k: got["good" + k], got["good"]) for x in names],
+            [rates(x, ON_BAD, lambda k: max(0.0, got["all" + k] - got["good" + k]), max(0.0, got["all"] - got["good"])) for x in names],
+            names,
+        )
+        moved = max(abs(p - q) for s, t in ((model.good, new.good), (model.bad, new.bad)) for i, j in zip(s, t, strict=True) for p, q in zip(i, j, strict=True))
         model = new
-        if moved < 1e-3:
+        if moved < SETTLED:
             break
     return model
 
@@ -177,12 +169,18 @@ def patterns(voted: DataFrame) -> DataFrame:
     return voted.groupBy(*(f"vote_{r[0]}" for r in RULES)).agg(F.count(F.lit(1)).alias("n"))
 
 
+def votes_against_verdicts(judged: DataFrame) -> DataFrame:
+    """n_bad, documents, kept_share of the documents that pass the base rules, by their number of bad votes."""
+    bad = sum((F.col(f"vote_{r[0]}") == -1).cast("int") for r in RULES)
+    return judged.filter(~F.col("base_failed")).groupBy(bad.alias("n_bad")).agg(F.count(F.lit(1)).alias("documents"), F.avg(F.col("kept").cast("int")).alias("kept_share"))
+
+
 def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """One row per row of docs: doc_id, counts, votes, posterior, base_failed, kept."""
     measured = with_measures(docs.select("doc_id", "text"))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     voted = stored(measured.select("doc_id", *(F.col(f"_q_{x}").alias(x) for x in counts), *votes(), base_failed().alias("base_failed")), "quality")
-    model = fit(patterns(voted))
+    model = fit(patterns(voted.filter(~F.col("base_failed"))))
     return voted.withColumn("posterior", model.posterior()).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
 
 
