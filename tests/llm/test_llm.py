@@ -138,12 +138,14 @@ def test_suffix_array_dedup(docs, rows, shard, crowded):
 
 def test_minimisers_with_many_segments_go_by_windows(docs, rows):
     posts = []
-    for k in range(5):  # 30 different segments of minimiser 7 in each batch, none of them crowded; 2 of minimiser 8 in all
+    for k in range(5):  # 30 different segments of minimiser 7 in each batch, none of them crowded; 2 of minimiser 8 in all, one of 9
         v, h = np.full(30, 7, np.uint64), np.arange(100 + 30 * k, 130 + 30 * k).astype(np.uint64)
         if k < 2:
             v, h = np.append(v, np.uint64(8)), np.append(h, np.uint64(k))
+        if k == 4:
+            v, h = np.append(v, np.uint64(9)), np.append(h, np.uint64(1))
         at = np.arange(len(v))
-        posts.append(repeats._post(0, 1, v, h, at + 1000 * k, at, np.ones(len(v), np.int64)))
+        posts.append(repeats._post(0, 1, v, h, at + 1000 * k, at, np.full(len(v), 2)))
     batch = repeats._batch([*zip(*posts, strict=True)], repeats._POST)
     kinds = collections.Counter((kind, key) for b in repeats._match_posts(100)([batch]) for kind, key in zip(b.column("kind").to_pylist(), b.column("key").to_pylist(), strict=True))
     assert kinds == {(2, 7): 150, (1, 8): 2}
@@ -154,15 +156,53 @@ def test_minimisers_with_many_segments_go_by_windows(docs, rows):
     assert got == brute_removal(rows, 100, lambda t: list(t.encode()), bytes)
 
 
+@pytest.mark.parametrize("crowded", [40, 1])
+def test_nothing_is_removed_without_the_index(docs, crowded):
+    blind = lambda contents, windows, ids, starts: np.zeros(int(windows.sum()), bool)
+    for make, length, gram in ((repeats.word_units, 20, 6), (repeats.byte_units, 100, 32)):
+        ids = docs.select(F.coalesce("doc_id", F.lit(-5)).alias("doc_id"), "text")
+        assert repeats.repeated_windows(ids, make, blind, length, gram, 1 << 20, crowded).count() == 0
+
+
+def test_ids_of_any_type(spark, docs, rows):
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 6, "0"))).withColumn("hits", F.lit(1))
+    back = lambda i: -1 if i is None else int(i[1:])
+    want = [x[:3] for x in brute_removal(rows, 20, lambda t: t.encode().split(), b" ".join)]
+    assert sorted((back(r.doc_id), r.n_words, r.n_removed) for r in fmindex.dedup_substrings(named).collect()) == sorted(want)
+
+
+def test_fm_index():
+    rng = np.random.default_rng(3)
+    pieces = [rng.integers(1, 5, rng.integers(1, 30)) for _ in range(60)]
+    pieces += pieces[:20]
+    text = np.concatenate([np.append(p, 0) for p in pieces]).astype(np.int64)
+    index = fmindex.FMIndex(text, rate=4)
+    order = fmindex.suffix_order(text)
+    assert index.positions(np.arange(len(text))).tolist() == order.tolist()
+    raw = bytes(text.astype(np.uint8))
+    start = np.array([i for i in range(len(raw) - 12) if 0 not in raw[i : i + 12]])
+    stat, low, high = index.matching_statistics(text, start, 12)
+    least = index.least_positions(low[stat == 12], high[stat == 12])
+    places = lambda p: [i for i in range(len(raw)) if raw.startswith(p, i)]
+    for i, n in zip(start.tolist(), stat.tolist(), strict=True):
+        best = next((k for k in range(12, 0, -1) if len(places(raw[i + 12 - k : i + 12])) > 1), 0)
+        assert n == best
+    assert least.tolist() == [places(raw[i : i + 12])[0] for i in start[stat == 12].tolist()]
+    big = np.append(rng.integers(1, 1000, 400_000), 0)
+    assert fmindex.FMIndex(big).nbytes() < 3 * len(big)  # less than the symbols alone take as 32-bit numbers
+
+
 def test_longest_previous_factor():
-    text = np.frombuffer(b"abracadabra abracadabra cad", np.uint8)
-    at = np.arange(len(text))
-    length, source = suffixes.longest_previous_factor(text, at, 8)
-    raw = text.tobytes()
-    for i in range(len(raw)):
-        best = max((next((n for n in range(min(8, len(raw) - i), 0, -1) if raw[j : j + n] == raw[i : i + n]), 0) for j in range(i)), default=0)
-        assert length[i] == (8 if best == 8 else 0)  # spans double from 8, so shorter matches count as none
-        assert length[i] == 0 or raw[source[i] : source[i] + 8] == raw[i : i + 8]
+    rng = np.random.default_rng(9)
+    for text in (np.frombuffer(b"abracadabra abracadabra cad", np.uint8), rng.integers(97, 99, 300).astype(np.uint8), np.tile(rng.integers(97, 123, 70).astype(np.uint8), 4)):
+        for depth in (8, 20, 100):
+            at = np.arange(len(text))
+            length, source = suffixes.longest_previous_factor(text, at, depth)
+            raw = text.tobytes()
+            for i in range(len(raw)):
+                best = max((next((n for n in range(min(depth, len(raw) - i), 0, -1) if raw[j : j + n] == raw[i : i + n]), 0) for j in range(i)), default=0)
+                assert length[i] == best
+                assert best == 0 or (source[i] < i and raw[source[i] : source[i] + best] == raw[i : i + best])
 
 
 def test_line_dedup(docs, rows):

@@ -1,12 +1,16 @@
-"""Substring dedup by FM-indexes: backward search over wavelet matrices finds windows of words that start earlier.
+"""Substring dedup by compressed FM-indexes: backward search over wavelet matrices computes matching statistics.
 
 See repeats.py for how documents are cut into the segments of a shard. A shard's segments, in order of position and apart by
-a separator, are indexed by the words' ids: suffixes in the order of their first DEPTH words, the Burrows-Wheeler transform,
-and a wavelet matrix for its ranks. All windows of the shard are streamed through backward search together, one word a
-step; the interval's width is how often the matched part occurs, and a window drops out as soon as it is alone.
-Windows that match over the whole length are reported where the least position in the interval is before their own.
+separators, are indexed by the words' ids: the Burrows-Wheeler transform in a wavelet matrix of packed bits with a count for
+every 64 of them, and one text position in RATE, from which the others follow by walking back. Nothing else is kept: no
+suffix array and no text.
 
-Null texts have no words. Empty tables give no rows.
+The shard's windows are streamed through backward search together, one word a step. The steps made before the matched part
+is alone in the shard are its matching statistic, up to the window's length; windows that reach the length are above the
+threshold, and are reported where the least position in their interval is before their own.
+
+Null texts have no words. Empty tables give no rows. Of repeated rows and equal texts the first (least doc_id) keeps its words; rows that
+share a doc_id are versions of one document (see repeats.py).
 """
 
 from __future__ import annotations
@@ -15,41 +19,76 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .arrays import prefix_hash, range_hash
+from .arrays import prefix_hash, range_hash, ranges
 from .repeats import CROWDED, TOGETHER, Units, remove_repeats, word_units
 
 WORDS, GRAM = 20, 6
 SHARD_BYTES = 4 << 20
+#: One text position in RATE is kept.
+RATE = 8
+
+
+class Bits:
+    """A packed bit vector with ranks: a count before every 64 bits and the bits counted in between."""
+
+    def __init__(self, bit: np.ndarray):
+        self.words = np.packbits(np.append(bit, np.zeros(64 - len(bit) % 64, bit.dtype)), bitorder="little").view("<u8")
+        self.before = np.append(0, np.cumsum(np.bitwise_count(self.words), dtype=np.int64)).astype(np.int32)
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """Ones before each place."""
+        word = at >> 6
+        return self.before[word] + np.bitwise_count(self.words[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))).astype(np.int64)
+
+    def get(self, at: np.ndarray) -> np.ndarray:
+        return ((self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64)
+
+    def nbytes(self) -> int:
+        return self.words.nbytes + self.before.nbytes
+
+
+def suffix_order(text: np.ndarray) -> np.ndarray:
+    """Positions in order of the suffixes, where separators (0) differ from each other and stand in order of position."""
+    n, span = len(text), 1
+    rank = np.where(text == 0, np.arange(n), text + n)
+    rank = np.unique(rank, return_inverse=True)[1].astype(np.int64)
+    while n and rank.max() + 1 < n:
+        after = np.zeros(n, np.int64)
+        after[: n - span] = rank[span:] + 1 if span < n else 0
+        rank = np.unique((rank << 32) | after, return_inverse=True)[1]
+        span *= 2
+    return np.argsort(rank, kind="stable")
 
 
 class FMIndex:
-    """Counts and positions of patterns up to `depth` symbols in text (symbols 0..n-1; 0 separates)."""
+    """Counts and positions of patterns in text (symbols 0..n-1; 0 separates and ends it)."""
 
-    def __init__(self, text: np.ndarray, depth: int):
+    def __init__(self, text: np.ndarray, rate: int = RATE):
         n = len(text)
         self.symbols = int(text.max()) + 1 if n else 1
-        rank, span = text.astype(np.int64), 1
-        while span < depth:
-            after = np.zeros(n, np.int64)
-            after[: n - span] = rank[span:] + 1 if span < n else 0
-            rank = np.unique((rank << 32) | after, return_inverse=True)[1]
-            span *= 2
-        self.positions = np.argsort(rank, kind="stable")
-        bwt = text[self.positions - 1]
+        order = suffix_order(text)
+        bwt = text[order - 1]
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=self.symbols))])
+        begins = np.append(True, text[:-1] == 0)  # where a piece begins, and every rate-th place from there on
+        inside = np.arange(n) - np.maximum.accumulate(np.where(begins, np.arange(n), 0))
+        marked = (inside % rate == 0)[order]
+        self.marked, self.samples = Bits(marked), order[marked].astype(np.int32)
         self.bits = max(1, int(self.symbols - 1).bit_length())
-        self.ones: list[np.ndarray] = []
+        self.levels: list[Bits] = []
         self.zeros: list[int] = []
         for level in range(self.bits - 1, -1, -1):
-            bit = (bwt >> level) & 1
-            self.ones.append(np.concatenate([[0], np.cumsum(bit)]).astype(np.int32))
+            bit = ((bwt >> level) & 1).astype(np.uint8)
+            self.levels.append(Bits(bit))
             self.zeros.append(n - int(bit.sum()))
             bwt = np.concatenate([bwt[bit == 0], bwt[bit == 1]])
         self.base = self._walk(np.arange(self.symbols), np.zeros(self.symbols, np.int64))
 
+    def nbytes(self) -> int:
+        return sum(x.nbytes() for x in self.levels) + self.marked.nbytes() + self.samples.nbytes + self.first.nbytes + self.base.nbytes
+
     def _walk(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         for k, level in enumerate(range(self.bits - 1, -1, -1)):
-            ones = self.ones[k][at]
+            ones = self.levels[k].rank(at)
             at = np.where((symbol >> level) & 1, self.zeros[k] + ones, at - ones)
         return at
 
@@ -58,19 +97,51 @@ class FMIndex:
         shift = self.first[symbol] - self.base[symbol]
         return shift + self._walk(symbol, low), shift + self._walk(symbol, high)
 
-    def repeated(self, text: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the patterns text[start : start + length] those that occur twice or more: (which, low, high)."""
-        which = np.arange(len(start))
-        symbol = text[start + length - 1]
-        low, high = self.first[symbol], self.first[symbol + 1]
+    def _back(self, row: np.ndarray) -> np.ndarray:
+        """The row of the suffix one place before each row's."""
+        at, symbol = row, np.zeros(len(row), np.int64)
+        for k in range(self.bits):
+            bit, ones = self.levels[k].get(at), self.levels[k].rank(at)
+            at = np.where(bit, self.zeros[k] + ones, at - ones)
+            symbol = (symbol << 1) | bit
+        return at - self.base[symbol] + self.first[symbol]
+
+    def positions(self, row: np.ndarray) -> np.ndarray:
+        """Text positions of rows, by walking back to a sampled one."""
+        out, row, todo, steps = np.zeros(len(row), np.int64), row.copy(), np.arange(len(row)), 0
+        while len(todo):
+            here = self.marked.get(row[todo]) == 1
+            done = todo[here]
+            out[done] = self.samples[self.marked.rank(row[done])] + steps
+            todo = todo[~here]
+            row[todo] = self._back(row[todo])
+            steps += 1
+        return out
+
+    def matching_statistics(self, patterns: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each patterns[start : start + length]: how much of its end stands twice or more in the text, and the interval of that."""
+        stat = np.zeros(len(start), np.int64)
+        symbol = patterns[start + length - 1]
+        low, high = self.first[symbol].copy(), self.first[symbol + 1].copy()
+        alive = np.flatnonzero(high - low > 1)
+        stat[alive] = 1
         for step in range(length - 2, -1, -1):
-            alive = high - low > 1
-            which, low, high = which[alive], low[alive], high[alive]
-            if not len(which):
+            if not len(alive):
                 break
-            low, high = self.extend(text[start[which] + step], low, high)
-        alive = high - low > 1
-        return which[alive], low[alive], high[alive]
+            a, b = self.extend(patterns[start[alive] + step], low[alive], high[alive])
+            stay = b - a > 1
+            alive = alive[stay]
+            low[alive], high[alive] = a[stay], b[stay]
+            stat[alive] += 1
+        return stat, low, high
+
+    def least_positions(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The least text position in each interval; intervals are disjoint or equal."""
+        lows, back = np.unique(low, return_inverse=True)
+        highs = np.zeros(len(lows), np.int64)
+        highs[back] = high
+        at = self.positions(ranges(lows, highs - lows))
+        return np.minimum.reduceat(at, np.cumsum(highs - lows) - (highs - lows))[back]
 
 
 def early_windows(contents: list[bytes], windows: np.ndarray, ids: np.ndarray, starts: np.ndarray, length: int = WORDS) -> np.ndarray:
@@ -82,18 +153,14 @@ def early_windows(contents: list[bytes], windows: np.ndarray, ids: np.ndarray, s
     begin = u.offs[:-1] + np.arange(len(sizes))  # a separator follows each segment
     text = np.zeros(len(symbol) + len(sizes), np.int64)
     text[np.arange(len(symbol)) + np.repeat(np.arange(len(sizes)), sizes)] = symbol
-    index = FMIndex(text, 1 << (length - 1).bit_length())
+    index = FMIndex(text)
     segment = np.repeat(np.arange(len(windows)), windows)
     at = np.arange(len(segment)) - np.repeat(np.cumsum(windows) - windows, windows) + begin[segment]
     out = np.zeros(len(at), bool)
-    which, low, high = index.repeated(text, at, length)
+    stat, low, high = index.matching_statistics(text, at, length)
+    which = np.flatnonzero(stat >= length)
     if len(which):
-        lows, back = np.unique(low, return_inverse=True)
-        highs = np.zeros(len(lows), np.int64)
-        highs[back] = high
-        cut = np.stack([lows, highs], axis=1).ravel()
-        order = np.append(index.positions, np.iinfo(np.int64).max)
-        least = np.minimum.reduceat(order, cut)[::2][back]
+        least = index.least_positions(low[which], high[which])
         source = np.searchsorted(begin, least, "right") - 1
         mine = segment[which]
         place = lambda seg, pos: starts[seg] + pos - begin[seg]

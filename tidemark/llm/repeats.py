@@ -3,14 +3,16 @@
 A window's minimiser is its k-unit gram of least hash, the leftmost of equals. Consecutive windows of a document with the
 same minimiser are a segment. Equal windows have equal minimisers, so they meet when segments are dealt by the minimiser's hash.
 
-1. Segments travel as hashes. Equal segments (minimiser and content) repeat each other as a whole: all but the first
-   (least doc_id, then start) are found. Minimisers that only equal segments share need nothing more.
-2. Where a minimiser has several different segments, the first of each is read again, dealt by minimiser, and put into
-   shards of bounded size. A shard's index (an FM-index or longest-previous-factor arrays) tells which windows start earlier.
-3. A minimiser that is crowded in some batch (many different segments, as at the edges of a very common passage) is
-   dealt by single windows instead, of which a batch sends only the first. So are the segments of a minimiser that has more than
-   TOGETHER different ones in all batches: a shard holds its bytes and TOGETHER segments at most,
-   or one window from each batch. The posts of a bucket are still held together in one task.
+1. Segments travel as hashes, each different one (minimiser and content) once from a batch. Minimisers of one segment that
+   stands once are done with: none of their windows repeats. Only segments of one minimiser are compared, by 64-bit hashes of the content.
+2. The first of each different segment that is left is read again, dealt by minimiser, and put into shards of bounded size.
+   A shard's index (an FM-index or longest-previous-factor arrays) tells which windows start earlier. A segment that stands
+   several times is indexed twice; its later places go when the index finds the second copy's windows, and not otherwise.
+3. A minimiser that is crowded in some batch (many different segments, as at the edges of a very common passage), or that has more
+   than TOGETHER different segments in all batches, is dealt by single windows instead, of which a batch sends only the
+   first: a shard holds its bytes and TOGETHER segments at most, or one window from each batch.
+
+So every window that goes was found by an index. Later places meet the index's finds by a salted join on narrow rows.
 
 Positions are ordered by (doc_id, start). Rows that share a doc_id are versions of one document: what is found in one
 is removed from all of them at that place, and places that coincide never count as earlier. Null doc_ids come first.
@@ -28,13 +30,16 @@ from pyspark.sql import functions as F
 
 from .arrays import SPACE, covered, prefix_hash, prefix_sums, range_hash, ranges, slices, text_parts, window_starts, word_spans
 from .common import partitions, stored, tune
+from .ids import as_long
 
 CROWDED = 40
 #: Different segments that one minimiser puts into an index shard at most; a segment is shorter than two windows.
 TOGETHER = 8000
 #: Bytes of text that a task looks at together.
 SLICE = 3 << 19
-NULL_ID = -(2**63)
+#: Parts that the later places of one segment are dealt into.
+SALTS = 8
+LAST_ID = 2**63 - 1
 
 
 @dataclass
@@ -106,10 +111,14 @@ def _later(keys: tuple[np.ndarray, ...], ids: np.ndarray, start: np.ndarray) ->
 
 
 _POST = "bucket int, kind int, keys binary, hashes binary, ids binary, places binary, starts binary, windows binary"
-#: kind 0: windows that start earlier; 1: segments to read; 2: the same of crowded minimisers.
-_FOUND = "kind int, key long, doc_id long, start int, windows int"
-_SEGMENT = "kind int, key long, doc_id long, start int, windows int, content binary"
-_TYPES = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+#: kind 0: later places of a segment; 1: segments to read; 2: the same of crowded minimisers; AGAIN more where it has later places.
+_FOUND = "kind int, key long, h long, doc_id long, start int, windows int"
+AGAIN = 2
+#: A segment's content under the key that deals it; later places have none.
+_SEGMENT = "lay long, key long, h long, doc_id long, start int, windows int, again boolean, content binary"
+#: kind 0: later places; 1: windows that start earlier; 2: segments whose windows the index found in their second copy.
+_EARLY = "kind int, key long, h long, doc_id long, start int, windows int"
+_TYPES = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
 
 
 def _batch(columns: list, names: str) -> pa.RecordBatch:
@@ -140,11 +149,13 @@ def _write_posts(make: Callable, length: int, gram: int, buckets: int, crowded:
                 v, h, doc, s, windows = segments(u, length, gram)
                 ids = b.column("doc_id").to_numpy()[doc]
                 start = s - u.offs[doc]
-                head, _, later = _later((v, h), ids, start)
+                head, group, later = _later((v, h), ids, start)
+                twice = np.zeros(len(head), np.int64)
+                twice[group[later]] = 1
                 rows = []
                 if len(later):
                     rows.append(_post(int(ids[later[0]] % buckets), 0, v[later], h[later], ids[later], start[later], windows[later]))
-                v, h, ids, start, windows = (x[head] for x in (v, h, ids, start, windows))
+                v, h, ids, start, windows = (x[head] for x in (v, h, ids, start, 2 * windows + twice[group]))
                 edge = np.concatenate([[0], np.flatnonzero(v[1:] != v[:-1]) + 1]) if len(v) else np.zeros(0, np.int64)
                 many = np.repeat(np.diff(np.append(edge, len(v))), np.diff(np.append(edge, len(v)))) > crowded
                 where = np.where(many, h ^ v, v) % np.uint64(buckets)
@@ -165,8 +176,8 @@ def _write_posts(make: Callable, length: int, gram: int, buckets: int, crowded:
     return run
 
 
-def _found(kind: int, v, ids, start, windows) -> pa.RecordBatch:
-    return _batch([np.full(len(v), kind, np.int32), v.view(np.int64), ids, start.astype(np.int32), windows.astype(np.int32)], _FOUND)
+def _found(kind, v, h, ids, start, windows) -> pa.RecordBatch:
+    return _batch([np.zeros(len(v), np.int32) + np.int32(kind), v.view(np.int64), h.view(np.int64), ids, start.astype(np.int32), windows.astype(np.int32)], _FOUND)
 
 
 def _match_posts(together: int):
@@ -179,9 +190,12 @@ def _match_posts(together: int):
             for posts, kind in ((plain, 1), (crowded, 2)):
                 if posts:
                     v, h, ids, start, windows = (np.concatenate(x) for x in zip(*posts, strict=True))
-                    head, _, later = _later((v, h), ids, start)
+                    windows, twice = windows >> 1, windows & 1
+                    head, group, later = _later((v, h), ids, start)
                     if len(later):
-                        yield _found(0, v[later], ids[later], start[later], windows[later])
+                        yield _found(0, v[later], h[later], ids[later], start[later], windows[later])
+                    again = np.bincount(group, weights=twice, minlength=len(head)) > 0
+                    again[group[later]] = True
                     x = v[head]
                     edge = np.concatenate([[0], np.flatnonzero(x[1:] != x[:-1]) + 1])
                     size = np.diff(np.append(edge, len(x)))
@@ -189,10 +203,10 @@ def _match_posts(together: int):
                     hot = (size > together) | np.isin(x, np.concatenate(told) if told else x[:0])
                     if kind == 2:
                         hot[:] = True
-                    for mask, out in (((size > 1) & ~hot, 1), (hot, 2)):
-                        at = head[mask]
-                        if len(at):
-                            yield _found(out, v[at], ids[at], start[at], windows[at])
+                    use = np.flatnonzero((size > 1) | again | hot)
+                    if len(use):
+                        at = head[use]
+                        yield _found(np.where(hot[use], 2, 1) + AGAIN * again[use], v[at], h[at], ids[at], start[at], windows[at])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -200,8 +214,7 @@ def _match_posts(together: int):
                     yield from close()
                     bucket, plain, crowded, told = row[0], [], [], []
                 if row[1] == 0:
-                    v, _, ids, start, windows = _read_post(row)
-                    yield _found(0, v, ids, start, windows)
+                    yield _found(0, *_read_post(row))
                 elif row[1] == 3:
                     told.append(np.frombuffer(row[2], np.uint64))
                 else:
@@ -227,10 +240,13 @@ def _read_segments(make: Callable, length: int):
                     for x in todo:
                         if x["start"] + x["windows"] - 1 + length > sizes[d]:
                             continue  # another version of the document
-                        if x["kind"] == 1:
+                        again = x["kind"] > AGAIN
+                        crowded = x["kind"] - AGAIN * again == 2
+                        if again or not crowded:
                             a = base + x["start"]
-                            rows.append((1, x["key"], ids[d], x["start"], x["windows"], u.content(a, a + x["windows"] - 1 + length)))
-                        else:
+                            lay = x["key"] ^ x["h"] if crowded else x["key"]
+                            rows.append((lay, x["key"], x["h"], ids[d], x["start"], x["windows"], again, u.content(a, a + x["windows"] - 1 + length)))
+                        if crowded:
                             hot.append((d, x["start"], x["windows"]))
                 if hot:
                     d, s, n = (np.array(x, np.int64) for x in zip(*hot, strict=True))
@@ -239,53 +255,76 @@ def _read_segments(make: Callable, length: int):
                     a = u.offs[doc] + start
                     name = np.array(ids, np.int64)[doc]
                     key = range_hash(u.sums, a, a + length)
-                    head, _, later = _later((key,), name, start)
+                    head, group, later = _later((key,), name, start)
+                    again = np.zeros(len(head), bool)
+                    again[group[later]] = True
+                    key = key.view(np.int64)
                     if len(later):
-                        one = np.ones(len(later), np.int32)
-                        yield _batch([0 * one, key[later].view(np.int64), name[later], start[later].astype(np.int32), one, [None] * len(later)], _SEGMENT)
-                    rows += [(2, int(key[i].view(np.int64)), int(name[i]), int(start[i]), 1, u.content(int(a[i]), int(a[i]) + length)) for i in head.tolist()]
+                        k = key[later]
+                        yield _batch([name[later] ^ start[later], k, k, name[later], start[later].astype(np.int32), np.ones(len(later), np.int32), np.zeros(len(later), bool), [None] * len(later)], _SEGMENT)
+                    rows += [(int(key[i]), int(key[i]), int(key[i]), int(name[i]), int(start[i]), 1, bool(x), u.content(int(a[i]), int(a[i]) + length)) for i, x in zip(head.tolist(), again.tolist(), strict=True)]
                 for at in range(0, len(rows), 20_000):
                     yield _batch([*zip(*rows[at : at + 20_000], strict=True)], _SEGMENT)
 
     return run
 
 
-def _index_shards(index: Callable, length: int, shard_bytes: int):
-    """Task: segments in order of key; windows that start earlier out. A shard ends between keys."""
+def _index_shards(index: Callable, shard_bytes: int):
+    """Task: segments in order of the key that deals them; windows that start earlier out. A shard ends between keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, size = None, [], 0
 
         def close() -> Iterator[pa.RecordBatch]:
-            rows = sorted(held)
-            if len(rows) > 1:
-                ids = np.array([r[0] for r in rows], np.int64)
-                start = np.array([r[1] for r in rows], np.int64)
-                windows = np.array([r[2] for r in rows], np.int64)
-                early = index([r[3] for r in rows], windows, ids, start)  # one flag for each window, in order
-                segment = np.repeat(np.arange(len(rows)), windows)
-                offset = ranges(np.zeros(len(rows), np.int64), windows)
-                at = np.flatnonzero(early)
-                if len(at):
-                    new = np.ones(len(at), bool)
-                    new[1:] = (np.diff(at) != 1) | (segment[at][1:] != segment[at][:-1])
-                    first = np.flatnonzero(new)
-                    n = np.diff(np.append(first, len(at)))
-                    x = at[first]
-                    yield _batch([ids[segment[x]], (start[segment[x]] + offset[x]).astype(np.int32), n.astype(np.int32)], "doc_id long, start int, windows int")
+            first: dict[bytes, int] = {}  # a content's place among the different ones
+            rows, more = [], []
+            for row in sorted(held):
+                k = first.setdefault(row[3], len(rows))
+                if k == len(rows):
+                    rows.append(row)
+                    more.append([])
+                else:
+                    more[k].append(row)
+            twice = [k for k, row in enumerate(rows) if row[6] or any(r[6] or r[:2] != row[:2] for r in more[k])]  # these stand once more behind all the others
+            if len(rows) + len(twice) < 2:
+                return
+            ids = np.array([r[0] for r in rows] + [LAST_ID] * len(twice), np.int64)
+            start = np.array([r[1] for r in rows] + [k << 32 for k in range(len(twice))], np.int64)  # no two places of copies are the same
+            windows = np.array([r[2] for r in rows] + [rows[k][2] for k in twice], np.int64)
+            early = index([r[3] for r in rows] + [rows[k][3] for k in twice], windows, ids, start)  # one flag for each window, in order
+            ends = np.cumsum(windows)
+            found: list[tuple] = []
+            for c, k in enumerate(twice, len(rows)):
+                if early[ends[c] - windows[c] : ends[c]].all():
+                    found += [(1, 0, 0, r[0], r[1], r[2]) for r in more[k] if r[:2] != rows[k][:2]]
+                    found += [(2, r[4], r[5], 0, 0, 0) for r in (rows[k], *more[k]) if r[6]]
+            segment = np.repeat(np.arange(len(rows)), windows[: len(rows)])
+            offset = ranges(np.zeros(len(rows), np.int64), windows[: len(rows)])
+            at = np.flatnonzero(early[: len(segment)])
+            if len(at):
+                new = np.ones(len(at), bool)
+                new[1:] = (np.diff(at) != 1) | (segment[at][1:] != segment[at][:-1])
+                begin = np.flatnonzero(new)
+                x, none = at[begin], np.zeros(len(begin), np.int64)
+                yield _batch([none.astype(np.int32) + np.int32(1), none, none, ids[segment[x]], (start[segment[x]] + offset[x]).astype(np.int32), np.diff(np.append(begin, len(at))).astype(np.int32)], _EARLY)
+            if found:
+                yield _batch([*zip(*found, strict=True)], _EARLY)
 
         for b in batches:
-            for kind, k, name, s, n, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if kind == 0:
-                    yield _batch([[name], [s], [n]], "doc_id long, start int, windows int")
+            late = []
+            for lay, k, h, name, s, n, again, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if content is None:
+                    late.append((0, k, h, name, s, n))
                     continue
-                if k != key:
+                if lay != key:
                     if size >= shard_bytes:
                         yield from close()
                         held, size = [], 0
-                    key = k
-                held.append((name, s, n, content))
-                size += len(content)
+                    key = lay
+                held.append((name, s, n, content, k, h, again))
+                size += len(content) * (1 + again)
+            if late:
+                yield _batch([*zip(*late, strict=True)], _EARLY)
         yield from close()
 
     return run
@@ -297,17 +336,19 @@ def repeated_windows(docs: DataFrame, make: Callable, index: Callable, length: i
     buckets = partitions(spark)
     posts = docs.mapInArrow(_write_posts(make, length, gram, buckets, crowded), _POST)
     found = stored(posts.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_match_posts(together), _FOUND), "segments")
-    want = found.filter("kind > 0").groupBy("doc_id").agg(F.collect_list(F.struct("kind", "key", "start", "windows")).alias("want"))
+    want = found.filter("kind > 0").groupBy("doc_id").agg(F.collect_list(F.struct("kind", "key", "h", "start", "windows")).alias("want"))
     read = docs.join(want, "doc_id").select("doc_id", "text", "want").mapInArrow(_read_segments(make, length), _SEGMENT)
-    laid = read.repartition(buckets, "key").sortWithinPartitions("key")
-    early = stored(laid.mapInArrow(_index_shards(index, length, shard_bytes), "doc_id long, start int, windows int"), "early-windows")
-    return found.filter("kind = 0").select("doc_id", "start", "windows").unionByName(early)
+    laid = read.repartition(buckets, "lay").sortWithinPartitions("lay")
+    early = stored(laid.mapInArrow(_index_shards(index, shard_bytes), _EARLY), "early-windows")
+    late = found.unionByName(early).filter("kind = 0").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int"))
+    sure = early.filter("kind = 2").select("key", "h").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    at = ("doc_id", "start", "windows")
+    return late.join(sure, ["key", "h", "salt"]).select(*at).unionByName(early.filter("kind = 1").select(*at))
 
 
 def remove_repeats(docs: DataFrame, make: Callable, index: Callable, length: int, gram: int, shard_bytes: int, finish: Callable, schema: str, crowded: int = CROWDED, together: int = TOGETHER) -> DataFrame:
     """One row per row of docs: what finish(units, removed mask, document) makes of it, under `schema` after doc_id."""
-    kind = dict(docs.dtypes)["doc_id"]
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text")
+    docs, restore = as_long(docs, "text")
     gone = repeated_windows(docs, make, index, length, gram, shard_bytes, crowded, together)
     by_doc = gone.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("gone"))
     whole = f"doc_id long, {schema}"
@@ -331,4 +372,4 @@ def remove_repeats(docs: DataFrame, make: Callable, index: Callable, length: int
                 yield _batch([b.column("doc_id"), *zip(*rows, strict=True)], whole)
 
     out = docs.join(by_doc, "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(run, whole)
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NULL_ID)).cast(kind))
+    return restore(out, "doc_id")

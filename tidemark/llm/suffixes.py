@@ -4,7 +4,8 @@ See repeats.py for how documents are cut into the segments of a shard. A shard's
 "earlier" is "smaller" in it. The windows' suffixes are sorted to the depth of a window; the previous and next smaller
 positions in suffix order give each window's longest earlier match, and windows whose match has the full length go.
 
-Null texts are empty. Empty tables give no rows.
+Null texts are empty. Empty tables give no rows. Of repeated rows and equal texts the first (least doc_id) keeps its bytes; rows that
+share a doc_id are versions of one document (see repeats.py).
 """
 
 from __future__ import annotations
@@ -18,13 +19,17 @@ BYTES, GRAM = 100, 32
 SHARD_BYTES = 3 << 18
 
 
-def suffix_ranks(text: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
-    """(span, ranks of the suffixes by their first `span` bytes), spans doubling from 8 while below depth."""
-    n = len(text)
+def byte_words(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from every byte on as one number, the first byte highest."""
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    word = np.zeros(n, np.uint64)
+    word = np.zeros(len(text), np.uint64)
     for k in range(8):
-        word = (word << np.uint64(8)) | padded[k : k + n]
+        word = (word << np.uint64(8)) | padded[k : k + len(text)]
+    return word
+
+
+def suffix_ranks(word: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
+    """(span, ranks of the suffixes by their first `span` bytes), spans doubling from 8 while below depth."""
     out = [(8, np.unique(word, return_inverse=True)[1].astype(np.int32))]
     while out[-1][0] * 2 <= depth:
         span, rank = out[-1]
@@ -54,9 +59,10 @@ def previous_smaller(x: np.ndarray) -> np.ndarray:
 
 
 def longest_previous_factor(text: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(length, source) for each position in `at` (ascending): the longest match, up to depth, that starts at an
+    """(length, source) for each position in `at` (ascending): the longest match, up to depth (8 to 127), that starts at an
     earlier one of these positions, and where; source is -1 where there is none."""
-    ranks = suffix_ranks(text, depth)
+    word = byte_words(text)
+    ranks = suffix_ranks(word, depth)
     span, top = ranks[-1]
     whole = pair_rank(top, depth - span) if depth > span else top
     order = np.argsort(whole[at], kind="stable")
@@ -78,7 +84,11 @@ def longest_previous_factor(text: np.ndarray, at: np.ndarray, depth: int) -> tup
             p[fits] += step
             q[fits] += step
             done[fits] += step
-        n[rest] = done
+        apart = word[np.minimum(p, len(text) - 1)] ^ word[np.minimum(q, len(text) - 1)]  # less than eight bytes are left: count the equal ones
+        equal = np.zeros(len(rest), np.int64)
+        for k in range(1, 8):
+            equal += apart >> np.uint64(64 - 8 * k) == 0
+        n[rest] = np.minimum(np.minimum(done + equal, depth), len(text) - np.maximum(at[i[rest]], at[j[rest]]))
         better = n > length[i]
         length[i[better]], source[i[better]] = n[better], at[j[better]]
     return length, source
