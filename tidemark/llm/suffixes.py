@@ -79,7 +79,7 @@ def longest_previous_factor(text: np.ndarray, at: np.ndarray, depth: int) -> tup
         rest = np.flatnonzero(n == 0)
         p, q, done = p[rest].copy(), q[rest].copy(), np.zeros(len(rest), np.int64)
         for step, rank in reversed(ranks):
-            fits = np.flatnonzero((p < len(text) - step) & (q < len(text) - step) & (done + step <= depth))
+            fits = np.flatnonzero((p <= len(text) - step) & (q <= len(text) - step) & (done + step <= depth))
             fits = fits[rank[p[fits]] == rank[q[fits]]]
             p[fits] += step
             q[fits] += step
