@@ -308,7 +308,7 @@ def test_word_coder_equals_the_library():
     rng = random.Random(8)
     with open(P.path("word_bpe_49k.json"), encoding="utf-8") as f:
         coder = tokenfiles.WordCoder(f.read())
-    pieces = ["Stone", "r\u00edo", "E\u0301t\u00e9", "it's", "IT'S.", ".", ",,", "a.b", "x,.", "<|endoftext|>", "<|EndOfText|>.", "\u6f22\u5b57\u3002", "9,5", "\u00a0", "\u2003", "\x1c", "\U0001f642.", "ab" * 300 + "."]
+    pieces = ["Stone", "r\u00edo", "E\u0301t\u00e9", "it's", "IT'S.", ".", ",,", "a.b", "x,.", "<|endoftext|>", "<|EndOfText|>.", "\u6f22\u5b57\u3002", "9,5", "\u00a0", "\u2003", "\x1c", "\U0001f642.", "ab" * 300 + ".", "x\u2019.", "ci\u00f3n,", "r\u00edo###", "a<|b.", "tz&&&", "it's-", "\u00aa.", "x\u0301!"]
     texts = [rng.choice(["", " ", "\n"]).join(rng.choice(pieces) + rng.choice(["", " ", "\t\r\n", "."]) for _ in range(40)) for _ in range(60)] + [None, "", " "]
     ids, at, n, which, words = coder(pa.array(texts))
     flat = np.concatenate([ids[at[w] : at[w] + n[w]] for w in which])
@@ -346,7 +346,6 @@ def test_shard_gives_single_documents():
 
 
 def test_book_forgets_and_learns_again():
-    from tidemark.llm.arrays import prefix_hash
     from tidemark.llm.wordbook import Book, distinct_spans, ids_of_spans
 
     rng, book = np.random.default_rng(5), Book(4000)
@@ -359,7 +358,7 @@ def test_book_forgets_and_learns_again():
         size = rng.integers(0, 20, 100)
         data = rng.integers(97, 100, int(size.sum())).astype(np.uint8)
         end = np.cumsum(size)
-        ids, at, n, which = ids_of_spans(book, data, prefix_hash(data, False), end - size, end, learn)
+        ids, at, n, which = ids_of_spans(book, data, end - size, end, learn)
         got = [ids[at[w] : at[w] + n[w]].tolist() for w in which]
         assert got == [[int(data[a:b].sum())] if b > a else [] for a, b in zip(end - size, end, strict=True)]
         assert book.nbytes() < 12000

@@ -28,7 +28,6 @@ _TABLE_LOWER = _TABLE[LOWER]
 _ODD = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 2**64)
-_POWERS: dict[int, np.ndarray] = {}
 
 
 def text_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -58,20 +57,24 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20) ->
         start = end
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        size = max(1 << 16, 1 << int(n - 1).bit_length())
-        out = np.empty(size, np.uint64)
-        out[0] = 1
-        done = 1
-        with np.errstate(over="ignore"):
-            while done < size:
-                step = min(done, size - done)
-                out[done : done + step] = out[:step] * np.uint64(pow(base, done, 2**64))
-                done += step
-        _POWERS[base] = have = out
-    return have[:n]
+def _tables(base: int) -> list[np.ndarray]:
+    """Powers of base by three digits of 12 bits."""
+    return [np.array([pow(base, k << shift, 2**64) for k in range(4096)], np.uint64) for shift in (0, 12, 24)]
+
+
+_POWER, _POWER_INV = _tables(_BASE), _tables(_BASE_INV)
+
+
+def _power_at(tables: list[np.ndarray], k: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        out = tables[0][k & 4095] * tables[1][(k >> 12) & 4095]
+        return out * tables[2][k >> 24] if len(k) and int(k.max()) >> 24 else out
+
+
+def _powers(n: int) -> np.ndarray:
+    """base ** 0 to base ** (n - 1)."""
+    with np.errstate(over="ignore"):
+        return (_power_at(_POWER, np.arange(0, n, 4096))[:, None] * _POWER[0][None, :]).ravel()[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -87,7 +90,9 @@ def prefix_sums(units: np.ndarray) -> np.ndarray:
     out = np.zeros(len(units) + 1, np.uint64)
     if len(units):
         with np.errstate(over="ignore"):
-            np.cumsum(units * _power(_BASE, len(units)), out=out[1:])
+            x = _powers(len(units))
+            x *= units
+            np.cumsum(x, out=out[1:])
     return out
 
 
@@ -101,7 +106,19 @@ def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     if not len(start):
         return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
-        return mix((sums[end] - sums[start]) * _power(_BASE_INV, int(start.max()) + 1)[start] + (end - start).astype(np.uint64))
+        return mix((sums[end] - sums[start]) * _power_at(_POWER_INV, start) + (end - start).astype(np.uint64))
+
+
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool, block: int = 1 << 20) -> np.ndarray:
+    """The same for ascending spans, about `block` bytes at a time, so that no sums of the whole data are held."""
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + block, "right")))
+        base = int(start[i])
+        out[i:j] = range_hash(prefix_hash(data[base : int(end[j - 1])], lower), start[i:j] - base, end[i:j] - base)
+        i = j
+    return out
 
 
 def word_spans(data: np.ndarray, offs: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -28,15 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .arrays import SPACE, mix, prefix_hash, prefix_sums, range_hash, ranges, slices, text_parts
-from .common import tune, without
+from .arrays import SPACE, mix, prefix_sums, range_hash, ranges, slices, text_parts
+from .common import trimmed, tune, without
 from .wordbook import Book, as_list, distinct_spans, ids_of_spans
 
 LONG = 1000
 #: Rows that one recursive query may make, and what DuckDB may hold in a worker.
 QUERY_ROWS, QUERY_MEMORY = 1_500_000, "160MB"
 #: Bytes of text that a worker looks at together.
-SLICE = 4 << 20
+SLICE = 2 << 20
 EXTRA = T.StructType().add("n_tokens", "long").add("ids", "binary").add("decoded", "binary")
 
 ENCODE = """
@@ -110,7 +110,8 @@ class Codec:
         # the pattern's white space is the White_Space property; this library's \\s is wider by a few control characters
         self.pattern = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}"))
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": QUERY_MEMORY, "temp_directory": ""})
-        self.db.execute("SET preserve_insertion_order = false")
+        for setting in ("preserve_insertion_order = false", "allocator_flush_threshold = '1MB'", "allocator_bulk_deallocation_flush_threshold = '1MB'"):
+            self.db.execute(f"SET {setting}")
         vocabulary = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "chars": [t.decode("latin-1") for t in ranks]})
         for name, table in (("merges", pa.table({"pair": merges[0], "rank": merges[1]})), ("vocabulary", vocabulary)):
             self.db.register("_t", table)
@@ -195,7 +196,7 @@ class Codec:
         size = np.fromiter(map(len, found), np.int64, len(found))
         data = np.frombuffer(b"".join(found), np.uint8)
         end = np.cumsum(size)
-        ids, at, n, which = ids_of_spans(self.pieces, data, prefix_hash(data, False), end - size, end, self.learn_pieces)
+        ids, at, n, which = ids_of_spans(self.pieces, data, end - size, end, self.learn_pieces)
         own = n[which]
         pieces = np.fromiter(map(len, cut), np.int64, len(cut))
         return ids[ranges(at[which], own)], np.add.reduceat(own, np.cumsum(pieces) - pieces)
@@ -207,7 +208,7 @@ class Codec:
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
         end = np.append(start[1:], len(data))
-        ids, at, n, which = ids_of_spans(self.chunks, data, prefix_hash(data, False), start, end, self.learn_chunks)
+        ids, at, n, which = ids_of_spans(self.chunks, data, start, end, self.learn_chunks)
         own = n[which]
         total = np.append(0, np.cumsum(own))
         return ids[ranges(at[which], own)], total[np.searchsorted(start, offs)]
@@ -268,7 +269,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep_text: bool = Tru
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(sent, name)
-        for batch in batches:
+        for batch in trimmed(batches):
             for b in slices(batch, most=SLICE):
                 ids, offs = own.encode(b.column("text"))
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in stay), pa.array(np.diff(offs)), _binary(ids, offs), _binary(*own.decode(ids, offs))], names=schema.names)
@@ -285,7 +286,7 @@ def decode(tokens: DataFrame, ranks_path: str, pattern: str, column: str = "ids"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(sent, name)
-        for batch in batches:
+        for batch in trimmed(batches):
             for b in slices(batch, column, SLICE):
                 data, offs = text_parts(b.column(column))
                 yield pa.RecordBatch.from_arrays([*b.columns, _binary(*own.decode(np.frombuffer(data.tobytes(), "<u4"), offs // 4))], names=schema.names)

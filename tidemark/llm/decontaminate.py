@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrays import ALNUM, LOWER, covered, prefix_hash, range_hash, slices, text_parts, window_hash, window_starts, word_spans
-from .common import tune, without
+from .arrays import ALNUM, LOWER, covered, slices, span_hash, text_parts, window_hash, window_starts, word_spans
+from .common import trimmed, tune, without
 
 WORDS = 10
 BLOCK_BYTES = 8 << 20
@@ -35,7 +35,7 @@ def build_index(items: list[tuple], words: int) -> dict[int, tuple[np.ndarray, d
     found: dict[int, dict[int, dict[bytes, list[str]]]] = defaultdict(lambda: defaultdict(lambda: defaultdict(list)))
     data, offs = text_parts(pa.array([t for _, t in items], pa.large_string()))
     start, end, word_offs = word_spans(data, offs, ALNUM)
-    hashes = range_hash(prefix_hash(data, True), start, end)
+    hashes = span_hash(data, start, end, True)
     low = LOWER[data].tobytes()
     for k, (name, _) in enumerate(items):
         a, b = int(word_offs[k]), int(word_offs[k + 1])
@@ -51,7 +51,7 @@ def _scan(b: pa.RecordBatch, index, before: bool) -> tuple[list, ...]:
     """Hits of one block in one run of documents, merged with those of earlier blocks."""
     data, offs = text_parts(b.column("text"))
     start, end, word_offs = word_spans(data, offs, ALNUM)
-    hashes = range_hash(prefix_hash(data, True), start, end)
+    hashes = span_hash(data, start, end, True)
     at, span, names = [], [], defaultdict(set)
     low = None
     for size, (known, windows) in index.items():
@@ -128,7 +128,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, block_b
         sent = spark.sparkContext.broadcast(build_index(block, words))
 
         def run(batches, sent=sent, before=before):
-            for batch in batches:
+            for batch in trimmed(batches):
                 for b in slices(batch):
                     n, n_hit, masks, items, kept = _scan(b, sent.value, before)
                     yield pa.RecordBatch.from_arrays([*b.columns[:own], pa.array(n, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(masks, pa.binary()), pa.array(items, pa.list_(pa.string())), pa.array(kept, pa.string())], names=schema.names)

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .arrays import prefix_hash, range_hash, ranges
+from .arrays import ranges, span_hash
 from .repeats import CROWDED, TOGETHER, Units, remove_repeats, word_units
 
 WORDS, GRAM = 20, 6
@@ -147,7 +147,7 @@ class FMIndex:
 def early_windows(contents: list[bytes], windows: np.ndarray, ids: np.ndarray, starts: np.ndarray, length: int = WORDS) -> np.ndarray:
     """A flag for each window of the segments (in order of position): whether it starts earlier too."""
     u = word_units(pa.array(contents, pa.binary()))
-    words = range_hash(prefix_hash(u.data, False), u.start, u.end)
+    words = span_hash(u.data, u.start, u.end, False)
     symbol = np.unique(words, return_inverse=True)[1] + 1
     sizes = np.diff(u.offs)
     begin = u.offs[:-1] + np.arange(len(sizes))  # a separator follows each segment

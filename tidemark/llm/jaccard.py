@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import SPACE, mix, prefix_hash, range_hash, ranges, slices, text_parts, window_hash, window_starts, word_spans
-from .common import partitions, stored, tune
+from .arrays import SPACE, mix, ranges, slices, span_hash, text_parts, window_hash, window_starts, word_spans
+from .common import partitions, stored, trimmed, tune
 from .components import components
 
 WORDS, THRESHOLD = 5, Fraction(4, 5)
@@ -52,7 +52,7 @@ def shingle_sets(column: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.n
     """(hashes, offs): each document's distinct shingle hashes in ascending order, one after another."""
     data, offs = text_parts(column)
     start, end, word_offs = word_spans(data, offs, ~SPACE)
-    units = range_hash(prefix_hash(data, True), start, end)
+    units = span_hash(data, start, end, True)
     at = window_starts(word_offs, words)
     hashes = [window_hash(units, words)[at] if len(at) else np.zeros(0, np.uint64)]
     docs = [np.searchsorted(word_offs, at, "right") - 1]
@@ -201,7 +201,7 @@ def _frequent_here(words: int, t: Fraction):
     """Task: documents in; shingles of AGAIN different sets of a run of documents out, and the most keys of each class (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             for b in slices(batch, most=16 << 20):
                 h, offs = shingle_sets(b.column("text"), words)
                 doc = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
@@ -228,7 +228,7 @@ def _write_keys(buckets: int, words: int, t: Fraction, common, lanes: int, split
     """Task: documents in, their sizes and set hashes and their keys by bucket out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             for b in slices(batch, most=6 << 20):
                 ids = b.column("doc_id").to_numpy()
                 h, offs = shingle_sets(b.column("text"), words)
@@ -265,7 +265,7 @@ def _read_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(a):
                 yield _batch([np.ones(len(a), np.int32), a, z, *[np.zeros(len(a), np.int64)] * 3], _FOUND)
 
-    for batch in batches:
+    for batch in trimmed(batches):
         for k, kind, x, y, low, high in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
             if k != bucket:
                 yield from close()
@@ -372,7 +372,7 @@ def _grow_trees(words: int, t: Fraction):
                 if links:
                     yield _batch([[ids[a] for a, _ in links], [ids[b] for _, b in links]], "a long, b long")
 
-        for batch in batches:
+        for batch in trimmed(batches):
             for b in slices(batch):
                 h, offs = shingle_sets(b.column("text"), words)
                 names = zip(b.column("group").to_pylist(), b.column("set_id").to_pylist(), b.column("label").to_pylist(), strict=True)

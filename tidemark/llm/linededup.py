@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, tune, without
+from .common import stored, trimmed, tune, without
 
 FANOUT = 4
 #: Frequent keys up to this number are broadcast (16 bytes each); more are joined by shuffle.
@@ -121,7 +121,7 @@ def _drop_by_broadcast(docs: DataFrame, frequent: DataFrame) -> DataFrame:
                     seen[line] = got
             return got
 
-        for b in batches:
+        for b in trimmed(batches):
             n, dropped, texts = [], [], []
             for text in b.column("text").cast(pa.binary() if b.column("text").nbytes < 1 << 31 else pa.large_binary()).to_pylist():
                 lines = (text or b"").split(b"\n")

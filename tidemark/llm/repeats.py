@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import SPACE, covered, prefix_hash, prefix_sums, range_hash, ranges, slices, text_parts, window_starts, word_spans
-from .common import partitions, stored, tune
+from .arrays import SPACE, covered, prefix_hash, prefix_sums, range_hash, ranges, slices, span_hash, text_parts, window_starts, word_spans
+from .common import partitions, stored, trimmed, tune
 from .ids import as_long
 
 CROWDED = 40
@@ -59,7 +59,7 @@ class Units:
 def word_units(column: pa.Array) -> Units:
     data, offs = text_parts(column)
     start, end, word_offs = word_spans(data, offs, ~SPACE)
-    words = range_hash(prefix_hash(data, False), start, end)
+    words = span_hash(data, start, end, False)
     return Units(prefix_sums(words), word_offs, start, end, data)
 
 
@@ -143,7 +143,7 @@ def _read_post(row) -> tuple[np.ndarray, ...]:
 
 def _write_posts(make: Callable, length: int, gram: int, buckets: int, crowded: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             for b in slices(batch, most=SLICE):
                 u = make(b.column("text"))
                 v, h, doc, s, windows = segments(u, length, gram)
@@ -208,7 +208,7 @@ def _match_posts(together: int):
                         at = head[use]
                         yield _found(np.where(hot[use], 2, 1) + AGAIN * again[use], v[at], h[at], ids[at], start[at], windows[at])
 
-        for batch in batches:
+        for batch in trimmed(batches):
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[0] != bucket:
                     yield from close()
@@ -228,7 +228,7 @@ def _read_segments(make: Callable, length: int):
     """Task: documents with the segments to read; their contents out (crowded ones window by window)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             for b in slices(batch, most=SLICE):
                 u = make(b.column("text"))
                 ids = b.column("doc_id").to_pylist()
@@ -310,7 +310,7 @@ def _index_shards(index: Callable, shard_bytes: int):
             if found:
                 yield _batch([*zip(*found, strict=True)], _EARLY)
 
-        for b in batches:
+        for b in trimmed(batches):
             late = []
             for lay, k, h, name, s, n, again, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if content is None:
@@ -354,7 +354,7 @@ def remove_repeats(docs: DataFrame, make: Callable, index: Callable, length: int
     whole = f"doc_id long, {schema}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             for b in slices(batch, most=SLICE):
                 u = make(b.column("text"))
                 lists = b.column("gone")

@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrays import LOWER, SPACE, prefix_hash, ranges, slices, text_parts, word_spans
-from .common import new_path, partitions, tune
+from .arrays import LOWER, SPACE, ranges, slices, text_parts, word_spans
+from .common import new_path, partitions, trimmed, tune
 from .wordbook import Book, as_list, ids_of_spans
 
 SHARD_TOKENS = 1_000_000
@@ -204,6 +204,12 @@ def decode_document(shard: dict, k: int) -> np.ndarray:
     return expand(s[starts[k] : starts[k + 1] if k + 1 < len(starts) else len(s)], _unpack(shard["rules"]).reshape(-1, 2), _unpack(shard["lengths"]), shard["vocabulary"])
 
 
+#: What may end a word and be taken apart from it: marks without the apostrophe and what names of special tokens begin with.
+MARKS = "!#$%&()*+,-./:;=>?@[]^_{}~"
+_MARK = np.zeros(256, bool)
+_MARK[np.frombuffer(MARKS.encode(), np.uint8)] = True
+
+
 class WordCoder:
     """Ids of texts. Where the tokenizer drops white space and looks at nothing across it, texts go word by word through a
     dictionary; where it also lowers case and parts letters from full stops and commas, words share their stems' ids. Both are
@@ -225,33 +231,45 @@ class WordCoder:
         self.by_word = all(self.ids([f"{a}{gap.join(probe)}{a}"])[0] == joined for gap, a in ((" ", ""), ("\n", " "), (" \t\r\n  ", "\x0b"), ("\x0c", "")))
         letters = [k for k, w in enumerate(probe) if w.isascii() and w.isalpha()]
         self.lowers = self.by_word and self.ids([probe[k].upper() for k in letters]) == self.ids([probe[k].lower() for k in letters]) and self.ids([w.upper() for w in probe if w.isascii()]) == self.ids([w.lower() for w in probe if w.isascii()])
-        tails = [".", ",", "..", ".,", ",.", "...", ".,.,"]
+        tails = [*MARKS, *(a + b for a, b in zip(MARKS, MARKS[1:] + MARKS[:1], strict=True)), ".,.,", "...", "###", MARKS]
         self.parts = self.lowers and all(self.ids([probe[k] + m for k in letters]) == [alone[k] + x for k in letters] for m, x in zip(tails, self.ids(tails), strict=True))
         marks = [w for w in plain if len(w) == 8 and w.islower()]
         coded = self.ids(marks) if self.by_word else []
         one = next((k for k, x in enumerate(coded) if len(x) == 1), None)
-        self.mark, self.mark_id = (None, -1) if one is None else (marks[one], coded[one][0])
+        self.gaps: list[tuple[str, int, int]] = []  # what parts the words of a line, its id, and the words of a line
+        if one is not None:
+            self.gaps.append((f" {marks[one]} ", coded[one][0], 200))
+        zero = self.ids(["0"])[0]
+        words = [probe[k] for k in letters] + ["\u00e9t\u00e9", "\u6f22\u5b57"]
+        if self.by_word and len(zero) == 1 and self._joined(words, ("0", zero[0], len(words))) == self.ids(words):
+            self.gaps.append(("0", zero[0], 32))  # only between words of letters: the tokenizer takes digits apart
 
     def ids(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
+    def _joined(self, words: list[str], gap: tuple[str, int, int]) -> list[list[int]]:
+        """Ids of words that go in lines, with a gap of one id between them; a line whose ids hold that id elsewhere goes word by word."""
+        between, mark, n = gap
+        lines = [words[i : i + n] for i in range(0, len(words), n)]
+        out = []
+        for line, ids in zip(lines, self.ids([between.join(x) for x in lines]), strict=True):
+            if ids.count(mark) != len(line) - 1:
+                out += self.ids(line)
+                continue
+            at = [-1, *(k for k, x in enumerate(ids) if x == mark), len(ids)]
+            out += [ids[i + 1 : j] for i, j in zip(at, at[1:], strict=False)]
+        return out
+
     def learn_stems(self, raw: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Encode words in lines of 200 with a one-id word between them; a line whose ids hold that id elsewhere goes word by word."""
         words = [w.decode() for w in as_list(raw, size)]
-        lines = [words[i : i + 200] for i in range(0, len(words), 200)]
-        coded = self.ids([f" {self.mark} ".join(line) for line in lines]) if self.mark else [[]] * len(lines)
-        out, n = [], []
-        for line, ids in zip(lines, coded, strict=True):
-            flat = np.array(ids, np.uint32)
-            at = np.flatnonzero(flat == self.mark_id)
-            if self.mark and len(at) == len(line) - 1:
-                n.append(np.diff(np.concatenate([[-1], at, [len(flat)]])) - 1)
-                out.append(flat[flat != self.mark_id])
-            else:
-                each = self.ids(line)
-                n.append(np.fromiter(map(len, each), np.int64, len(each)))
-                out.append(np.array([y for x in each for y in x], np.uint32))
-        return np.concatenate(out), np.concatenate(n)
+        plain = [len(self.gaps) > 1 and w.isalpha() for w in words]
+        out: list[list[int]] = [[]] * len(words)
+        for kind in (True, False):
+            at = [k for k, x in enumerate(plain) if x == kind]
+            some = [words[k] for k in at]
+            for k, x in zip(at, self._joined(some, self.gaps[-1 if kind else 0]) if self.gaps else self.ids(some), strict=True):
+                out[k] = x
+        return np.array([y for x in out for y in x], np.uint32), np.fromiter(map(len, out), np.int64, len(out))
 
     def learn_words(self, raw: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not self.lowers:
@@ -264,14 +282,18 @@ class WordCoder:
         plain &= np.add.reduceat(odd.astype(np.int64), start) == 0
         low = np.where(np.repeat(plain, size), low, raw)
         cut = end.copy()
-        todo = np.flatnonzero(plain) if self.parts else np.zeros(0, np.int64)
+        todo = np.flatnonzero(plain | (raw[end - 1] < 0x80)) if self.parts else np.zeros(0, np.int64)
+        todo = todo[np.add.reduceat(odd.astype(np.int64), start)[todo] == 0]
         while len(todo):
-            todo = todo[(cut[todo] > start[todo]) & ((low[np.maximum(cut[todo] - 1, 0)] == 0x2E) | (low[np.maximum(cut[todo] - 1, 0)] == 0x2C))]
+            todo = todo[(cut[todo] > start[todo]) & _MARK[low[np.maximum(cut[todo] - 1, 0)]]]
             cut[todo] -= 1
         before = low[np.maximum(cut - 1, 0)]
-        cut = np.where((cut > start) & (before >= 0x61) & (before <= 0x7A), cut, end)
+        letter = (before >= 0x61) & (before <= 0x7A)
+        for k in np.flatnonzero((before >= 0x80) & (cut < end)).tolist():
+            letter[k] = low[start[k] : cut[k]].tobytes().decode()[-1].isalpha()
+        cut = np.where((cut > start) & letter, cut, end)
         a, z = np.stack([start, cut], axis=1).ravel(), np.stack([cut, end], axis=1).ravel()
-        ids, at, n, which = ids_of_spans(self.stems, low, prefix_hash(low, False), a, z, self.learn_stems)
+        ids, at, n, which = ids_of_spans(self.stems, low, a, z, self.learn_stems)
         return ids[ranges(at[which], n[which])], n[which].reshape(-1, 2).sum(axis=1)
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -283,7 +305,7 @@ class WordCoder:
             if not len(start):
                 none = np.zeros(0, np.int64)
                 return none.astype(np.uint32), none, none, none, np.diff(word_offs)
-            return *ids_of_spans(self.words, data, prefix_hash(data, False), start, end, self.learn_words), np.diff(word_offs)
+            return *ids_of_spans(self.words, data, start, end, self.learn_words), np.diff(word_offs)
         each = self.ids([t or "" for t in column.to_pylist()])
         n = np.fromiter(map(len, each), np.int64, len(each))
         return np.array([y for x in each for y in x], np.uint32), np.cumsum(n) - n, n, np.arange(len(each)), np.ones(len(each), np.int64)
@@ -332,7 +354,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end: int = END, path: str
             row |= {"part": part, "shard": shard, "doc_ids": names}
             return pa.RecordBatch.from_arrays([pa.array([row[f.name]], _arrow(f.dataType)) for f in schema.fields], names=schema.names)
 
-        for batch in batches:
+        for batch in trimmed(batches):
             for b in slices(batch, most=min(SLICE, 4 * shard_tokens)):
                 coded = code(b.column("text"))
                 names += b.column("doc_id").to_pylist()

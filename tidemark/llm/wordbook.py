@@ -1,8 +1,8 @@
 """Distinct byte spans of a batch, and a bounded dictionary from byte strings to id sequences in flat arrays.
 
 Spans meet by 64-bit hashes, and equal hashes count as equal only where the bytes are. A dictionary entry takes about 40
-bytes, so a worker can remember a million words; beyond `most_bytes` the entries that were not asked for since the last
-clearing are forgotten and learnt again when they come back. What is remembered never changes a result.
+bytes, so a worker can remember a million words; beyond `most_bytes` the entries that nobody asked for since the last time
+are forgotten and learnt again when they come back. What is remembered never changes a result.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from .arrays import range_hash, ranges
+from .arrays import ranges, span_hash
 
 _MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
@@ -93,15 +93,15 @@ class Book:
         both = lambda a, b: np.concatenate([a, b.astype(a.dtype)])[order]
         self.keys = keys[order]
         self.raw_at, self.ids_at = both(self.raw_at, len(self.raw) + np.cumsum(size) - size), both(self.ids_at, len(self.ids) + np.cumsum(n_ids) - n_ids)
-        self.size, self.n_ids, self.used = both(self.size, size), both(self.n_ids, n_ids), both(self.used, np.ones(len(size), bool))
+        self.size, self.n_ids, self.used = both(self.size, size), both(self.n_ids, n_ids), both(self.used, np.zeros(len(size), bool))
         self.raw, self.ids = np.concatenate([self.raw, raw]), np.concatenate([self.ids, ids])
         self.words = loads(self.raw)
 
 
-def ids_of_spans(book: Book, data: np.ndarray, sums: np.ndarray, start: np.ndarray, end: np.ndarray, learn: Callable) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def ids_of_spans(book: Book, data: np.ndarray, start: np.ndarray, end: np.ndarray, learn: Callable) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(ids, offsets, sizes, which): the ids of the distinct spans one after another, where each begins and how many it has,
     and which of them every span is. learn(bytes of new spans one after another, their sizes) gives (their ids, how many each has)."""
-    hashes = range_hash(sums, start, end)
+    hashes = span_hash(data, start, end, False)
     first, which = distinct_spans(data, start, end, hashes)
     h, a, size = hashes[first], start[first], (end - start)[first]
     place = book.find(h, data, a, size)
