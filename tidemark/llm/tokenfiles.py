@@ -289,7 +289,7 @@ class WordCoder:
             cut[todo] -= 1
         before = low[np.maximum(cut - 1, 0)]
         letter = (before >= 0x61) & (before <= 0x7A)
-        for k in np.flatnonzero((before >= 0x80) & (cut < end)).tolist():
+        for k in np.flatnonzero((before >= 0x80) & (cut < end) & (cut > start)).tolist():
             letter[k] = low[start[k] : cut[k]].tobytes().decode()[-1].isalpha()
         cut = np.where((cut > start) & letter, cut, end)
         a, z = np.stack([start, cut], axis=1).ravel(), np.stack([cut, end], axis=1).ravel()
