@@ -47,8 +47,8 @@ def lower(t):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
 
 
-@pytest.mark.parametrize("chunk", [jaccard.CHUNK, 3])
-def test_jaccard(docs, rows, chunk):
+@pytest.mark.parametrize(("chunk", "mass"), [(jaccard.CHUNK, jaccard.CHUNK_SHINGLES), (3, jaccard.CHUNK_SHINGLES), (jaccard.CHUNK, 150)])
+def test_jaccard(docs, rows, chunk, mass):
     def shingles(t):
         w = lower(t).encode().split()
         return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
@@ -67,7 +67,7 @@ def test_jaccard(docs, rows, chunk):
                 a, b = find(i), find(j)
                 parent[max(a, b)] = min(a, b)
     want = sorted((i, len(s), find(i)) for i, s in sets)
-    assert sorted((none_first(r.doc_id), r.n_shingles, none_first(r.component_id)) for r in jaccard.near_duplicates(docs, chunk=chunk).collect()) == want
+    assert sorted((none_first(r.doc_id), r.n_shingles, none_first(r.component_id)) for r in jaccard.near_duplicates(docs, chunk=chunk, chunk_shingles=mass).collect()) == want
 
 
 def test_jaccard_lanes_are_split_by_key(docs):
@@ -105,6 +105,47 @@ def test_signature_tree_finds_all_pairs():
                 assert (a, b) in found
 
 
+def test_tree_links_span_all_links():
+    rng = np.random.default_rng(7)
+    sets = []
+    for _ in range(30):
+        base = np.unique(rng.integers(0, 1 << 62, rng.integers(8, 80)).astype(np.uint64))
+        for _ in range(rng.integers(1, 12)):  # chains: each differs a little from the one before
+            base = np.unique(np.append(np.delete(base, rng.integers(0, len(base), 2)), rng.integers(0, 1 << 62, 2).astype(np.uint64)))
+            sets.append(base)
+    linked = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))
+
+    def groups(edges):
+        root = list(range(len(sets)))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in edges:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+        return [find(x) for x in range(len(sets))]
+
+    every = [(i, j) for i in range(len(sets)) for j in range(i) if linked(sets[i], sets[j])]
+    found = jaccard.tree_links(sets, list(range(len(sets))))
+    assert all(linked(sets[a], sets[b]) for a, b in found)
+    assert groups(found) == groups(every)
+    assert len(found) == len(sets) - len(set(groups(every)))
+    labels = groups(every[::2])
+    assert groups([*every[::2], *jaccard.tree_links(sets, labels)]) == groups(every)
+
+
+def test_keep_one_tells_rows_apart(spark):
+    t, u = " ".join(f"w{i}" for i in range(30)), " ".join(f"v{i}" for i in range(30))
+    rows = [(1, t), (7, t), (None, t), (5, t + " more"), (5, u), (6, None), (8, ""), (9, u.upper())]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((none_first(r.doc_id), r.text or "") for r in kept) == [(-1, t), (5, u), (6, ""), (8, "")]
+    named = spark.createDataFrame([(f"d{i}", x) for i, x in rows if i] + [(None, t)], "doc_id string, text string")
+    found = {(r.doc_id, r.component_id) for r in jaccard.near_duplicates(named).collect()}
+    assert found == {("d1", None), ("d7", None), (None, None), ("d5", None), ("d6", "d6"), ("d8", "d8"), ("d9", None)}  # d5's two texts are one document here
+
+
 def brute_removal(rows, size, split, join):
     seen = {}
     units = sorted((none_first(i), k, split(t or "")) for k, (i, t) in enumerate(rows))
@@ -310,6 +351,7 @@ def test_word_coder_equals_the_library():
         coder = tokenfiles.WordCoder(f.read())
     pieces = ["Stone", "r\u00edo", "E\u0301t\u00e9", "it's", "IT'S.", ".", ",,", "a.b", "x,.", "<|endoftext|>", "<|EndOfText|>.", "\u6f22\u5b57\u3002", "9,5", "\u00a0", "\u2003", "\x1c", "\U0001f642.", "ab" * 300 + ".", "x\u2019.", "ci\u00f3n,", "r\u00edo###", "a<|b.", "tz&&&", "it's-", "\u00aa.", "x\u0301!"]
     texts = [rng.choice(["", " ", "\n"]).join(rng.choice(pieces) + rng.choice(["", " ", "\t\r\n", "."]) for _ in range(40)) for _ in range(60)] + [None, "", " "]
+    texts += ["\u00e9 ###", "\u6f22\n...", "\u00e9t\u00e9 .,;!"]
     ids, at, n, which, words = coder(pa.array(texts))
     flat = np.concatenate([ids[at[w] : at[w] + n[w]] for w in which])
     ends = np.cumsum(words)

@@ -12,13 +12,15 @@ fewer). Documents link when |A and B| / |A or B| reaches `threshold`.
    than the number of batches.
 2. Components of the edges are the groups in which all links lie. Sets that are equal are one member.
 3. Every group gets a signature tree: members in order of size, nodes with OR-combined bitmaps of shingle hashes, ranges
-   of sizes and the most shingles that share a bit. A dual traversal drops pairs of nodes whose greatest possible overlap is too
-   small and pairs in one component already; the rest are verified on the sets.
-4. A group of more than CHUNK members is dealt into chunks, each with the group's first member; what that leaves apart
-   meets all chunks in a second pass. No task holds more than about two chunks.
-
-Null and empty texts have no set and link with nothing. Equal texts link. A null doc_id counts as one id below all others.
-Rows that repeat a doc_id each give a row. An empty table gives no rows.
+   of sizes and the most shingles that share a bit. Some members one by one, then all by a dual traversal, meet the tree's nodes;
+   pairs of nodes whose greatest possible overlap is too small, or whose members are all in one component already, are dropped.
+   The rest are verified on the sets.
+4. A group of more than CHUNK_SHINGLES shingles or CHUNK members is dealt into chunks, each with the group's first member; what
+   that leaves apart meets all chunks in a second pass. No task holds more than about two chunks, and the sets travel, not the texts.
+
+Null and empty texts have no set and link with nothing. Equal texts link. A null doc_id counts as one id below all others; ids
+of any other type than whole numbers count in their order. Rows that repeat a doc_id each give a row, and are one document to
+`near_duplicates`. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,17 +36,19 @@ from pyspark.sql import functions as F
 from .arrays import SPACE, mix, ranges, slices, span_hash, text_parts, window_hash, window_starts, word_spans
 from .common import partitions, stored, trimmed, tune
 from .components import components
+from .ids import as_long
+from .sharding import numbered
 
 WORDS, THRESHOLD = 5, Fraction(4, 5)
-CHUNK = 2500
-FANOUT = 8
+#: Members and shingles (8 bytes each) of a chunk.
+CHUNK, CHUNK_SHINGLES = 2500, 400_000
+FANOUT, SINGLES = 8, 16
 #: Frequent shingles: in AGAIN sets of one run of documents and 3 * AGAIN of all that; at most COMMON of them (8 bytes each).
 AGAIN, COMMON = 2, 500_000
 #: Members of groups up to this number are broadcast (16 bytes each) to fetch their texts; more are joined by shuffle.
 BROADCAST_MEMBERS = 2_000_000
 #: Keys that meet in one group at most, by the count of what documents can give (about 50 bytes each in a worker).
 LANE_KEYS = 2_000_000
-NULL_ID = -(2**63)
 _ODD = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
 
@@ -188,7 +192,8 @@ def _first_of_key(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.nda
 
 _KEYS = "bucket int, kind int, ids binary, places binary, low binary, high binary"
 _COUNTS = "kind int, h long, n long"
-_FOUND = "kind int, a long, b long, n long, f long, g long"
+_FOUND = "kind int, a long, b long, n long, f long, g long, t long"
+_SETS = "group long, set_id long, label long, hashes binary"
 
 
 def _batch(columns: list, names: str) -> pa.RecordBatch:
@@ -235,7 +240,7 @@ def _write_keys(buckets: int, words: int, t: Fraction, common, lanes: int, split
                 n = np.diff(offs)
                 doc = np.repeat(np.arange(len(n)), n)
                 whole = [_sums(mix(h ^ odd), doc, len(n)) for odd in _ODD[:2]]
-                rows = [[int(ids[0] % buckets), 0, ids.tobytes(), n.astype(np.int64).tobytes(), whole[0].tobytes(), whole[1].tobytes()]]
+                rows = [[int(ids[0] % buckets), 0, ids.tobytes(), np.append(n, b.column("t").to_numpy()).astype(np.int64).tobytes(), whole[0].tobytes(), whole[1].tobytes()]]
                 keys, owner, lane = block_keys(h, offs, common.value, t, lanes, splits)
                 local, a, z = _first_of_key(keys, ids[owner])
                 if len(a):
@@ -263,7 +268,7 @@ def _read_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if keys:
             _, a, z = _first_of_key(np.concatenate(keys), np.concatenate(ids))
             if len(a):
-                yield _batch([np.ones(len(a), np.int32), a, z, *[np.zeros(len(a), np.int64)] * 3], _FOUND)
+                yield _batch([np.ones(len(a), np.int32), a, z, *[np.zeros(len(a), np.int64)] * 4], _FOUND)
 
     for batch in trimmed(batches):
         for k, kind, x, y, low, high in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
@@ -273,9 +278,10 @@ def _read_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names = np.frombuffer(x, np.int64)
             if kind == 0:
                 none = np.zeros(len(names), np.int64)
-                yield _batch([none, names, none, np.frombuffer(y, np.int64), np.frombuffer(low, np.int64), np.frombuffer(high, np.int64)], _FOUND)
+                sizes, texts = np.frombuffer(y, np.int64).reshape(2, -1)
+                yield _batch([none, names, none, sizes, np.frombuffer(low, np.int64), np.frombuffer(high, np.int64), texts], _FOUND)
             elif kind == 1:
-                yield _batch([np.ones(len(names), np.int32), names, np.frombuffer(y, np.int64), *[np.zeros(len(names), np.int64)] * 3], _FOUND)
+                yield _batch([np.ones(len(names), np.int32), names, np.frombuffer(y, np.int64), *[np.zeros(len(names), np.int64)] * 4], _FOUND)
             else:
                 lows = np.frombuffer(low, np.uint32)
                 keys.append(lows.astype(np.uint64) | (np.frombuffer(high, np.uint16).astype(np.uint64) << np.uint64(32)))
@@ -289,7 +295,7 @@ class SignatureTree:
     def __init__(self, sets: list[np.ndarray]):
         n = np.array([len(s) for s in sets])
         width = 1 << max(8, min(16, int(4 * max(1, int(np.median(n))) - 1).bit_length()))
-        while width > 256 and width * len(sets) > 1 << 26:
+        while width > 256 and width * len(sets) > 1 << 25:
             width //= 2
         bits = np.zeros((len(sets), width), bool)
         bits[np.repeat(np.arange(len(sets)), n), np.concatenate(sets).astype(np.int64) & (width - 1)] = True
@@ -301,24 +307,43 @@ class SignatureTree:
             at = np.arange(0, len(sig), FANOUT)
             self.levels.append((np.bitwise_or.reduceat(sig, at, axis=0), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(crowd, at)))
 
-    def may_link(self, level: int, i: np.ndarray, j: np.ndarray, t: Fraction) -> np.ndarray:
-        """Whether some pair under the nodes can reach t by its sizes and greatest possible overlap."""
+    def may_link(self, level: int, i: np.ndarray, j: np.ndarray, t: Fraction, first: int | None = None) -> np.ndarray:
+        """Whether some pair under the nodes can reach t by its sizes and greatest possible overlap; i are nodes of `first` if given."""
+        a_sig, a_low, a_high, a_crowd = self.levels[level if first is None else first]
         sig, low, high, crowd = self.levels[level]
         p, q = t.numerator, t.denominator
-        out = (high[i] * q >= low[j] * p) & (high[j] * q >= low[i] * p)
+        out = (a_high[i] * q >= low[j] * p) & (high[j] * q >= a_low[i] * p)
         k = np.flatnonzero(out)
         for at in range(0, len(k), 20_000):
             part = k[at : at + 20_000]
             a, b = i[part], j[part]
-            common = np.bitwise_count(sig[a] & sig[b]).sum(axis=1).astype(np.int64) + np.minimum(crowd[a], crowd[b])
-            common = np.minimum(common, np.minimum(high[a], high[b]))
-            out[part] = common * (p + q) >= (low[a] + low[b]) * p
+            common = np.bitwise_count(a_sig[a] & sig[b]).sum(axis=1).astype(np.int64) + np.minimum(a_crowd[a], crowd[b])
+            common = np.minimum(common, np.minimum(a_high[a], high[b]))
+            out[part] = common * (p + q) >= (a_low[a] + low[b]) * p
         return out
 
-    def pairs(self, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of leaves that the dual traversal leaves."""
+    def near(self, leaf: int, t: Fraction) -> np.ndarray:
+        """Leaves that may link with one."""
+        j = np.zeros(1, np.int64)
+        for level in range(len(self.levels) - 1, -1, -1):
+            j = j[self.may_link(level, np.full(len(j), leaf), j, t, 0)]
+            if level:
+                j = (j[:, None] * FANOUT + np.arange(FANOUT)).ravel()
+                j = j[j < len(self.levels[level - 1][0])]
+        return j[j != leaf]
+
+    def pairs(self, t: Fraction, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of leaves that the dual traversal leaves. label: of each leaf; pairs under one label are left out."""
+        labels = [np.arange(len(self.levels[0][0])) if label is None else label]
+        while len(labels) < len(self.levels):  # of a node: its leaves' if they have one, else -1
+            at = np.arange(0, len(labels[-1]), FANOUT)
+            low, high = np.minimum.reduceat(labels[-1], at), np.maximum.reduceat(labels[-1], at)
+            labels.append(np.where(low == high, low, -1))
         i = j = np.zeros(1, np.int64)
         for level in range(len(self.levels) - 1, -1, -1):
+            own = labels[level]
+            keep = (own[i] != own[j]) | (own[i] < 0) | ((label is None) & (i == j))
+            i, j = i[keep], j[keep]
             keep = self.may_link(level, i, j, t)
             i, j = i[keep], j[keep]
             if level:
@@ -335,6 +360,7 @@ class SignatureTree:
 def tree_links(sets: list[np.ndarray], labels: list[int], t: Fraction = THRESHOLD) -> list[tuple[int, int]]:
     """Links (positions in sets) that join what the labels and earlier links leave apart; all links lie inside the outcome."""
     order = sorted(range(len(sets)), key=lambda k: (len(sets[k]), int(sets[k][0]) if len(sets[k]) else 0))
+    sets, labels = [sets[k] for k in order], [labels[k] for k in order]
     root = list(range(len(sets)))
     seen: dict[int, int] = {}
     for k, label in enumerate(labels):
@@ -347,21 +373,60 @@ def tree_links(sets: list[np.ndarray], labels: list[int], t: Fraction = THRESHOL
         return x
 
     out = []
-    tree = SignatureTree([sets[k] for k in order])
+    tree = SignatureTree(sets)
+    n = np.array([len(x) for x in sets])
     p, q = t.numerator, t.denominator
-    for i, j in zip(*(x.tolist() for x in tree.pairs(t)), strict=True):
-        a, b = order[i], order[j]
-        x, y = find(a), find(b)
+    met: set[int] = set()  # roots of those that have met the tree by themselves
+    for k in range(len(sets)):
+        if len(met) >= SINGLES:
+            break
+        met = {find(x) for x in met}
+        if find(k) in met:
+            continue
+        met.add(find(k))
+        maybe = tree.near(k, t)
+        maybe = maybe[[find(x) != find(k) for x in maybe.tolist()]] if len(maybe) else maybe
+        if len(maybe):
+            inside = np.isin(np.concatenate([sets[x] for x in maybe.tolist()]), sets[k], assume_unique=False)
+            both = np.add.reduceat(inside.astype(np.int64), np.cumsum(n[maybe]) - n[maybe])
+            for x in maybe[both * q >= (n[maybe] + n[k] - both) * p].tolist():
+                a, b = find(k), find(x)
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    out.append((order[k], order[x]))
+    for i, j in zip(*(x.tolist() for x in tree.pairs(t, np.array([find(k) for k in range(len(sets))]))), strict=True):
+        x, y = find(i), find(j)
         if x != y:
-            both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-            if both * q >= (len(sets[a]) + len(sets[b]) - both) * p:
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if both * q >= (len(sets[i]) + len(sets[j]) - both) * p:
                 root[max(x, y)] = min(x, y)
-                out.append((a, b))
+                out.append((order[i], order[j]))
     return out
 
 
-def _grow_trees(words: int, t: Fraction):
-    """Task: rows (group, set_id, label, text) in order of group; links out."""
+def _write_sets(words: int):
+    """Task: texts with the groups that want them; a row for each group out, with the text's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in trimmed(batches):
+            for b in slices(batch):
+                h, offs = shingle_sets(b.column("text"), words)
+                rows = []
+                for d, (name, places) in enumerate(zip(b.column("set_id").to_pylist(), b.column("places").to_pylist(), strict=True)):
+                    raw = h[offs[d] : offs[d + 1]].tobytes()
+                    for x in places:
+                        rows.append((x["group"], name, x["label"], raw))
+                        if len(rows) * len(raw) > 1 << 24:
+                            yield _batch([*zip(*rows, strict=True)], _SETS)
+                            rows = []
+                if rows:
+                    yield _batch([*zip(*rows, strict=True)], _SETS)
+
+    return run
+
+
+def _grow_trees(t: Fraction):
+    """Task: sets in order of group; links out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, ids, labels, sets = None, [], [], []
@@ -372,44 +437,47 @@ def _grow_trees(words: int, t: Fraction):
                 if links:
                     yield _batch([[ids[a] for a, _ in links], [ids[b] for _, b in links]], "a long, b long")
 
-        for batch in trimmed(batches):
-            for b in slices(batch):
-                h, offs = shingle_sets(b.column("text"), words)
-                names = zip(b.column("group").to_pylist(), b.column("set_id").to_pylist(), b.column("label").to_pylist(), strict=True)
-                for d, (g, name, label) in enumerate(names):
-                    if g != group:
-                        yield from close()
-                        group, ids, labels, sets = g, [], [], []
-                    ids.append(name)
-                    labels.append(label)
-                    sets.append(h[offs[d] : offs[d + 1]].copy())
+        for b in trimmed(batches):
+            for g, name, label, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if g != group:
+                    yield from close()
+                    group, ids, labels, sets = g, [], [], []
+                ids.append(name)
+                labels.append(label)
+                sets.append(np.frombuffer(raw, np.uint64))
         yield from close()
 
     return run
 
 
-def _join_texts(docs: DataFrame, members: DataFrame, n: int, words: int, t: Fraction) -> DataFrame:
+def _join_sets(docs: DataFrame, members: DataFrame, words: int, t: Fraction) -> DataFrame:
     """Links inside each group of members (group, set_id, label)."""
-    members = F.broadcast(members) if n <= BROADCAST_MEMBERS else members
-    rows = docs.join(members, docs["doc_id"] == members["set_id"]).select("group", "set_id", "label", "text")
+    wanted = stored(members.groupBy("set_id").agg(F.collect_list(F.struct("group", "label")).alias("places")), "wanted")
+    few = wanted.agg(F.sum(F.size("places"))).first()[0] or 0
+    wanted = F.broadcast(wanted) if few <= BROADCAST_MEMBERS else wanted
+    rows = docs.join(wanted, docs["doc_id"] == wanted["set_id"]).select("set_id", "places", "text").mapInArrow(_write_sets(words), _SETS)
     laid = rows.repartition(partitions(docs.sparkSession), "group").sortWithinPartitions("group", "set_id")
-    return stored(laid.mapInArrow(_grow_trees(words, t), "a long, b long"), "links")
+    return stored(laid.mapInArrow(_grow_trees(t), "a long, b long"), "links")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, chunk: int = CHUNK, lane_keys: int = LANE_KEYS) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, chunk: int = CHUNK, lane_keys: int = LANE_KEYS, chunk_shingles: int = CHUNK_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
+    return _judged(docs, words, threshold, chunk, lane_keys, chunk_shingles).drop("text_hash")
+
+
+def _judged(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, chunk: int = CHUNK, lane_keys: int = LANE_KEYS, chunk_shingles: int = CHUNK_SHINGLES) -> DataFrame:
+    """The same with the text's hash, which with doc_id names a row."""
     spark = tune(docs.sparkSession)
-    id_type = dict(docs.dtypes)["doc_id"]
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text")
+    docs, restore = as_long(docs, "text")
     buckets = partitions(spark)
     lanes = max(6, buckets // 40)
     frequent, most = common_shingles(docs, words, threshold)
     common = spark.sparkContext.broadcast(frequent)
-    keys = docs.mapInArrow(_write_keys(buckets, words, threshold, common, lanes, lane_splits(most, lanes, threshold, lane_keys)), _KEYS)
+    keys = docs.withColumn("t", F.xxhash64("text")).mapInArrow(_write_keys(buckets, words, threshold, common, lanes, lane_splits(most, lanes, threshold, lane_keys)), _KEYS)
     found = stored(keys.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_read_keys, _FOUND), "blocks")
-    rows = found.filter("kind = 0").select(F.col("a").alias("doc_id"), "n", "f", "g")
-    sets = rows.filter("n > 0").groupBy("n", "f", "g").agg(F.min("doc_id").alias("set_id"))
-    owned = stored(rows.join(sets, ["n", "f", "g"], "left").select("doc_id", "n", "set_id"), "sets")
+    rows = found.filter("kind = 0").select(F.col("a").alias("doc_id"), "n", "f", "g", "t")
+    sets = stored(rows.filter("n > 0").groupBy("n", "f", "g").agg(F.min("doc_id").alias("set_id")), "set-ids")
+    owned = stored(rows.join(sets, ["n", "f", "g"], "left").select("doc_id", "n", "t", "set_id"), "sets")
     to_set = owned.filter("doc_id <> set_id").select("doc_id", "set_id").distinct()
 
     def as_sets(edges: DataFrame) -> DataFrame:
@@ -417,29 +485,27 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: Fraction = T
             edges = edges.join(to_set.select(F.col("doc_id").alias(c), "set_id"), c, "left").withColumn(c, F.coalesce("set_id", c)).drop("set_id")
         return edges.filter("a <> b").distinct()
 
-    groups = stored(components(as_sets(found.filter("kind = 1").select("a", "b").distinct())), "groups")
-    links = _links(docs, groups, words, threshold, chunk)
-    parts = components(links)
+    groups = components(as_sets(found.filter("kind = 1").select("a", "b").distinct()))
+    mass = sets.groupBy(F.col("set_id").alias("node")).agg(F.max("n").alias("n"))
+    groups = stored(groups.join(mass, "node", "left").select("node", "component", F.coalesce("n", F.lit(1)).alias("n")), "groups")
+    parts = components(_links(docs, groups, words, threshold, chunk, chunk_shingles))
     out = owned.join(parts, owned["set_id"] == parts["node"], "left")
-    null = F.lit(NULL_ID)
-    return out.select(
-        F.nullif("doc_id", null).cast(id_type).alias("doc_id"),
-        F.col("n").alias("n_shingles"),
-        F.nullif(F.coalesce("component", "set_id", "doc_id"), null).cast(id_type).alias("component_id"),
-    )
-
-
-def _links(docs: DataFrame, groups: DataFrame, words: int, t: Fraction, chunk: int) -> DataFrame:
-    """(a, b): links that span the components of all links between the sets of each group (node, component)."""
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    chunks = sizes.select("component", F.ceil(F.col("size") / chunk).cast("int").alias("chunks"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "set_id", "doc_id").alias("component_id"), F.col("t").alias("text_hash"))
+    return restore(out, "doc_id", "component_id").select("doc_id", "n_shingles", "component_id", "text_hash")
+
+
+def _links(docs: DataFrame, groups: DataFrame, words: int, t: Fraction, chunk: int, chunk_shingles: int) -> DataFrame:
+    """(a, b): links that span the components of all links between the sets of each group (node, component, n)."""
+    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("mass"))
+    need = F.greatest(F.ceil(F.col("size") / chunk), F.least(F.ceil(F.col("mass") / chunk_shingles), F.col("size")))
+    chunks = sizes.select("component", need.cast("int").alias("chunks"))
     big = stored(chunks.filter("chunks > 1"), "big-groups")
     placed = groups.join(F.broadcast(big) if big.count() <= BROADCAST_MEMBERS else big, "component", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     at = F.when(F.col("node") == F.col("component"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(own))
     members = placed.select("component", F.col("node").alias("set_id"), F.col("node").alias("label"), F.explode(at).alias("chunk"))
-    members = stored(members.select(F.struct("component", "chunk").alias("g"), "set_id", "label").select(F.xxhash64("g").alias("group"), "set_id", "label"), "members")
-    links = _join_texts(docs, members, members.count(), words, t)
+    members = members.select(F.struct("component", "chunk").alias("g"), "set_id", "label").select(F.xxhash64("g").alias("group"), "set_id", "label")
+    links = _join_sets(docs, members, words, t)
     if not big.count():
         return links
     # what is still apart in the big groups meets every chunk of its group
@@ -453,7 +519,8 @@ def _links(docs: DataFrame, groups: DataFrame, words: int, t: Fraction, chunk: i
     left = rest.count()
     if not left:
         return links
-    slots = rest.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("slots"))
+    need = F.greatest(F.ceil(F.count(F.lit(1)) / chunk), F.least(F.ceil(F.sum("n") / chunk_shingles), F.count(F.lit(1))))
+    slots = rest.groupBy("component").agg(need.cast("int").alias("slots"))
     todo = todo.join(slots, "component")
     slot, own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("slots")).cast("int"), F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
@@ -462,12 +529,26 @@ def _links(docs: DataFrame, groups: DataFrame, words: int, t: Fraction, chunk: i
         F.when(F.col("label") != F.col("main"), F.transform(every("chunks"), lambda c: F.struct(slot.alias("slot"), c.alias("chunk")))).otherwise(F.array().cast("array<struct<slot:int,chunk:int>>")),
     ))
     again = todo.select("component", F.col("node").alias("set_id"), "label", F.explode(F.array_distinct(meets)).alias("m"))
-    again = stored(again.select(F.xxhash64("component", "m.slot", "m.chunk", F.lit(2)).alias("group"), "set_id", "label"), "members")
-    return links.unionByName(_join_texts(docs, again, again.count(), words, t))
+    again = again.select(F.xxhash64("component", "m.slot", "m.chunk", F.lit(2)).alias("group"), "set_id", "label")
+    return links.unionByName(_join_sets(docs, again, words, t))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs with the first document (least doc_id) of each component; columns unchanged."""
-    gone = near_duplicates(docs, **options).filter("component_id <> doc_id").select("doc_id")
+    """docs with the first document (least doc_id, nulls first) of each component; columns unchanged. Rows are told apart by doc_id and
+    text: where an id has several texts, each is a document of its own, in order of the texts' hashes. Rows equal in both stay
+    or go together."""
+    text = F.xxhash64("text")
+    names = docs.select("doc_id", text.alias("text_hash"))
+    if names.distinct().groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        known, _ = numbered(names.distinct(), ["doc_id", "text_hash"], "number")
+        known = stored(known.select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_text"), "number"), "numbered-rows")
+        met = docs.select("doc_id", "text").join(known, F.col("doc_id").eqNullSafe(F.col("own_id")) & (text == F.col("own_text")))
+        judged = _judged(met.select(F.col("number").alias("doc_id"), "text"), **options).filter("component_id <> doc_id").select(F.col("doc_id").alias("number"))
+        gone = known.join(judged.distinct(), "number").select(F.col("own_id").alias("_gone_id"), F.col("own_text").alias("_gone_text"))
+    else:
+        judged = _judged(docs, **options).filter(~F.col("component_id").eqNullSafe(F.col("doc_id")))
+        gone = judged.select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_text")).distinct()
     gone = stored(gone, "near-duplicates")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_MEMBERS else gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    few = gone.count() <= BROADCAST_MEMBERS
+    same = docs["doc_id"].eqNullSafe(gone["_gone_id"]) & (F.xxhash64(docs["text"]) == gone["_gone_text"])
+    return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
