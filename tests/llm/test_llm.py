@@ -262,10 +262,22 @@ def test_line_dedup(docs, rows):
 
 def test_line_runs_are_compacted(spark):
     runs = linededup.LineRuns(spark, 3, fanout=2)
-    for _ in range(5):
-        runs.add(spark.createDataFrame([(1, 1, 1), (2, 2, 2)], "h long, g long, n long"))
+    batch = lambda *rows: spark.createDataFrame(rows, "h long, g long, n long")
+    for k in range(5):
+        runs.add(batch((1, 1, 1), (2, 2, 2), (10 + k, 0, 1)))
+        full = {tuple(r) for r in runs.frequent().collect()}
+        assert full == ({(2, 2)} if k == 1 else {(1, 1), (2, 2)} if k > 1 else set())
     assert [len(x) for x in runs.levels] == [1, 0, 1]
-    assert sorted(map(tuple, runs.frequent().collect())) == [(1, 1), (2, 2)]
+    counts = {(r.h, r.n) for r in runs.runs()[-1].collect()}
+    assert (1, 3) in counts and (2, 4) in counts  # full keys take no more part
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = runs.met(batch((1, 1, 1), (20, 0, 1)))._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert plan.count("SortMergeJoin") == 4 and plan.count("Exchange hashpartitioning") == 1  # the batch moves, the runs don't
+    names = list(runs.names)
+    runs.close()
+    assert not any(spark.catalog.tableExists(n) for n in names)
 
 
 @pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 60])
@@ -560,7 +572,26 @@ def test_empty_tables_and_clashing_columns(spark):
     assert sharding.assign(empty).count() == 0
     clash = spark.createDataFrame([(1, "a b c", "x", 5, "h")], "doc_id long, text string, hits string, n_words int, kept_text string").withColumn("label", F.lit("q"))
     assert decontaminate.find_hits(clash, spark.createDataFrame([(1, "a b c")], "item_id long, text string")).first().n_hit == 3
-    assert linededup.drop_lines(clash, linededup.frequent_keys(clash, 1)).first().kept_text == ""
+    for limit in (linededup.BROADCAST_KEYS, 0):
+        odd = clash.withColumns({"_line": F.lit(1), "_row": F.lit(2), "_h": F.lit(3), "_k": F.lit(4), "h": F.lit(5)})
+        assert linededup.drop_lines(odd, linededup.frequent_keys(odd, 1), limit).first().kept_text == ""
+        assert linededup.drop_lines(empty, linededup.frequent_keys(empty, 1), limit).count() == 0
+    two = spark.createDataFrame([(1, "a b c"), (2, "c x " * 9), (3, "zz")], "item_id long, text string")
+    blocky = decontaminate.find_hits(clash.withColumns({"_text_hash": F.lit(1), "_block_hits": F.lit(2)}), two, block_bytes=3).first()
+    assert (blocky.n_hit, blocky["items"], blocky._text_hash) == (3, ["1"], 1)
+    assert decontaminate.find_hits(empty, two).count() == decontaminate.find_hits(empty, two, block_bytes=3).count() == 0
+    assert lm.score(empty.withColumn("held_out", F.lit(True)), lm.train(empty)).count() == 0
+    path = P.path("word_bpe_49k.json")
+    assert tokenfiles.read_tokens(empty, tokenfiles.write_tokens(empty, path)).count() == 0
+    tokens = tokenfiles.read_tokens(clash, tokenfiles.write_tokens(clash, path)).first()
+    assert (tokens.doc_id, tokens.start, tokens.n_tokens) == (1, 0, 4)
+    ranks = P.path("byte_bpe_50k.tiktoken")
+    assert bpe.encode(empty, ranks, P.PATTERN).count() == 0
+    coded = bpe.encode(clash.withColumn("ids", F.lit("x")), ranks, P.PATTERN).first()
+    assert (coded.n_tokens, bytes(coded.decoded), coded.hits) == (3, b"a b c", "x")
+    assert fmindex.dedup_substrings(clash.withColumn("gone", F.lit(1))).first().n_words == 3
+    assert suffixes.dedup_bytes(clash.withColumn("want", F.lit(1))).first().n_bytes == 5
+    assert sharding.assign(clash.withColumn("slot", F.lit(9))).first().slot == 0
     assert quality.keep_good(clash).columns == clash.columns
     assert jaccard.keep_one(clash).columns == clash.columns
 

@@ -86,5 +86,17 @@ def without(docs: DataFrame, *names: str) -> DataFrame:
     return docs.drop(*(c for c in docs.columns if c.lower() in low))
 
 
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """Column names that df doesn't have."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for stem in stems:
+        name = f"_{stem}"
+        while name.lower() in have:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

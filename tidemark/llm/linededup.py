@@ -1,9 +1,10 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A run is a table (key hashes, number of documents) sorted by hash. A new batch of documents is counted, merge-anti-joined
-with the keys that the runs already know to be frequent enough, and the rest becomes a run of level 0. When a level has
-FANOUT runs they are merged into one run of the next level. Keys whose counts over all runs reach `min_docs` are
-frequent; all lines with such keys go.
+A run is a table of (key hashes, number of documents, full) that is bucketed and sorted by the hashes, so runs meet each other and
+new batches by merge joins without moving a run's rows. A new batch of documents is counted and merge-anti-joined with
+the keys that some run marks as full, that is frequent already; the rest looks up its counts in the runs, marks what reaches
+`min_docs` as full, and becomes a run of level 0. When a level has FANOUT runs they are merged into one run of the next
+level. The full keys of all runs are the frequent ones, and all lines with such keys go.
 
 A line's key is the line without white space (0x20, 0x09-0x0D) at its ends and with A-Z lower-cased. Empty keys never
 count. Null and empty texts are one empty line. A key counts once in a row of documents, however often it stands there;
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, trimmed, tune, without
+from .common import discard, fresh, new_path, partitions, stored, trimmed, tune, without
 
 FANOUT = 4
 #: Frequent keys up to this number are broadcast (16 bytes each); more are joined by shuffle.
@@ -41,32 +42,45 @@ def doc_lines() -> Column:
 
 
 class LineRuns:
-    """Levels of sorted runs in the shared folder."""
+    """Levels of runs: bucketed, sorted tables whose files lie in the shared folder. close() drops them."""
 
     def __init__(self, spark: SparkSession, min_docs: int = 10, fanout: int = FANOUT):
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
+        self.buckets = partitions(spark)
         self.levels: list[list[DataFrame]] = []
+        self.names: list[str] = []
 
-    def merged(self) -> DataFrame:
-        runs = [r for level in self.levels for r in level]
-        if not runs:
-            return self.spark.createDataFrame([], "h long, g long, n long")
-        out = runs[0]
-        for r in runs[1:]:
-            out = out.unionByName(r)
-        return out.groupBy("h", "g").agg(F.sum("n").alias("n"))
+    def runs(self) -> list[DataFrame]:
+        return [r for level in self.levels for r in level]
 
     def frequent(self) -> DataFrame:
-        return self.merged().filter(F.col("n") >= self.min_docs).select("h", "g")
-
-    def _run(self, counts: DataFrame, name: str) -> DataFrame:
-        return stored(counts.select("h", "g", "n").sortWithinPartitions("h", "g"), name)
+        """(h, g) of the full keys; a key is full in one run."""
+        out = self.spark.createDataFrame([], "h long, g long")
+        for r in self.runs():
+            out = out.unionByName(r.filter("full").select("h", "g"))
+        return out
+
+    def _run(self, rows: DataFrame, level: int) -> DataFrame:
+        path = new_path(self.spark, f"run{level}")
+        name = path.rsplit("/", 1)[1].replace("-", "_")
+        laid = rows.select("h", "g", "n", "full").repartition(self.buckets, "h", "g").sortWithinPartitions("h", "g")
+        laid.write.bucketBy(self.buckets, "h", "g").sortBy("h", "g").option("path", path).saveAsTable(name)
+        self.names.append(name)
+        return self.spark.table(name)
+
+    def met(self, counts: DataFrame) -> DataFrame:
+        """The batch's keys that no run has as full, with full where they reach min_docs now."""
+        rows = counts.select("h", "g", "n").repartition(self.buckets, "h", "g")
+        total = F.col("n")
+        for k, r in enumerate(self.runs()):
+            rows = rows.join(r.filter("full").select("h", "g"), ["h", "g"], "left_anti")
+            rows = rows.join(r.select("h", "g", F.col("n").alias(f"n{k}")), ["h", "g"], "left")
+            total = total + F.coalesce(f"n{k}", F.lit(0))
+        return rows.select("h", "g", "n", (total >= self.min_docs).alias("full"))
 
     def add(self, counts: DataFrame) -> None:
         """counts: h, g, n of one batch, a row for each key."""
-        if self.levels:
-            counts = counts.join(self.frequent(), ["h", "g"], "left_anti")
-        self._push(0, self._run(counts, "run0"))
+        self._push(0, self._run(self.met(counts), 0))
 
     def _push(self, level: int, run: DataFrame) -> None:
         while len(self.levels) <= level:
@@ -76,8 +90,15 @@ class LineRuns:
             full, self.levels[level] = self.levels[level], []
             out = full[0]
             for r in full[1:]:
-                out = out.unionByName(r)
-            self._push(level + 1, self._run(out.groupBy("h", "g").agg(F.sum("n").alias("n")), f"run{level + 1}"))
+                both = out.withColumnsRenamed({"n": "n1", "full": "full1"}).join(r, ["h", "g"], "full")
+                out = both.select("h", "g", (F.coalesce("n1", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("n"), (F.coalesce("full1", F.lit(False)) | F.coalesce("full", F.lit(False))).alias("full"))
+            self._push(level + 1, self._run(out, level + 1))
+
+    def close(self) -> None:
+        for name in self.names:
+            discard(self.spark.table(name))
+            self.spark.sql(f"DROP TABLE {name}")
+        self.names, self.levels = [], []
 
 
 def batch_counts(docs: DataFrame, batches: int) -> DataFrame:
@@ -89,11 +110,14 @@ def batch_counts(docs: DataFrame, batches: int) -> DataFrame:
 
 def frequent_keys(docs: DataFrame, min_docs: int = 10, batches: int = 5) -> DataFrame:
     """(h, g) of the keys that stand in min_docs documents or more, by way of the runs."""
-    counted = stored(batch_counts(docs, batches), "line-counts")
+    counted = stored(batch_counts(docs, batches), "line-counts", ["batch"])
     runs = LineRuns(docs.sparkSession, min_docs)
     for b in range(batches):
         runs.add(counted.filter(F.col("batch") == b).select("h", "g", "n"))
-    return stored(runs.frequent(), "frequent-lines")
+    out = stored(runs.frequent(), "frequent-lines")
+    runs.close()
+    discard(counted)
+    return out
 
 
 def _drop_by_broadcast(docs: DataFrame, frequent: DataFrame) -> DataFrame:
@@ -137,20 +161,22 @@ def _drop_by_broadcast(docs: DataFrame, frequent: DataFrame) -> DataFrame:
 def _drop_by_join(docs: DataFrame, frequent: DataFrame) -> DataFrame:
     """For more frequent keys than may be broadcast: lines meet the keys by shuffle; a hot key's lines are split by adaptive skew joins."""
     other = [c for c in docs.columns if c != "text"]
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    lines = rows.select("_row", *(F.col(f"`{c}`") for c in other), F.col("text").alias("_text"), F.posexplode(doc_lines()).alias("_at", "_line"))
-    lines = lines.withColumn("_k", key_hash(line_key(F.col("_line")))).withColumns({"_h": F.col("_k.h"), "_g": F.col("_k.g")})
-    lines = lines.withColumn("_text", F.when(F.col("_at") == 0, F.col("_text"))).drop("_k")
-    marked = lines.join(frequent.select(F.col("h").alias("_h"), F.col("g").alias("_g"), F.lit(True).alias("_hit")), ["_h", "_g"], "left")
-    stay = F.when(F.col("_hit").isNull(), F.struct("_at", "_line"))
-    out = marked.groupBy("_row").agg(
-        *(F.any_value(F.col(f"`{c}`")).alias(c) for c in other),
-        F.max("_text").alias("text"),
+    row, text, at, line, k, h, g, hit, stay = fresh(docs, "row", "text", "at", "line", "k", "h", "g", "hit", "stay")
+    own = lambda c: F.col(f"`{c}`")
+    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    lines = rows.select(row, *map(own, other), F.col("text").alias(text), F.posexplode(doc_lines()).alias(at, line))
+    lines = lines.withColumn(k, key_hash(line_key(F.col(line)))).withColumns({h: F.col(k)["h"], g: F.col(k)["g"]})
+    lines = lines.withColumn(text, F.when(F.col(at) == 0, F.col(text))).drop(k)
+    marked = lines.join(frequent.select(F.col("h").alias(h), F.col("g").alias(g), F.lit(True).alias(hit)), [h, g], "left")
+    kept = F.when(F.col(hit).isNull(), F.struct(F.col(at).alias("at"), F.col(line).alias("line")))
+    out = marked.groupBy(row).agg(
+        *(F.any_value(own(c)).alias(c) for c in other),
+        F.max(text).alias("text"),
         F.count(F.lit(1)).alias("n_lines"),
-        F.count("_hit").alias("n_dropped"),
-        F.sort_array(F.collect_list(stay)).alias("_stay"),
+        F.count(hit).alias("n_dropped"),
+        F.sort_array(F.collect_list(kept)).alias(stay),
     )
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns), "n_lines", "n_dropped", F.array_join(F.transform("_stay", lambda x: x["_line"]), "\n").alias("kept_text"))
+    return out.select(*map(own, docs.columns), "n_lines", "n_dropped", F.array_join(F.transform(stay, lambda x: x["line"]), "\n").alias("kept_text"))
 
 
 def drop_lines(docs: DataFrame, frequent: DataFrame, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
