@@ -12,6 +12,7 @@ TITLE_STOPWORDS = """的 是 在 了 和 与 我 你 他 她 它 这 那 a an th
 they my your his her this that these those what which who how why and or but if so just have has had do does""".split()
 PHRASE_STOPWORDS = """the a an is are was were be been being to of in for on with at by from as i you he she it we they my your his her this that
 these those what which who how why and or but if so just have has had do does did will would could should can may might must shall""".split()
+# Names of models in titles.
 MODEL_NAMES = (
     r"(?i)\b(Step[- ]?[\d.]+[- ]?\w+|GLM[- ]?(?:[\d.]+|OCR|V\d+)|GPT[- ]?[\d.]+|DeepSeek[- ]?v?[\d.]+|Qwen[- ]?[\d.]+|Llama[- ]?[\d.]+|Claude[- ]?[\d.]+"
     r"|Gemini[- ]?[\d.]+|TranslateGemma|Galactica|ComfyUI[- ]?\w+|Waymo|SpaceX|xAI)\b"

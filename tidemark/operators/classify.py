@@ -4,27 +4,38 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from . import rules as R
+from .stats import numbered
 
 
 def head(title: Column, content: Column, size: int = 500) -> Column:
     return F.concat_ws(" ", F.coalesce(title, F.lit("")), F.substring(F.coalesce(content, F.lit("")), 1, size))
 
 
-def classify_domain(items: DataFrame, domains: list[tuple] = R.DOMAINS) -> DataFrame:
+def _suffixes(url: Column) -> Column:
+    """The host and the domains above it, longest first."""
+    parts = F.split(X.url_host(url), r"\.")
+    return F.transform(F.array(parts), lambda p: F.transform(F.sequence(F.lit(1), F.greatest(F.size(p), F.lit(1))), lambda k: F.array_join(F.slice(p, k, F.size(p)), ".")))[0]
+
+
+def classify_domain(items: DataFrame, domains: list[tuple] | DataFrame = R.DOMAINS) -> DataFrame:
     """items with domain_rule, domain_category, domain_importance: the longest listed domain that the host is or lies below.
-    Every suffix of the host is looked up in the (short, broadcast) table."""
-    spark = items.sparkSession
-    table = F.broadcast(spark.createDataFrame([(d, c, int(i)) for d, c, i in domains], "domain_rule string, domain_category string, domain_importance int"))
-    parts = F.split(X.url_host(F.col("url")), r"\.")
-    suffixes = F.transform(F.array(parts), lambda p: F.transform(F.sequence(F.lit(1), F.greatest(F.size(p), F.lit(1))), lambda k: F.array_join(F.slice(p, k, F.size(p)), ".")))[0]
-    hits = items.filter("url is not null").select("id", F.explode(suffixes).alias("domain_rule")).join(table, "domain_rule")
-    best = hits.groupBy("id").agg(F.max_by(F.struct("domain_rule", "domain_category", "domain_importance"), F.length("domain_rule")).alias("r"))
-    return items.join(best.select("id", "r.*"), "id", "left")
+    A list is looked up as a literal map in the same projection; rules in a table (the three columns) of any size meet the
+    hosts by a join, which carries ids and hosts alone."""
+    names = ("domain_rule", "domain_category", "domain_importance")
+    if isinstance(domains, DataFrame):
+        hosts = items.filter("url is not null").select("id", F.explode(_suffixes(F.col("url"))).alias("domain_rule"))
+        best = hosts.join(domains.select(*names), "domain_rule").groupBy("id").agg(F.max_by(F.struct(*names), F.length("domain_rule")).alias("r"))
+        return items.join(best.select("id", "r.*"), "id", "left")
+    rules = {d: (d, c, int(i)) for d, c, i in reversed(domains)}
+    row = lambda r: F.struct(*(F.lit(x).alias(n) for x, n in zip(r, names, strict=True)))
+    table = F.create_map(*(x for d, r in rules.items() for x in (F.lit(d), row(r))))
+    found = F.get(F.filter(F.transform(_suffixes(F.col("url")), lambda d: F.try_element_at(table, d)), lambda r: r.isNotNull()), F.lit(0))
+    return items.withColumn("_rule", found).select(*(F.col(c) for c in items.columns), "_rule.*")
 
 
 def keyword_scores(text: Column, keywords: list[tuple] = R.TITLE_KEYWORDS) -> tuple[Column, Column]:
@@ -167,8 +178,12 @@ def assign_batches(items: DataFrame, short: int = 12, long: int = 6, limit: int
     """Batches of short items and of long ones, in order of id within the partitions of `part` if there is such a column."""
     keys = ["size_class"] + (["part"] if "part" in items.columns else [])
     size = F.when(F.length(F.coalesce("content", F.lit(""))) < limit, "short").otherwise("long")
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy("id")) - 1
-    return items.withColumn("size_class", size).withColumn("batch", F.floor(n / F.when(F.col("size_class") == "short", short).otherwise(long)).cast("long"))
+    rows, _ = numbered(items.withColumn("size_class", size).select("id", *keys), [F.asc(k) for k in (*keys, "id")], "_n")
+    firsts = rows.groupBy(*keys).agg(F.min("_n").alias("_first"))
+    same = [F.col(f"f.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    placed = rows.alias("r").join(firsts.alias("f"), same).select("r.id", "r.size_class", (F.col("_n") - F.col("_first")).alias("_n"))
+    batch = F.floor(F.col("_n") / F.when(F.col("size_class") == "short", short).otherwise(long)).cast("long")
+    return items.join(placed.select("id", "size_class", batch.alias("batch")), "id")
 
 
 def reprocess_list(results: DataFrame) -> DataFrame:

@@ -7,14 +7,22 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from .items import ago
+from .store import settled
 
 #: The least score of a candidate by the method that found it.
 THRESHOLDS = {"model": 0.35, "entity": 0.35, "keyword": 0.50}
 OTHER_THRESHOLD = 0.40
+#: Without a shared model and with one shared name at most, a score of 0.5 (or 0.4 for titles alike by 0.8) needs 0.61 or more.
+LEAST_JACCARD = 0.6
 
 
 def features(df: DataFrame, title: str, body: Column | None = None, patterns: list[str] = X.ENTITIES, at: str = "published_at") -> DataFrame:
-    """(id, at, category, title, norm, hn, models, words, norm_words, names, keys). keys are what a pair must share to score."""
+    """(id, at, category, title, norm, hn, models, words, norm_words, names, keys).
+
+    keys are what a pair over the thresholds must share: a model; two names; the normalised title; or, as nothing else adds up to
+    a threshold without it, a Jaccard similarity of LEAST_JACCARD of the title's words. For that the words stand in one
+    order for all items, longest first, since long words are rare, and a pair that is so similar shares one of the first few of
+    them, so common short words are no keys."""
     t = F.coalesce(F.col(title), F.lit(""))
     text = t if body is None else F.concat_ws(" ", t, body)
     out = df.select("id", F.col(at).alias("at"), "category", t.alias("title"), text.alias("text"))
@@ -22,7 +30,12 @@ def features(df: DataFrame, title: str, body: Column | None = None, patterns: li
     out = out.select("*", X.normalize_title(F.col("title")).alias("norm"), X.hn_type(F.col("title")).alias("hn"), X.model_names(F.col("title")).alias("models"), X.keywords(F.col("title")).alias("words"), lower_names.alias("names")).drop("text")
     out = out.withColumn("norm_words", X.keywords(F.col("norm")))
     tag = lambda kind, xs: F.transform(xs, lambda x: F.concat(F.lit(kind), x))
-    keys = F.array_distinct(F.concat(tag("m:", F.col("models")), tag("w:", F.col("words")), tag("w:", F.col("norm_words")), tag("e:", F.col("names")), F.array(F.concat(F.lit("t:"), F.col("norm")))))
+    ranked = F.transform(F.array_sort(F.transform("norm_words", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda x: x["w"])
+    size = F.size("norm_words")
+    prefix = F.when(size > 0, F.slice(ranked, F.lit(1), size - F.ceil(size * LEAST_JACCARD).cast("int") + 1)).otherwise(F.array().cast("array<string>"))
+    ordered = F.array_sort("names")
+    two = F.flatten(F.transform(ordered, lambda x, i: F.transform(F.slice(ordered, i + 2, F.greatest(F.size(ordered), F.lit(1))), lambda y: F.concat_ws("\0", x, y))))
+    keys = F.array_distinct(F.concat(tag("m:", F.col("models")), tag("w:", prefix), tag("e:", two), F.array(F.concat(F.lit("t:"), F.col("norm")))))
     return out.withColumn("keys", keys)
 
 
@@ -57,7 +70,7 @@ def candidates(left: DataFrame, right: DataFrame, earlier_only: bool = False) ->
 
 def cluster_candidates(items: DataFrame, clusters: DataFrame, as_of: str, days: int = 3, k: int = 5, patterns: list[str] = X.ENTITIES) -> DataFrame:
     """(id, cluster, score, method, rank): the best k recent clusters of each item."""
-    left = features(items, "title", F.col("content"), patterns)
+    left = settled(features(items, "title", F.col("content"), patterns), "item-features")
     right = features(clusters.filter(F.col("last_updated_at") >= ago(as_of, days)), "event_title", None, patterns, "last_updated_at")
     order = Window.partitionBy("id").orderBy(F.desc("score"), "other")
     return candidates(left, right).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).withColumnRenamed("other", "cluster")
@@ -76,7 +89,7 @@ def cluster_events(items: DataFrame, patterns: list[str] = X.ENTITIES, least: fl
     lead. A leader is an item that no earlier leader accepts, so each round settles the items whose earlier neighbours
     are settled: members where one of them leads, leaders where none does. State is narrow and checkpointed each round."""
     pool = items.withColumn("_o", F.struct(-F.coalesce("importance_score", F.lit(0)), -F.unix_micros(F.col("published_at").cast("timestamp")), "id"))
-    f = features(pool, "title", F.col("content"), patterns)
+    f = settled(features(pool, "title", F.col("content"), patterns), "item-features")
     place = pool.select("id", F.col("_o").alias("o"), (F.coalesce("importance_score", F.lit(0)) >= leader_importance).alias("can"))
     e = candidates(f, f).filter((F.col("id") != F.col("other")) & (F.col("score") >= least))
     e = e.join(place.select("id", "o"), "id").join(place.select(F.col("id").alias("other"), F.col("o").alias("p"), F.col("can").alias("other_can")), "other").filter(F.col("other_can") & (F.col("p") < F.col("o"))).select("id", "other", "score").checkpoint()
@@ -94,3 +107,14 @@ def cluster_events(items: DataFrame, patterns: list[str] = X.ENTITIES, least: fl
     joined = state.join(best, "id", "left")
     member = F.col("s") == "member"
     return joined.select("id", F.when(member, -F.col("r.m")).when(F.col("s") == "leader", F.col("id")).alias("leader"), F.when(member, F.col("r.score")).alias("score"), F.col("s").alias("role"))
+
+
+def cluster_new(items: DataFrame, clusters: DataFrame, as_of: str, patterns: list[str] = X.ENTITIES, days: int = 3, least: float = 0.55) -> DataFrame:
+    """(id, cluster, leader, score, role): items join the best recent cluster that accepts them; the others are clustered among themselves."""
+    best = accept_candidates(cluster_candidates(items, clusters, as_of, days, 1, patterns), least=least).filter("accepted")
+    joined = settled(best.select("id", "cluster", "score"), "joined")
+    rest = cluster_events(items.join(joined.select("id"), "id", "left_anti"), patterns, least)
+    none = F.lit(None).cast("long")
+    return joined.select("id", F.col("cluster").cast("long").alias("cluster"), none.alias("leader"), "score", F.lit("joined").alias("role")).unionByName(
+        rest.select("id", none.alias("cluster"), F.col("leader").cast("long").alias("leader"), "score", "role")
+    )

@@ -1,20 +1,87 @@
 """Rule tables. Every table is a parameter of the operators that use it; these are the defaults."""
 
 # Domain, category, importance.
-DOMAINS = [tuple(x.split()) for x in """
-github.com 编程 6|gitlab.com 编程 6|stackoverflow.com 编程 5|dev.to 编程 5|hackernews.com 技术 6|news.ycombinator.com 技术 7
-medium.com 技术 5|substack.com 技术 5|hashnode.dev 编程 5|codepen.io 编程 5|replit.com 编程 5|codesandbox.io 编程 5
-console.dev 编程 6|infoq.com 编程 6|dzone.com 编程 5|arxiv.org 科学 7|nature.com 科学 8|science.org 科学 8|sciencedirect.com 科学 7
-pubmed.ncbi.nlm.nih.gov 科学 7|biorxiv.org 科学 7|medrxiv.org 科学 7|pnas.org 科学 7|cell.com 科学 8|openai.com AI 8|anthropic.com AI 8
-deepmind.com AI 8|huggingface.co AI 7|replicate.com AI 6|stability.ai AI 7|midjourney.com AI 6|paperswithcode.com AI 7
-the-decoder.com AI 7|together.ai AI 7|cohere.com AI 7|mistral.ai AI 8|perplexity.ai AI 7|runway.com AI 6|pika.art AI 6|suno.ai AI 6
-claude.ai AI 8|chat.openai.com AI 7|gemini.google.com AI 7|labs.google AI 7|ai.meta.com AI 8|techcrunch.com 技术 6|theverge.com 技术 5
-wired.com 技术 5|arstechnica.com 技术 6|engadget.com 技术 5|thenextweb.com 技术 5|zdnet.com 技术 5|cnet.com 技术 5|9to5mac.com 技术 5
-9to5google.com 技术 5|macrumors.com 技术 5|tomshardware.com 技术 5|anandtech.com 技术 6|producthunt.com 产品 6|indiegogo.com 产品 5
-kickstarter.com 产品 5|betalist.com 产品 5|alternativeto.net 产品 5|crunchbase.com 创业 6|ycombinator.com 创业 6|techstars.com 创业 6
-bloomberg.com 商业 6|wsj.com 商业 6|ft.com 商业 6|venturebeat.com 创业 6|pitchbook.com 创业 6|sifted.eu 创业 6|eu-startups.com 创业 5
-36kr.com 创业 6|geekpark.net 技术 6|jiqizhixin.com AI 7|leiphone.com AI 6|sspai.com 产品 5|ifanr.com 技术 5
-""".replace("\n", "|").split("|") if x.strip()]
+DOMAINS = [
+    ("github.com", "编程", 6),
+    ("gitlab.com", "编程", 6),
+    ("stackoverflow.com", "编程", 5),
+    ("dev.to", "编程", 5),
+    ("hackernews.com", "技术", 6),
+    ("news.ycombinator.com", "技术", 7),
+    ("medium.com", "技术", 5),
+    ("substack.com", "技术", 5),
+    ("hashnode.dev", "编程", 5),
+    ("codepen.io", "编程", 5),
+    ("replit.com", "编程", 5),
+    ("codesandbox.io", "编程", 5),
+    ("console.dev", "编程", 6),
+    ("infoq.com", "编程", 6),
+    ("dzone.com", "编程", 5),
+    ("arxiv.org", "科学", 7),
+    ("nature.com", "科学", 8),
+    ("science.org", "科学", 8),
+    ("sciencedirect.com", "科学", 7),
+    ("pubmed.ncbi.nlm.nih.gov", "科学", 7),
+    ("biorxiv.org", "科学", 7),
+    ("medrxiv.org", "科学", 7),
+    ("pnas.org", "科学", 7),
+    ("cell.com", "科学", 8),
+    ("openai.com", "AI", 8),
+    ("anthropic.com", "AI", 8),
+    ("deepmind.com", "AI", 8),
+    ("huggingface.co", "AI", 7),
+    ("replicate.com", "AI", 6),
+    ("stability.ai", "AI", 7),
+    ("midjourney.com", "AI", 6),
+    ("paperswithcode.com", "AI", 7),
+    ("the-decoder.com", "AI", 7),
+    ("together.ai", "AI", 7),
+    ("cohere.com", "AI", 7),
+    ("mistral.ai", "AI", 8),
+    ("perplexity.ai", "AI", 7),
+    ("runway.com", "AI", 6),
+    ("pika.art", "AI", 6),
+    ("suno.ai", "AI", 6),
+    ("claude.ai", "AI", 8),
+    ("chat.openai.com", "AI", 7),
+    ("gemini.google.com", "AI", 7),
+    ("labs.google", "AI", 7),
+    ("ai.meta.com", "AI", 8),
+    ("techcrunch.com", "技术", 6),
+    ("theverge.com", "技术", 5),
+    ("wired.com", "技术", 5),
+    ("arstechnica.com", "技术", 6),
+    ("engadget.com", "技术", 5),
+    ("thenextweb.com", "技术", 5),
+    ("zdnet.com", "技术", 5),
+    ("cnet.com", "技术", 5),
+    ("9to5mac.com", "技术", 5),
+    ("9to5google.com", "技术", 5),
+    ("macrumors.com", "技术", 5),
+    ("tomshardware.com", "技术", 5),
+    ("anandtech.com", "技术", 6),
+    ("producthunt.com", "产品", 6),
+    ("indiegogo.com", "产品", 5),
+    ("kickstarter.com", "产品", 5),
+    ("betalist.com", "产品", 5),
+    ("alternativeto.net", "产品", 5),
+    ("crunchbase.com", "创业", 6),
+    ("ycombinator.com", "创业", 6),
+    ("techstars.com", "创业", 6),
+    ("bloomberg.com", "商业", 6),
+    ("wsj.com", "商业", 6),
+    ("ft.com", "商业", 6),
+    ("venturebeat.com", "创业", 6),
+    ("pitchbook.com", "创业", 6),
+    ("sifted.eu", "创业", 6),
+    ("eu-startups.com", "创业", 5),
+    ("36kr.com", "创业", 6),
+    ("geekpark.net", "技术", 6),
+    ("jiqizhixin.com", "AI", 7),
+    ("leiphone.com", "AI", 6),
+    ("sspai.com", "产品", 5),
+    ("ifanr.com", "技术", 5),
+]
 
 # Pattern, category, boost.
 TITLE_KEYWORDS = [
@@ -65,35 +132,160 @@ OTHER_SOURCE = 40
 AUTHORS = {"@anthropicai": -15, "@openai": -15, "@a16z": -10, "@paperswithcode": -10, "@karpathy": -10, "@googledeepmind": -5, "@stanfordhai": -5}
 SHORT_BELOW = {"twitter": 108, "reddit": 396}
 # Publishers of papers.
-PAPER_DOMAINS = """arxiv.org biorxiv.org medrxiv.org ssrn.com nature.com science.org cell.com pnas.org sciencedirect.com ieee.org acm.org
-openreview.net aclanthology.org papers.nips.cc proceedings.mlr.press paperswithcode.com springer.com wiley.com tandfonline.com oup.com
-cambridge.org""".split()
+PAPER_DOMAINS = [
+    "arxiv.org",
+    "biorxiv.org",
+    "medrxiv.org",
+    "ssrn.com",
+    "nature.com",
+    "science.org",
+    "cell.com",
+    "pnas.org",
+    "sciencedirect.com",
+    "ieee.org",
+    "acm.org",
+    "openreview.net",
+    "aclanthology.org",
+    "papers.nips.cc",
+    "proceedings.mlr.press",
+    "paperswithcode.com",
+    "springer.com",
+    "wiley.com",
+    "tandfonline.com",
+    "oup.com",
+    "cambridge.org",
+]
 # Hosts and file endings that are never fetched.
-MEDIA_HOSTS = "youtube.com youtu.be vimeo.com twitch.tv imgur.com i.imgur.com gfycat.com reddit.com i.redd.it v.redd.it preview.redd.it twitter.com x.com".split()
+MEDIA_HOSTS = [
+    "youtube.com",
+    "youtu.be",
+    "vimeo.com",
+    "twitch.tv",
+    "imgur.com",
+    "i.imgur.com",
+    "gfycat.com",
+    "reddit.com",
+    "i.redd.it",
+    "v.redd.it",
+    "preview.redd.it",
+    "twitter.com",
+    "x.com",
+]
 MEDIA_ENDINGS = r"\.(jpg|jpeg|png|gif|webp|mp4|webm|mov|pdf)$"
 # Domains that classify by themselves.
-HIGH_CONFIDENCE = [tuple(x.split()) for x in """
-openai.com AI 8|anthropic.com AI 8|deepmind.com AI 8|mistral.ai AI 8|huggingface.co AI 7|developer.nvidia.com AI 7|stability.ai AI 7
-cohere.com AI 7|midjourney.com AI 7|nature.com 研究 8|science.org 研究 8|arxiv.org 研究 7|biorxiv.org 研究 7|cell.com 研究 8|blog.google 技术 7
-engineering.fb.com 编程 7|github.blog 编程 7|blog.cloudflare.com 技术 7|engineering.linkedin.com 编程 6|engineering.uber.com 编程 6
-netflixtechblog.com 编程 6|pytorch.org 编程 7|tensorflow.org 编程 7|rust-lang.org 编程 6|python.org 编程 6|golang.org 编程 6
-kotlinlang.org 编程 6|typescriptlang.org 编程 6|github.com 编程 6|gitlab.com 编程 6|stackoverflow.com 编程 5|dev.to 编程 5|hashnode.com 编程 5
-techcrunch.com 创业 6|arstechnica.com 技术 6|wired.com 技术 5|theverge.com 技术 5|venturebeat.com AI 6|thenewstack.io 编程 6|infoworld.com 技术 5
-hackernoon.com 编程 5|the-decoder.com AI 7|aiweekly.co AI 6|jiqizhixin.com AI 7|36kr.com 创业 6|infoq.cn 技术 6|sspai.com 技术 5
-oschina.net 编程 5|segmentfault.com 编程 5|juejin.cn 编程 5|bloomberg.com 金融 7|reuters.com 金融 7|wsj.com 金融 7|ft.com 金融 7
-coindesk.com 金融 6|theblock.co 金融 6|seekingalpha.com 金融 6|cointelegraph.com 金融 6|producthunt.com 创新 6|ycombinator.com 创业 7
-crunchbase.com 创业 6|betalist.com 创新 5
-""".replace("\n", "|").split("|") if x.strip()]
+HIGH_CONFIDENCE = [
+    ("openai.com", "AI", 8),
+    ("anthropic.com", "AI", 8),
+    ("deepmind.com", "AI", 8),
+    ("mistral.ai", "AI", 8),
+    ("huggingface.co", "AI", 7),
+    ("developer.nvidia.com", "AI", 7),
+    ("stability.ai", "AI", 7),
+    ("cohere.com", "AI", 7),
+    ("midjourney.com", "AI", 7),
+    ("nature.com", "研究", 8),
+    ("science.org", "研究", 8),
+    ("arxiv.org", "研究", 7),
+    ("biorxiv.org", "研究", 7),
+    ("cell.com", "研究", 8),
+    ("blog.google", "技术", 7),
+    ("engineering.fb.com", "编程", 7),
+    ("github.blog", "编程", 7),
+    ("blog.cloudflare.com", "技术", 7),
+    ("engineering.linkedin.com", "编程", 6),
+    ("engineering.uber.com", "编程", 6),
+    ("netflixtechblog.com", "编程", 6),
+    ("pytorch.org", "编程", 7),
+    ("tensorflow.org", "编程", 7),
+    ("rust-lang.org", "编程", 6),
+    ("python.org", "编程", 6),
+    ("golang.org", "编程", 6),
+    ("kotlinlang.org", "编程", 6),
+    ("typescriptlang.org", "编程", 6),
+    ("github.com", "编程", 6),
+    ("gitlab.com", "编程", 6),
+    ("stackoverflow.com", "编程", 5),
+    ("dev.to", "编程", 5),
+    ("hashnode.com", "编程", 5),
+    ("techcrunch.com", "创业", 6),
+    ("arstechnica.com", "技术", 6),
+    ("wired.com", "技术", 5),
+    ("theverge.com", "技术", 5),
+    ("venturebeat.com", "AI", 6),
+    ("thenewstack.io", "编程", 6),
+    ("infoworld.com", "技术", 5),
+    ("hackernoon.com", "编程", 5),
+    ("the-decoder.com", "AI", 7),
+    ("aiweekly.co", "AI", 6),
+    ("jiqizhixin.com", "AI", 7),
+    ("36kr.com", "创业", 6),
+    ("infoq.cn", "技术", 6),
+    ("sspai.com", "技术", 5),
+    ("oschina.net", "编程", 5),
+    ("segmentfault.com", "编程", 5),
+    ("juejin.cn", "编程", 5),
+    ("bloomberg.com", "金融", 7),
+    ("reuters.com", "金融", 7),
+    ("wsj.com", "金融", 7),
+    ("ft.com", "金融", 7),
+    ("coindesk.com", "金融", 6),
+    ("theblock.co", "金融", 6),
+    ("seekingalpha.com", "金融", 6),
+    ("cointelegraph.com", "金融", 6),
+    ("producthunt.com", "创新", 6),
+    ("ycombinator.com", "创业", 7),
+    ("crunchbase.com", "创业", 6),
+    ("betalist.com", "创新", 5),
+]
 NOT_BY_RULE = ("news.ycombinator.com", "hnrss.org")
 # Community, category, importance.
-SUBREDDITS = [tuple(x.split()) for x in """
-machinelearning AI 5|learnmachinelearning AI 5|localllama AI 6|stablediffusion AI 5|reinforcementlearning AI 6|artificial AI 6|openai AI 6
-claudeai AI 6|chatgpt AI 5|singularity AI 4|deeplearning AI 6|mlquestions AI 6|python 编程 6|programming 编程 7|coding 编程 5
-learnprogramming 编程 4|rust 编程 6|golang 编程 6|javascript 编程 5|typescript 编程 6|cpp 编程 6|java 编程 5|webdev 编程 5|devops 编程 6
-creativecoding 编程 2|technology 技术 7|futurology 技术 6|gadgets 技术 4|hardware 技术 7|linux 技术 5|selfhosted 技术 5|entrepreneur 创业 4
-startups 创业 5|sideproject 创业 5|smallbusiness 创业 4|ycombinator 创业 6|indiehackers 创业 6|statistics 研究 5|datascience 研究 6
-science 研究 5|compsci 研究 6|design 设计 3|web_design 设计 3|ui_design 设计 3|userexperience 设计 4
-""".replace("\n", "|").split("|") if x.strip()]
+SUBREDDITS = [
+    ("machinelearning", "AI", 5),
+    ("learnmachinelearning", "AI", 5),
+    ("localllama", "AI", 6),
+    ("stablediffusion", "AI", 5),
+    ("reinforcementlearning", "AI", 6),
+    ("artificial", "AI", 6),
+    ("openai", "AI", 6),
+    ("claudeai", "AI", 6),
+    ("chatgpt", "AI", 5),
+    ("singularity", "AI", 4),
+    ("deeplearning", "AI", 6),
+    ("mlquestions", "AI", 6),
+    ("python", "编程", 6),
+    ("programming", "编程", 7),
+    ("coding", "编程", 5),
+    ("learnprogramming", "编程", 4),
+    ("rust", "编程", 6),
+    ("golang", "编程", 6),
+    ("javascript", "编程", 5),
+    ("typescript", "编程", 6),
+    ("cpp", "编程", 6),
+    ("java", "编程", 5),
+    ("webdev", "编程", 5),
+    ("devops", "编程", 6),
+    ("creativecoding", "编程", 2),
+    ("technology", "技术", 7),
+    ("futurology", "技术", 6),
+    ("gadgets", "技术", 4),
+    ("hardware", "技术", 7),
+    ("linux", "技术", 5),
+    ("selfhosted", "技术", 5),
+    ("entrepreneur", "创业", 4),
+    ("startups", "创业", 5),
+    ("sideproject", "创业", 5),
+    ("smallbusiness", "创业", 4),
+    ("ycombinator", "创业", 6),
+    ("indiehackers", "创业", 6),
+    ("statistics", "研究", 5),
+    ("datascience", "研究", 6),
+    ("science", "研究", 5),
+    ("compsci", "研究", 6),
+    ("design", "设计", 3),
+    ("web_design", "设计", 3),
+    ("ui_design", "设计", 3),
+    ("userexperience", "设计", 4),
+]
 # By category, patterns that confirm it and what each adds (2 at most).
 CONFIRMING = {
     "AI": [(r"\b(GPT|Claude|Gemini|LLMs?|models?|AI|机器学习)\b", 1), (r"\b(launch|release|announce|发布|上线|更新)\b", 1), (r"\b(研究|论文|paper|research)\b", 0)],

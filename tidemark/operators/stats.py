@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .items import ago, top, ts
+from .store import settled
 
 #: US dollars for a million input and output tokens.
 PRICES = [("haiku", 0.25, 1.25), ("sonnet", 3.0, 15.0), ("opus", 15.0, 75.0)]
@@ -138,7 +139,23 @@ def order_events(clusters: DataFrame, rollup: DataFrame, priority: tuple[str, ..
     """Priority categories first, then by articles and importance; `place` is the rank."""
     joined = clusters.join(rollup.select("event_cluster_id", "max_importance"), F.col("id") == F.col("event_cluster_id"), "left")
     first = F.when(F.col("category").isin(*priority), 0).otherwise(1)
-    return joined.withColumn("first", first).orderBy("first", F.desc("article_count"), F.desc_nulls_last("max_importance"), "id").drop("event_cluster_id")
+    order = [F.asc("first"), F.desc("article_count"), F.desc_nulls_last("max_importance"), F.asc("id")]
+    ranked, _ = numbered(joined.withColumn("first", first).drop("event_cluster_id"), order, "place")
+    return ranked.withColumn("place", F.col("place") + 1).orderBy("place")
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> tuple[DataFrame, int]:
+    """df with gapless numbers from 0 in the given order, and how many there are; one count for each partition reaches the driver."""
+    spark = df.sparkSession
+    at = F.monotonically_increasing_id()
+    laid = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    laid = settled(laid.select("*", F.shiftright(at, 33).alias("_part"), at.bitwiseAND((1 << 33) - 1).alias("_row")), "numbered")
+    first, total = [], 0
+    for part, n in sorted(map(tuple, laid.groupBy("_part").count().collect())):
+        first.append((part, total))
+        total += n
+    offsets = spark.createDataFrame(first, "_part long, _first long")
+    return laid.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_first") + F.col("_row")).drop("_part", "_row", "_first"), total
 
 
 def topic_changes(snapshots: DataFrame) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import time
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -51,10 +55,43 @@ def above_cursor(incoming: DataFrame, cursors: DataFrame, key: str, position: st
     return new, moved.groupBy(key).agg(F.max("last").alias("last"))
 
 
-def write_report(parts: dict[str, DataFrame], path: str, form: str = "parquet") -> None:
-    """Every part of a report as its own table."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session, which is one process, may leave it unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the shared folder and read back: what several branches of a plan read is computed once."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_report(parts: dict[str, DataFrame], path: str, form: str = "parquet") -> str:
+    """Every part of a report as its own table under a new version, which counts only when its name stands under versions/: that
+    is written last, so a lost run leaves the version before it in force. The version's name."""
+    version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
     for name, df in parts.items():
-        df.write.mode("overwrite").format(form).save(f"{path}/{name}")
+        df.write.format(form).save(f"{path}/{version}/{name}")
+    spark = next(iter(parts.values())).sparkSession
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").parquet(f"{path}/versions")
+    return version
+
+
+def read_report(spark: SparkSession, path: str, name: str, form: str = "parquet") -> DataFrame:
+    """A part of the latest whole version of a report."""
+    version = spark.read.parquet(f"{path}/versions").agg(F.max("version")).first()[0]
+    return spark.read.format(form).load(f"{path}/{version}/{name}")
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

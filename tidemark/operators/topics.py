@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from .items import ago, ts
 
+#: Keywords of one block of topics.
+BLOCK_KEYWORDS = 1000
+
 
 def _frequency(items: DataFrame, terms: Column, least: int, low: float, high: float, share: float, source: str, limit: int | None) -> DataFrame:
     """(name, frequency, confidence, samples): terms of `least` mentions or more; samples are the first three titles."""
@@ -74,19 +79,44 @@ def accept_suggestions(suggestions: DataFrame, ids: DataFrame, status: str = "ac
     return out, hit.filter("_hit").select("id", "name")
 
 
-def match_topics(items: DataFrame, topics: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """(content_id, topic_id, relevance): keywords inside title and content. Topics are a short table in one CASE-free array
-    that each row scans; early keywords weigh more; three hits or more add a fifth."""
-    words = topics.groupBy("topic_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.lower("keyword").alias("keyword")))).alias("words"))
-    every = words.groupBy().agg(F.collect_list(F.struct("topic_id", "words")).alias("topics")).withColumn("k", F.lit(1))
+def _topic_blocks(topics: DataFrame, most: int) -> Iterator[list[tuple[int, list[tuple[int, str]]]]]:
+    """The topics with their keywords in order, in blocks of about `most` keywords, one block at a time on the driver."""
+    words = F.array_sort(F.collect_list(F.struct(F.col("pos"), F.lower("keyword").alias("keyword"))))
+    block, size = [], 0
+    for topic, ws in topics.groupBy("topic_id").agg(words.alias("words")).orderBy("topic_id").toLocalIterator():
+        if block and size + len(ws) > most:
+            yield block
+            block, size = [], 0
+        block.append((topic, [(w["pos"], w["keyword"]) for w in ws]))
+        size += len(ws)
+    if block:
+        yield block
+
+
+def match_topics(items: DataFrame, topics: DataFrame, threshold: float = 0.3, block: int = BLOCK_KEYWORDS) -> DataFrame:
+    """(content_id, topic_id, relevance): keywords inside title and content; early keywords weigh more; three hits or more add a
+    fifth. Topics are a stated query set that all items meet in blocks: a block is a literal in a projection over the items, so
+    nothing is joined or broadcast, and a row leaves only the topics that it matches."""
+    kind = dict(topics.dtypes)["topic_id"]
     text = F.lower(F.concat_ws(" ", "title", "content"))
-    rows = items.select(F.col("id").alias("content_id"), text.alias("text"), F.lit(1).alias("k")).join(F.broadcast(every), "k").select("content_id", "text", F.explode("topics").alias("t"))
-    hits = F.filter("t.words", lambda w: F.col("text").contains(w["keyword"]))
-    sums = rows.select("content_id", "t.topic_id", F.size("t.words").alias("n"), hits.alias("hits"))
-    score = F.aggregate("hits", F.lit(0.0), lambda a, w: a + F.greatest(F.lit(0.3), 1 - w["pos"] * F.lit(0.05)))
-    score = F.least(F.lit(1.0), score / F.col("n"))
-    score = F.when(F.size("hits") >= 3, F.least(F.lit(1.0), score * 1.2)).otherwise(score)
-    return sums.select("content_id", "topic_id", F.round(score, 3).alias("relevance")).filter(F.col("relevance") > threshold)
+    out = None
+    for part in _topic_blocks(topics, block):
+        rows = items.select(F.col("id").alias("content_id"), text.alias("text"))
+        word = lambda w: F.struct(F.lit(int(w[0])).alias("pos"), F.lit(w[1]).alias("keyword"))
+        table = F.array(*(F.struct(F.lit(t).cast(kind).alias("topic_id"), F.array(*map(word, ws)).alias("words")) for t, ws in part))
+
+        def judged(t: Column) -> Column:
+            hits = F.filter(t["words"], lambda w: F.col("text").contains(w["keyword"]))
+            return F.struct(t["topic_id"].alias("topic_id"), F.size(hits).alias("hits"), F.size(t["words"]).alias("n"), F.aggregate(hits, F.lit(0.0), lambda a, w: a + F.greatest(F.lit(0.3), 1 - w["pos"] * F.lit(0.05))).alias("sum"))
+
+        found = rows.select("content_id", F.explode(F.filter(F.transform(table, judged), lambda t: t["hits"] > 0)).alias("t"))
+        score = F.least(F.lit(1.0), F.col("t.sum") / F.col("t.n"))
+        score = F.when(F.col("t.hits") >= 3, F.least(F.lit(1.0), score * 1.2)).otherwise(score)
+        found = found.select("content_id", F.col("t.topic_id").alias("topic_id"), F.round(score, 3).alias("relevance")).filter(F.col("relevance") > threshold)
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return items.limit(0).select(F.col("id").alias("content_id"), F.lit(None).cast(kind).alias("topic_id"), F.lit(0.0).alias("relevance"))
+    return out
 
 
 def topic_trend(items: DataFrame, content_topics: DataFrame, as_of: str, days: int = 7, least: float = 0.4) -> DataFrame:

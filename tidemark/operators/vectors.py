@@ -31,7 +31,9 @@ def update_centroids(now: DataFrame, added: DataFrame, embeddings: DataFrame) ->
     both = now.join(new, "event_cluster_id", "full")
     mixed = F.zip_with(F.col("centroid"), F.col("c"), lambda a, b: a * F.col("members") + b * F.col("k"))
     out = F.when(F.col("c").isNull(), F.col("centroid")).when(F.col("centroid").isNull(), F.col("c")).otherwise(mixed)
-    return both.select("event_cluster_id", (F.coalesce("members", F.lit(0)) + F.coalesce("k", F.lit(0))).alias("members"), out.alias("v")).select("event_cluster_id", "members", _unit(F.col("v")).alias("centroid"))
+    total = F.coalesce("members", F.lit(0)) + F.coalesce("k", F.lit(0))
+    # not named members at once: inside the lambda above that would be this sum
+    return both.select("event_cluster_id", total.alias("total"), out.alias("v")).select("event_cluster_id", F.col("total").alias("members"), _unit(F.col("v")).alias("centroid"))
 
 
 def sign_buckets(vector: Column, dimensions: int, tables: int = 8, bits: int = 10, seed: int = 1) -> Column:
@@ -93,7 +95,7 @@ def embed(items: DataFrame, encoder=None, dimensions: int = 256) -> DataFrame:
         return rows.mapInPandas(encoder, "content_id long, embedding array<float>")
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     grams = F.transform(F.array(words), lambda ws: F.concat(ws, F.zip_with(F.slice(ws, 1, F.greatest(F.size(ws) - 1, F.lit(0))), F.slice(ws, 2, F.greatest(F.size(ws) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))))[0]
-    flat = rows.select("id", F.explode(grams).alias("g")).select("id", F.pmod(F.xxhash64("g"), F.lit(dimensions)).cast("int").alias("k"), F.when(F.pmod(F.xxhash64("g", F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s"))
+    flat = rows.select("id", F.explode(grams).alias("g")).select("id", (F.conv(F.substring(F.md5("g"), 1, 8), 16, 10).cast("long") % dimensions).cast("int").alias("k"), F.when(F.substring(F.md5("g"), 9, 1) < "8", 1.0).otherwise(-1.0).alias("s"))
     summed = flat.groupBy("id", "k").agg(F.sum("s").alias("s")).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("k", "s"))).alias("m"))
     vector = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda k: F.coalesce(F.col("m")[k], F.lit(0.0)))
     unit = summed.select("id", vector.alias("v")).withColumn("n", F.sqrt(X.dot(F.col("v"), F.col("v"))))

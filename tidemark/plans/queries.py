@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from types import SimpleNamespace
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -209,7 +211,8 @@ add("t06_section_topk", lambda t: items.section_topk(_digest(t), F.when(F.col("i
 add("t01_rank_content", lambda t: ids(items.top(t.items.withColumn("score", _priority(t)), [F.asc("score"), F.desc("published_at"), F.asc("id")], 80), "score"), f"SELECT id, {PRIORITY_SQL} AS score FROM items ORDER BY score, published_at DESC, id LIMIT 80")
 add("t02_page", lambda t: ids(items.page(t.items, [F.desc("published_at"), F.asc("id")], 25, 50)), "SELECT id FROM items ORDER BY published_at DESC, id LIMIT 25 OFFSET 50")
 add("t04_top_events", lambda t: ids(stats.top_events(t.clusters, START, END, 5), "article_count"), f"SELECT id, article_count FROM clusters WHERE last_updated_at >= {TS(START)} AND last_updated_at <= {TS(END)} ORDER BY article_count DESC, id LIMIT 5")
-add("t05_order_events", lambda t: stats.order_events(t.clusters, _roll(t), ("fr", "de")).select("id", "first", "article_count"), "SELECT id, CASE WHEN category IN ('fr', 'de') THEN 0 ELSE 1 END AS first, article_count FROM clusters")
+add("t05_order_events", lambda t: stats.order_events(t.clusters, _roll(t), ("fr", "de")).select("id", "first", "article_count", "place"),
+    f"SELECT id, first, article_count, row_number() OVER (ORDER BY first, article_count DESC, max_importance DESC NULLS LAST, id) AS place FROM (SELECT c.id, CASE WHEN category IN ('fr', 'de') THEN 0 ELSE 1 END AS first, c.article_count, max_importance FROM clusters c LEFT JOIN ({ROLL}) r ON r.event_cluster_id = c.id)")
 add("u01_recent_content", lambda t: ids(items.recent_content([t.items.filter("processed"), t.items.filter("not delivered")], AS_OF, 7)), f"SELECT id FROM items WHERE (processed OR NOT delivered) AND published_at >= {AGO(7)}")
 add("u02_merge_suggestions", lambda t: topics.merge_suggestions(t.suggestions.filter("id % 2 = 0"), t.suggestions.filter("id % 2 = 1")).select(F.lower("name").alias("name"), "confidence"), "SELECT lower(name) AS name, max(confidence) AS confidence FROM suggestions GROUP BY 1")
 FOUND = FREQ.format(low=0.3, high=1.0, share=0.1, terms=ENT, least=5, limit=50)
@@ -227,7 +230,8 @@ QUERY = "regexp_extract(url, '\\?([^#]*)', 1)"
 TAIL = f"array_to_string([p FOR p IN string_split({QUERY}, '&') IF contains(p, '=') AND NOT ends_with(p, '=') AND NOT list_contains(['utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'ref', 'source'], lower(split_part(p, '=', 1)))], '&')"
 add("p03_normalize_url", lambda t: t.pages.select("page_id", X.normalize_url(F.col("url")).alias("url")), f"SELECT page_id, regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1) || regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1), '/+$', '') || CASE WHEN {TAIL} <> '' THEN '?' || {TAIL} ELSE '' END AS url FROM pages")
 add("p04_url_host", lambda t: t.pages.select("page_id", X.url_host(F.col("url")).alias("host")), f"SELECT page_id, {HOST} AS host FROM pages")
-add("p05_source_key", lambda t: t.items.select("id", X.source_key(F.when(F.col("id") % 3 == 0, F.concat(F.lit("https://www.reddit.com/r/"), F.col("source_type"), F.lit("/x"))).when(F.col("id") % 3 == 1, F.lit("https://netflix.com/a")).otherwise(F.lit("https://arxiv.org/abs/1"))).alias("key")), "SELECT id, CASE id % 3 WHEN 0 THEN 'reddit/' || source_type WHEN 1 THEN 'other' ELSE 'arxiv' END AS key FROM items")
+URLS = "concat('https://', CASE source_type WHEN 'reddit' THEN concat('www.reddit.com/r/', category) WHEN 'twitter' THEN 'x.com/' WHEN 'hackernews' THEN 'news.ycombinator.com/item' ELSE substring(url, 9) END, '/', substring(author, 2))"
+add("p05_source_key", lambda t: t.items.select("id", X.source_key(F.expr(URLS)).alias("key")), "SELECT id, CASE source_type WHEN 'reddit' THEN 'reddit/' || category WHEN 'twitter' THEN 'twitter' WHEN 'hackernews' THEN 'hackernews' ELSE 'other' END AS key FROM items")
 add("p06_priority_score", lambda t: t.items.select("id", _priority(t).alias("score")), f"SELECT id, {PRIORITY_SQL} AS score FROM items")
 BARE = "regexp_replace(html, '(?s)<[^>]+>', ' ', 'g')"
 
@@ -248,7 +252,8 @@ HEADT = _chain("title", X.HEAD_STEPS)
 _cut = " ".join(f"WHEN strpos(x, '{s}') - 1 > 10 AND strpos(x, '{s}') - 1 < 50 THEN trim(substring(x, 1, strpos(x, '{s}')))" for s in ("。", "！", "？", ".", "!", "?", "，", ",", " - ", " | "))
 add("p10_rule_summary", lambda t: t.items.select("id", X.rule_summary(F.col("title")).alias("summary"), X.one_liner(F.col("title"), F.lit("AI")).alias("line")),
     f"SELECT id, CASE WHEN length(x) <= 50 THEN x {_cut} ELSE substring(x, 1, 47) || '...' END AS summary, 'AI动态：' || CASE WHEN length(x) <= 30 THEN x " + " ".join(f"WHEN contains(x, '{s}') THEN substring(trim(split_part(x, '{s}', 1)), 1, 30)" for s in ("：", ":", " - ", " | ")) + f" ELSE substring(x, 1, 30) || '...' END AS line FROM (SELECT id, {HEADT} AS x FROM items)")
-add("p11_hn_type", lambda t: t.items.select("id", X.hn_type(F.concat(F.when(F.col("id") % 3 == 0, "Ask HN: ").when(F.col("id") % 3 == 1, "Show HN ").otherwise(""), "title")).alias("kind")), "SELECT id, CASE id % 3 WHEN 0 THEN 'ask' WHEN 1 THEN 'show' END AS kind FROM items")
+add("p11_hn_type", lambda t: t.items.select("id", X.hn_type(F.concat_ws(" ", F.when(F.col("source_type") == "hackernews", F.element_at(F.split(F.lit("Ask HN:,Show HN:,Tell HN:,Launch HN:"), ","), F.pmod(F.length("title"), F.lit(4)) + 1)), "title")).alias("kind")),
+    "SELECT id, CASE WHEN source_type = 'hackernews' THEN (['ask', 'show', 'tell', 'launch'])[length(title) % 4 + 1] END AS kind FROM items")
 add("p12_normalize_title", lambda t: t.items.select("id", X.normalize_title(F.col("title")).alias("title")), f"SELECT id, {NORM} AS title FROM items")
 add("p13_entities", lambda t: t.items.select("id", F.array_join(X.entities(F.concat_ws(" ", "title", "content"), WORDS), ",").alias("names")), f"SELECT id, array_to_string({ENT}, ',') AS names FROM items")
 _join = lambda c: F.array_join(F.array_sort(c), ",")
@@ -265,8 +270,9 @@ STOP = "[" + ", ".join(f"'{w}'" for w in X.TITLE_STOPWORDS) + "]"
 KW = lambda x: f"[w FOR w IN regexp_extract_all(lower({x}), '{X.TOKEN}', 1) IF length(w) > 1 AND NOT list_contains({STOP}, w)]"
 add("p15_keywords", lambda t: t.items.select("id", _join(X.keywords(F.col("title"))).alias("words")), f"SELECT id, array_to_string(list_sort(list_distinct({KW('title')})), ',') AS words FROM items")
 add("p16_bigrams", lambda t: t.items.select("id", F.array_join(X.bigrams(F.col("title")), ",").alias("pairs")), f"SELECT id, array_to_string({PAIRS}, ',') AS pairs FROM (SELECT *, regexp_extract_all(lower(title), '([a-z]+)', 1) AS ws FROM items)")
-add("p17_key_points", lambda t: t.items.select("id", F.array_join(X.key_points(F.concat(F.lit("Google and GPT-4 raise $5B, up 12.5%: "), F.col("id").cast("string"), F.lit(" users"))), "|").alias("points")), "SELECT id, 'Google|GPT-4|5B' AS points FROM items")
 POINTS = [r"(?i)\b(OpenAI|Anthropic|Google|Meta|Microsoft|Apple|Nvidia)\b", r"(?i)\b(GPT-?\d+|Claude|Gemini|Llama|ChatGPT)\b", "(阿里|腾讯|百度|字节跳动|华为|小米)", r"(?i)\$(\d+(?:\.\d+)?[BMK]?)", r"(\d+(?:\.\d+)?%)", r"(?i)(\d+(?:,\d+)*)\s*(?:用户|users?|downloads?)"]
+add("p17_key_points", lambda t: t.items.select("id", F.array_join(X.key_points(F.col("content")), "|").alias("points")),
+    "SELECT id, array_to_string(list_slice(list_filter([" + ", ".join(f"regexp_extract(content, '{_edge(p)}', 1)" for p in POINTS) + "], lambda x: x <> ''), 1, 3), '|') AS points FROM items")
 add("p17_key_points_titles", lambda t: t.items.select("id", F.array_join(X.key_points(F.col("title")), "|").alias("points")),
     "SELECT id, array_to_string(list_slice(list_filter([" + ", ".join(f"regexp_extract(title, '{_edge(p)}', 1)" for p in POINTS) + "], lambda x: x <> ''), 1, 3), '|') AS points FROM items")
 add("p18_title_similarity", lambda t: t.items.join(t.items.select((F.col("id") - 1).alias("id"), F.col("title").alias("other")), "id").select("id", F.round(X.title_similarity(F.col("title"), F.col("other")), 6).alias("score")),
@@ -274,9 +280,9 @@ add("p18_title_similarity", lambda t: t.items.join(t.items.select((F.col("id") -
 add("p19_cosine", lambda t: t.content_embeddings.join(t.content_embeddings.select((F.col("content_id") - 1).alias("content_id"), F.col("embedding").alias("o")), "content_id").select("content_id", F.round(X.cosine(F.col("embedding"), F.col("o")), 5).alias("cosine"), F.round(X.sim01(F.col("embedding"), F.col("o")), 5).alias("sim")),
     f"SELECT a.vec_id AS content_id, round({DOT} / sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) * list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 5) AS cosine, round(greatest(0, ({DOT} + 1) / 2), 5) AS sim FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 add("p20_hybrid_score", lambda t: t.members.select("event_cluster_id", "content_item_id", F.round(X.hybrid_score(F.lit(0.5), F.col("similarity_score")), 6).alias("score")), "SELECT event_cluster_id, content_item_id, round(CASE WHEN similarity_score = 0 THEN 0.5 ELSE 0.5 * 0.4 + similarity_score * 0.6 END, 6) AS score FROM members")
-MIXED = ["AI", "经济", "AI/机器学习", "foo、科研", "some 编程 words", "nothing"]
-MIXED_TO = ["AI", "金融", "AI", "研究", "编程", "其他"]
-add("p21_normalize_category", lambda t: t.items.select("id", X.normalize_category(F.element_at(F.array(*(F.lit(x) for x in MIXED)), (F.col("id") % 6 + 1).cast("int")), R.CATEGORIES, R.ALIASES, "其他").alias("category")), "SELECT id, ([" + ", ".join(f"'{x}'" for x in MIXED_TO) + "])[id % 6 + 1] AS category FROM items")
+LANGS, LANG_ALIASES = ["en", "de", "fr"], {"es": "de", "src1": "fr"}
+add("p21_normalize_category", lambda t: t.items.select("id", X.normalize_category(F.concat(F.substring("author", 2, 10), F.when(F.col("processed"), "、").otherwise("-"), F.col("category")), LANGS, LANG_ALIASES, "其他").alias("category")),
+    "SELECT id, CASE WHEN author = '@src1' AND processed THEN 'fr' WHEN category IN ('en', 'de', 'fr') THEN category WHEN category = 'es' AND processed THEN 'de' ELSE '其他' END AS category FROM items")
 add("p24_estimate_tokens", lambda t: t.conversations.select("conv_id", "turn", X.estimate_tokens(F.col("text")).alias("tokens")), "SELECT conv_id, turn, greatest(CAST(floor(length(text) / 3) AS BIGINT), 10) AS tokens FROM conversations")
 
 
@@ -314,20 +320,152 @@ add("j11_cluster_candidates", lambda t: _cand(t).select("id", "cluster", "score"
 add("c13_accept_candidates", lambda t: events.accept_candidates(_cand(t)).select("id", "cluster", "accepted"), f"WITH {FEAT} SELECT id, cluster, score >= 0.55 AS accepted FROM ca WHERE rank = 1")
 add("c12_event_score", lambda t: events.candidates(events.features(t.items, "title", F.col("content"), WORDS), events.features(t.clusters, "event_title", None, WORDS, "last_updated_at")).groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 3).alias("total")),
     f"WITH {FEAT.replace(f'WHERE last_updated_at >= {AGO(3)}', '')} SELECT method, count(*) AS n, round(sum(score), 3) AS total FROM sc WHERE score >= CASE method WHEN 'entity' THEN 0.35 WHEN 'keyword' THEN 0.5 ELSE 0.4 END GROUP BY 1")
-add("c14_cluster_events", lambda t: events.cluster_events(t.items.filter("processed and importance_score >= 5 and source_type <> 'rss'"), WORDS))
-add("c15_update_centroids", lambda t: vectors.update_centroids(vectors.centroids(t.members.filter("content_item_id % 2 = 0"), t.content_embeddings), t.members.filter("content_item_id % 2 = 1"), t.content_embeddings).select("event_cluster_id", "members"), "SELECT event_cluster_id, count(*) AS members FROM members GROUP BY 1")
-add("c16_extract_actions", lambda t: classify.extract_actions(t.items.withColumn("actionable_items", F.array(F.struct(F.lit("read").alias("type"), F.col("source_type").alias("description"), F.lit("high").alias("priority"))))), "SELECT id, 'read' AS type, source_type AS description, 'high' AS priority FROM items WHERE importance_score IS NULL OR importance_score >= 7")
+_free = lambda t: items.unclustered(t.items, t.members, AS_OF, 5, 24, None)
+add("c14_cluster_events", lambda t: events.cluster_events(_free(t), WORDS))
+add("c14_attempted", lambda t: ids(store.update_where(t.items, _free(t).select("id"), {"cluster_attempted_at": F.lit(AS_OF).cast("timestamp_ntz")}), "cluster_attempted_at"),
+    f"SELECT id, CASE WHEN {FREE} AND (cluster_attempted_at IS NULL OR cluster_attempted_at < {TS(AS_OF)} - to_seconds(86400)) AND id NOT IN (SELECT content_item_id FROM members) THEN {TS(AS_OF)} ELSE cluster_attempted_at END AS cluster_attempted_at FROM items")
+add("c15_update_centroids", lambda t: vectors.update_centroids(vectors.centroids(t.members.filter("content_item_id % 2 = 0"), t.content_embeddings), t.members.filter("content_item_id % 2 = 1"), t.content_embeddings).select("event_cluster_id", "members", F.posexplode("centroid").alias("pos", "x")).select("event_cluster_id", "members", "pos", F.round("x", 4).alias("x")),
+    """WITH e AS (SELECT event_cluster_id, content_item_id % 2 AS odd, p, avg(CAST(embedding[p] AS DOUBLE)) AS m, count(*) AS n FROM members JOIN content_embeddings ON content_id = content_item_id, generate_series(1, 64) AS g(p) GROUP BY 1, 2, 3),
+u AS (SELECT event_cluster_id, odd, p, n, m / sqrt(sum(m * m) OVER (PARTITION BY event_cluster_id, odd)) AS x FROM e), b AS (SELECT event_cluster_id, p, sum(n) AS n, sum(n * x) AS x FROM u GROUP BY 1, 2)
+SELECT event_cluster_id, CAST(n AS BIGINT) AS members, CAST(p - 1 AS INTEGER) AS pos, round(x / sqrt(sum(x * x) OVER (PARTITION BY event_cluster_id)), 4) AS x FROM b""")
+add("c16_extract_actions", lambda t: classify.extract_actions(t.items.withColumn("actionable_items", F.expr("transform(array(state, category), x -> struct(coalesce(x, 'none') AS type, title AS description, CASE WHEN delivered THEN 'low' ELSE 'high' END AS priority))"))),
+    "SELECT id, coalesce(unnest([state, category]), 'none') AS type, title AS description, CASE WHEN delivered THEN 'low' ELSE 'high' END AS priority FROM items WHERE importance_score IS NULL OR importance_score >= 7")
 TERMS = "[w FOR w IN regexp_extract_all(lower(concat_ws(' ', title, content, coalesce(summary, ''), category, author)), '([\\p{L}\\p{N}]+)', 1)]"
-add("c17_search", lambda t: ids(search.search(search.build_index(t.items), t.items, "the OR que th* NOT with", None, 3, 50)), f"SELECT id FROM (SELECT *, {TERMS} AS w FROM items) WHERE (list_contains(w, 'the') OR list_contains(w, 'que')) AND len([x FOR x IN w IF starts_with(x, 'th')]) > 0 AND NOT list_contains(w, 'with') AND importance_score >= 3 ORDER BY importance_score DESC, published_at DESC, id LIMIT 50")
-add("c18_embed", lambda t: vectors.embed(t.items).select("content_id", F.size("embedding").alias("size")))
-add("s01_feed_rows", lambda t: feeds.rows_of_feed(t.pages.select(*(F.col("url").alias(c) if c == "link" else F.col("html").alias(c) if c == "content" else (F.when(F.col("page_id") % 2 == 0, "Fri, 24 Jan 2025 18:30:00 +0000").alias(c) if c == "pubDate" else F.lit(None).cast("string").alias(c)) for c in feeds.ITEM.names)), "rss").select("external_id", "url", F.length("content").alias("size")))
-add("p22_parse_results", lambda t: feeds.parse_results(t.items.select("id", F.concat(F.lit("```json\n{\"summary\": \"s\", \"category\": \"AI/x\", \"importance_score\": "), F.col("id").cast("string"), F.lit("}\n```")).alias("reply")))[0].select("id", "summary", "category", "importance_score"), "SELECT id, 's' AS summary, 'AI' AS category, greatest(1, least(10, id)) AS importance_score FROM items")
-add("p23_parse_batches", lambda t: feeds.parse_batches(t.items.groupBy((F.col("id") / 6).cast("int").alias("batch")).agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("reply", F.array_join(F.transform("ids", lambda i: F.when(i % 5 != 0, F.concat(F.lit('{"id": "'), i.cast("string"), F.lit('", "summary": "s", "importance_score": "4"}')))), "\n"))).select("batch", "item", "summary", "success"),
-    "SELECT CAST(floor(id / 6) AS INTEGER) AS batch, id AS item, CASE WHEN id % 5 <> 0 THEN 's' END AS summary, id % 5 <> 0 AS success FROM items")
+add("c17_search", lambda t: ids(search.search(store.settled(search.build_index(t.items), "search-index"), t.items, "the OR que th* NOT with", None, 3, 50)), f"SELECT id FROM (SELECT *, {TERMS} AS w FROM items) WHERE (list_contains(w, 'the') OR list_contains(w, 'que')) AND len([x FOR x IN w IF starts_with(x, 'th')]) > 0 AND NOT list_contains(w, 'with') AND importance_score >= 3 ORDER BY importance_score DESC, published_at DESC, id LIMIT 50")
+GRAMS = r"""SELECT id, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))])) AS g FROM (SELECT id, list_filter(regexp_split_to_array(lower(substring(concat_ws(' ', title, content), 1, 500)), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM items)"""
+add("c18_embed", lambda t: vectors.embed(t.items).select("content_id", F.posexplode("embedding").alias("pos", "x")).filter("x <> 0").select("content_id", "pos", F.round(F.col("x").cast("double"), 4).alias("x")),
+    f"""WITH gr AS ({GRAMS}), s AS (SELECT id, CAST(CAST('0x' || substring(md5(g), 1, 8) AS BIGINT) % 256 AS INTEGER) AS k, sum(CASE WHEN substring(md5(g), 9, 1) < '8' THEN 1.0 ELSE -1.0 END) AS v FROM gr GROUP BY 1, 2),
+n AS (SELECT id, sqrt(sum(CAST(v * v AS DOUBLE))) AS norm FROM s GROUP BY 1) SELECT id AS content_id, k AS pos, round(CAST(CAST(v / norm AS FLOAT) AS DOUBLE), 4) AS x FROM s JOIN n USING (id) WHERE v <> 0""")
+
+
+def _feed(t: Tables) -> DataFrame:
+    """The pages as a feed: written as XML, read back by the reader."""
+    none = F.lit(None).cast("string")
+    cols = {"guid": F.when(F.col("page_id") % 3 > 0, F.concat(F.lit("g"), "page_id")), "link": F.col("url"), "comments": F.when(F.col("page_id") % 2 > 0, F.concat(F.lit("https://comments.example.org/"), "page_id")), "title": F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1), "description": F.col("html"), "author": none, "pubDate": F.date_format(F.timestamp_seconds(F.col("page_id") * 86400), "EEE, dd MMM yyyy HH:mm:ss Z")}
+    path = store.new_path(t.spark, "feed")
+    t.pages.select(*(c.alias(n) for n, c in cols.items())).write.format("xml").option("rootTag", "channel").option("rowTag", "item").save(path)
+    return feeds.read_feed_xml(t.spark, path, "hackernews")
+
+
+add("s01_feed_rows", lambda t: _feed(t).withColumn("published_at", F.col("published_at").cast("timestamp_ntz")), f"""SELECT 'hackernews' AS source_type, CASE WHEN page_id % 3 > 0 THEN 'g' || page_id ELSE url END AS external_id, {_entities_sql("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS title, substring({_entities_sql(BARE)}, 1, 5000) AS content,
+ CASE WHEN page_id % 2 > 0 THEN 'https://comments.example.org/' || page_id ELSE url END AS url, '' AS author, TIMESTAMP '1970-01-01' + to_seconds(page_id * 86400) AS published_at FROM pages""")
+
+
+def _posts(t: Tables) -> DataFrame:
+    """The items as posts: written as JSON lines, read back by the reader."""
+    path = store.new_path(t.spark, "posts")
+    t.items.select(F.col("id").cast("string").alias("id"), F.col("content").alias("text"), "url", F.substring("author", 2, 100).alias("user"), F.date_format("published_at", "EEE MMM dd HH:mm:ss '+0000' yyyy").alias("created_at")).write.json(path)
+    return feeds.read_post_json(t.spark, path)
+
+
+LINE = "split_part(coalesce(content, ''), chr(10), 1)"
+add("s02_post_rows", lambda t: _posts(t).withColumn("published_at", F.col("published_at").cast("timestamp_ntz")), f"SELECT 'twitter' AS source_type, CAST(id AS VARCHAR) AS external_id, CASE WHEN length(coalesce(content, '')) > 100 THEN substring({LINE}, 1, 97) || '...' ELSE substring({LINE}, 1, 100) END AS title, coalesce(content, '') AS content, coalesce(url, 'https://x.com/i/status/' || id) AS url, author, published_at FROM items")
+
+
+def _report(t: Tables) -> DataFrame:
+    """Two parts of a report, written as a version each time; the latest is read."""
+    path = store.new_path(t.spark, "report")
+    store.write_report({"categories": t.items.limit(0).select("category", F.lit(0).alias("n"))}, path)
+    store.write_report({"categories": stats.category_stats(t.items), "states": stats.state_stats(t.items)}, path)
+    rows = [store.read_report(t.spark, path, p).select(F.lit(p).alias("part"), F.col(c).alias("name"), "n") for p, c in (("categories", "category"), ("states", "state"))]
+    return store.union_all(rows)
+
+
+add("s08_write_report", _report, "SELECT 'categories' AS part, category AS name, count(*) AS n FROM items GROUP BY 2 UNION ALL SELECT 'states', coalesce(state, 'unread'), count(*) FROM items GROUP BY 2")
+REPLY = lambda: F.to_json(F.struct(F.col("title").alias("summary"), F.col("category"), F.coalesce(F.col("importance_score") * 2 - 6, F.lit(0)).cast("string").alias("importance_score")))
+add("p22_parse_results", lambda t: feeds.parse_results(t.items.select("id", F.when(F.col("delivered"), F.concat(F.lit("Here it is:\n```json\n"), REPLY(), F.lit("\n```"))).when(F.col("state") == "flagged", F.lit("no object")).otherwise(REPLY()).alias("reply")))[0].select("id", "summary", "category", "importance_score"),
+    "SELECT id, title AS summary, '其他' AS category, greatest(1, least(10, coalesce(importance_score * 2 - 6, 0))) AS importance_score FROM items WHERE title IS NOT NULL AND (delivered OR coalesce(state, '') <> 'flagged')")
+ONE = lambda: F.when(F.col("state").isNotNull(), F.to_json(F.struct(F.col("id").cast("string").alias("id"), F.translate("title", "{}", "").alias("summary"), F.col("importance_score").cast("string").alias("importance_score"))))
+add("p23_parse_batches", lambda t: feeds.parse_batches(t.items.withColumn("one", ONE()).groupBy((F.col("id") / 6).cast("int").alias("batch")).agg(F.array_sort(F.collect_list(F.struct("id", "one"))).alias("r")).select("batch", F.col("r.id").alias("ids"), F.array_join("r.one", "\n").alias("reply"))).select("batch", "item", "summary", "importance_score", "success"),
+    "SELECT CAST(floor(id / 6) AS INTEGER) AS batch, id AS item, CASE WHEN ok THEN translate(title, '{}', '') END AS summary, CASE WHEN ok THEN importance_score END AS importance_score, ok AS success FROM (SELECT *, state IS NOT NULL AND title IS NOT NULL AS ok FROM items)")
+
+
+def _nested(t: Tables) -> DataFrame:
+    """JSON text from the items' own columns, a broken one where a state is flagged; nested and taken apart again."""
+    text = lambda *cols: F.to_json(F.array(F.struct(*cols)))
+    rows = t.items.withColumns({
+        "key_points": text(F.lit("k").alias("type"), F.col("title").alias("value"), F.col("category").alias("impact")),
+        "impact_assessment": F.to_json(F.struct(F.col("author").alias("short_term"), F.col("source_type").alias("certainty"))),
+        "actionable_items": F.when(F.col("state") == "flagged", F.lit("[{")).otherwise(text(F.col("state").alias("type"), F.col("external_id").alias("description"))),
+    })
+    return feeds.nest_json(rows).select("id", F.col("key_points")[0]["value"].alias("point"), F.col("impact_assessment.certainty").alias("certainty"), F.col("actionable_items")[0]["type"].alias("action"), F.col("actionable_items")[0]["description"].alias("description"))
+
+
+add("p26_nest_json", _nested, "SELECT id, CASE WHEN ok THEN title END AS point, CASE WHEN ok THEN source_type END AS certainty, CASE WHEN ok THEN state END AS action, CASE WHEN ok THEN external_id END AS description FROM (SELECT *, coalesce(state, '') <> 'flagged' AS ok FROM items)")
+add("p27_skip_results", lambda t: classify.skip_results(_skipped(t)).select("id", "summary", "importance_score", "skip_reason"), f"WITH {DOMAIN_SQL}, {EST_SQL} SELECT id, '[Skipped] ' || CASE WHEN length(title) > 40 THEN substring(title, 1, 40) || '...' ELSE title END AS summary, 1 AS importance_score, skip_reason FROM (SELECT id, title, {SKIP} AS skip_reason FROM est) WHERE skip_reason IS NOT NULL")
+add("p28_call_tokens", lambda t: t.usage.groupBy("call_type").agg(F.sum(X.call_tokens(F.col("call_type"), {"click": 900, "view": 300})).alias("tokens")), "SELECT call_type, sum(CASE call_type WHEN 'click' THEN 900 WHEN 'view' THEN 300 ELSE 500 END) AS tokens FROM usage GROUP BY 1")
+add("w06_sample_titles", lambda t: topics.discover_by_entities(t.items, 5, WORDS).select("name", F.array_join("samples", " | ").alias("samples")),
+    f"WITH r AS (SELECT DISTINCT id, published_at, title, unnest({ENT}) AS name FROM items), c AS (SELECT name, count(*) AS f FROM (SELECT unnest({ENT}) AS name FROM items) GROUP BY 1 HAVING count(*) >= 5 ORDER BY f DESC, name LIMIT 50) SELECT name, string_agg(title, ' | ' ORDER BY published_at, id) AS samples FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY published_at, id) AS n FROM r) JOIN c USING (name) WHERE n <= 3 GROUP BY name")
+
+# -- the user's own rules and functions
+_hosts = lambda t: t.pages.select(X.url_host(F.col("url")).alias("domain_rule")).distinct().withColumns({"domain_category": F.substring_index("domain_rule", ".", 1), "domain_importance": F.length("domain_rule") % 10})
+add("e01_rules_in_a_table", lambda t: ids(classify.classify_domain(t.items, _hosts(t)), "domain_rule", "domain_category", "domain_importance"), f"SELECT id, h AS domain_rule, split_part(h, '.', 1) AS domain_category, CAST(length(h) % 10 AS INTEGER) AS domain_importance FROM (SELECT id, {HOST} AS h FROM items)")
+
+
+def _lengths(frames):
+    for x in frames:
+        yield pd.DataFrame({"content_id": x["id"], "embedding": [[float(len(v)), float(v.count(" "))] for v in x["text"]]})
+
+
+def _marks(frames):
+    for x in frames:
+        yield pd.DataFrame({"id": x["id"], "marks": x["content"].fillna("").str.count(r"[.!?]").astype("int64")})
+
+
+add("e02_embed_by_function", lambda t: vectors.embed(t.items, _lengths).select("content_id", F.col("embedding")[0].cast("long").alias("chars"), F.col("embedding")[1].cast("long").alias("blanks")), "SELECT id AS content_id, length(x) AS chars, length(x) - length(replace(x, ' ', '')) AS blanks FROM (SELECT id, substring(concat_ws(' ', title, content), 1, 500) AS x FROM items)")
+add("e03_enrich", lambda t: vectors.enrich(t.items.select("id", "content"), _marks, "id long, marks long"), "SELECT id, length(x) - length(replace(replace(replace(x, '.', ''), '!', ''), '?', '')) AS marks FROM (SELECT id, coalesce(content, '') AS x FROM items)")
 add("x01_ingest", lambda t: ids(store.above_cursor(t.items, t.subscriptions.select(F.col("id").alias("subscription_id"), (F.col("id") * 40).alias("last")), "subscription_id", "id")[0]), "SELECT i.id FROM items i LEFT JOIN subscriptions s ON s.id = i.subscription_id WHERE s.id IS NULL OR i.id > s.id * 40")
 add("x03_windowed_counts", lambda t: jobs.windowed_counts(t.events.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "1 day").withColumn("start", F.col("start").cast("timestamp_ntz")), "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
-add("x04_trend_alerts", lambda t: jobs.trend_alerts(jobs.windowed_counts(t.events.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "1 hour"), "event_type").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "previous"), "SELECT start, event_type, n, previous FROM (SELECT *, coalesce(lag(n) OVER (PARTITION BY event_type ORDER BY start), 0) AS previous FROM (SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2)) WHERE n >= 3 AND n >= greatest(previous, 1) * 3")
-add("x05_usage_totals", lambda t: jobs.usage_stream(t.usage), "SELECT call_type, count(*) AS calls, count(*) FILTER (WHERE cached) AS cached, sum(CASE WHEN cached THEN 0 ELSE input_tokens END) AS input_tokens, sum(CASE WHEN cached THEN 0 ELSE output_tokens END) AS output_tokens FROM usage GROUP BY 1")
+_events = lambda t: t.events.withColumn("ts", F.col("ts").cast("timestamp"))
+_wall = lambda df: df.withColumn("start", F.col("start").cast("timestamp_ntz"))
+HOURS = "(SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2)"
+ALERTS = f"SELECT a.start, a.event_type, a.n, coalesce(b.n, 0) AS previous FROM {HOURS} a LEFT JOIN {HOURS} b ON b.event_type = a.event_type AND b.start = a.start - INTERVAL 1 HOUR WHERE a.n >= 3 AND a.n >= greatest(coalesce(b.n, 0), 1) * 3"
+add("x04_trend_alerts", lambda t: _wall(jobs.trend_alerts(_events(t), "ts", "event_type", "1 hour")), ALERTS)
+ORACLE_X5 = "SELECT call_type, count(*) AS calls, count(*) FILTER (WHERE cached) AS cached, sum(CASE WHEN cached THEN 0 ELSE input_tokens END) AS input_tokens, sum(CASE WHEN cached THEN 0 ELSE output_tokens END) AS output_tokens FROM usage GROUP BY 1"
+add("x05_usage_totals", lambda t: jobs.usage_stream(t.usage), ORACLE_X5)
+
+
+# -- the same on streams: events as files that a stream finds, read until there are no more
+def _stream(t: Tables, name: str = "events") -> DataFrame:
+    return t.spark.readStream.schema(getattr(t, name).schema).parquet(f"{t.dir}/{name}.parquet*")
+
+
+def _event_stream(t: Tables) -> DataFrame:
+    return _stream(t).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _usage_of(stream: DataFrame) -> DataFrame:
+    return stream.selectExpr("event_type AS call_type", "ts AS timestamp", "user_id % 3 = 0 AS cached", "cast(floor(value) AS long) AS input_tokens", "event_id % 500 AS output_tokens", "event_type <> 'error' AS success")
+
+
+def _ingested(t: Tables) -> DataFrame:
+    """Events appended above each user's cursor, batch by batch."""
+    path = store.new_path(t.spark, "ingest")
+    write = jobs.ingest_batch(f"{path}/rows", f"{path}/cursors", "user_id", "event_id")
+    _stream(t).writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(f"{path}/rows").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last"))
+
+
+def _hits(t: Tables) -> DataFrame:
+    with jobs.rocksdb(t.spark):
+        return jobs.run_once(jobs.ttl_cache_stream(_stream(t).select("user_id", "event_id"), "user_id", 3_600_000), "append", "ttl").groupBy("key").agg(F.sum(F.col("hits") + F.col("misses")).alias("seen"), F.max(F.col("misses") > 0).alias("missed"))
+
+
+def _joined(t: Tables) -> DataFrame:
+    """Items come as a stream of ids and join the clusters that there are, or are clustered among themselves."""
+    path = store.new_path(t.spark, "clustered")
+    write = jobs.cluster_batch(path, lambda: t.clusters, lambda batch, clusters: events.cluster_new(t.items.join(batch.select(F.col("doc_id").alias("id")).distinct(), "id"), clusters, AS_OF, WORDS))
+    _stream(t, "documents").select("doc_id").writeStream.foreachBatch(write).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(path)
+
+
+add("x01_ingest_stream", _ingested, "SELECT user_id, count(*) AS n, max(event_id) AS last FROM events GROUP BY 1")
+add("x02_dedup_stream", lambda t: jobs.run_once(jobs.dedup_stream(_event_stream(t), ["user_id", "event_type"], "ts", "3650 days").select("user_id", "event_type"), "append", "dedup"), "SELECT DISTINCT user_id, event_type FROM events")
+add("x03_windowed_counts_stream", lambda t: _wall(jobs.run_once(jobs.windowed_counts(_event_stream(t), "ts", "event_type", "1 day"), "complete", "windows")), "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+add("x04_trend_alerts_stream", lambda t: _wall(jobs.run_once(jobs.trend_alerts(_event_stream(t), "ts", "event_type", "1 hour"), "complete", "alerts")), ALERTS)
+add("x05_usage_stream", lambda t: jobs.run_once(jobs.usage_stream(_usage_of(_stream(t))), "complete", "usage"), ORACLE_X5)
+add("x06_ttl_cache_stream", _hits, "SELECT user_id AS key, count(*) AS seen, true AS missed FROM events GROUP BY 1")
+add("x07_cluster_stream", lambda t: _joined(t).filter("role = 'joined'").select("id", "cluster", "score"), f"WITH {FEAT} SELECT id, cluster, score FROM ca WHERE rank = 1 AND score >= 0.55")
 
 # -- checks
 add("q01_unknown_subscription", checks.unknown_subscription, "SELECT id FROM items WHERE subscription_id NOT IN (SELECT id FROM subscriptions)")
@@ -336,8 +474,11 @@ add("q03_without_summary", checks.without_summary, "SELECT id FROM items WHERE p
 add("q04_bad_importance", checks.bad_importance, "SELECT id, importance_score FROM items WHERE importance_score < 1 OR importance_score > 10")
 add("q05_empty_clusters", checks.empty_clusters, "SELECT id FROM clusters WHERE id NOT IN (SELECT event_cluster_id FROM members)")
 add("q06_wrong_counts", checks.wrong_counts, "SELECT id, article_count, coalesce(n, 0) AS actual FROM clusters LEFT JOIN (SELECT event_cluster_id, count(*) AS n FROM members GROUP BY 1) m ON event_cluster_id = id WHERE article_count <> coalesce(n, 0)")
-add("q07_lost_members", checks.lost_members, "SELECT event_cluster_id, content_item_id, 'cluster' AS missing FROM members WHERE event_cluster_id NOT IN (SELECT id FROM clusters) UNION ALL SELECT event_cluster_id, content_item_id, 'item' FROM members WHERE content_item_id NOT IN (SELECT id FROM items)")
-add("q08_unindexed", checks.unindexed, "SELECT id FROM items WHERE processed AND summary IS NULL")
+_some = lambda t, **tables: SimpleNamespace(**{n: getattr(t, n) for n in ("items", "members", "clusters")} | tables)
+add("q07_lost_members", lambda t: checks.lost_members(_some(t, items=t.items.filter("processed"), clusters=t.clusters.filter("article_count < 40"))),
+    "SELECT event_cluster_id, content_item_id, 'cluster' AS missing FROM members WHERE event_cluster_id NOT IN (SELECT id FROM clusters WHERE article_count < 40) UNION ALL SELECT event_cluster_id, content_item_id, 'item' FROM members WHERE content_item_id NOT IN (SELECT id FROM items WHERE processed)")
+add("q08_unindexed", lambda t: checks.unindexed(t, search.build_index(t.items.filter(F.col("published_at") < F.lit(START).cast("timestamp_ntz")), ("title", "summary"))),
+    f"SELECT id FROM items WHERE processed AND NOT (published_at < {TS(START)} AND regexp_matches(concat_ws(' ', title, summary), '[\\p{{L}}\\p{{N}}]'))")
 add("q09_double_members", checks.double_members, "SELECT content_item_id, count(DISTINCT event_cluster_id) AS clusters FROM members GROUP BY 1 HAVING count(DISTINCT event_cluster_id) > 1")
 add("q10_lost_actions", checks.lost_actions, "SELECT id, content_item_id FROM actions WHERE content_item_id NOT IN (SELECT id FROM items)")
 add("q11_lost_topics", checks.lost_topics, "SELECT topic_id, count(*) AS n, 'content_topics' AS \"table\" FROM content_topics WHERE topic_id NOT IN (SELECT topic_id FROM topics) GROUP BY 1 UNION ALL SELECT topic_id, count(*), 'topic_snapshots' FROM topic_snapshots WHERE topic_id NOT IN (SELECT topic_id FROM topics) GROUP BY 1")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -24,13 +25,34 @@ def windowed_counts(stream: DataFrame, at: str, key: str, window: str, slide: st
     return rows.groupBy(frame.alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), key, "n")
 
 
-def trend_alerts(counts: DataFrame, key: str, ratio: float = 3.0, least: int = 3) -> DataFrame:
-    """Windows of windowed_counts() whose count is `ratio` times that of the window before (none counts as one)."""
-    from pyspark.sql import Window
+def trend_alerts(rows: DataFrame, at: str, key: str, window: str, ratio: float = 3.0, least: int = 3, watermark: str = "1 hour") -> DataFrame:
+    """(start, key, n, previous): windows whose count is `ratio` times that of the window just before (none counts as one). A row counts
+    in its own window and once more, as a previous one, in the next, so one aggregation gives both, on batches and on streams."""
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    here = F.struct(F.col(at).alias("t"), one.alias("n"), none.alias("p"))
+    after = F.struct((F.col(at) + F.expr(f"INTERVAL {window}")).alias("t"), none.alias("n"), one.alias("p"))
+    both = rows.select(key, F.explode(F.array(here, after)).alias("x")).select(key, F.col("x.t").alias("t"), "x.n", "x.p")
+    both = both.withWatermark("t", watermark) if rows.isStreaming else both
+    counts = both.groupBy(F.window("t", window).alias("w"), key).agg(F.sum("n").alias("n"), F.sum("p").alias("previous"))
+    hit = (F.col("n") >= least) & (F.col("n") >= F.greatest("previous", F.lit(1)) * ratio)
+    return counts.filter(hit).select(F.col("w.start").alias("start"), key, "n", "previous")
 
-    order = Window.partitionBy(key).orderBy("start")
-    both = counts.withColumn("previous", F.coalesce(F.lag("n").over(order), F.lit(0)))
-    return both.filter((F.col("n") >= least) & (F.col("n") >= F.greatest("previous", F.lit(1)) * ratio))
+
+def run_once(stream: DataFrame, mode: str, name: str) -> DataFrame:
+    """What a stream over the data that is there now leaves: the last batch's table in complete mode, else the rows of all batches.
+    Every batch is written under its number, so a repeated batch has no second effect."""
+    spark = stream.sparkSession
+    path = store.new_path(spark, name)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch_number={number}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    out = spark.read.parquet(f"{path}/out")
+    if mode == "complete":
+        out = out.filter(F.col("batch_number") == out.agg(F.max("batch_number")).first()[0])
+    return out.drop("batch_number")
 
 
 def usage_stream(stream: DataFrame) -> DataFrame:
@@ -76,14 +98,27 @@ class TtlCache(StatefulProcessor):
 
 
 def ttl_cache_stream(stream: DataFrame, key: str, ttl_ms: int) -> DataFrame:
-    """(key, misses, hits) of each key and micro-batch."""
+    """(key, misses, hits) of each key and micro-batch. Needs the RocksDB state store (`rocksdb`)."""
     return stream.groupBy(key).transformWithStateInPandas(TtlCache(ttl_ms), f"key {stream.schema[key].dataType.simpleString()}, misses long, hits long", "Append", "processingTime")
 
 
-def cluster_batch(target: str, cluster):
-    """For foreachBatch: clusters each micro-batch by cluster(frame) and writes it under its number."""
+@contextlib.contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """The state store that keeps values with a time to live, for streams started inside; the session's own setting comes back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def cluster_batch(target: str, clusters: Callable[[], DataFrame], assign: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: assigns each micro-batch to the clusters that exist when it comes, by assign(frame, clusters) such as
+    events.cluster_new, and writes the outcome under the batch's number."""
 
     def run(batch: DataFrame, number: int) -> None:
-        cluster(batch).write.mode("overwrite").parquet(f"{target}/n={number}")
+        assign(batch, clusters()).write.mode("overwrite").parquet(f"{target}/n={number}")
 
     return run
