@@ -448,7 +448,7 @@ def _ingested(t: Tables) -> DataFrame:
 
 def _hits(t: Tables) -> DataFrame:
     with jobs.rocksdb(t.spark):
-        return jobs.run_once(jobs.ttl_cache_stream(_stream(t).select("user_id", "event_id"), "user_id", 3_600_000), "append", "ttl").groupBy("key").agg(F.sum(F.col("hits") + F.col("misses")).alias("seen"), F.max(F.col("misses") > 0).alias("missed"))
+        return jobs.run_once(jobs.ttl_cache_stream(_stream(t).select("user_id", "event_id"), "user_id", 3_600_000), "append", "ttl", single=True).groupBy("key").agg(F.sum(F.col("hits") + F.col("misses")).alias("seen"), F.max(F.col("misses") > 0).alias("missed"))
 
 
 def _joined(t: Tables) -> DataFrame:

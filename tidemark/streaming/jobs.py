@@ -38,16 +38,18 @@ def trend_alerts(rows: DataFrame, at: str, key: str, window: str, ratio: float =
     return counts.filter(hit).select(F.col("w.start").alias("start"), key, "n", "previous")
 
 
-def run_once(stream: DataFrame, mode: str, name: str) -> DataFrame:
+def run_once(stream: DataFrame, mode: str, name: str, single: bool = False) -> DataFrame:
     """What a stream over the data that is there now leaves: the last batch's table in complete mode, else the rows of all batches.
-    Every batch is written under its number, so a repeated batch has no second effect."""
+    Every batch is written under its number, so a repeated batch has no second effect. single: all data in one batch, for state with
+    times to live, which else goes on with empty batches for ever."""
     spark = stream.sparkSession
     path = store.new_path(spark, name)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/out/batch_number={number}")
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/state")
+    query = (query.trigger(once=True) if single else query.trigger(availableNow=True)).start()
     query.awaitTermination()
     out = spark.read.parquet(f"{path}/out")
     if mode == "complete":
