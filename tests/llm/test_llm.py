@@ -472,6 +472,33 @@ def test_language_model(docs, rows):
     assert all(r.score < 0 for r in got)
 
 
+def test_language_model_is_a_distribution_and_learns(spark):
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    heads, tails = [f"a{i}" for i in range(30)], [f"zz{i}" for i in range(30)]
+    texts = [(i, " ".join(x for _ in range(20) for x in (rng.choice(heads), rng.choice(tails)))) for i in range(300)]
+    frame = spark.createDataFrame(texts, SCHEMA).withColumn("held_out", lm.held_out())
+    model = lm.train(frame.filter("not held_out"))
+    held = {r.doc_id for r in frame.filter("held_out").select("doc_id").collect()}
+    counts = collections.Counter(w for i, t in texts if i not in held for w in t.split())
+    words = sorted(counts)
+    t = lm.tokens(pa.array([" ".join(words)]))
+    classes = model.counts.classes(t)[:-1]
+    groups = collections.Counter()
+    for w, c in zip(words, classes.tolist(), strict=True):
+        if c > lm.SINGLES:
+            groups[c - lm.SINGLES - 1] += counts[w] + 1
+    for g in range(lm.GROUPS):  # the words of a group and one place for all unseen ones share it
+        assert groups[g] + 1 == model.counts.sums[g]
+    singles = [w for w, c in zip(words, classes.tolist(), strict=True) if c < lm.SINGLES]
+    assert len(singles) == lm.SINGLES and len(set(classes[classes < lm.SINGLES].tolist())) == lm.SINGLES
+    p = np.exp(lm._softmax(model.weights, model.bias, t.features(), slice(0, len(words))))
+    assert p.shape[1] == lm.CLASSES and np.allclose(p.sum(axis=1), 1, atol=1e-4)
+    rows = lm.score(frame.filter("held_out"), model).collect()
+    assert sum(r.score for r in rows) > sum(r.base_score for r in rows) + 0.05 * sum(r.n_tokens for r in rows)  # the word before tells
+
+
 def quality_counts(text):
     import re
 

@@ -33,7 +33,7 @@ END = 1
 PAIRS_A_ROUND = 6000
 LEAST = 8
 #: Bytes of text that a worker looks at together.
-SLICE = 2 << 20
+SLICE = 4 << 20
 
 
 def _frequent_pairs(s: np.ndarray, live: np.ndarray, weight: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
