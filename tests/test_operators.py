@@ -16,7 +16,7 @@ from tidemark.streaming import jobs
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "documents labels pages embeddings events orders conversations".split()
-NAMES = ["f01_undelivered", "j05_digest_singles", "a13_cluster_rollup", "a14_event_timeline", "w02_topic_changes", "t03_build_digest", "p03_normalize_url", "p15_keywords", "c03_classify", "j11_cluster_candidates", "q11_lost_topics", "c17_search"]
+NAMES = ["f01_undelivered", "j05_digest_singles", "a13_cluster_rollup", "a14_event_timeline", "w02_topic_changes", "t03_build_digest", "p03_normalize_url", "p15_keywords", "c03_classify", "j11_cluster_candidates", "q11_lost_topics", "c17_search", "c01_classify_domain", "c15_update_centroids", "j10_match_topics", "t05_order_events", "q07_lost_members", "c08_assign_batches", "s01_feed_rows", "s02_post_rows", "s08_write_report", "p22_parse_results", "p23_parse_batches", "p26_nest_json", "p27_skip_results", "p28_call_tokens", "w06_sample_titles", "e01_rules_in_a_table", "e02_embed_by_function", "e03_enrich", "x01_ingest_stream", "x02_dedup_stream", "x04_trend_alerts_stream", "x05_usage_stream", "x06_ttl_cache_stream", "c14_attempted"]
 
 
 def plain(v):
@@ -58,6 +58,44 @@ def test_greedy_clustering_equals_one_by_one(spark):
     assert got == want
 
 
+def test_items_join_clusters_or_lead(spark):
+    at = datetime.datetime(2024, 1, 30)
+    rows = [(i, t, "", 8, at, "en", "hn") for i, t in enumerate(["apple red big", "apple red huge", "plum blue", "plum blue sky", "stone"])]
+    items = spark.createDataFrame(rows, "id long, title string, content string, importance_score int, published_at timestamp_ntz, category string, source_type string")
+    clusters = spark.createDataFrame([(70, "Apple red big news", "en", at)], "id long, event_title string, category string, last_updated_at timestamp_ntz")
+    patterns = [r"(apple|pear|plum)", r"(red|blue)"]
+    got = {r.id: (r.role, r.cluster, r.leader) for r in events.cluster_new(items, clusters, "2024-01-31 00:00:00", patterns, least=0.45).collect()}
+    assert got[0] == ("joined", 70, None) and got[1] == ("joined", 70, None)
+    assert got[2] == ("leader", None, 2) and got[3] == ("member", None, 2)
+    assert got[4] == ("leader", None, 4)
+
+
+def test_a_lost_report_leaves_the_one_before(spark, tmp_path):
+    path = str(tmp_path / "report")
+    frame = lambda x: spark.createDataFrame([(x,)], "n int")
+    store.write_report({"a": frame(1), "b": frame(2)}, path)
+    frame(3).write.parquet(f"{path}/99999999999999999999-lost/a")  # a run that ended before its version was written
+    assert [store.read_report(spark, path, p).first().n for p in "ab"] == [1, 2]
+    store.write_report({"a": frame(4), "b": frame(5)}, path)
+    assert [store.read_report(spark, path, p).first().n for p in "ab"] == [4, 5]
+
+
+def test_alerts_look_at_the_window_just_before(spark):
+    rows = [("k", datetime.datetime(2024, 1, 1, h, m)) for h, n in ((0, 2), (1, 6), (5, 6), (6, 7)) for m in range(n)]
+    got = jobs.trend_alerts(spark.createDataFrame(rows, "key string, ts timestamp"), "ts", "key", "1 hour").collect()
+    assert sorted((r.start.hour, r.n, r.previous) for r in got) == [(1, 6, 2), (5, 6, 0)]
+
+
+def test_topics_in_blocks(spark):
+    items = spark.createDataFrame([(1, "red apple", "pie"), (2, "x", "y")], "id long, title string, content string")
+    words = [(1, 0, "Apple"), (1, 1, "pie"), (2, 0, "red"), (3, 0, "none")]
+    topic = spark.createDataFrame(words, "topic_id int, pos int, keyword string")
+    want = sorted(map(tuple, topics.match_topics(items, topic).collect()))
+    assert want == [(1, 1, 0.975), (1, 2, 1.0)]
+    assert sorted(map(tuple, topics.match_topics(items, topic, block=1).collect())) == want
+    assert topics.match_topics(items, topic.limit(0)).count() == 0
+
+
 def test_centroid_has_unit_length(spark):
     members = spark.createDataFrame([(1, 1), (1, 2), (1, 3)], "event_cluster_id long, content_item_id long")
     emb = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0]), (3, [0.0, 0.0, 1.0])], "content_id long, embedding array<float>")

@@ -14,7 +14,7 @@ def value(spark, column, **cols):
 
 
 def test_title_hash_ignores_case_retweets_and_mentions(spark):
-    titles = ["OpenAI announces GPT-5", "OPENAI ANNOUNCES GPT-5", "RT OpenAI announces GPT-5", "@openai: OpenAI announces GPT-5"]
+    titles = ["Harbour opens at dawn", "HARBOUR OPENS AT DAWN", "RT Harbour opens at dawn", "@harbour: Harbour opens at dawn"]
     df = spark.createDataFrame([(t,) for t in titles], "t string").select(X.title_hash(F.col("t")))
     assert len({r[0] for r in df.collect()}) == 1
 
@@ -30,10 +30,10 @@ def test_content_hash_looks_at_500_characters(spark):
 
 
 def test_entities_and_phrases(spark):
-    assert value(spark, X.entities(F.col("t")), t="OpenAI and Google compete in AI") == ["OpenAI", "Google"]
-    assert value(spark, X.bigrams(F.col("t")), t="machine learning and deep learning are popular") == ["machine learning", "deep learning"]
-    words = value(spark, X.keywords(F.col("t")), t="the quick brown fox is in the forest")
-    assert set(words) == {"quick", "brown", "fox", "forest"}
+    assert value(spark, X.entities(F.col("t")), t="Nvidia chips sell to Oracle again") == ["Nvidia", "Oracle"]
+    assert value(spark, X.bigrams(F.col("t")), t="river otters and harbour seals are back") == ["river otters", "harbour seals"]
+    words = value(spark, X.keywords(F.col("t")), t="the old lighthouse was painted by two sailors")
+    assert set(words) == {"old", "lighthouse", "painted", "two", "sailors"}
 
 
 def test_vectors(spark):
