@@ -23,7 +23,7 @@ from .arrays import ranges, span_hash
 from .repeats import CROWDED, TOGETHER, Units, remove_repeats, word_units
 
 WORDS, GRAM = 20, 6
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 #: One text position in RATE is kept.
 RATE = 8
 
@@ -155,9 +155,17 @@ def early_windows(contents: list[bytes], windows: np.ndarray, ids: np.ndarray, s
     text[np.arange(len(symbol)) + np.repeat(np.arange(len(sizes)), sizes)] = symbol
     index = FMIndex(text)
     segment = np.repeat(np.arange(len(windows)), windows)
-    at = np.arange(len(segment)) - np.repeat(np.cumsum(windows) - windows, windows) + begin[segment]
+    first: dict[bytes, int] = {}
+    own = np.array([first.setdefault(c, k) for k, c in enumerate(contents)], np.int64)  # equal contents are streamed once
+    offset = np.arange(len(segment)) - np.repeat(np.cumsum(windows) - windows, windows)
+    at = offset + begin[segment]
     out = np.zeros(len(at), bool)
-    stat, low, high = index.matching_statistics(text, at, length)
+    alone = np.flatnonzero(own[segment] == segment)
+    found = index.matching_statistics(text, at[alone], length)
+    place_of = np.zeros(len(at), np.int64)
+    place_of[alone] = np.arange(len(alone))
+    place_of = place_of[(np.cumsum(windows) - windows)[own[segment]] + offset]
+    stat, low, high = (x[place_of] for x in found)
     which = np.flatnonzero(stat >= length)
     if len(which):
         least = index.least_positions(low[which], high[which])
