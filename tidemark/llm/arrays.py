@@ -71,10 +71,10 @@ def _power_at(tables: list[np.ndarray], k: np.ndarray) -> np.ndarray:
         return out * tables[2][k >> 24] if len(k) and int(k.max()) >> 24 else out
 
 
-def _powers(n: int) -> np.ndarray:
+def _powers(n: int, tables: list[np.ndarray] = _POWER) -> np.ndarray:
     """base ** 0 to base ** (n - 1)."""
     with np.errstate(over="ignore"):
-        return (_power_at(_POWER, np.arange(0, n, 4096))[:, None] * _POWER[0][None, :]).ravel()[:n]
+        return (_power_at(tables, np.arange(0, n, 4096))[:, None] * tables[0][None, :]).ravel()[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -109,6 +109,15 @@ def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
         return mix((sums[end] - sums[start]) * _power_at(_POWER_INV, start) + (end - start).astype(np.uint64))
 
 
+def rolling_hash(sums: np.ndarray, k: int) -> np.ndarray:
+    """range_hash of k units at every start."""
+    n = len(sums) - k
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    with np.errstate(over="ignore"):
+        return mix((sums[k:] - sums[:n]) * _powers(n, _POWER_INV) + np.uint64(k))
+
+
 def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool, block: int = 1 << 20) -> np.ndarray:
     """The same for ascending spans, about `block` bytes at a time, so that no sums of the whole data are held."""
     out = np.empty(len(start), np.uint64)

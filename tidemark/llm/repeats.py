@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import SPACE, covered, prefix_hash, prefix_sums, range_hash, ranges, slices, span_hash, text_parts, window_starts, word_spans
+from .arrays import SPACE, covered, prefix_hash, prefix_sums, range_hash, ranges, rolling_hash, slices, span_hash, text_parts, window_starts, word_spans
 from .common import partitions, stored, trimmed, tune
 from .ids import as_long
 
@@ -87,8 +87,8 @@ def segments(u: Units, length: int, gram: int) -> tuple[np.ndarray, ...]:
     if not len(starts):
         none = np.zeros(0, np.int64)
         return none.astype(np.uint64), none.astype(np.uint64), none, none, none
-    at = np.arange(n - gram + 1)
-    grams = range_hash(u.sums, at, at + gram)
+    grams = rolling_hash(u.sums, gram)
+    at = np.arange(len(grams))
     least = sliding_min((grams & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64), length - gram + 1)[starts]
     place = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
     first = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1])

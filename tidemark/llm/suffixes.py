@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from .repeats import CROWDED, TOGETHER, Units, byte_units, remove_repeats
 
 BYTES, GRAM = 100, 32
-SHARD_BYTES = 3 << 18
+SHARD_BYTES = 1 << 17
 
 
 def byte_words(text: np.ndarray) -> np.ndarray:
