@@ -138,6 +138,8 @@ DOT = "list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBL
 add("j12_nearest_processed", lambda t: vectors.nearest_processed(t.items, t.content_embeddings, AS_OF, 0.6, 7).select("id", "match", F.round("score", 6).alias("score")),
     f"SELECT id, match, round(score, 6) AS score FROM (SELECT a.vec_id AS id, b.vec_id AS match, ({DOT} + 1) / 2 AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY ({DOT} + 1) / 2 DESC, b.vec_id) AS n FROM embeddings a JOIN items ia ON ia.id = a.vec_id JOIN embeddings b ON a.vec_id <> b.vec_id JOIN items ib ON ib.id = b.vec_id WHERE ib.processed AND ib.published_at >= {AGO(7)} AND ({DOT} + 1) / 2 >= 0.6) WHERE n = 1")
 
+add("j12_nearest_approximate", lambda t: vectors.nearest_approximate(t.items, t.content_embeddings, AS_OF, 64).select("id", "match", F.round("score", 6).alias("score")))
+
 
 def _chain(expr: str, chain: list[tuple[str, str]]) -> str:
     for p, r in chain:
