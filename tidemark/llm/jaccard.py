@@ -16,7 +16,8 @@ fewer). Documents link when |A and B| / |A or B| reaches `threshold`.
    pairs of nodes whose greatest possible overlap is too small, or whose members are all in one component already, are dropped.
    The rest are verified on the sets.
 4. A group of more than CHUNK_SHINGLES shingles or CHUNK members is dealt into chunks, each with the group's first member; what
-   that leaves apart meets all chunks in a second pass. No task holds more than about two chunks, and the sets travel, not the texts.
+   that leaves apart meets all chunks in a second pass. No task holds more than about two chunks. Texts travel, not sets: they pack to
+   a third of the size of hashes.
 
 Null and empty texts have no set and link with nothing. Equal texts link. A null doc_id counts as one id below all others; ids
 of any other type than whole numbers count in their order. Rows that repeat a doc_id each give a row, and are one document to
@@ -41,7 +42,7 @@ from .sharding import numbered
 
 WORDS, THRESHOLD = 5, Fraction(4, 5)
 #: Members and shingles (8 bytes each) of a chunk.
-CHUNK, CHUNK_SHINGLES = 2500, 400_000
+CHUNK, CHUNK_SHINGLES = 2500, 1_200_000
 FANOUT, SINGLES = 8, 16
 #: Frequent shingles: in AGAIN sets of one run of documents and 3 * AGAIN of all that; at most COMMON of them (8 bytes each).
 AGAIN, COMMON = 2, 500_000
@@ -193,7 +194,6 @@ def _first_of_key(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.nda
 _KEYS = "bucket int, kind int, ids binary, places binary, low binary, high binary"
 _COUNTS = "kind int, h long, n long"
 _FOUND = "kind int, a long, b long, n long, f long, g long, t long"
-_SETS = "group long, set_id long, label long, hashes binary"
 
 
 def _batch(columns: list, names: str) -> pa.RecordBatch:
@@ -404,29 +404,8 @@ def tree_links(sets: list[np.ndarray], labels: list[int], t: Fraction = THRESHOL
     return out
 
 
-def _write_sets(words: int):
-    """Task: texts with the groups that want them; a row for each group out, with the text's set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in trimmed(batches):
-            for b in slices(batch):
-                h, offs = shingle_sets(b.column("text"), words)
-                rows = []
-                for d, (name, places) in enumerate(zip(b.column("set_id").to_pylist(), b.column("places").to_pylist(), strict=True)):
-                    raw = h[offs[d] : offs[d + 1]].tobytes()
-                    for x in places:
-                        rows.append((x["group"], name, x["label"], raw))
-                        if len(rows) * len(raw) > 1 << 24:
-                            yield _batch([*zip(*rows, strict=True)], _SETS)
-                            rows = []
-                if rows:
-                    yield _batch([*zip(*rows, strict=True)], _SETS)
-
-    return run
-
-
-def _grow_trees(t: Fraction):
-    """Task: sets in order of group; links out."""
+def _grow_trees(words: int, t: Fraction):
+    """Task: rows (group, set_id, label, text) in order of group; links out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, ids, labels, sets = None, [], [], []
@@ -437,27 +416,29 @@ def _grow_trees(t: Fraction):
                 if links:
                     yield _batch([[ids[a] for a, _ in links], [ids[b] for _, b in links]], "a long, b long")
 
-        for b in trimmed(batches):
-            for g, name, label, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if g != group:
-                    yield from close()
-                    group, ids, labels, sets = g, [], [], []
-                ids.append(name)
-                labels.append(label)
-                sets.append(np.frombuffer(raw, np.uint64))
+        for batch in trimmed(batches):
+            for b in slices(batch):
+                h, offs = shingle_sets(b.column("text"), words)
+                names = zip(b.column("group").to_pylist(), b.column("set_id").to_pylist(), b.column("label").to_pylist(), strict=True)
+                for d, (g, name, label) in enumerate(names):
+                    if g != group:
+                        yield from close()
+                        group, ids, labels, sets = g, [], [], []
+                    ids.append(name)
+                    labels.append(label)
+                    sets.append(h[offs[d] : offs[d + 1]].copy())
         yield from close()
 
     return run
 
 
-def _join_sets(docs: DataFrame, members: DataFrame, words: int, t: Fraction) -> DataFrame:
+def _join_texts(docs: DataFrame, members: DataFrame, words: int, t: Fraction) -> DataFrame:
     """Links inside each group of members (group, set_id, label)."""
-    wanted = stored(members.groupBy("set_id").agg(F.collect_list(F.struct("group", "label")).alias("places")), "wanted")
-    few = wanted.agg(F.sum(F.size("places"))).first()[0] or 0
-    wanted = F.broadcast(wanted) if few <= BROADCAST_MEMBERS else wanted
-    rows = docs.join(wanted, docs["doc_id"] == wanted["set_id"]).select("set_id", "places", "text").mapInArrow(_write_sets(words), _SETS)
+    members = stored(members, "members")
+    members = F.broadcast(members) if members.count() <= BROADCAST_MEMBERS else members
+    rows = docs.join(members, docs["doc_id"] == members["set_id"]).select("group", "set_id", "label", "text")
     laid = rows.repartition(partitions(docs.sparkSession), "group").sortWithinPartitions("group", "set_id")
-    return stored(laid.mapInArrow(_grow_trees(t), "a long, b long"), "links")
+    return stored(laid.mapInArrow(_grow_trees(words, t), "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, chunk: int = CHUNK, lane_keys: int = LANE_KEYS, chunk_shingles: int = CHUNK_SHINGLES) -> DataFrame:
@@ -505,7 +486,7 @@ def _links(docs: DataFrame, groups: DataFrame, words: int, t: Fraction, chunk: i
     at = F.when(F.col("node") == F.col("component"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(own))
     members = placed.select("component", F.col("node").alias("set_id"), F.col("node").alias("label"), F.explode(at).alias("chunk"))
     members = members.select(F.struct("component", "chunk").alias("g"), "set_id", "label").select(F.xxhash64("g").alias("group"), "set_id", "label")
-    links = _join_sets(docs, members, words, t)
+    links = _join_texts(docs, members, words, t)
     if not big.count():
         return links
     # what is still apart in the big groups meets every chunk of its group
@@ -530,7 +511,7 @@ def _links(docs: DataFrame, groups: DataFrame, words: int, t: Fraction, chunk: i
     ))
     again = todo.select("component", F.col("node").alias("set_id"), "label", F.explode(F.array_distinct(meets)).alias("m"))
     again = again.select(F.xxhash64("component", "m.slot", "m.chunk", F.lit(2)).alias("group"), "set_id", "label")
-    return links.unionByName(_join_sets(docs, again, words, t))
+    return links.unionByName(_join_texts(docs, again, words, t))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
