@@ -42,7 +42,7 @@ from .sharding import numbered
 
 WORDS, THRESHOLD = 5, Fraction(4, 5)
 #: Members and shingles (8 bytes each) of a chunk.
-CHUNK, CHUNK_SHINGLES = 2500, 1_200_000
+CHUNK, CHUNK_SHINGLES = 2500, 8_000_000
 FANOUT, SINGLES = 8, 16
 #: Frequent shingles: in AGAIN sets of one run of documents and 3 * AGAIN of all that; at most COMMON of them (8 bytes each).
 AGAIN, COMMON = 2, 500_000
