@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fmindex, jaccard, linededup, lm, quality, sharding, suffixes, tokenfiles
+from . import bpe, decontaminate, divergence, fmindex, jaccard, linededup, lm, quality, sharding, suffixes, tokenfiles, vafile, warc
 from .common import documents
 
 
@@ -76,7 +76,40 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_lm_scoring, op3_quality_rules, op4_substring_dedup, op5_suffix_array_dedup, op6_decontaminate, op7_token_files, op8_byte_bpe, op9_sharding, op10_line_dedup)}
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return warc.read_pages(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_lm_scoring, op3_quality_rules, op4_substring_dedup, op5_suffix_array_dedup, op6_decontaminate, op7_token_files, op8_byte_bpe, op9_sharding, op10_line_dedup, op11_warc, op12_source_divergence, op13_centroid_clustering)}
+
+
+def _clustering_sql(k: int, rounds: int, seed: int, dimensions: int) -> str:
+    """Rounds of assignment and floored means, one after another."""
+    far = f"CAST(list_sum(list_transform(range(1, {dimensions + 1}), lambda i: (v.v[i] - c.v[i]) * (v.v[i] - c.v[i]))) AS BIGINT)"
+    parts = [
+        f"v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = {dimensions} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS k, v FROM (SELECT sha256('{seed}:' || vec_id) AS h, v FROM v ORDER BY h, v LIMIT {k}))",
+    ]
+    for n in range(rounds + 1):
+        parts.append(f"a{n} AS MATERIALIZED (SELECT r, min(struct_pack(d := d, k := k)) AS b FROM (SELECT r, k, {far} AS d FROM v, c{n} c) GROUP BY r)")
+        if n < rounds:
+            parts.append(
+                f"c{n + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.v, c.v) AS v FROM c{n} c LEFT JOIN (SELECT k, list(m ORDER BY i) AS v FROM (SELECT b.k AS k, i, CAST(floor(sum(x)::DOUBLE / count(*)) AS BIGINT) AS m FROM (SELECT a{n}.b, unnest(v.v) AS x, unnest(range(1, {dimensions + 1})) AS i FROM v JOIN a{n} USING (r)) GROUP BY 1, 2) GROUP BY k) m ON m.k = c.k)"
+            )
+    n = rounds
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, CAST(b.k AS INTEGER) AS cluster, b.d AS distance, CAST(sum(b.d) OVER (PARTITION BY b.k) AS BIGINT) AS cluster_inertia, CAST(sum(b.d) OVER () AS BIGINT) AS inertia,
+ sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM a{n} JOIN v USING (r) JOIN c{n} c ON c.k = b.k"""
+
 
 #: DuckDB SQL over the same tables.
 ORACLE = {
@@ -115,4 +148,27 @@ k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(
 f AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
 SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
 FROM k LEFT JOIN f USING (key) GROUP BY doc_id""",
+    "op11_warc": r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+h AS (SELECT page_id, octet_length(payload) AS n, sha1(payload) AS h FROM p),
+f AS (SELECT h, min(page_id) AS first FROM h GROUP BY h)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+ array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) AS BIGINT), 1)), '') AS payload_digest,
+ CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM h JOIN f USING (h)""",
+    "op12_source_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS t FROM d),
+k AS (SELECT lang, t FROM t GROUP BY lang, t HAVING count(DISTINCT r) >= 3),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+c AS (SELECT lang, source, t, count(*) AS c FROM t JOIN k USING (lang, t) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(sum(c), 0) AS n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.t, coalesce(c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c, 0) + 1)) // (n::HUGEINT + v) AS p FROM g JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.t = k.t),
+q AS (SELECT lang, t, 1 + (1000000000::HUGEINT * (s + 1)) // (n::HUGEINT + v) AS q FROM (SELECT lang, t, sum(c) AS s FROM c GROUP BY ALL) JOIN (SELECT lang, sum(n) AS n FROM g GROUP BY lang) USING (lang) JOIN v USING (lang)),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+ UNION ALL SELECT p.lang, p.source, 'term', p.t, ((p - q) * (p - q)) // q FROM p JOIN q ON p.lang = q.lang AND p.t = q.t WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r) WHERE part = 'pair' OR rank <= 200""",
+    "op13_centroid_clustering": _clustering_sql(40, 5, 2, 64),
 }
