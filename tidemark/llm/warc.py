@@ -180,9 +180,10 @@ class _Inflated:
         """Go behind the member; without inflating, if it tells its length."""
         if self.length and not self.inflate.eof:
             target = self.begin + self.length
-            self.raw.buffer, behind = b"", self.raw.at
-            self.raw.at = target
-            if target != behind:
+            if target >= self.raw.at:
+                self.raw.skip(target - self.raw.at)
+            else:
+                self.raw.at, self.raw.buffer = target, b""
                 self.raw.file.seek(target)
             return
         while self.fill(1):
