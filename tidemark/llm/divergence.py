@@ -37,12 +37,13 @@ BLOCK_BYTES = 48 << 20
 #: Bytes of counts that a task holds, and different terms that it gathers before it looks them up.
 DENSE_BYTES = 64 << 20
 PENDING = 300_000
+#: Words that a task gathers before it counts them.
+PENDING_WORDS = 4_000_000
 #: Shares that a task of the pair sums holds at once.
 RANGE_CELLS = 1 << 21
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Fixed value: a term.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-#: The same over lower-cased UTF-8.
+#: Slots of a range at most, so that a large language is many ranges.
+RANGE_SLOTS = 1 << 13
+#: Fixed value: a term, over lower-cased UTF-8.
 TERM_BYTES = re.compile(rb"[a-z\x80-\xff]+")
 
 
@@ -51,10 +52,25 @@ def _narrow(docs: DataFrame) -> DataFrame:
 
 
 def kept_terms(docs: DataFrame, min_docs: int = 3) -> DataFrame:
-    """(lang, term) of the terms in at least min_docs documents of the language."""
-    terms = F.array_distinct(F.regexp_extract_all(F.translate(F.col("text"), UPPER, LOWER), F.lit(TERM), F.lit(0)))
-    rows = _narrow(docs).select("lang", F.explode(terms).alias("term"))
-    return rows.groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("lang", "term")
+    """(lang, term) of the terms in at least min_docs documents of the language. Tasks count before the shuffle."""
+    tune(docs.sparkSession)
+
+    def out(counts: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        for lang, counter in counts.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counter), pa.string()), pa.array(counter.keys(), pa.binary()).cast(pa.string()), pa.array(counter.values(), pa.int64())], names=["lang", "term", "n"])
+
+    def run(batches):
+        counts: dict[str, Counter] = {}
+        for b in trimmed(batches):
+            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").cast(pa.large_binary()), strict=True):
+                counts.setdefault(lang, Counter()).update(set(TERM_BYTES.findall(text.as_py().lower())))
+            if sum(map(len, counts.values())) >= PENDING:
+                yield from out(counts)
+                counts = {}
+        yield from out(counts)
+
+    rows = _narrow(docs).select("lang", "text").mapInArrow(run, "lang string, term string, n long")
+    return rows.groupBy("lang", "term").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs).select("lang", "term")
 
 
 def _shard(term: Column, shards: int) -> Column:
@@ -83,47 +99,57 @@ def build_shards(kept: DataFrame, shards: int) -> DataFrame:
     return dealt.groupBy("lang", "shard").applyInArrow(build, "lang string, shard int, n long, bytes long, sizes array<long>, bits binary, terms array<string>")
 
 
+class _Numbers(dict):
+    """Numbers of the terms of a language that a task has met, in the order of their first sight."""
+
+    def __missing__(self, term: bytes) -> int:
+        self[term] = n = len(self)
+        return n
+
+
 class _Counts:
     """A task's counts: dense by slot for each (lang, source, shard)."""
 
     def __init__(self, hashes: dict, shards: int, most: int):
         self.hashes, self.shards, self.most = hashes, shards, most
-        self.pending: dict[tuple[str, str], Counter] = {}
-        self.waiting = 0
+        self.numbers: dict[str, _Numbers] = {}
+        self.pending: dict[str, dict[str, list[np.ndarray]]] = {}
+        self.words = 0
         self.dense: dict[tuple[str, str, int], np.ndarray] = {}
         self.bytes = 0
 
     def add(self, lang: str, source: str, text: bytes) -> Iterator[pa.RecordBatch]:
-        counter = self.pending.setdefault((lang, source), Counter())
-        before = len(counter)
-        counter.update(TERM_BYTES.findall(text.lower()))
-        self.waiting += len(counter) - before
-        if self.waiting >= PENDING:
+        words = TERM_BYTES.findall(text.lower())
+        numbers = self.numbers.setdefault(lang, _Numbers())
+        self.pending.setdefault(lang, {}).setdefault(source, []).append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
+        self.words += len(words)
+        if self.words >= PENDING_WORDS or sum(map(len, self.numbers.values())) >= PENDING:
             yield from self.settle()
 
     def settle(self) -> Iterator[pa.RecordBatch]:
-        for (lang, source), counter in self.pending.items():
-            keys = pa.array(counter.keys(), pa.binary())
-            hashes = _hashes(counter.keys())
-            counts = np.fromiter(counter.values(), np.int64, len(counter))
-            shard = (hashes.astype(np.int64) % self.shards).astype(np.int64)
+        """Look the gathered terms up, once for each language, and count them."""
+        for lang, sources in self.pending.items():
+            terms = pa.array(self.numbers[lang].keys(), pa.binary())
+            hashes = _hashes(self.numbers[lang].keys())
+            shard = hashes.astype(np.int64) % self.shards  # signed, as Spark's hash is
+            found = []
             for k in np.unique(shard):
                 known = self.hashes.get((lang, int(k)))
-                if known is None:
-                    continue
-                mine = np.flatnonzero(shard == k)
-                slot = known.slots(keys.take(pa.array(mine)), hashes[mine])
-                hit = slot >= 0
-                if not hit.any():
-                    continue
-                at = (lang, source, int(k))
-                if at not in self.dense:
-                    self.dense[at] = np.zeros(len(known.keys), np.int64)
-                    self.bytes += 8 * len(known.keys)
-                self.dense[at][slot[hit]] += counts[mine[hit]]  # a counter has a term once, so no slot twice
-                if self.bytes >= self.most:
-                    yield from self.flush()
-        self.pending, self.waiting = {}, 0
+                if known is not None:
+                    mine = np.flatnonzero(shard == k)
+                    slot = known.slots(terms.take(pa.array(mine)), hashes[mine])
+                    found.append((int(k), len(known.keys), mine[slot >= 0], slot[slot >= 0]))
+            for source, parts in sources.items():
+                counts = np.bincount(np.concatenate(parts), minlength=len(terms))
+                for k, size, mine, slot in found:
+                    at = (lang, source, k)
+                    if at not in self.dense:
+                        self.dense[at] = np.zeros(size, np.int64)
+                        self.bytes += 8 * size
+                    self.dense[at][slot] += counts[mine]  # different terms have different slots
+                    if self.bytes >= self.most:
+                        yield from self.flush()
+        self.pending, self.numbers, self.words = {}, {}, 0
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         for (lang, source, shard), counts in self.dense.items():
@@ -232,7 +258,7 @@ def audit(docs: DataFrame, min_docs: int = 3, top_terms: int = 200, shard_keys:
     cells = counts.join(groups.select("lang", "source", "total", "v"), ["lang", "source"]).select("lang", "source", "shard", "slot", "n", _share("n", "total + v").alias("p"))
     sources = groups.groupBy("lang").count().agg(F.max("count")).first()[0] or 1
 
-    pairs = _pair_sums(cells, groups.filter("v > 0"), shards, max(1, min(shard_keys, range_cells // sources)))
+    pairs = _pair_sums(cells, groups.filter("v > 0"), shards, max(1, min(RANGE_SLOTS, range_cells // sources)))
     bare = groups.filter("v = 0")  # no kept terms: pairs of the few such languages, all of value 0
     none = bare.select("lang", "source").join(bare.select("lang", F.col("source").alias("item")), "lang").filter("source <> item").withColumn("value", F.lit(0).cast("long"))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
