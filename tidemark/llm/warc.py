@@ -159,9 +159,10 @@ class _Inflated:
     def fill(self, n: int) -> bool:
         while len(self.buffer) < n and not self.inflate.eof:
             data = self.inflate.unconsumed_tail or self.raw.take(1 << 14)
-            if not data:
+            more = self.inflate.decompress(data, max(1 << 12, n - len(self.buffer)))  # without data: what it still holds
+            if not data and not more and not self.inflate.eof:
                 raise ValueError("the archive ends within a record")
-            self.buffer += self.inflate.decompress(data, max(1 << 12, n - len(self.buffer)))
+            self.buffer += more
             if self.inflate.eof and self.inflate.unused_data:
                 self.raw.buffer = self.inflate.unused_data + self.raw.buffer
                 self.raw.at -= len(self.inflate.unused_data)
@@ -193,8 +194,8 @@ class _Inflated:
 def _header(stream) -> dict[str, str] | None:
     """The WARC header at a stream's place, names in lower case; None at the end."""
     size = 1 << 12
-    while stream.fill(1) and stream.buffer[:2] in (b"\r\n", b"\n"):
-        stream.take(2 if stream.buffer[:1] == b"\r" else 1)
+    while (stream.fill(2) or stream.buffer) and stream.buffer[:1] in (b"\r", b"\n"):
+        stream.take(1)
     if not stream.fill(1):
         return None
     while True:
