@@ -33,6 +33,8 @@ ENTITIES = [
 #: Cleaning steps (pattern, replacement) of the duplicate key and of the compared title, on lower-cased text.
 KEY_STEPS = [(r"^rt\s+", ""), (r"^@[\p{L}\p{N}_]+[:\s]*", ""), (r"https?://\S+", ""), (r"#[\p{L}\p{N}_]+", ""), (r"[.,!?;:\"'()\[\]{}]", " "), (r"\s+", " ")]
 TITLE_STEPS = [(r"^rt\s+", ""), (r"^ask hn[:\s]+", ""), (r"^show hn[:\s]+", ""), (r"^tell hn[:\s]+", ""), (r"^launch hn[:\s]+", ""), (r"^@[\p{L}\p{N}_]+[:\s]+", ""), (r"https?://\S+", ""), (r"\s+", " ")]
+# Fixed value: prefixes of discussions.
+DISCUSSION = r"(?i)^(ask|show|tell|launch) hn[:\s]+"
 HEAD_STEPS = [(r"^(RT\s+)?@[\p{L}\p{N}_]+[:\s]*", ""), (r"https?://\S+", "")]
 # The prefix of one-liners by category.
 PREFIXES = {"AI": "AI动态", "研究": "科研进展", "技术": "技术更新", "编程": "开发资讯", "产品": "产品动态", "创业": "创业动态", "创新": "创新资讯", "金融": "金融快讯", "商业": "商业资讯"}

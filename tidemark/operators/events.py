@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +18,8 @@ THRESHOLDS = {"model": 0.35, "entity": 0.35, "keyword": 0.50}
 OTHER_THRESHOLD = 0.40
 #: Without a shared model and with one shared name at most, a score of 0.5 (or 0.4 for titles alike by 0.8) needs 0.61 or more.
 LEAST_JACCARD = 0.6
+#: Items of a slice that one task of the greedy clustering goes through.
+SLICE_ITEMS = 200_000
 
 
 def features(df: DataFrame, title: str, body: Column | None = None, patterns: list[str] = X.ENTITIES, at: str = "published_at") -> DataFrame:
@@ -39,6 +45,15 @@ def features(df: DataFrame, title: str, body: Column | None = None, patterns: li
     return out.withColumn("keys", keys)
 
 
+def event_title(title: Column, most: int = 50, least: int = 30) -> Column:
+    """A cluster's title from its first item's: without the prefixes of discussions, cut at the last blank among `most` characters if that is behind `least`."""
+    bare = F.trim(F.regexp_replace(title, X.DISCUSSION, ""))
+    head = F.substring(bare, 1, most)
+    blank = F.length(head) - F.locate(" ", F.reverse(head))  # where the last blank stands, from 0
+    cut = F.when((F.locate(" ", head) > 0) & (blank > least), F.substr(head, F.lit(1), blank)).otherwise(head)
+    return F.when(F.length(bare) > most, F.trim(cut)).otherwise(bare)
+
+
 def event_score(a: str, b: str, semantic: Column | None = None) -> dict[str, Column]:
     """score, method and what they are made of, for feature rows under two prefixes."""
     x, y = (lambda c: F.col(f"{a}{c}")), (lambda c: F.col(f"{b}{c}"))
@@ -68,7 +83,7 @@ def candidates(left: DataFrame, right: DataFrame, earlier_only: bool = False) ->
     return out.filter(F.col("score") >= F.coalesce(X.lookup(F.col("method"), THRESHOLDS), F.lit(OTHER_THRESHOLD)))
 
 
-def cluster_candidates(items: DataFrame, clusters: DataFrame, as_of: str, days: int = 3, k: int = 5, patterns: list[str] = X.ENTITIES) -> DataFrame:
+def cluster_candidates(items: DataFrame, clusters: DataFrame, as_of: str, days: float = 3, k: int = 5, patterns: list[str] = X.ENTITIES) -> DataFrame:
     """(id, cluster, score, method, rank): the best k recent clusters of each item."""
     left = settled(features(items, "title", F.col("content"), patterns), "item-features")
     right = features(clusters.filter(F.col("last_updated_at") >= ago(as_of, days)), "event_title", None, patterns, "last_updated_at")
@@ -84,24 +99,72 @@ def accept_candidates(ranked: DataFrame, labels: DataFrame | None = None, sure:
     return best.join(labels.select("id", "label"), "id", "left").withColumn("accepted", F.when(F.col("score") >= sure, True).otherwise(F.coalesce("label", F.col("score") >= least))).drop("label")
 
 
-def cluster_events(items: DataFrame, patterns: list[str] = X.ENTITIES, least: float = 0.55, leader_importance: int = 6, rounds: int = 50) -> DataFrame:
-    """(id, leader, score): items in order (importance, date) join their best accepting earlier leader or, if important enough,
-    lead. A leader is an item that no earlier leader accepts, so each round settles the items whose earlier neighbours
-    are settled: members where one of them leads, leaders where none does. State is narrow and checkpointed each round."""
+def _greedy(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Roles of items that come in order, each with a row for every earlier item that accepts it: leads where that one leads already."""
+    leaders: set[int] = set()
+    current, led, can = None, False, False
+
+    def role() -> str:
+        if not led and can:
+            leaders.add(current)
+        return "member" if led else "leader" if can else "single"
+
+    for frame in frames:
+        ids, roles = [], []
+        for id_, may, other, leads in zip(frame["id"], frame["can"], frame["other"], frame["leads"], strict=True):
+            if id_ != current:
+                if current is not None:
+                    ids.append(current)
+                    roles.append(role())
+                current, led, can = id_, False, may
+            led = led or bool(leads) or other in leaders
+        yield pd.DataFrame({"id": pd.Series(ids, dtype="int64"), "s": pd.Series(roles, dtype="object")})
+    if current is not None:
+        yield pd.DataFrame({"id": [current], "s": [role()]})
+
+
+def _roles(place: DataFrame, e: DataFrame, slice_items: int) -> DataFrame:
+    """(id, s) of all items of place (id, o, can), given who accepts whom (e: id, other; other is earlier and may lead).
+
+    Rounds settle the items whose earlier neighbours are settled, all at once, for as long as a round settles half of what is
+    open. What is left then, such as long chains, is cut by order into slices of about slice_items items. A slice depends only on
+    itself and on earlier ones, so one task goes through it in order, holding its leaders only, while its pairs stream by."""
+    state, left = place.select("id", "o", "can", F.lit(None).cast("string").alias("s")), place.count()
+    while left:
+        t = state.select(F.col("id").alias("other"), F.col("s").alias("t"))
+        seen = e.join(t, "other").groupBy("id").agg(F.max(F.when(F.col("t") == "leader", 1).otherwise(0)).alias("led"), F.max(F.when(F.col("t").isNull(), 1).otherwise(0)).alias("open"))
+        new = F.when(F.col("s").isNotNull(), F.col("s")).when(F.col("led") == 1, "member").when(F.coalesce("open", F.lit(0)) == 0, F.when(F.col("can"), "leader").otherwise("single"))
+        state = settled(state.join(seen, "id", "left").select("id", "o", "can", new.alias("s")), "roles")
+        now = state.filter("s is null").count()
+        if now > left // 2:
+            left = now
+            break
+        left = now
+    roles = state.filter("s is not null").select("id", "s")
+    if not left:
+        return roles
+    laid = settled(state.filter("s is null").select("id", "o", "can").repartitionByRange(math.ceil(left / slice_items), "o").withColumn("slice", F.spark_partition_id()), "slices")
+    for k in range(laid.agg(F.max("slice")).first()[0] + 1):
+        asked = laid.filter(F.col("slice") == k).join(e.select("id", "other"), "id", "left")
+        met = asked.join(roles.select(F.col("id").alias("other"), F.col("s").alias("t")), "other", "left")
+        leads = F.coalesce(F.col("t") == "leader", F.lit(False))
+        # pairs with settled items that don't lead have no effect; their rows stay for the item
+        rows = met.select("o", "id", "can", F.when(F.col("t").isNull() | leads, F.coalesce("other", F.lit(None).cast("long"))).alias("other"), leads.alias("leads"))
+        solved = rows.repartition(1).sortWithinPartitions("o").select("id", "can", "other", "leads").mapInPandas(_greedy, "id long, s string")
+        roles = roles.unionByName(settled(solved, "solved"))
+    return roles
+
+
+def cluster_events(items: DataFrame, patterns: list[str] = X.ENTITIES, least: float = 0.55, leader_importance: int = 6, slice_items: int = SLICE_ITEMS) -> DataFrame:
+    """(id, leader, score, role): items in order (importance, date) join their best accepting earlier leader or, if important enough,
+    lead. A leader is an item that no earlier leader accepts."""
     pool = items.withColumn("_o", F.struct(-F.coalesce("importance_score", F.lit(0)), -F.unix_micros(F.col("published_at").cast("timestamp")), "id"))
     f = settled(features(pool, "title", F.col("content"), patterns), "item-features")
-    place = pool.select("id", F.col("_o").alias("o"), (F.coalesce("importance_score", F.lit(0)) >= leader_importance).alias("can"))
+    place = settled(pool.select("id", F.col("_o").alias("o"), (F.coalesce("importance_score", F.lit(0)) >= leader_importance).alias("can")), "places")
     e = candidates(f, f).filter((F.col("id") != F.col("other")) & (F.col("score") >= least))
-    e = e.join(place.select("id", "o"), "id").join(place.select(F.col("id").alias("other"), F.col("o").alias("p"), F.col("can").alias("other_can")), "other").filter(F.col("other_can") & (F.col("p") < F.col("o"))).select("id", "other", "score").checkpoint()
-    state = place.select("id", "can", F.lit(None).cast("string").alias("s")).checkpoint()
-    for _ in range(rounds):
-        seen = e.join(state.select(F.col("id").alias("other"), F.col("s").alias("t")), "other").groupBy("id").agg(F.max(F.when(F.col("t") == "leader", 1).otherwise(0)).alias("led"), F.max(F.when(F.col("t").isNull(), 1).otherwise(0)).alias("open"))
-        new = F.when(F.col("s").isNotNull(), F.col("s")).when(F.col("led") == 1, "member").when(F.coalesce("open", F.lit(0)) == 0, F.when(F.col("can"), "leader").otherwise("single"))
-        state = state.join(seen, "id", "left").select("id", "can", new.alias("s")).checkpoint()
-        if state.filter("s is null").limit(1).count() == 0:
-            break
-    else:
-        raise RuntimeError("event clustering did not settle")
+    e = e.join(place.select("id", "o"), "id").join(place.select(F.col("id").alias("other"), F.col("o").alias("p"), F.col("can").alias("other_can")), "other").filter(F.col("other_can") & (F.col("p") < F.col("o")))
+    e = settled(e.select("id", "other", "score"), "accepting")
+    state = _roles(place, e, slice_items)
     leaders = state.filter("s = 'leader'").select(F.col("id").alias("other"))
     best = e.join(leaders, "other", "left_semi").groupBy("id").agg(F.max(F.struct("score", (-F.col("other")).alias("m"))).alias("r"))
     joined = state.join(best, "id", "left")
@@ -109,11 +172,11 @@ def cluster_events(items: DataFrame, patterns: list[str] = X.ENTITIES, least: fl
     return joined.select("id", F.when(member, -F.col("r.m")).when(F.col("s") == "leader", F.col("id")).alias("leader"), F.when(member, F.col("r.score")).alias("score"), F.col("s").alias("role"))
 
 
-def cluster_new(items: DataFrame, clusters: DataFrame, as_of: str, patterns: list[str] = X.ENTITIES, days: int = 3, least: float = 0.55) -> DataFrame:
+def cluster_new(items: DataFrame, clusters: DataFrame, as_of: str, patterns: list[str] = X.ENTITIES, days: float = 3, least: float = 0.55, leader_importance: int = 6) -> DataFrame:
     """(id, cluster, leader, score, role): items join the best recent cluster that accepts them; the others are clustered among themselves."""
     best = accept_candidates(cluster_candidates(items, clusters, as_of, days, 1, patterns), least=least).filter("accepted")
     joined = settled(best.select("id", "cluster", "score"), "joined")
-    rest = cluster_events(items.join(joined.select("id"), "id", "left_anti"), patterns, least)
+    rest = cluster_events(items.join(joined.select("id"), "id", "left_anti"), patterns, least, leader_importance)
     none = F.lit(None).cast("long")
     return joined.select("id", F.col("cluster").cast("long").alias("cluster"), none.alias("leader"), "score", F.lit("joined").alias("role")).unionByName(
         rest.select("id", none.alias("cluster"), F.col("leader").cast("long").alias("leader"), "score", "role")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import checks, classify, dedup, events, items, search, stats, store, topics, vectors
+from ..operators import checks, classify, clusters, dedup, events, items, search, stats, store, topics, vectors
 from ..operators import rules as R
 from ..sources import feeds
 from ..streaming import jobs
@@ -48,8 +48,6 @@ AGO = lambda days: f"{TS(AS_OF)} - to_seconds({int(days * 86400)})"  # noqa: E73
 add("s03_read_table", lambda t: t.items.select("id", "source_type", "published_at", "importance_score"), "SELECT id, source_type, published_at, importance_score FROM items")
 add("s04_append_new", lambda t: ids(store.append_new(t.items.filter("id % 3 = 0"), t.items, ["source_type", "external_id"]), "external_id"),
     "WITH old AS (SELECT * FROM items WHERE id % 3 = 0), new AS (SELECT *, row_number() OVER (PARTITION BY source_type, external_id ORDER BY id) AS n FROM items) SELECT id, external_id FROM old UNION ALL SELECT id, external_id FROM new WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM old WHERE old.source_type = new.source_type AND old.external_id = new.external_id)")
-add("s05_upsert", lambda t: ids(store.upsert(t.items.filter("id % 2 = 0"), t.items.filter("id % 3 = 0"), ["external_id"]), "external_id"),
-    "WITH old AS (SELECT * FROM items WHERE id % 2 = 0), new AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY external_id ORDER BY id DESC) AS n FROM items WHERE id % 3 = 0) WHERE n = 1) SELECT id, external_id FROM old WHERE external_id NOT IN (SELECT external_id FROM new) UNION ALL SELECT id, external_id FROM new")
 add("s05_upsert_all", lambda t: ids(store.upsert(t.items.filter("id % 3 <> 0"), t.items.filter("id % 2 = 0 or id % 3 = 0"), ["external_id"]), "external_id"),
     "WITH old AS (SELECT * FROM items WHERE id % 3 <> 0), new AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY external_id ORDER BY id DESC) AS n FROM items WHERE id % 2 = 0 OR id % 3 = 0) WHERE n = 1) SELECT id, external_id FROM old WHERE external_id NOT IN (SELECT external_id FROM new) UNION ALL SELECT id, external_id FROM new")
 add("s06_update_where", lambda t: ids(store.update_where(t.items, t.members.select(F.col("content_item_id").alias("id")), {"state": F.lit("read"), "delivered": F.lit(True)}), "state", "delivered"),
@@ -323,7 +321,31 @@ add("c13_accept_candidates", lambda t: events.accept_candidates(_cand(t)).select
 add("c12_event_score", lambda t: events.candidates(events.features(t.items, "title", F.col("content"), WORDS), events.features(t.clusters, "event_title", None, WORDS, "last_updated_at")).groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 3).alias("total")),
     f"WITH {FEAT.replace(f'WHERE last_updated_at >= {AGO(3)}', '')} SELECT method, count(*) AS n, round(sum(score), 3) AS total FROM sc WHERE score >= CASE method WHEN 'entity' THEN 0.35 WHEN 'keyword' THEN 0.5 ELSE 0.4 END GROUP BY 1")
 _free = lambda t: items.unclustered(t.items, t.members, AS_OF, 5, 24, None)
-add("c14_cluster_events", lambda t: events.cluster_events(_free(t), WORDS))
+# the greedy clustering of a set of items `fr` (with `bn`, the batch), one item after another: {n} names the step, {known} the clusters born in earlier batches
+ORDER = "-coalesce(importance_score, 0), published_at DESC, id"
+_score = lambda n: f"round(ti * 0.35 + least({n}, 3) * 0.25 / 3 + CASE WHEN {n} >= 2 THEN 0.15 ELSE 0 END + least(k, 5) * 0.1 / 5 + CASE WHEN same THEN 0.05 ELSE 0 END + CASE WHEN near THEN 0.05 ELSE 0 END, 6)"
+_title_part = "CASE WHEN a.title = '' OR b.title = '' THEN 0 WHEN a.norm = b.norm THEN 1 ELSE coalesce(len(list_intersect(a.v, b.v)) / nullif(len(list_distinct(list_concat(a.v, b.v))), 0), 0) END AS ti, len(list_intersect(a.w, b.w)) AS k, a.category = b.category AS same, abs(CAST(a.at AS DATE) - CAST(b.at AS DATE)) <= 1 AS near"
+
+
+def _featured(name: str, rows: str, title: str = "title", body: str = "concat_ws(' ', title, content)", at: str = "published_at", more: str = "") -> str:
+    norm = f"{_chain(f'lower({title})', X.TITLE_STEPS)}"
+    return f"{name}0 AS (SELECT id, {title} AS title, category, {at} AS at, {norm} AS norm, {NAMES(body)} AS names{more} FROM {rows}), {name} AS MATERIALIZED (SELECT *, list_distinct({KW('title')}) AS w, list_distinct({KW('norm')}) AS v FROM {name}0)"
+
+
+def _greedy_sql(n: str, rows: str) -> str:
+    """CTEs l{n} (id, other, score: who accepts whom) and o{n} (id, leader, score, role) of the items in `rows`."""
+    return f"""{_featured(f"f{n}", rows, more=f", coalesce(importance_score, 0) >= 6 AS can, row_number() OVER (ORDER BY {ORDER}) AS k0")},
+p{n} AS (SELECT a.id, b.id AS other, len(list_intersect(a.names, b.names)) AS n, {_title_part} FROM f{n} a JOIN f{n} b ON b.k0 < a.k0 AND b.can),
+l{n} AS MATERIALIZED (SELECT id, other, {_score('n')} AS score FROM p{n} WHERE {_score('n')} >= 0.55),
+s{n} AS MATERIALIZED (SELECT f.k0, f.id, f.can, coalesce(list(other) FILTER (WHERE other IS NOT NULL), []) AS adj FROM f{n} f LEFT JOIN l{n} USING (id) GROUP BY ALL),
+r{n} AS (SELECT CAST(0 AS BIGINT) AS k0, CAST([] AS BIGINT[]) AS led UNION ALL SELECT s.k0, CASE WHEN list_has_any(r.led, s.adj) OR NOT s.can THEN r.led ELSE list_append(r.led, s.id) END FROM r{n} r JOIN s{n} s ON s.k0 = r.k0 + 1),
+h{n} AS MATERIALIZED (SELECT unnest(led) AS id FROM (SELECT led FROM r{n} ORDER BY k0 DESC LIMIT 1)),
+o{n} AS MATERIALIZED (SELECT f.id, CASE WHEN h.id IS NOT NULL THEN f.id ELSE m.other END AS leader, m.score, CASE WHEN h.id IS NOT NULL THEN 'leader' WHEN m.other IS NOT NULL THEN 'member' ELSE 'single' END AS role
+ FROM f{n} f LEFT JOIN h{n} h USING (id) LEFT JOIN (SELECT l.id, arg_min(l.other, struct_pack(s := -l.score, o := l.other)) AS other, max(l.score) AS score FROM l{n} l JOIN h{n} g ON g.id = l.other WHERE l.id NOT IN (SELECT id FROM h{n}) GROUP BY l.id) m USING (id))"""
+
+
+UNCLUSTERED = f"(SELECT * FROM items WHERE {FREE} AND (cluster_attempted_at IS NULL OR cluster_attempted_at < {TS(AS_OF)} - to_seconds(86400)) AND id NOT IN (SELECT content_item_id FROM members))"
+add("c14_cluster_events", lambda t: events.cluster_events(_free(t), WORDS), f"WITH RECURSIVE {_greedy_sql('', UNCLUSTERED)} SELECT id, leader, score, role FROM o")
 add("c14_attempted", lambda t: ids(store.update_where(t.items, _free(t).select("id"), {"cluster_attempted_at": F.lit(AS_OF).cast("timestamp_ntz")}), "cluster_attempted_at"),
     f"SELECT id, CASE WHEN {FREE} AND (cluster_attempted_at IS NULL OR cluster_attempted_at < {TS(AS_OF)} - to_seconds(86400)) AND id NOT IN (SELECT content_item_id FROM members) THEN {TS(AS_OF)} ELSE cluster_attempted_at END AS cluster_attempted_at FROM items")
 add("c15_update_centroids", lambda t: vectors.update_centroids(vectors.centroids(t.members.filter("content_item_id % 2 = 0"), t.content_embeddings), t.members.filter("content_item_id % 2 = 1"), t.content_embeddings).select("event_cluster_id", "members", F.posexplode("centroid").alias("pos", "x")).select("event_cluster_id", "members", "pos", F.round("x", 4).alias("x")),
@@ -453,12 +475,52 @@ def _hits(t: Tables) -> DataFrame:
         return jobs.run_once(jobs.ttl_cache_stream(_stream(t).select("user_id", "event_id"), "user_id", 3_600_000), "append", "ttl", single=True).groupBy("key").agg(F.sum(F.col("hits") + F.col("misses")).alias("seen"), F.max(F.col("misses") > 0).alias("missed"))
 
 
-def _joined(t: Tables) -> DataFrame:
-    """Items come as a stream of ids and join the clusters that there are, or are clustered among themselves."""
-    path = store.new_path(t.spark, "clustered")
-    write = jobs.cluster_batch(path, lambda: t.clusters, lambda batch, clusters: events.cluster_new(t.items.join(batch.select(F.col("doc_id").alias("id")).distinct(), "id"), clusters, AS_OF, WORDS))
-    _stream(t, "documents").select("doc_id").writeStream.foreachBatch(write).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.parquet(path)
+#: The days that part the items into the batches of a stream.
+CUTS = ("2024-01-11 00:00:00", "2024-01-21 00:00:00")
+
+
+def _in_batches(t: Tables, rows: DataFrame, at: str, name: str, files: int = 4) -> tuple[DataFrame, str]:
+    """rows as a stream whose batches are the spans between CUTS: each is written as so many files, which one trigger takes. The folder is for the stream's own state."""
+    path = store.new_path(t.spark, name)
+    place = sum((F.when(F.col(at) >= F.lit(c).cast("timestamp_ntz"), 1).otherwise(0) for c in CUTS), F.lit(0))
+    for k in range(len(CUTS) + 1):
+        rows.filter(place == k).repartition(files).write.parquet(f"{path}/in/part={k}")
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/in/part=*")
+    return stream, path
+
+
+def _lasting(t: Tables) -> DataFrame:
+    """Items come in three batches and join clusters that earlier batches have left, or each other."""
+    stream, path = _in_batches(t, t.items, "published_at", "clustered")
+    table = clusters.ClusterTable(t.spark, f"{path}/table").create()
+    step = clusters.cluster_batch(table, WORDS, days=3650)
+    stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    now = table.clusters(len(CUTS) + 1).select(F.col("id").alias("event_cluster_id"), "event_title", "last_updated_at", "article_count")
+    return table.members(len(CUTS) + 1).join(now, "event_cluster_id", "left").select(F.col("content_item_id").alias("id"), F.col("event_cluster_id").alias("cluster"), "score", "role", F.col("n").alias("batch"), "event_title", "last_updated_at", "article_count")
+
+
+SHORT = "CASE WHEN length(trim(title)) <= 50 THEN trim(title) ELSE trim(CASE WHEN 50 - strpos(reverse(substring(trim(title), 1, 50)), ' ') > 30 AND strpos(reverse(substring(trim(title), 1, 50)), ' ') > 0 THEN substring(trim(title), 1, 50 - strpos(reverse(substring(trim(title), 1, 50)), ' ')) ELSE substring(trim(title), 1, 50) END) END"
+
+
+def _lasting_sql() -> str:
+    """Batch after batch: items against the clusters of earlier batches, then among themselves."""
+    parts = [f"it AS MATERIALIZED (SELECT *, {' + '.join(f'CASE WHEN published_at >= {TS(c)} THEN 1 ELSE 0 END' for c in CUTS)} AS bn FROM items WHERE source_type <> 'rss')"]
+    parts.append(f"tm AS (SELECT bn, max(published_at) AS now FROM (SELECT published_at, {' + '.join(f'CASE WHEN published_at >= {TS(c)} THEN 1 ELSE 0 END' for c in CUTS)} AS bn FROM items) GROUP BY bn)")
+    known = "(SELECT CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS event_title, CAST(NULL AS VARCHAR) AS category, CAST(NULL AS TIMESTAMP) AS last_updated_at, CAST(NULL AS BIGINT) AS article_count WHERE false)"
+    for n in range(len(CUTS) + 1):
+        parts.append(f"k{n} AS MATERIALIZED (SELECT * FROM {known})")
+        parts.append(_featured(f"a{n}", f"(SELECT * FROM it WHERE bn = {n})"))
+        parts.append(_featured(f"b{n}", f"k{n}", "event_title", "event_title", "last_updated_at"))
+        parts.append(f"x{n} AS (SELECT a.id, b.id AS other, len(list_intersect(a.names, b.names)) AS n, {_title_part} FROM a{n} a, b{n} b)")
+        parts.append(f"j{n} AS MATERIALIZED (SELECT id, arg_min(other, struct_pack(s := -score, o := other)) AS cluster, max(score) AS score FROM (SELECT id, other, {_score('n')} AS score FROM x{n}) WHERE score >= 0.55 GROUP BY id)")
+        parts.append(_greedy_sql(str(n), f"(SELECT * FROM it WHERE bn = {n} AND id NOT IN (SELECT id FROM j{n}))"))
+        parts.append(f"m{n} AS MATERIALIZED (SELECT id, cluster, score, 'joined' AS role, {n} AS batch FROM j{n} UNION ALL SELECT id, leader, CASE WHEN role = 'leader' THEN 1.0 ELSE score END, role, {n} FROM o{n})")
+        parts.append(f"""c{n} AS MATERIALIZED (SELECT k.id, k.event_title, k.category, CASE WHEN m.n > 0 THEN greatest(last_updated_at, now) ELSE last_updated_at END AS last_updated_at, article_count + coalesce(m.n, 0) AS article_count
+ FROM k{n} k CROSS JOIN (SELECT now FROM tm WHERE bn = {n}) LEFT JOIN (SELECT cluster AS id, count(*) AS n FROM m{n} GROUP BY 1) m USING (id)
+ UNION ALL SELECT it.id, {SHORT}, coalesce(category, '其他'), now, m.n FROM it JOIN (SELECT cluster AS id, count(*) AS n FROM m{n} WHERE cluster NOT IN (SELECT id FROM k{n}) GROUP BY 1) m USING (id) CROSS JOIN (SELECT now FROM tm WHERE bn = {n}))""")
+        known = f"c{n}"
+    members = " UNION ALL ".join(f"SELECT * FROM m{n}" for n in range(len(CUTS) + 1))
+    return f"WITH RECURSIVE {', '.join(parts)} SELECT m.id, m.cluster, CAST(m.score AS DOUBLE) AS score, m.role, m.batch, c.event_title, c.last_updated_at, CAST(c.article_count AS BIGINT) AS article_count FROM ({members}) m LEFT JOIN {known} c ON c.id = m.cluster"
 
 
 add("x01_ingest_stream", _ingested, "SELECT user_id, count(*) AS n, max(event_id) AS last FROM events GROUP BY 1")
@@ -467,7 +529,7 @@ add("x03_windowed_counts_stream", lambda t: _wall(jobs.run_once(jobs.windowed_co
 add("x04_trend_alerts_stream", lambda t: _wall(jobs.run_once(jobs.trend_alerts(_event_stream(t), "ts", "event_type", "1 hour"), "complete", "alerts")), ALERTS)
 add("x05_usage_stream", lambda t: jobs.run_once(jobs.usage_stream(_usage_of(_stream(t))), "complete", "usage"), ORACLE_X5)
 add("x06_ttl_cache_stream", _hits, "SELECT user_id AS key, count(*) AS seen, true AS missed FROM events GROUP BY 1")
-add("x07_cluster_stream", lambda t: _joined(t).filter("role = 'joined'").select("id", "cluster", "score"), f"WITH {FEAT} SELECT id, cluster, score FROM ca WHERE rank = 1 AND score >= 0.55")
+add("x07_cluster_stream", _lasting, _lasting_sql())
 
 # -- checks
 add("q01_unknown_subscription", checks.unknown_subscription, "SELECT id FROM items WHERE subscription_id NOT IN (SELECT id FROM subscriptions)")

@@ -70,7 +70,8 @@ def _text(name: str, t0: str, sec: str) -> str:
 def duck(query: str) -> str:
     """A query over the views as one DuckDB statement."""
     texts = [f"{n} AS ({_text(n, chr(84) + 'IMESTAMP ' + chr(39) + '2024-01-01 00:00:00' + chr(39), 'to_seconds')})" for n in SQL]
-    return "WITH " + ",\n".join(texts) + ("," + query.strip()[4:] if query.strip()[:5].upper() == "WITH " else "\n" + query)
+    query, recursive = query.strip(), "RECURSIVE " if query.strip().startswith("WITH RECURSIVE ") else ""
+    return f"WITH {recursive}" + ",\n".join(texts) + ("," + query.removeprefix("WITH ").removeprefix(recursive).join(" \n") if query.startswith("WITH ") else "\n" + query)
 
 
 class Tables:
