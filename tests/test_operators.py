@@ -4,7 +4,6 @@ import datetime
 import os
 
 import duckdb
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,7 +15,7 @@ from tidemark.streaming import jobs
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "documents labels pages embeddings events orders conversations".split()
-NAMES = ["f01_undelivered", "j05_digest_singles", "a13_cluster_rollup", "a14_event_timeline", "w02_topic_changes", "t03_build_digest", "p03_normalize_url", "p15_keywords", "c03_classify", "j11_cluster_candidates", "q11_lost_topics", "c17_search", "c01_classify_domain", "c15_update_centroids", "j10_match_topics", "t05_order_events", "q07_lost_members", "c08_assign_batches", "s01_feed_rows", "s02_post_rows", "s08_write_report", "p22_parse_results", "p23_parse_batches", "p26_nest_json", "p27_skip_results", "p28_call_tokens", "w06_sample_titles", "e01_rules_in_a_table", "e02_embed_by_function", "e03_enrich", "x01_ingest_stream", "x02_dedup_stream", "x04_trend_alerts_stream", "x05_usage_stream", "x06_ttl_cache_stream", "c14_attempted"]
+NAMES = ["f01_undelivered", "j05_digest_singles", "a13_cluster_rollup", "a14_event_timeline", "w02_topic_changes", "t03_build_digest", "p03_normalize_url", "p15_keywords", "c03_classify", "j11_cluster_candidates", "q11_lost_topics", "c17_search", "c01_classify_domain", "c15_update_centroids", "j10_match_topics", "t05_order_events", "q07_lost_members", "c08_assign_batches", "s01_feed_rows", "s02_post_rows", "s08_write_report", "p22_parse_results", "p23_parse_batches", "p26_nest_json", "p27_skip_results", "p28_call_tokens", "w06_sample_titles", "e01_rules_in_a_table", "e02_embed_by_function", "e03_enrich", "x01_ingest_stream", "x02_dedup_stream", "x04_trend_alerts_stream", "x05_usage_stream", "x03_windowed_counts_stream", "x06_ttl_cache_stream", "c14_attempted", "c14_cluster_events", "s05_versioned", "j12_nearest_processed", "a12_centroids"]
 
 
 def plain(v):
@@ -104,21 +103,6 @@ def test_centroid_has_unit_length(spark):
     assert vectors.centroids(members.limit(0), emb).count() == 0
 
 
-def test_approximate_nearest_finds_nine_of_ten_at_the_threshold(spark):
-    rng = np.random.default_rng(6)
-    n, size = 300, 32
-    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
-    a, noise = unit(rng.standard_normal((n, size))), rng.standard_normal((n, size))
-    b = 0.71 * a + (1 - 0.71**2) ** 0.5 * unit(noise - (noise * a).sum(axis=1, keepdims=True) * a)
-    rows = [(i, v.tolist()) for i, v in enumerate([*a, *b])]
-    emb = spark.createDataFrame(rows, "content_id long, embedding array<double>")
-    items = spark.range(2 * n).select("id", (F.col("id") >= n).alias("processed"), F.lit(datetime.datetime(2024, 1, 30)).cast("timestamp_ntz").alias("published_at"))
-    exact = {(r.id, r.match) for r in vectors.nearest_processed(items, emb, "2024-01-31 00:00:00").collect()}
-    found = {(r.id, r.match) for r in vectors.nearest_approximate(items, emb, "2024-01-31 00:00:00", size).collect()}
-    assert len(exact) >= n
-    assert len(exact & found) / len(exact) >= 0.9
-
-
 def test_search_finds_phrases(spark):
     rows = [(1, "Big red apple", "a b a b c"), (2, "red big apple", "b a, c"), (3, "apple", "red; APPLE red"), (4, "Red", "apple pie")]
     items = spark.createDataFrame(rows, "id long, title string, content string").withColumns({"importance_score": F.lit(5), "published_at": F.lit(None).cast("timestamp_ntz")})

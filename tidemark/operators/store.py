@@ -77,6 +77,98 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class VersionedTable:
+    """A keyed table at a path whose writes commit as a whole. Rows are dealt by their keys' hash into buckets; a version is a list that
+    names a folder for each bucket, in one small file that appears at once and is written last. A write makes new folders for the buckets
+    whose rows change and names the old ones for the rest, so a lost run leaves the version before it in force, one that
+    changes nothing commits nothing, and readers of a version are not disturbed. One writer at a time."""
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], schema: str, buckets: int = 64):
+        self.spark, self.path, self.keys, self.schema, self.buckets = spark, path.rstrip("/"), keys, schema, buckets
+        self.empty = spark.createDataFrame([], schema)
+        self.empty.select(F.lit("").alias("version"), F.lit(0).alias("bucket"), F.lit("").alias("folder")).write.mode("append").parquet(f"{self.path}/commits")
+
+    def _commits(self) -> DataFrame:
+        return self.spark.read.schema("version string, bucket int, folder string").parquet(f"{self.path}/commits")
+
+    def versions(self) -> list[str]:
+        return sorted(r[0] for r in self._commits().select("version").distinct().collect())
+
+    def version(self) -> str | None:
+        return self._commits().agg(F.max("version")).first()[0]
+
+    def folders(self, version: str | None) -> dict[int, str]:
+        """Folder by bucket; buckets without rows are missing."""
+        rows = self._commits().filter((F.col("version") == version) & (F.col("folder") != "")) if version else None
+        return {r["bucket"]: r["folder"] for r in rows.collect()} if version else {}
+
+    def _rows(self, folders: dict[int, str]) -> DataFrame:
+        paths = [f"{self.path}/data/{f}/bucket={b}" for b, f in folders.items()]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.empty
+
+    def read(self, version: str | None = None) -> DataFrame:
+        return self._rows(self.folders(version or self.version()))
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+
+    def _write(self, base: dict[int, str], hit: list[int], rows: DataFrame) -> str:
+        """Commit the buckets `hit` as `rows` and the others as they are in `base`."""
+        name = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+        target = f"{self.path}/data/{name}"
+        rows.withColumn("bucket", self._bucket()).write.partitionBy("bucket").parquet(target)
+        full = {r[0] for r in self.spark.read.schema(f"{self.schema}, bucket int").parquet(target).select("bucket").distinct().collect()}
+        now = {b: f for b, f in base.items() if b not in hit} | {b: name for b in hit if b in full}
+        listed = [(name, b, f) for b, f in now.items()] or [(name, 0, "")]
+        self.spark.createDataFrame(listed, "version string, bucket int, folder string").coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
+        return name
+
+    def _hit(self, rows: DataFrame) -> list[int]:
+        return [r[0] for r in rows.select(self._bucket()).distinct().collect()]  # as many as buckets at most
+
+    def upsert(self, incoming: DataFrame, order: str) -> None:
+        """Rows by key: incoming ones replace, the last by `order` wins; what is there already changes nothing."""
+        base = self.folders(self.version())
+        last = Window.partitionBy(*self.keys).orderBy(F.desc(order))
+        new = settled(incoming.select(*self.empty.columns).withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n"), "incoming")
+        near = self._rows({b: f for b, f in base.items() if b in self._hit(new)})
+        changed = settled(new.subtract(near), "changed")
+        if hit := self._hit(changed):
+            old = self._rows({b: f for b, f in base.items() if b in hit})
+            self._write(base, hit, old.join(changed.select(*self.keys), self.keys, "left_anti").select(*self.empty.columns).unionByName(changed))
+
+    def append_new(self, incoming: DataFrame, order: str) -> None:
+        """Rows with keys that are not there; of several with one key the first by `order`."""
+        base = self.folders(self.version())
+        first = Window.partitionBy(*self.keys).orderBy(order)
+        rows = settled(incoming.select(*self.empty.columns).withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n"), "incoming")
+        near = self._rows({b: f for b, f in base.items() if b in self._hit(rows)})
+        new = settled(rows.join(near.select(*self.keys), self.keys, "left_anti").select(*self.empty.columns), "new")
+        if hit := self._hit(new):
+            self._write(base, hit, self._rows({b: f for b, f in base.items() if b in hit}).unionByName(new))
+
+    def delete(self, keys: DataFrame) -> None:
+        """Without the rows of the keys given."""
+        base = self.folders(self.version())
+        gone = settled(keys.select(*self.keys).distinct(), "keys")
+        near = {b: f for b, f in base.items() if b in self._hit(gone)}
+        if hit := self._hit(self._rows(near).join(gone, self.keys, "left_semi")):
+            self._write(base, hit, self._rows({b: f for b, f in base.items() if b in hit}).join(gone, self.keys, "left_anti").select(*self.empty.columns))
+
+    def compact(self, keep: int = 1) -> None:
+        """Forget all versions but the last `keep`; folders that no version names any more are deleted."""
+        versions = self.versions()[-keep:]
+        kept = settled(self._commits().filter(F.col("version").isin(versions)), "commits")
+        named = {r[0] for r in kept.select("folder").distinct().collect()}
+        kept.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits")
+        jvm = self.spark.sparkContext._jvm
+        data = jvm.org.apache.hadoop.fs.Path(f"{self.path}/data")
+        files = data.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for status in files.listStatus(data):
+            if status.getPath().getName() not in named and status.getPath().getName() < versions[-1]:
+                files.delete(status.getPath(), True)
+
+
 def write_report(parts: dict[str, DataFrame], path: str, form: str = "parquet") -> str:
     """Every part of a report as its own table under a new version, which counts only when its name stands under versions/: that
     is written last, so a lost run leaves the version before it in force. The version's name."""

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from .items import ago, ts
 
-#: Keywords of one block of topics.
-BLOCK_KEYWORDS = 1000
+#: Characters of one block of keywords (with 50 for each keyword), which bounds the automaton that a task holds.
+BLOCK_CHARACTERS = 8_000_000
 
 
 def _frequency(items: DataFrame, terms: Column, least: int, low: float, high: float, share: float, source: str, limit: int | None) -> DataFrame:
@@ -79,40 +80,74 @@ def accept_suggestions(suggestions: DataFrame, ids: DataFrame, status: str = "ac
     return out, hit.filter("_hit").select("id", "name")
 
 
-def _topic_blocks(topics: DataFrame, most: int) -> Iterator[list[tuple[int, list[tuple[int, str]]]]]:
-    """The topics with their keywords in order, in blocks of about `most` keywords, one block at a time on the driver."""
-    words = F.array_sort(F.collect_list(F.struct(F.col("pos"), F.lower("keyword").alias("keyword"))))
-    block, size = [], 0
-    for topic, ws in topics.groupBy("topic_id").agg(words.alias("words")).orderBy("topic_id").toLocalIterator():
-        if block and size + len(ws) > most:
+def _keyword_blocks(topics: DataFrame, most: int) -> Iterator[list[tuple[int, int, int, str]]]:
+    """Rows (topic_id, pos, keywords of the topic, keyword) in blocks of whole topics and about `most` characters, one block at a time on the driver."""
+    size = topics.groupBy("topic_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = topics.select("topic_id", "pos", F.lower("keyword").alias("keyword")).join(size, "topic_id").orderBy("topic_id", "pos", "keyword")
+    block, held, last = [], 0, None
+    for r in rows.toLocalIterator():
+        if block and held >= most and r["topic_id"] != last:
             yield block
-            block, size = [], 0
-        block.append((topic, [(w["pos"], w["keyword"]) for w in ws]))
-        size += len(ws)
+            block, held = [], 0
+        last = r["topic_id"]
+        block.append((last, r["pos"], r["n"], r["keyword"] or ""))
+        held += len(block[-1][3]) + 50
     if block:
         yield block
 
 
-def match_topics(items: DataFrame, topics: DataFrame, threshold: float = 0.3, block: int = BLOCK_KEYWORDS) -> DataFrame:
+def _automaton(block: list[tuple[int, int, int, str]]) -> tuple[object, list[int]]:
+    """The block's keywords as an Aho-Corasick automaton that gives the numbers of their rows; and those of empty keywords, which stand in every text."""
+    import ahocorasick
+
+    rows: dict[str, list[int]] = {}
+    for i, (*_, keyword) in enumerate(block):
+        rows.setdefault(keyword, []).append(i)
+    always, found = rows.pop("", []), ahocorasick.Automaton()
+    for keyword, numbers in rows.items():
+        found.add_word(keyword, numbers)
+    found.make_automaton()
+    return found, always
+
+
+def match_topics(items: DataFrame, topics: DataFrame, threshold: float = 0.3, block: int = BLOCK_CHARACTERS) -> DataFrame:
     """(content_id, topic_id, relevance): keywords inside title and content; early keywords weigh more; three hits or more add a
-    fifth. Topics are a stated query set that all items meet in blocks: a block is a literal in a projection over the items, so
-    nothing is joined or broadcast, and a row leaves only the topics that it matches."""
-    kind = dict(topics.dtypes)["topic_id"]
-    text = F.lower(F.concat_ws(" ", "title", "content"))
+    fifth. A text is gone through once for all keywords of a block, about a hundred thousand of them, by an automaton that tasks
+    build from the broadcast block; only more keywords than a block holds take another scan. A row leaves only the topics that it matches."""
+    kind, id_kind = dict(topics.dtypes)["topic_id"], dict(items.dtypes)["id"]
+    rows = items.select(F.col("id").alias("content_id"), F.lower(F.concat_ws(" ", "title", "content")).alias("text"))
     out = None
-    for part in _topic_blocks(topics, block):
-        rows = items.select(F.col("id").alias("content_id"), text.alias("text"))
-        word = lambda w: F.struct(F.lit(int(w[0])).alias("pos"), F.lit(w[1]).alias("keyword"))
-        table = F.array(*(F.struct(F.lit(t).cast(kind).alias("topic_id"), F.array(*map(word, ws)).alias("words")) for t, ws in part))
-
-        def judged(t: Column) -> Column:
-            hits = F.filter(t["words"], lambda w: F.col("text").contains(w["keyword"]))
-            return F.struct(t["topic_id"].alias("topic_id"), F.size(hits).alias("hits"), F.size(t["words"]).alias("n"), F.aggregate(hits, F.lit(0.0), lambda a, w: a + F.greatest(F.lit(0.3), 1 - w["pos"] * F.lit(0.05))).alias("sum"))
-
-        found = rows.select("content_id", F.explode(F.filter(F.transform(table, judged), lambda t: t["hits"] > 0)).alias("t"))
-        score = F.least(F.lit(1.0), F.col("t.sum") / F.col("t.n"))
-        score = F.when(F.col("t.hits") >= 3, F.least(F.lit(1.0), score * 1.2)).otherwise(score)
-        found = found.select("content_id", F.col("t.topic_id").alias("topic_id"), F.round(score, 3).alias("relevance")).filter(F.col("relevance") > threshold)
+    for part in _keyword_blocks(topics, block):
+        sent = items.sparkSession.sparkContext.broadcast(part)
+
+        def run(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            known = sent.value
+            automaton, always = _automaton(known)
+            for frame in frames:
+                ids, names, hits, sizes, sums = [], [], [], [], []
+                for content, text in zip(frame["content_id"], frame["text"], strict=True):
+                    met = set(always)
+                    if len(automaton):
+                        for _, numbers in automaton.iter(text):
+                            met.update(numbers)
+                    by: dict[int, list[int]] = {}
+                    for i in sorted(met):
+                        by.setdefault(known[i][0], []).append(i)
+                    for topic, mine in by.items():
+                        total = 0.0
+                        for i in mine:  # in the order of the keywords
+                            total += max(0.3, 1 - known[i][1] * 0.05)
+                        ids.append(content)
+                        names.append(topic)
+                        hits.append(len(mine))
+                        sizes.append(known[mine[0]][2])
+                        sums.append(total)
+                yield pd.DataFrame({"content_id": ids, "topic_id": names, "hits": hits, "n": sizes, "sum": sums})
+
+        found = rows.mapInPandas(run, f"content_id {id_kind}, topic_id {kind}, hits long, n long, sum double")
+        score = F.least(F.lit(1.0), F.col("sum") / F.col("n"))
+        score = F.when(F.col("hits") >= 3, F.least(F.lit(1.0), score * 1.2)).otherwise(score)
+        found = found.select("content_id", "topic_id", F.round(score, 3).alias("relevance")).filter(F.col("relevance") > threshold)
         out = found if out is None else out.unionByName(found)
     if out is None:
         return items.limit(0).select(F.col("id").alias("content_id"), F.lit(None).cast(kind).alias("topic_id"), F.lit(0.0).alias("relevance"))

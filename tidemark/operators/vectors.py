@@ -3,13 +3,24 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from .items import ago
+from .store import settled
+
+#: Cells of the index of vectors at most (each pivot is broadcast: 8 MB of 64 numbers), and cells that an item asks by default.
+MOST_CELLS = 1 << 15
+MOST_PROBES = 64
+#: Clusters whose sums a task holds at once.
+HELD_CLUSTERS = 20_000
+#: Vectors that meet all pivots at once in a task.
+CELL_ROWS = 512
 
 
 def _unit(v: Column) -> Column:
@@ -17,11 +28,33 @@ def _unit(v: Column) -> Column:
 
 
 def centroids(members: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """(event_cluster_id, members, centroid): the normalised mean of the members' vectors. Partial sums by (cluster, place)."""
-    rows = members.join(embeddings, members["content_item_id"] == embeddings["content_id"])
-    flat = rows.select("event_cluster_id", F.posexplode("embedding").alias("pos", "x"))
-    mean = flat.groupBy("event_cluster_id", "pos").agg(F.avg(F.col("x").cast("double")).alias("m"), F.count(F.lit(1)).alias("n"))
-    whole = mean.groupBy("event_cluster_id").agg(F.max("n").alias("members"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("v"))
+    """(event_cluster_id, members, centroid): the normalised mean of the members' vectors. Tasks add up the vectors of each cluster they
+    meet; only those sums are shuffled."""
+    kind = members.schema["event_cluster_id"].dataType.simpleString()
+    rows = members.join(embeddings, members["content_item_id"] == embeddings["content_id"]).filter("embedding is not null").select("event_cluster_id", F.col("embedding").cast("array<double>").alias("v"))
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+
+        def out() -> pd.DataFrame:
+            found = pd.DataFrame({"event_cluster_id": list(held), "n": [n for n, _ in held.values()], "v": [v for _, v in held.values()]})
+            held.clear()
+            return found
+
+        for frame in frames:
+            for cluster, part in frame.groupby("event_cluster_id", dropna=False)["v"]:
+                total = np.sum(part.tolist(), axis=0)
+                n, v = held.get(cluster, (0, 0.0))
+                held[cluster] = (n + len(part), v + total)
+            if len(held) > HELD_CLUSTERS:
+                yield out()
+        if held:
+            yield out()
+
+    part = rows.mapInPandas(sums, f"event_cluster_id {kind}, n long, v array<double>")
+    # few rows a cluster now: added up place by place
+    flat = part.select("event_cluster_id", "n", F.posexplode("v").alias("pos", "x")).groupBy("event_cluster_id", "pos").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+    whole = flat.groupBy("event_cluster_id").agg(F.max("n").alias("members"), F.transform(F.array_sort(F.collect_list(F.struct("pos", (F.col("x") / F.col("n")).alias("m")))), lambda s: s["m"]).alias("v"))
     return whole.select("event_cluster_id", "members", _unit(F.col("v")).alias("centroid"))
 
 
@@ -36,55 +69,95 @@ def update_centroids(now: DataFrame, added: DataFrame, embeddings: DataFrame) ->
     return both.select("event_cluster_id", total.alias("total"), out.alias("v")).select("event_cluster_id", F.col("total").alias("members"), _unit(F.col("v")).alias("centroid"))
 
 
-def sign_buckets(vector: Column, dimensions: int, tables: int = 8, bits: int = 10, seed: int = 1) -> Column:
-    """One bucket for each table: the signs of fixed random projections."""
-    planes = np.random.default_rng(seed).standard_normal((tables, bits, dimensions)).round(4)
-    one = lambda p: F.when(X.dot(vector, F.array(*(F.lit(float(x)) for x in p))) > 0, F.lit(1)).otherwise(F.lit(0))
-    keys = []
-    for t in range(tables):
-        code = F.lit(t).cast("long")
-        for b in range(bits):
-            code = code * 2 + one(planes[t, b])
-        keys.append(code)
-    return F.array(*keys)
+def _pivots(vectors: DataFrame, n: int) -> np.ndarray:
+    """n vectors picked by the hash of their content, as unit rows."""
+    rows = vectors.select("v", F.xxhash64("v").alias("_h")).distinct().orderBy("_h").limit(n).select("v").toPandas()
+    m = np.array(rows["v"].tolist(), np.float64).reshape(len(rows), -1)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
+
+
+def _cells(vectors: DataFrame, pivots: np.ndarray, probes: int | None, reach: np.ndarray | None = None) -> DataFrame:
+    """(v_id, cell, angle): the `probes` nearest pivots of each vector, or all whose angle is within the pivot's reach. The pivots go to
+    all tasks: at most MOST_CELLS of them."""
+    sent = vectors.sparkSession.sparkContext.broadcast((pivots, reach))
+    k = len(pivots) if probes is None else min(probes, len(pivots))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        centres, most = sent.value
+        for frame in frames:
+            for at in range(0, len(frame), CELL_ROWS):
+                part = frame.iloc[at : at + CELL_ROWS]
+                v = np.array(part["v"].tolist(), np.float64)
+                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)
+                angle = np.arccos(np.clip(v @ centres.T, -1, 1))
+                if most is not None:
+                    row, cell = np.nonzero(angle <= most)
+                else:
+                    near = np.argsort(angle, axis=1, kind="stable")[:, :k]
+                    row, cell = np.repeat(np.arange(len(part)), k), near.reshape(-1)
+                yield pd.DataFrame({"v_id": part["v_id"].to_numpy()[row], "cell": cell.astype(np.int32), "angle": angle[row, cell]})
+
+    return vectors.select("v_id", "v").mapInPandas(run, "v_id long, cell int, angle double")
+
+
+def index_size(rows: int, probes: int | None = None) -> tuple[int, int]:
+    """(cells, probes) of an index over so many rows: their square root, and half of the cells (12 at least, MOST_PROBES at most), from where on the pairs
+    met grow as the power 1.5."""
+    cells = max(1, min(MOST_CELLS, math.isqrt(max(rows, 1))))
+    return cells, min(cells, probes or min(MOST_PROBES, max(12, cells // 2)))
+
+
+def _nearest(items: DataFrame, embeddings: DataFrame, as_of: str, threshold: float, days: float, cells: int | None, probes: int | None) -> DataFrame:
+    """(id, match, score) by cells of pivots. With cells given the answer is exact: angles obey the triangle inequality, so a candidate whose
+    angle to its pivot differs from the item's by more than the threshold's angle can't reach the threshold, nor can
+    a cell that lies farther off as a whole."""
+    vec = embeddings.join(items.select(F.col("id").alias("content_id"), "processed", "published_at"), "content_id").filter("embedding is not null")
+    vec = settled(vec.select("content_id", F.col("embedding").cast("array<double>").alias("v"), (F.col("processed") & (F.col("published_at") >= ago(as_of, days))).alias("_ready")), "vectors")
+    # equal vectors are one row of the index: (v_id, v, first, second), the last two the smallest ids of its candidates
+    ready = F.when(F.col("_ready"), F.col("content_id"))
+    whole = vec.groupBy("v").agg(F.min("content_id").alias("v_id"), F.min(ready).alias("first"))
+    later = vec.filter("_ready").join(whole.select(F.col("v").alias("w"), "first"), F.col("v") == F.col("w")).filter(F.col("content_id") > F.col("first"))
+    distinct = settled(whole.join(later.groupBy("v").agg(F.min("content_id").alias("second")), "v", "left").select("v_id", "v", "first", "second"), "different-vectors")
+    candidates = distinct.filter("first is not null")
+    exact = cells is not None
+    if not exact:
+        cells, probes = index_size(candidates.count(), probes)
+    pivots = _pivots(candidates, cells)
+    if not len(pivots):
+        return vec.limit(0).select(F.col("content_id").alias("id"), F.col("content_id").alias("match"), F.lit(0.0).alias("score"))
+    placed = settled(_cells(candidates, pivots, 1), "cells")
+    inside = placed.join(candidates, "v_id").select("cell", F.col("angle").alias("angle_b"), F.col("v").alias("b"), "first", "second")
+    # similarity is (a . b + 1) / 2, so vectors of another length than 1 reach a threshold at other angles: the greatest lengths bound them
+    top = distinct.agg(F.max(X.dot(F.col("v"), F.col("v"))).alias("all"), F.max(F.when(F.col("first").isNotNull(), X.dot(F.col("v"), F.col("v")))).alias("candidates")).first()
+    least, most = 2 * threshold - 1, math.sqrt(top["all"] * top["candidates"])
+    limit, reach = (math.acos(min(1.0, least / most)) + 1e-6 if 0 < least and most > 0 else math.pi), None
+    if exact:
+        reach = np.full(len(pivots), -1.0)  # cells without candidates
+        for cell, angle in placed.groupBy("cell").agg(F.max("angle")).collect():  # one number a cell
+            reach[cell] = angle + limit
+    asked = _cells(distinct, pivots, probes, reach).join(distinct.select("v_id", F.col("v").alias("a")), "v_id")
+    pairs = asked.join(inside, "cell").filter(F.abs(F.col("angle") - F.col("angle_b")) <= limit)
+    pairs = pairs.withColumn("score", X.sim01(F.col("a"), F.col("b"))).filter(F.col("score") >= threshold)
+    # the two best (score, least id) suffice: only one of them can be the item itself
+    found = pairs.select("v_id", "score", F.explode(F.array_compact(F.array("first", "second"))).alias("match"))
+    order = Window.partitionBy("v_id").orderBy(F.desc("score"), "match")
+    best = found.withColumn("_n", F.row_number().over(order)).filter("_n <= 2").groupBy("v_id").agg(F.sort_array(F.collect_list(F.struct("_n", "score", "match"))).alias("best"))
+    own = vec.join(distinct.select("v", "v_id"), "v").select(F.col("content_id").alias("id"), "v_id")
+    other = F.get(F.filter("best", lambda x: x["match"] != F.col("id")), F.lit(0))
+    return own.join(best, "v_id").select("id", other.alias("o")).filter("o is not null").select("id", F.col("o.match").alias("match"), F.col("o.score").alias("score"))
+
+
+def nearest_processed(items: DataFrame, embeddings: DataFrame, as_of: str, threshold: float = 0.85, days: float = 7, cells: int = 64) -> DataFrame:
+    """(id, match, score): each embedded item's nearest other processed item of the last days, if its similarity (from 0 to 1)
+    reaches the threshold. Exact: pivots' bounds leave out what can't reach it. How much that is depends on the data; a
+    threshold as low as 0.6 (an angle of 78 degrees) leaves out little, and then every pair is met once, cell by cell."""
+    return _nearest(items, embeddings, as_of, threshold, days, cells, None)
 
 
-def nearest_processed(items: DataFrame, embeddings: DataFrame, as_of: str, threshold: float = 0.85, days: int = 7, blocks: int = 16) -> DataFrame:
-    """(id, match, score): each embedded item's nearest other processed item of the last days, if its similarity (from 0 to 1)
-    reaches the threshold. Exact, in blocks: every query block meets every block of candidates once, by equi-join on the
-    block pair, so neither side is broadcast and no task holds more than a pair of blocks."""
-    vec = embeddings.join(items.select(F.col("id").alias("content_id"), "processed", "published_at"), "content_id")
-    own = F.pmod(F.xxhash64("content_id"), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    q = vec.select(F.col("content_id").alias("id"), F.col("embedding").alias("a"), own.alias("bq"), every.alias("bc"))
-    c = vec.filter(F.col("processed") & (F.col("published_at") >= ago(as_of, days))).select(F.col("content_id").alias("match"), F.col("embedding").alias("b"), own.alias("bc"), every.alias("bq"))
-    pairs = q.join(c, ["bq", "bc"]).filter("id <> match").withColumn("score", X.sim01(F.col("a"), F.col("b"))).filter(F.col("score") >= threshold)
-    return pairs.groupBy("id").agg(F.max(F.struct("score", (-F.col("match")).alias("m"))).alias("r")).select("id", (-F.col("r.m")).alias("match"), F.col("r.score").alias("score"))
-
-
-def tables_and_bits(threshold: float, recall: float, most: int = 24) -> tuple[int, int]:
-    """The most bits (10 at most) with which up to `most` tables give a pair at the threshold a common bucket with probability `recall`, and the tables."""
-    same = 1 - math.acos(max(-1.0, min(1.0, 2 * threshold - 1))) / math.pi  # a plane leaves such a pair on one side
-    if same >= 1:
-        return 1, 10
-    for bits in range(10, 0, -1):
-        tables = math.ceil(math.log(1 - recall) / math.log(1 - same**bits)) if same > 0 else most
-        if tables <= most or bits == 1:
-            return tables, bits
-
-
-def nearest_approximate(items: DataFrame, embeddings: DataFrame, as_of: str, dimensions: int, threshold: float = 0.85, days: int = 7, recall: float = 0.96) -> DataFrame:
-    """The same over sign buckets: pairs that share a bucket in some table, then scored exactly. Pairs at the threshold are
-    met with probability `recall`, nearer ones with more."""
-    tables, bits = tables_and_bits(threshold, recall)
-    vec = embeddings.join(items.select(F.col("id").alias("content_id"), "processed", "published_at"), "content_id").withColumn("keys", sign_buckets(F.col("embedding"), dimensions, tables, bits))
-    q = vec.select(F.col("content_id").alias("id"), F.explode("keys").alias("k"))
-    c = vec.filter(F.col("processed") & (F.col("published_at") >= ago(as_of, days))).select(F.col("content_id").alias("match"), F.explode("keys").alias("k"))
-    pairs = q.join(c, "k").filter("id <> match").select("id", "match").distinct()
-    e = embeddings.select("content_id", "embedding")
-    scored = pairs.join(e.withColumnsRenamed({"content_id": "id", "embedding": "a"}), "id").join(e.withColumnsRenamed({"content_id": "match", "embedding": "b"}), "match").withColumn("score", X.sim01(F.col("a"), F.col("b")))
-    best = scored.filter(F.col("score") >= threshold).groupBy("id").agg(F.max(F.struct("score", (-F.col("match")).alias("m"))).alias("r"))
-    return best.select("id", (-F.col("r.m")).alias("match"), F.col("r.score").alias("score"))
+def nearest_approximate(items: DataFrame, embeddings: DataFrame, as_of: str, threshold: float = 0.85, days: float = 7, probes: int | None = None) -> DataFrame:
+    """The same over an index of about as many cells as the square root of the candidates: an item meets those of its `probes` nearest
+    pivots and is scored there exactly. More probes find more, and all cells find everything."""
+    return _nearest(items, embeddings, as_of, threshold, days, None, probes)
 
 
 def embed(items: DataFrame, encoder=None, dimensions: int = 256) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from types import SimpleNamespace
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -48,6 +48,19 @@ AGO = lambda days: f"{TS(AS_OF)} - to_seconds({int(days * 86400)})"  # noqa: E73
 add("s03_read_table", lambda t: t.items.select("id", "source_type", "published_at", "importance_score"), "SELECT id, source_type, published_at, importance_score FROM items")
 add("s04_append_new", lambda t: ids(store.append_new(t.items.filter("id % 3 = 0"), t.items, ["source_type", "external_id"]), "external_id"),
     "WITH old AS (SELECT * FROM items WHERE id % 3 = 0), new AS (SELECT *, row_number() OVER (PARTITION BY source_type, external_id ORDER BY id) AS n FROM items) SELECT id, external_id FROM old UNION ALL SELECT id, external_id FROM new WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM old WHERE old.source_type = new.source_type AND old.external_id = new.external_id)")
+
+
+def _versioned(t: Tables) -> DataFrame:
+    """Two upserts and an append to a table of versions, one of them twice."""
+    kind = "external_id string, id long"
+    table = store.VersionedTable(t.spark, store.new_path(t.spark, "versioned"), ["external_id"], kind, 16)
+    for part in ("id % 3 <> 0", "id % 2 = 0", "id % 2 = 0"):
+        table.upsert(t.items.filter(part), "id")
+    table.append_new(t.items, "id")
+    return table.read()
+
+
+add("s05_versioned", _versioned, "SELECT external_id, coalesce(max(id) FILTER (WHERE id % 2 = 0), max(id) FILTER (WHERE id % 3 <> 0), min(id)) AS id FROM items GROUP BY 1")
 add("s05_upsert_all", lambda t: ids(store.upsert(t.items.filter("id % 3 <> 0"), t.items.filter("id % 2 = 0 or id % 3 = 0"), ["external_id"]), "external_id"),
     "WITH old AS (SELECT * FROM items WHERE id % 3 <> 0), new AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY external_id ORDER BY id DESC) AS n FROM items WHERE id % 2 = 0 OR id % 3 = 0) WHERE n = 1) SELECT id, external_id FROM old WHERE external_id NOT IN (SELECT external_id FROM new) UNION ALL SELECT id, external_id FROM new")
 add("s06_update_where", lambda t: ids(store.update_where(t.items, t.members.select(F.col("content_item_id").alias("id")), {"state": F.lit("read"), "delivered": F.lit(True)}), "state", "delivered"),
@@ -136,7 +149,7 @@ DOT = "list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBL
 add("j12_nearest_processed", lambda t: vectors.nearest_processed(t.items, t.content_embeddings, AS_OF, 0.6, 7).select("id", "match", F.round("score", 6).alias("score")),
     f"SELECT id, match, round(score, 6) AS score FROM (SELECT a.vec_id AS id, b.vec_id AS match, ({DOT} + 1) / 2 AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY ({DOT} + 1) / 2 DESC, b.vec_id) AS n FROM embeddings a JOIN items ia ON ia.id = a.vec_id JOIN embeddings b ON a.vec_id <> b.vec_id JOIN items ib ON ib.id = b.vec_id WHERE ib.processed AND ib.published_at >= {AGO(7)} AND ({DOT} + 1) / 2 >= 0.6) WHERE n = 1")
 
-add("j12_nearest_approximate", lambda t: vectors.nearest_approximate(t.items, t.content_embeddings, AS_OF, 64).select("id", "match", F.round("score", 6).alias("score")))
+add("j12_nearest_approximate", lambda t: vectors.nearest_approximate(t.items, t.content_embeddings, AS_OF, 0.6).select("id", "match", F.round("score", 6).alias("score")))
 
 
 def _chain(expr: str, chain: list[tuple[str, str]]) -> str:
@@ -252,8 +265,7 @@ HEADT = _chain("title", X.HEAD_STEPS)
 _cut = " ".join(f"WHEN strpos(x, '{s}') - 1 > 10 AND strpos(x, '{s}') - 1 < 50 THEN trim(substring(x, 1, strpos(x, '{s}')))" for s in ("。", "！", "？", ".", "!", "?", "，", ",", " - ", " | "))
 add("p10_rule_summary", lambda t: t.items.select("id", X.rule_summary(F.col("title")).alias("summary"), X.one_liner(F.col("title"), F.lit("AI")).alias("line")),
     f"SELECT id, CASE WHEN length(x) <= 50 THEN x {_cut} ELSE substring(x, 1, 47) || '...' END AS summary, 'AI动态：' || CASE WHEN length(x) <= 30 THEN x " + " ".join(f"WHEN contains(x, '{s}') THEN substring(trim(split_part(x, '{s}', 1)), 1, 30)" for s in ("：", ":", " - ", " | ")) + f" ELSE substring(x, 1, 30) || '...' END AS line FROM (SELECT id, {HEADT} AS x FROM items)")
-add("p11_hn_type", lambda t: t.items.select("id", X.hn_type(F.concat_ws(" ", F.when(F.col("source_type") == "hackernews", F.element_at(F.split(F.lit("Ask HN:,Show HN:,Tell HN:,Launch HN:"), ","), F.pmod(F.length("title"), F.lit(4)) + 1)), "title")).alias("kind")),
-    "SELECT id, CASE WHEN source_type = 'hackernews' THEN (['ask', 'show', 'tell', 'launch'])[length(title) % 4 + 1] END AS kind FROM items")
+add("p11_hn_type", lambda t: t.items.select("id", X.hn_type(F.col("title")).alias("kind")), "SELECT id, nullif(regexp_extract(lower(title), '^(ask|show|tell|launch) hn', 1), '') AS kind FROM items")
 add("p12_normalize_title", lambda t: t.items.select("id", X.normalize_title(F.col("title")).alias("title")), f"SELECT id, {NORM} AS title FROM items")
 add("p13_entities", lambda t: t.items.select("id", F.array_join(X.entities(F.concat_ws(" ", "title", "content"), WORDS), ",").alias("names")), f"SELECT id, array_to_string({ENT}, ',') AS names FROM items")
 _join = lambda c: F.array_join(F.array_sort(c), ",")
@@ -449,46 +461,53 @@ ORACLE_X5 = "SELECT call_type, count(*) AS calls, count(*) FILTER (WHERE cached)
 add("x05_usage_totals", lambda t: jobs.usage_stream(t.usage), ORACLE_X5)
 
 
-# -- the same on streams: events as files that a stream finds, read until there are no more
-def _stream(t: Tables, name: str = "events") -> DataFrame:
-    return t.spark.readStream.schema(getattr(t, name).schema).parquet(f"{t.dir}/{name}.parquet*")
-
-
-def _event_stream(t: Tables) -> DataFrame:
-    return _stream(t).withColumn("ts", F.col("ts").cast("timestamp"))
-
-
+# -- the same on streams: rows as files that a stream finds, batch by batch
 def _usage_of(stream: DataFrame) -> DataFrame:
     return stream.selectExpr("event_type AS call_type", "ts AS timestamp", "user_id % 3 = 0 AS cached", "cast(floor(value) AS long) AS input_tokens", "event_id % 500 AS output_tokens", "event_type <> 'error' AS success")
 
 
-def _ingested(t: Tables) -> DataFrame:
-    """Events appended above each user's cursor, batch by batch."""
-    path = store.new_path(t.spark, "ingest")
-    write = jobs.ingest_batch(f"{path}/rows", f"{path}/cursors", "user_id", "event_id")
-    _stream(t).writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.parquet(f"{path}/rows").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last"))
-
-
-def _hits(t: Tables) -> DataFrame:
-    with jobs.rocksdb(t.spark):
-        return jobs.run_once(jobs.ttl_cache_stream(_stream(t).select("user_id", "event_id"), "user_id", 3_600_000), "append", "ttl", single=True).groupBy("key").agg(F.sum(F.col("hits") + F.col("misses")).alias("seen"), F.max(F.col("misses") > 0).alias("missed"))
-
-
 #: The days that part the items into the batches of a stream.
 CUTS = ("2024-01-11 00:00:00", "2024-01-21 00:00:00")
 
 
-def _in_batches(t: Tables, rows: DataFrame, at: str, name: str, files: int = 4) -> tuple[DataFrame, str]:
-    """rows as a stream whose batches are the spans between CUTS: each is written as so many files, which one trigger takes. The folder is for the stream's own state."""
+def _in_batches(t: Tables, rows: DataFrame, at: str, name: str, files: int = 4, late: Column | None = None, again: bool = False) -> tuple[DataFrame, str]:
+    """rows as a stream whose batches are the spans between CUTS: each is written as so many files, which one trigger takes. late moves rows to
+    so many batches after their own; again brings a span's rows with the next batch, too. The folder is for the stream's own state."""
     path = store.new_path(t.spark, name)
     place = sum((F.when(F.col(at) >= F.lit(c).cast("timestamp_ntz"), 1).otherwise(0) for c in CUTS), F.lit(0))
+    place = place if late is None else F.least(place + late, F.lit(len(CUTS)))
     for k in range(len(CUTS) + 1):
-        rows.filter(place == k).repartition(files).write.parquet(f"{path}/in/part={k}")
+        rows.filter((place == k) | (place == k - 1) if again else place == k).repartition(files).write.parquet(f"{path}/in/part={k}")
     stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/in/part=*")
     return stream, path
 
 
+#: Events by batch: every 50th comes with the batch after its own, every 50th but one with the third.
+LATE = "CASE event_id % 50 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END"
+PART = " + ".join(f"CASE WHEN ts >= {TS(c)} THEN 1 ELSE 0 END" for c in CUTS)
+BATCHED = f"(SELECT *, least({PART} + {LATE}, 2) AS bn FROM events)"
+
+
+def _late_events(t: Tables, name: str) -> tuple[DataFrame, str]:
+    stream, path = _in_batches(t, t.events, "ts", name, late=F.expr(LATE))
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")), path
+
+
+def _ingested(t: Tables) -> DataFrame:
+    """Files that overlap: each batch brings the events of the one before it once more. Only what is beyond a user's cursor arrives."""
+    stream, path = _in_batches(t, t.events, "ts", "ingest", again=True)
+    write = jobs.ingest_batch(f"{path}/rows", f"{path}/cursors", "user_id", "event_id")
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(f"{path}/rows").select("event_id", "user_id", F.col("n").alias("batch"))
+
+
+def _cached(t: Tables) -> DataFrame:
+    stream, _ = _in_batches(t, t.events, "ts", "ttl")
+    rows = stream.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("answer", F.concat(F.col("event_type"), F.lit(":"), F.col("event_id")))
+    with jobs.rocksdb(t.spark):
+        return jobs.run_once(jobs.ttl_cache_stream(rows, "user_id", "ts", "answer", 86_400_000, "event_id"), "append", "ttl").select(F.col("key").alias("user_id"), F.col("id").alias("event_id"), "hit", "value")
+
+
 def _lasting(t: Tables) -> DataFrame:
     """Items come in three batches and join clusters that earlier batches have left, or each other."""
     stream, path = _in_batches(t, t.items, "published_at", "clustered")
@@ -523,12 +542,22 @@ def _lasting_sql() -> str:
     return f"WITH RECURSIVE {', '.join(parts)} SELECT m.id, m.cluster, CAST(m.score AS DOUBLE) AS score, m.role, m.batch, c.event_title, c.last_updated_at, CAST(c.article_count AS BIGINT) AS article_count FROM ({members}) m LEFT JOIN {known} c ON c.id = m.cluster"
 
 
-add("x01_ingest_stream", _ingested, "SELECT user_id, count(*) AS n, max(event_id) AS last FROM events GROUP BY 1")
-add("x02_dedup_stream", lambda t: jobs.run_once(jobs.dedup_stream(_event_stream(t), ["user_id", "event_type"], "ts", "3650 days").select("user_id", "event_type"), "append", "dedup"), "SELECT DISTINCT user_id, event_type FROM events")
-add("x03_windowed_counts_stream", lambda t: _wall(jobs.run_once(jobs.windowed_counts(_event_stream(t), "ts", "event_type", "1 day"), "complete", "windows")), "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
-add("x04_trend_alerts_stream", lambda t: _wall(jobs.run_once(jobs.trend_alerts(_event_stream(t), "ts", "event_type", "1 hour"), "complete", "alerts")), ALERTS)
-add("x05_usage_stream", lambda t: jobs.run_once(jobs.usage_stream(_usage_of(_stream(t))), "complete", "usage"), ORACLE_X5)
-add("x06_ttl_cache_stream", _hits, "SELECT user_id AS key, count(*) AS seen, true AS missed FROM events GROUP BY 1")
+INGESTED = f"WITH b AS (SELECT event_id, user_id, {PART} AS bn FROM events UNION ALL SELECT event_id, user_id, {PART} + 1 FROM events WHERE ts < {TS(CUTS[-1])}) SELECT event_id, user_id, CAST(bn AS INTEGER) AS batch FROM (SELECT *, max(event_id) OVER (PARTITION BY user_id ORDER BY bn RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM b) WHERE last IS NULL OR event_id > last"
+add("x01_ingest_stream", _ingested, INGESTED)
+add("x02_dedup_stream", lambda t: jobs.run_once(jobs.dedup_stream(_late_events(t, "dedup-in")[0], ["user_id", "event_type"], "ts", "3650 days").select("user_id", "event_type"), "append", "dedup"), "SELECT DISTINCT user_id, event_type FROM events")
+# in append mode a window ends with the watermark: a row counts unless its window had ended two batches before, and windows that are open at the end don't show
+WM = "(SELECT max(ts) FROM x WHERE bn <= {0}) - INTERVAL 1 HOUR"
+DAYS = f"WITH x AS {BATCHED} SELECT * FROM (SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM x WHERE bn < 2 OR date_trunc('day', ts) + INTERVAL 1 DAY > {WM.format(0)} GROUP BY 1, 2) WHERE start + INTERVAL 1 DAY <= {WM.format(2)}"
+add("x03_windowed_counts_stream", lambda t: _wall(jobs.run_once(jobs.windowed_counts(_late_events(t, "windows-in")[0], "ts", "event_type", "1 day"), "append", "windows")), DAYS)
+LATE_ALERTS = f"""WITH x AS {BATCHED}, d AS (SELECT event_type, date_trunc('hour', ts) AS own, bn, unnest([date_trunc('hour', ts), date_trunc('hour', ts) + INTERVAL 1 HOUR]) AS start FROM x),
+c AS (SELECT start, event_type, count(*) FILTER (WHERE own = start) AS n, count(*) FILTER (WHERE own < start) AS previous FROM d WHERE bn < 2 OR start + INTERVAL 1 HOUR > {WM.format(0)} GROUP BY 1, 2)
+SELECT start, event_type, n, previous FROM c WHERE n >= 3 AND n >= greatest(previous, 1) * 3 AND start + INTERVAL 1 HOUR <= {WM.format(2)}"""
+add("x04_trend_alerts_stream", lambda t: _wall(jobs.run_once(jobs.trend_alerts(_late_events(t, "alerts-in")[0], "ts", "event_type", "1 hour"), "append", "alerts")), LATE_ALERTS)
+add("x05_usage_stream", lambda t: jobs.run_once(jobs.usage_stream(_usage_of(_late_events(t, "usage-in")[0])), "update", "usage", ["call_type"]), ORACLE_X5)
+add("x06_ttl_cache_stream", _cached, """WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, event_id, epoch_ms(ts) AS tm, event_type || ':' || event_id AS answer, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS k FROM events),
+r AS (SELECT user_id, event_id, k, false AS hit, answer AS value, tm + 86400000 AS ends FROM e WHERE k = 1
+ UNION ALL SELECT e.user_id, e.event_id, e.k, e.tm < r.ends, CASE WHEN e.tm < r.ends THEN r.value ELSE e.answer END, CASE WHEN e.tm < r.ends THEN r.ends ELSE e.tm + 86400000 END FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+SELECT user_id, event_id, hit, value FROM r""")
 add("x07_cluster_stream", _lasting, _lasting_sql())
 
 # -- checks

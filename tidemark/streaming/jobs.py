@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,39 +27,40 @@ def windowed_counts(stream: DataFrame, at: str, key: str, window: str, slide: st
 
 
 def trend_alerts(rows: DataFrame, at: str, key: str, window: str, ratio: float = 3.0, least: int = 3, watermark: str = "1 hour") -> DataFrame:
-    """(start, key, n, previous): windows whose count is `ratio` times that of the window just before (none counts as one). A row counts
-    in its own window and once more, as a previous one, in the next, so one aggregation gives both, on batches and on streams."""
-    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    here = F.struct(F.col(at).alias("t"), one.alias("n"), none.alias("p"))
-    after = F.struct((F.col(at) + F.expr(f"INTERVAL {window}")).alias("t"), none.alias("n"), one.alias("p"))
-    both = rows.select(key, F.explode(F.array(here, after)).alias("x")).select(key, F.col("x.t").alias("t"), "x.n", "x.p")
-    both = both.withWatermark("t", watermark) if rows.isStreaming else both
-    counts = both.groupBy(F.window("t", window).alias("w"), key).agg(F.sum("n").alias("n"), F.sum("p").alias("previous"))
+    """(start, key, n, previous): windows whose count is `ratio` times that of the window just before (none counts as one). One aggregation
+    over windows of double length that begin at each window before gives both counts, on batches and on streams, and rows
+    may come late by the watermark after the later window's end."""
+    number, unit = re.fullmatch(r"\s*(\d+)\s+(\w+)\s*", window).groups()
+    rows = rows.withWatermark(at, watermark) if rows.isStreaming else rows
+    middle = F.col("w.start") + F.expr(f"INTERVAL {number} {unit}")
+    both = rows.select(key, F.col(at).alias("t"), F.window(at, f"{2 * int(number)} {unit}", window).alias("w")).groupBy("w", key)
+    counts = both.agg(F.count_if(F.col("t") >= middle).alias("n"), F.count_if(F.col("t") < middle).alias("previous"))
     hit = (F.col("n") >= least) & (F.col("n") >= F.greatest("previous", F.lit(1)) * ratio)
-    return counts.filter(hit).select(F.col("w.start").alias("start"), key, "n", "previous")
+    return counts.filter(hit).select(middle.alias("start"), key, "n", "previous")
 
 
-def run_once(stream: DataFrame, mode: str, name: str, single: bool = False) -> DataFrame:
-    """What a stream over the data that is there now leaves: the last batch's table in complete mode, else the rows of all batches.
-    Every batch is written under its number, so a repeated batch has no second effect. single: all data in one batch, for state with
-    times to live, which else goes on with empty batches for ever."""
+def run_once(stream: DataFrame, mode: str, name: str, keys: list[str] | None = None) -> DataFrame:
+    """What a stream over the data that is there now leaves: the rows of all batches in append mode, each key's last row in update mode,
+    the last batch's table in complete mode. Every batch is written under its number, so a repeated batch has no second effect."""
     spark = stream.sparkSession
     path = store.new_path(spark, name)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/out/batch_number={number}")
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/state")
-    query = (query.trigger(once=True) if single else query.trigger(availableNow=True)).start()
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     out = spark.read.parquet(f"{path}/out")
     if mode == "complete":
         out = out.filter(F.col("batch_number") == out.agg(F.max("batch_number")).first()[0])
+    if mode == "update":
+        rest = [c for c in stream.columns if c not in keys]
+        out = out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_number").alias("_r")).select(*keys, "_r.*").select(*stream.columns)
     return out.drop("batch_number")
 
 
 def usage_stream(stream: DataFrame) -> DataFrame:
-    """Running totals by call type (update mode)."""
+    """Running totals by call type, for update mode: state and each batch's rows are the call types, and only those that changed are sent on."""
     return stats.usage_by_type(stream, "1970-01-01 00:00:00")
 
 
@@ -80,28 +82,49 @@ def ingest_batch(target: str, cursors: str, key: str, position: str):
 
 
 class TtlCache(StatefulProcessor):
-    """First sight of a key computes; repeats are hits until the time to live is over."""
+    """A value for each key that holds for ttl_ms from the event that computed it. An event before its end is a hit and gets the
+    value; any other computes anew. When the watermark passes the end, a timer removes the row."""
 
     def __init__(self, ttl_ms: int):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "n long", self.ttl_ms)
+        self.handle = handle
+        self.cached = handle.getValueState("cached", "value string, ends long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        had = self.seen.exists()
-        n = sum(len(r) for r in rows)
-        if not had:
-            self.seen.update((n,))
-        yield pd.DataFrame({"key": [key[0]], "misses": [0 if had else 1], "hits": [n if had else n - 1]})
+        # a batch's events of a key in order of time
+        frame = pd.concat(list(rows)).sort_values(["at", "id"], kind="stable")
+        value, ends = self.cached.get() if self.cached.exists() else (None, None)
+        before, hits, values = ends, [], []
+        for at, fresh in zip(frame["at"], frame["value"], strict=True):
+            hit = ends is not None and at < ends
+            if not hit:
+                value, ends = (None if pd.isna(fresh) else fresh), int(at) + self.ttl_ms
+            hits.append(hit)
+            values.append(value)
+        if ends != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.cached.update((value, ends))
+            self.handle.registerTimer(ends)
+        yield pd.DataFrame({"key": key[0], "id": frame["id"].to_numpy(), "hit": hits, "value": pd.Series(values, dtype="object")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.cached.exists() and self.cached.get()[1] <= expiredTimerInfo.getExpiryTimeInMs():
+            self.cached.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def ttl_cache_stream(stream: DataFrame, key: str, ttl_ms: int) -> DataFrame:
-    """(key, misses, hits) of each key and micro-batch. Needs the RocksDB state store (`rocksdb`)."""
-    return stream.groupBy(key).transformWithStateInPandas(TtlCache(ttl_ms), f"key {stream.schema[key].dataType.simpleString()}, misses long, hits long", "Append", "processingTime")
+def ttl_cache_stream(stream: DataFrame, key: str, at: str, value: str, ttl_ms: int, id: str = "id", watermark: str = "1 hour") -> DataFrame:
+    """(key, id, hit, value) of each event: value is what the cache answers, computed by the column `value` of the event that found nothing.
+    Time is the event's, and state ends with the watermark. Needs the RocksDB state store (`rocksdb`)."""
+    rows = stream.withWatermark(at, watermark).select(F.col(key).alias("key"), F.col(id).alias("id"), F.unix_millis(at).alias("at"), F.col(value).cast("string").alias("value"), at)
+    kind, own = stream.schema[key].dataType.simpleString(), stream.schema[id].dataType.simpleString()
+    return rows.groupBy("key").transformWithStateInPandas(TtlCache(ttl_ms), f"key {kind}, id {own}, hit boolean, value string", "Append", "eventTime")
 
 
 @contextlib.contextmanager
