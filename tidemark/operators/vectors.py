@@ -72,7 +72,9 @@ def update_centroids(now: DataFrame, added: DataFrame, embeddings: DataFrame) ->
 def _pivots(vectors: DataFrame, n: int) -> np.ndarray:
     """n vectors picked by the hash of their content, as unit rows."""
     rows = vectors.select("v", F.xxhash64("v").alias("_h")).distinct().orderBy("_h").limit(n).select("v").toPandas()
-    m = np.array(rows["v"].tolist(), np.float64).reshape(len(rows), -1)
+    if rows.empty:
+        return np.zeros((0, 0))
+    m = np.array(rows["v"].tolist(), np.float64)
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
 
 
