@@ -253,3 +253,12 @@ def test_intervals_hold_distances_and_spare_vectors(spark):
     again = file.fetched - first
     file.close()
     assert first == 500 and again < 100  # settled rows are told by their cells alone
+
+
+def test_scores_of_any_ids(spark):
+    from tidemark.llm import lm
+
+    rows = [("b7", "one two three one"), ("a1", "two two"), (None, "three"), ("a1", None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").withColumn("held_out", F.lit(False))
+    got = sorted(((r["doc_id"], r["n_tokens"]) for r in lm.score(docs, lm.train(docs)).collect()), key=str)
+    assert got == sorted([("b7", 5), ("a1", 3), (None, 2), ("a1", 1)], key=str)

@@ -112,12 +112,13 @@ def frequent_keys(docs: DataFrame, min_docs: int = 10, batches: int = 5) -> Data
     """(h, g) of the keys that stand in min_docs documents or more, by way of the runs."""
     counted = stored(batch_counts(docs, batches), "line-counts", ["batch"])
     runs = LineRuns(docs.sparkSession, min_docs)
-    for b in range(batches):
-        runs.add(counted.filter(F.col("batch") == b).select("h", "g", "n"))
-    out = stored(runs.frequent(), "frequent-lines")
-    runs.close()
-    discard(counted)
-    return out
+    try:
+        for b in range(batches):
+            runs.add(counted.filter(F.col("batch") == b).select("h", "g", "n"))
+        return stored(runs.frequent(), "frequent-lines")
+    finally:
+        runs.close()
+        discard(counted)
 
 
 def _drop_by_broadcast(docs: DataFrame, frequent: DataFrame) -> DataFrame:
