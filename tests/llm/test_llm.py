@@ -199,10 +199,61 @@ def test_minimisers_with_many_segments_go_by_windows(docs, rows):
 
 @pytest.mark.parametrize("crowded", [40, 1])
 def test_nothing_is_removed_without_the_index(docs, crowded):
-    blind = lambda contents, windows, ids, starts: np.zeros(int(windows.sum()), bool)
+    class Blind:
+        """An index that finds nothing."""
+
+        def __init__(self, contents, ids, starts):
+            assert len(set(contents)) == len(contents)
+
+        def early(self, windows):
+            return np.zeros(int(windows.sum()), bool)
+
+        def find(self, contents, ids, starts):
+            return np.zeros(len(contents), np.int64), np.full(len(contents), -1)
+
     for make, length, gram in ((repeats.word_units, 20, 6), (repeats.byte_units, 100, 32)):
         ids = docs.select(F.coalesce("doc_id", F.lit(-5)).alias("doc_id"), "text")
-        assert repeats.repeated_windows(ids, make, blind, length, gram, 1 << 20, crowded).count() == 0
+        assert repeats.repeated_windows(ids, make, Blind, length, gram, 1 << 20, crowded).count() == 0
+
+
+@pytest.mark.parametrize(("make", "shard", "length"), [(repeats.word_units, fmindex.Shard, 20), (repeats.byte_units, suffixes.Shard, 100)])
+def test_forged_hashes_remove_nothing(spark, make, shard, length):
+    word = lambda k, n=60: " ".join(f"{k}word{i:03}" for i in range(n))
+    texts = [(1, word("a")), (2, word("b")), (3, word("a")), (4, word("c", 10) + " " + word("a"))]
+    docs = spark.createDataFrame(texts, SCHEMA)
+    claims = [(repeats.LOOK, 7, 7, 1, 0, 5), (0, 7, 7, 2, 0, 5), (0, 7, 7, 3, 0, 5), (0, 7, 7, 4, 0, 5)]  # all begin with one segment, as forged hashes say
+    found = repeats.early_places(docs, spark.createDataFrame(claims, repeats._FOUND), make, shard, length, 1 << 20)
+    gone = {(r.doc_id, r.start + k) for r in found.collect() for k in range(r.windows)}
+    assert gone == {(3, k) for k in range(5)}
+    # the second look at doc 4's place finds what stands earlier in it, at another place than the claim says
+    claims[-1] = (0, 7, 7, 4, 8 if length == 20 else 8 * 9, 5 if length == 20 else 25)
+    found = repeats.early_places(docs, spark.createDataFrame(claims, repeats._FOUND), make, shard, length, 1 << 20)
+    gone = {(r.doc_id, r.start + k) for r in found.collect() for k in range(r.windows)}
+    tail = {(4, k) for k in range(10, 13)} if length == 20 else {(4, k) for k in range(90, 95)}
+    assert gone == {(3, k) for k in range(5)} | tail
+
+
+def test_common_segments_are_dealt_among_shards(docs, rows, monkeypatch):
+    monkeypatch.setattr(repeats, "SPREAD", 2)
+    want = [x[:3] for x in brute_removal(rows, 20, lambda t: t.encode().split(), b" ".join)]
+    assert sorted((none_first(r.doc_id), r.n_words, r.n_removed) for r in fmindex.dedup_substrings(docs, 500).collect()) == want
+
+
+@pytest.mark.parametrize("shard", [fmindex.Shard, suffixes.Shard])
+def test_lookups_in_a_shard(shard):
+    rng = random.Random(5)
+    text = lambda n: b" ".join(b"%03d" % rng.randrange(40) for _ in range(n))
+    heads = sorted({text(rng.randint(3, 6)) for _ in range(300)})
+    index = shard(heads, np.arange(300)[: len(heads)], np.zeros(len(heads), np.int64), 3)
+    asked = heads[::3] + [text(4) for _ in range(100)] + [h + b" 041" for h in heads[:50]]
+    ids, starts = index.find(asked, np.full(len(asked), 1000), np.arange(len(asked)))
+    for c, i, s in zip(asked, ids.tolist(), starts.tolist(), strict=True):
+        there = c in heads
+        if s < 0:
+            assert not there
+        else:
+            source = heads[i] if i < 1000 else asked[s]
+            assert c in source
 
 
 def test_ids_of_any_type(spark, docs, rows):

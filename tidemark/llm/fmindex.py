@@ -5,9 +5,11 @@ separators, are indexed by the words' ids: the Burrows-Wheeler transform in a wa
 every 64 of them, and one text position in RATE, from which the others follow by walking back. Nothing else is kept: no
 suffix array and no text.
 
-The shard's windows are streamed through backward search together, one word a step. The steps made before the matched part
-is alone in the shard are its matching statistic, up to the window's length; windows that reach the length are above the
-threshold, and are reported where the least position in their interval is before their own.
+The windows of the shard's own segments are streamed through backward search together, one word a step. The steps made
+before the matched part is alone in the shard are its matching statistic, up to the window's length; windows that reach the
+length are above the threshold, and are reported where the least position in their interval is before their own. Later places of
+a segment are streamed through the index whole, each with its own words: all their windows go where the statistic is the
+whole segment's length and the least position in the interval is an earlier place.
 
 Null texts have no words. Empty tables give no rows. Of repeated rows and equal texts the first (least doc_id) keeps its words; rows that
 share a doc_id are versions of one document (see repeats.py).
@@ -19,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .arrays import ranges, span_hash
+from .arrays import ranges
 from .repeats import CROWDED, TOGETHER, Units, remove_repeats, word_units
 
 WORDS, GRAM = 20, 6
@@ -64,7 +66,7 @@ class FMIndex:
     """Counts and positions of patterns in text (symbols 0..n-1; 0 separates and ends it)."""
 
     def __init__(self, text: np.ndarray, rate: int = RATE):
-        n = len(text)
+        n = self.size = len(text)
         self.symbols = int(text.max()) + 1 if n else 1
         order = suffix_order(text)
         bwt = text[order - 1]
@@ -135,6 +137,24 @@ class FMIndex:
             stat[alive] += 1
         return stat, low, high
 
+    def intervals(self, patterns: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The interval of each whole patterns[offs[i] : offs[i + 1]], empty where it doesn't stand in the text."""
+        size = np.diff(offs)
+        low, high = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+        alive = np.flatnonzero(size > 0)
+        high[alive] = self.size
+        for step in range(1, int(size.max(initial=0)) + 1):
+            going = alive[size[alive] >= step]
+            if not len(going):
+                break
+            symbol = patterns[offs[going + 1] - step]
+            known = symbol < self.symbols
+            low[going[~known]] = high[going[~known]] = 0
+            go, symbol = going[known], symbol[known]
+            low[go], high[go] = (self.first[symbol], self.first[symbol + 1]) if step == 1 else self.extend(symbol, low[go], high[go])
+            alive = alive[high[alive] > low[alive]]
+        return low, high
+
     def least_positions(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """The least text position in each interval; intervals are disjoint or equal."""
         lows, back = np.unique(low, return_inverse=True)
@@ -144,37 +164,55 @@ class FMIndex:
         return np.minimum.reduceat(at, np.cumsum(highs - lows) - (highs - lows))[back]
 
 
-def early_windows(contents: list[bytes], windows: np.ndarray, ids: np.ndarray, starts: np.ndarray, length: int = WORDS) -> np.ndarray:
-    """A flag for each window of the segments (in order of position): whether it starts earlier too."""
+class Shard:
+    """The FM-index of segments (contents in order of their places, all different) and what is looked up in it."""
+
+    def __init__(self, contents: list[bytes], ids: np.ndarray, starts: np.ndarray, length: int = WORDS):
+        words, offs = _words(contents)
+        self.known, symbol = np.unique(words, return_inverse=True)
+        sizes = np.diff(offs)
+        self.begin = offs[:-1] + np.arange(len(sizes))  # a separator follows each segment
+        self.text = np.zeros(len(symbol) + len(sizes), np.int64)
+        self.text[np.arange(len(symbol)) + np.repeat(np.arange(len(sizes)), sizes)] = symbol + 1
+        self.index, self.ids, self.starts, self.length = FMIndex(self.text), ids, starts, length
+
+    def _place(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        segment = np.searchsorted(self.begin, at, "right") - 1
+        return self.ids[segment], self.starts[segment] + at - self.begin[segment]
+
+    def early(self, windows: np.ndarray) -> np.ndarray:
+        """A flag for each window of the segments: whether it starts earlier too."""
+        segment = np.repeat(np.arange(len(windows)), windows)
+        at = ranges(self.begin, windows)
+        stat, low, high = self.index.matching_statistics(self.text, at, self.length)
+        out = np.zeros(len(at), bool)
+        which = np.flatnonzero(stat >= self.length)
+        if len(which):
+            least = self.index.least_positions(low[which], high[which])
+            (a, b), (c, d) = self._place(least), (self.ids[segment[which]], (self.starts[segment] + at - self.begin[segment])[which])
+            out[which] = (least < at[which]) & ~((a == c) & (b == d))
+        return out
+
+    def find(self, contents: list[bytes], ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(doc_id, start) of the first place where each whole content stands in the shard; start is -1 where there is none."""
+        words, offs = _words(contents)
+        symbol = np.minimum(np.searchsorted(self.known, words), len(self.known) - 1)
+        symbol = np.where(self.known[symbol] == words, symbol + 1, self.index.symbols)  # a word that the shard doesn't have
+        low, high = self.index.intervals(symbol, offs)
+        out_id, out_start = np.zeros(len(contents), np.int64), np.full(len(contents), -1, np.int64)
+        hit = np.flatnonzero(high > low)
+        if len(hit):
+            pairs, back = np.unique(low[hit] << 32 | high[hit], return_inverse=True)
+            a, b = pairs >> 32, pairs & 0xFFFFFFFF
+            at = self.index.positions(ranges(a, b - a))
+            least = np.minimum.reduceat(at, np.cumsum(b - a) - (b - a))
+            out_id[hit], out_start[hit] = (x[back] for x in self._place(least))
+        return out_id, out_start
+
+
+def _words(contents: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     u = word_units(pa.array(contents, pa.binary()))
-    words = span_hash(u.data, u.start, u.end, False)
-    symbol = np.unique(words, return_inverse=True)[1] + 1
-    sizes = np.diff(u.offs)
-    begin = u.offs[:-1] + np.arange(len(sizes))  # a separator follows each segment
-    text = np.zeros(len(symbol) + len(sizes), np.int64)
-    text[np.arange(len(symbol)) + np.repeat(np.arange(len(sizes)), sizes)] = symbol
-    index = FMIndex(text)
-    segment = np.repeat(np.arange(len(windows)), windows)
-    first: dict[bytes, int] = {}
-    own = np.array([first.setdefault(c, k) for k, c in enumerate(contents)], np.int64)  # equal contents are streamed once
-    offset = np.arange(len(segment)) - np.repeat(np.cumsum(windows) - windows, windows)
-    at = offset + begin[segment]
-    out = np.zeros(len(at), bool)
-    alone = np.flatnonzero(own[segment] == segment)
-    found = index.matching_statistics(text, at[alone], length)
-    place_of = np.zeros(len(at), np.int64)
-    place_of[alone] = np.arange(len(alone))
-    place_of = place_of[(np.cumsum(windows) - windows)[own[segment]] + offset]
-    stat, low, high = (x[place_of] for x in found)
-    which = np.flatnonzero(stat >= length)
-    if len(which):
-        least = index.least_positions(low[which], high[which])
-        source = np.searchsorted(begin, least, "right") - 1
-        mine = segment[which]
-        place = lambda seg, pos: starts[seg] + pos - begin[seg]
-        same = (ids[source] == ids[mine]) & (place(source, least) == place(mine, at[which]))
-        out[which] = (least < at[which]) & ~same
-    return out
+    return u.unit, u.offs
 
 
 def finish(u: Units, mask: np.ndarray, d: int) -> tuple[int, int, bytes]:
@@ -190,4 +228,4 @@ def finish(u: Units, mask: np.ndarray, d: int) -> tuple[int, int, bytes]:
 
 def dedup_substrings(docs: DataFrame, shard_bytes: int = SHARD_BYTES, crowded: int = CROWDED, together: int = TOGETHER) -> DataFrame:
     """doc_id, n_words, n_removed, kept (words that stay, joined by one space, as UTF-8)."""
-    return remove_repeats(docs, word_units, early_windows, WORDS, GRAM, shard_bytes, finish, "n_words long, n_removed long, kept binary", crowded, together)
+    return remove_repeats(docs, word_units, Shard, WORDS, GRAM, shard_bytes, finish, "n_words long, n_removed long, kept binary", crowded, together)

@@ -4,15 +4,19 @@ A window's minimiser is its k-unit gram of least hash, the leftmost of equals. C
 same minimiser are a segment. Equal windows have equal minimisers, so they meet when segments are dealt by the minimiser's hash.
 
 1. Segments travel as hashes, each different one (minimiser and content) once from a batch. Minimisers of one segment that
-   stands once are done with: none of their windows repeats. Only segments of one minimiser are compared, by 64-bit hashes of the content.
-2. The first of each different segment that is left is read again, dealt by minimiser, and put into shards of bounded size.
-   A shard's index (an FM-index or longest-previous-factor arrays) tells which windows start earlier. A segment that stands
-   several times is indexed twice; its later places go when the index finds the second copy's windows, and not otherwise.
-3. A minimiser that is crowded in some batch (many different segments, as at the edges of a very common passage), or that has more
+   stands once are done with: none of their windows repeats. The hashes only tell what has to be looked up and where.
+2. The first of each different segment of a minimiser that has several is read again, dealt by minimiser, and put into
+   shards of bounded size. A shard's index (an FM-index or longest-previous-factor arrays) tells which windows start earlier.
+3. Every later place of a segment is read again, too, and its own units are looked up in the index of a shard that holds the
+   segment's first place: its windows go where the index finds all of them together at an earlier place. A task sends equal
+   contents of a batch once, with their places. First places of common segments stand in several shards, among
+   which the later places are dealt. Places that the index doesn't find (segments of equal hashes and different contents) go
+   through step 2 window by window, with the segments of their minimisers.
+4. A minimiser that is crowded in some batch (many different segments, as at the edges of a very common passage), or that has more
    than TOGETHER different segments in all batches, is dealt by single windows instead, of which a batch sends only the
-   first: a shard holds its bytes and TOGETHER segments at most, or one window from each batch.
+   first and one more: a shard holds its bytes and TOGETHER segments at most, or the different windows of one hash.
 
-So every window that goes was found by an index. Later places meet the index's finds by a salted join on narrow rows.
+So every window that goes was found by an index that was given this window's own units.
 
 Positions are ordered by (doc_id, start). Rows that share a doc_id are versions of one document: what is found in one
 is removed from all of them at that place, and places that coincide never count as earlier. Null doc_ids come first.
@@ -37,15 +41,15 @@ CROWDED = 40
 TOGETHER = 8000
 #: Bytes of text that a task looks at together.
 SLICE = 3 << 19
-#: Parts that the later places of one segment are dealt into.
-SALTS = 8
-LAST_ID = 2**63 - 1
+#: Later places of one segment that are looked up in one shard, about.
+SPREAD = 4096
 
 
 @dataclass
 class Units:
-    """A batch of documents as units: their hash sums, where documents begin, and the bytes of each unit."""
+    """A batch of documents as units: the units (words as hashes), their hash sums, where documents begin, and the bytes of each unit."""
 
+    unit: np.ndarray
     sums: np.ndarray
     offs: np.ndarray
     start: np.ndarray
@@ -60,13 +64,13 @@ def word_units(column: pa.Array) -> Units:
     data, offs = text_parts(column)
     start, end, word_offs = word_spans(data, offs, ~SPACE)
     words = span_hash(data, start, end, False)
-    return Units(prefix_sums(words), word_offs, start, end, data)
+    return Units(words, prefix_sums(words), word_offs, start, end, data)
 
 
 def byte_units(column: pa.Array) -> Units:
     data, offs = text_parts(column)
     at = np.arange(len(data) + 1)
-    return Units(prefix_hash(data, False), offs, at[:-1], at[1:], data)
+    return Units(data, prefix_hash(data, False), offs, at[:-1], at[1:], data)
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -111,13 +115,15 @@ def _later(keys: tuple[np.ndarray, ...], ids: np.ndarray, start: np.ndarray) ->
 
 
 _POST = "bucket int, kind int, keys binary, hashes binary, ids binary, places binary, starts binary, windows binary"
-#: kind 0: later places of a segment; 1: segments to read; 2: the same of crowded minimisers; AGAIN more where it has later places.
+#: kind 0: later places of a segment. First places: 1: its windows are judged; 2: the same of crowded minimisers; LOOK more where it has later places.
 _FOUND = "kind int, key long, h long, doc_id long, start int, windows int"
-AGAIN = 2
-#: A segment's content under the key that deals it; later places have none.
-_SEGMENT = "lay long, key long, h long, doc_id long, start int, windows int, again boolean, content binary"
-#: kind 0: later places; 1: windows that start earlier; 2: segments whose windows the index found in their second copy.
-_EARLY = "kind int, key long, h long, doc_id long, start int, windows int"
+LOOK = 4
+#: What is read at a place, beside kinds 1 and 2: a segment to look others up in, and one to look up.
+SOUGHT_IN, SOUGHT = 3, 4
+#: A content of `windows` windows and its places, under what deals it. late: it is looked up only.
+_SEGMENT = "lay long, look boolean, late boolean, ids binary, starts binary, windows int, content binary"
+#: kind 0: places that the index didn't find; 1: windows that start earlier.
+_EARLY = "kind int, doc_id long, start int, windows int"
 _TYPES = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
 
 
@@ -177,7 +183,7 @@ def _write_posts(make: Callable, length: int, gram: int, buckets: int, crowded:
 
 
 def _found(kind, v, h, ids, start, windows) -> pa.RecordBatch:
-    return _batch([np.zeros(len(v), np.int32) + np.int32(kind), v.view(np.int64), h.view(np.int64), ids, start.astype(np.int32), windows.astype(np.int32)], _FOUND)
+    return _batch([(np.zeros(len(v), np.int64) + kind).astype(np.int32), v.view(np.int64), h.view(np.int64), ids, start.astype(np.int32), windows.astype(np.int32)], _FOUND)
 
 
 def _match_posts(together: int):
@@ -206,7 +212,8 @@ def _match_posts(together: int):
                     use = np.flatnonzero((size > 1) | again | hot)
                     if len(use):
                         at = head[use]
-                        yield _found(np.where(hot[use], 2, 1) + AGAIN * again[use], v[at], h[at], ids[at], start[at], windows[at])
+                        judge = np.where(hot, 2, size > 1)
+                        yield _found(judge[use] + LOOK * again[use], v[at], h[at], ids[at], start[at], windows[at])
 
         for batch in trimmed(batches):
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -224,45 +231,61 @@ def _match_posts(together: int):
     return run
 
 
+def _segment(lay: int, look: bool, late: bool, ids: list, starts: list, windows: int, content: bytes) -> tuple:
+    return lay, look, late, np.array(ids, np.int64).tobytes(), np.array(starts, np.int64).tobytes(), windows, content
+
+
+def _single_windows(u: Units, name: np.ndarray, a: np.ndarray, start: np.ndarray, length: int) -> list[tuple]:
+    """Windows at units `a`, dealt by their hashes: the first of each to be judged, and its equals of this batch to be looked up."""
+    key = range_hash(u.sums, a, a + length)
+    head, group, _ = _later((key,), name, start)
+    first = head[group]
+    same = np.ones(len(a), bool)
+    for k in range(length):
+        same &= u.unit[a + k] == u.unit[a[first] + k]
+    key = key.view(np.int64)
+    out = []
+    for i in np.flatnonzero((first == np.arange(len(a))) | ~same).tolist():
+        out.append(_segment(int(key[i]), False, False, [name[i]], [start[i]], 1, u.content(int(a[i]), int(a[i]) + length)))
+    again = np.flatnonzero(same & ((name != name[first]) | (start != start[first])))
+    again = again[np.argsort(first[again], kind="stable")]
+    cuts = np.flatnonzero(np.diff(first[again], prepend=-1, append=-1))
+    for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        i, f = int(again[x]), int(first[again[x]])
+        out.append(_segment(int(key[i]), True, False, [name[f]], [start[f]], 1, u.content(int(a[f]), int(a[f]) + length)))
+        out.append(_segment(int(key[i]), True, True, name[again[x:y]], start[again[x:y]], 1, u.content(int(a[i]), int(a[i]) + length)))
+    return out
+
+
 def _read_segments(make: Callable, length: int):
-    """Task: documents with the segments to read; their contents out (crowded ones window by window)."""
+    """Task: documents with the places to read; their contents out (crowded ones window by window)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in trimmed(batches):
             for b in slices(batch, most=SLICE):
                 u = make(b.column("text"))
-                ids = b.column("doc_id").to_pylist()
-                want = b.column("want")
-                sizes = np.diff(u.offs)
-                rows, hot = [], []
-                for d, todo in enumerate(want.to_pylist()):
-                    base = int(u.offs[d])
-                    for x in todo:
-                        if x["start"] + x["windows"] - 1 + length > sizes[d]:
-                            continue  # another version of the document
-                        again = x["kind"] > AGAIN
-                        crowded = x["kind"] - AGAIN * again == 2
-                        if again or not crowded:
-                            a = base + x["start"]
-                            lay = x["key"] ^ x["h"] if crowded else x["key"]
-                            rows.append((lay, x["key"], x["h"], ids[d], x["start"], x["windows"], again, u.content(a, a + x["windows"] - 1 + length)))
-                        if crowded:
-                            hot.append((d, x["start"], x["windows"]))
-                if hot:
-                    d, s, n = (np.array(x, np.int64) for x in zip(*hot, strict=True))
-                    start = ranges(s, n)
-                    doc = np.repeat(d, n)
-                    a = u.offs[doc] + start
-                    name = np.array(ids, np.int64)[doc]
-                    key = range_hash(u.sums, a, a + length)
-                    head, group, later = _later((key,), name, start)
-                    again = np.zeros(len(head), bool)
-                    again[group[later]] = True
-                    key = key.view(np.int64)
-                    if len(later):
-                        k = key[later]
-                        yield _batch([name[later] ^ start[later], k, k, name[later], start[later].astype(np.int32), np.ones(len(later), np.int32), np.zeros(len(later), bool), [None] * len(later)], _SEGMENT)
-                    rows += [(int(key[i]), int(key[i]), int(key[i]), int(name[i]), int(start[i]), 1, bool(x), u.content(int(a[i]), int(a[i]) + length)) for i, x in zip(head.tolist(), again.tolist(), strict=True)]
+                lists = b.column("want")
+                counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                role, lay, start, windows = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in lists.flatten().flatten())
+                doc = np.repeat(np.arange(b.num_rows), counts)
+                here = start + windows - 1 + length <= np.diff(u.offs)[doc]  # places beyond the end are another version's
+                role, lay, start, windows, doc = (x[here] for x in (role, lay, start, windows, doc))
+                name = b.column("doc_id").to_numpy()[doc]
+                a = u.offs[doc] + start
+                begin, end = u.start[a].tolist(), u.end[a + windows + (length - 2)].tolist()
+                data = memoryview(np.ascontiguousarray(u.data))
+                rows: list[tuple] = []
+                for i in np.flatnonzero((role == 1) | (role == SOUGHT_IN)).tolist():
+                    rows.append(_segment(int(lay[i]), bool(role[i] == SOUGHT_IN), False, [name[i]], [start[i]], int(windows[i]), bytes(data[begin[i] : end[i]])))
+                sought: dict[tuple[int, int, bytes], list[int]] = {}
+                for i, x, n in zip((at := np.flatnonzero(role == SOUGHT)).tolist(), lay[at].tolist(), windows[at].tolist(), strict=True):
+                    sought.setdefault((x, n, bytes(data[begin[i] : end[i]])), []).append(i)
+                rows += [_segment(x, True, True, name[at], start[at], n, content) for (x, n, content), at in sought.items()]
+                hot = np.flatnonzero(role == 2)
+                if len(hot):
+                    first = ranges(start[hot], windows[hot])
+                    from_doc = np.repeat(doc[hot], windows[hot])
+                    rows += _single_windows(u, np.repeat(name[hot], windows[hot]), u.offs[from_doc] + first, first, length)
                 for at in range(0, len(rows), 20_000):
                     yield _batch([*zip(*rows[at : at + 20_000], strict=True)], _SEGMENT)
 
@@ -270,80 +293,107 @@ def _read_segments(make: Callable, length: int):
 
 
 def _index_shards(index: Callable, shard_bytes: int):
-    """Task: segments in order of the key that deals them; windows that start earlier out. A shard ends between keys."""
+    """Task: contents in order of what deals them; windows that start earlier out. A shard ends between two lays.
+
+    The first place of each content makes up the index, the others are looked up in it, in runs of about shard_bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, size = None, [], 0
+        now, first, size = None, {}, 0  # first: the first place and the windows of each content
+        sought: list[tuple[bytes, np.ndarray, np.ndarray, int]] = []
+        waiting = 0
 
-        def close() -> Iterator[pa.RecordBatch]:
-            first: dict[bytes, int] = {}  # a content's place among the different ones
-            rows, more = [], []
-            for row in sorted(held):
-                k = first.setdefault(row[3], len(rows))
-                if k == len(rows):
-                    rows.append(row)
-                    more.append([])
-                else:
-                    more[k].append(row)
-            twice = [k for k, row in enumerate(rows) if row[6] or any(r[6] or r[:2] != row[:2] for r in more[k])]  # these stand once more behind all the others
-            if len(rows) + len(twice) < 2:
+        def close(judge: bool) -> Iterator[pa.RecordBatch]:
+            heads = sorted((*place, content) for content, place in first.items())
+            if not heads or (len(heads) < 2 and not sought):
                 return
-            ids = np.array([r[0] for r in rows] + [LAST_ID] * len(twice), np.int64)
-            start = np.array([r[1] for r in rows] + [k << 32 for k in range(len(twice))], np.int64)  # no two places of copies are the same
-            windows = np.array([r[2] for r in rows] + [rows[k][2] for k in twice], np.int64)
-            early = index([r[3] for r in rows] + [rows[k][3] for k in twice], windows, ids, start)  # one flag for each window, in order
-            ends = np.cumsum(windows)
-            found: list[tuple] = []
-            for c, k in enumerate(twice, len(rows)):
-                if early[ends[c] - windows[c] : ends[c]].all():
-                    found += [(1, 0, 0, r[0], r[1], r[2]) for r in more[k] if r[:2] != rows[k][:2]]
-                    found += [(2, r[4], r[5], 0, 0, 0) for r in (rows[k], *more[k]) if r[6]]
-            segment = np.repeat(np.arange(len(rows)), windows[: len(rows)])
-            offset = ranges(np.zeros(len(rows), np.int64), windows[: len(rows)])
-            at = np.flatnonzero(early[: len(segment)])
-            if len(at):
-                new = np.ones(len(at), bool)
-                new[1:] = (np.diff(at) != 1) | (segment[at][1:] != segment[at][:-1])
-                begin = np.flatnonzero(new)
-                x, none = at[begin], np.zeros(len(begin), np.int64)
-                yield _batch([none.astype(np.int32) + np.int32(1), none, none, ids[segment[x]], (start[segment[x]] + offset[x]).astype(np.int32), np.diff(np.append(begin, len(at))).astype(np.int32)], _EARLY)
-            if found:
-                yield _batch([*zip(*found, strict=True)], _EARLY)
+            ids, start, windows = (np.array(x, np.int64) for x in zip(*(r[:3] for r in heads), strict=True))
+            shard = index([r[3] for r in heads], ids, start)
+            if judge and len(heads) > 1:
+                early = shard.early(windows)  # one flag for each window, in order
+                segment = np.repeat(np.arange(len(heads)), windows)
+                offset = ranges(np.zeros(len(heads), np.int64), windows)
+                at = np.flatnonzero(early)
+                if len(at):
+                    new = np.ones(len(at), bool)
+                    new[1:] = (np.diff(at) != 1) | (segment[at][1:] != segment[at][:-1])
+                    begin = np.flatnonzero(new)
+                    x = at[begin]
+                    yield _batch([np.ones(len(x), np.int32), ids[segment[x]], (start[segment[x]] + offset[x]).astype(np.int32), np.diff(np.append(begin, len(at))).astype(np.int32)], _EARLY)
+            if sought:
+                least = [min(zip(i.tolist(), s.tolist(), strict=True)) for _, i, s, _ in sought]
+                at_id, at_start = shard.find([x[0] for x in sought], np.array([x[0] for x in least], np.int64), np.array([x[1] for x in least], np.int64))
+                n = np.array([len(x[1]) for x in sought])
+                i, s = (np.concatenate([x[k] for x in sought]) for k in (1, 2))
+                w, at_id, at_start = (np.repeat(x, n) for x in (np.array([x[3] for x in sought]), at_id, at_start))
+                found = (at_start >= 0) & ((at_id < i) | ((at_id == i) & (at_start < s)))
+                yield _batch([found.astype(np.int32), i, s.astype(np.int32), w.astype(np.int32)], _EARLY)
 
         for b in trimmed(batches):
-            late = []
-            for lay, k, h, name, s, n, again, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if content is None:
-                    late.append((0, k, h, name, s, n))
-                    continue
-                if lay != key:
-                    if size >= shard_bytes:
-                        yield from close()
-                        held, size = [], 0
-                    key = lay
-                held.append((name, s, n, content, k, h, again))
-                size += len(content) * (1 + again)
-            if late:
-                yield _batch([*zip(*late, strict=True)], _EARLY)
-        yield from close()
+            for lay, look, late, ids, starts, n, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if now != (look, lay):
+                    if now and (size + waiting >= shard_bytes or now[0] != look):
+                        yield from close(not now[0])
+                        first, size, sought, waiting = {}, 0, [], 0
+                    now = (look, lay)
+                i, s = np.frombuffer(ids, np.int64), np.frombuffer(starts, np.int64)
+                if not late:
+                    place = (int(i[0]), int(s[0]), n)
+                    known = first.get(content)
+                    if known is None:
+                        size += len(content)
+                    if known is None or place < known:
+                        first[content] = place
+                    if known is None or place[:2] == known[:2]:
+                        continue
+                    i, s = (np.array([x]) for x in max(place, known)[:2])
+                sought.append((content, i, s, n))
+                waiting += len(content) + 16 * len(i)
+                if waiting >= max(shard_bytes, size):
+                    yield from close(False)
+                    sought, waiting = [], 0
+        if now:
+            yield from close(not now[0])
 
     return run
 
 
+def _look_up(docs: DataFrame, found: DataFrame, make: Callable, index: Callable, length: int, shard_bytes: int) -> DataFrame:
+    """What the indexes tell about the places of found, stored."""
+    spark = docs.sparkSession
+    common = found.filter("kind = 0").groupBy("key", "h").agg(F.ceil(F.count(F.lit(1)) / SPREAD).cast("int").alias("salts")).filter("salts > 1")
+    met = found.join(stored(common, "common-segments"), ["key", "h"], "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    read = lambda role, lay: F.struct(F.lit(role).alias("role") if isinstance(role, int) else role.alias("role"), lay.alias("lay"), "start", "windows")
+    lay = lambda salt: F.xxhash64("key", "h", salt)
+    judge = F.when(F.col("kind") % LOOK > 0, F.array(read(F.col("kind") % LOOK, F.col("key")))).otherwise(F.array())
+    look = F.when(F.col("kind") >= LOOK, F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda k: read(SOUGHT_IN, lay(k)))).otherwise(F.array())
+    dealt = F.array(read(SOUGHT, lay(F.pmod(F.xxhash64("doc_id", "start"), F.col("salts").cast("long")).cast("int"))))
+    todo = met.select("doc_id", F.explode(F.when(F.col("kind") == 0, dealt).otherwise(F.concat(judge, look))).alias("x"))
+    want = todo.groupBy("doc_id").agg(F.collect_list("x").alias("want"))
+    out = docs.join(want, "doc_id").select("doc_id", "text", "want").mapInArrow(_read_segments(make, length), _SEGMENT)
+    laid = out.repartition(partitions(spark), "look", "lay").sortWithinPartitions("look", "lay", "late")
+    return stored(laid.mapInArrow(_index_shards(index, shard_bytes), _EARLY), "early-windows")
+
+
 def repeated_windows(docs: DataFrame, make: Callable, index: Callable, length: int, gram: int, shard_bytes: int, crowded: int = CROWDED, together: int = TOGETHER) -> DataFrame:
     """(doc_id, start, windows): runs of windows that also start earlier. docs: doc_id (long, no nulls), text."""
     spark = tune(docs.sparkSession)
     buckets = partitions(spark)
     posts = docs.mapInArrow(_write_posts(make, length, gram, buckets, crowded), _POST)
     found = stored(posts.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_match_posts(together), _FOUND), "segments")
-    want = found.filter("kind > 0").groupBy("doc_id").agg(F.collect_list(F.struct("kind", "key", "h", "start", "windows")).alias("want"))
-    read = docs.join(want, "doc_id").select("doc_id", "text", "want").mapInArrow(_read_segments(make, length), _SEGMENT)
-    laid = read.repartition(buckets, "lay").sortWithinPartitions("lay")
-    early = stored(laid.mapInArrow(_index_shards(index, shard_bytes), _EARLY), "early-windows")
-    late = found.unionByName(early).filter("kind = 0").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int"))
-    sure = early.filter("kind = 2").select("key", "h").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return early_places(docs, found, make, index, length, shard_bytes)
+
+
+def early_places(docs: DataFrame, found: DataFrame, make: Callable, index: Callable, length: int, shard_bytes: int) -> DataFrame:
+    """The same for the segments found to have equal hashes or minimisers."""
     at = ("doc_id", "start", "windows")
-    return late.join(sure, ["key", "h", "salt"]).select(*at).unionByName(early.filter("kind = 1").select(*at))
+    early = _look_up(docs, found, make, index, length, shard_bytes)
+    missed = early.filter("kind = 0").select(*at).distinct()
+    if missed.isEmpty():
+        return early.select(*at)
+    missed = stored(found.join(missed, list(at), "left_semi"), "missed")
+    first = found.filter("kind > 0").join(missed.select("key").distinct(), "key", "left_semi")
+    again = _look_up(docs, first.unionByName(missed).withColumn("kind", F.lit(2)), make, index, length, shard_bytes)
+    return early.unionByName(again).filter("kind = 1").select(*at)
 
 
 def remove_repeats(docs: DataFrame, make: Callable, index: Callable, length: int, gram: int, shard_bytes: int, finish: Callable, schema: str, crowded: int = CROWDED, together: int = TOGETHER) -> DataFrame:

@@ -2,7 +2,9 @@
 
 See repeats.py for how documents are cut into the segments of a shard. A shard's segments stand in order of position, so
 "earlier" is "smaller" in it. The windows' suffixes are sorted to the depth of a window; the previous and next smaller
-positions in suffix order give each window's longest earlier match, and windows whose match has the full length go.
+positions in suffix order give each window's longest earlier match, and windows whose match has the full length go. Later places
+of a segment stand in such an order with their own bytes, too, at their first byte only: all their windows go where
+the earlier match is as long as they are.
 
 Null texts are empty. Empty tables give no rows. Of repeated rows and equal texts the first (least doc_id) keeps its bytes; rows that
 share a doc_id are versions of one document (see repeats.py).
@@ -13,6 +15,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
+from .arrays import ranges
 from .repeats import CROWDED, TOGETHER, Units, byte_units, remove_repeats
 
 BYTES, GRAM = 100, 32
@@ -94,20 +97,50 @@ def longest_previous_factor(text: np.ndarray, at: np.ndarray, depth: int) -> tup
     return length, source
 
 
-def early_windows(contents: list[bytes], windows: np.ndarray, ids: np.ndarray, starts: np.ndarray, length: int = BYTES) -> np.ndarray:
-    """A flag for each window of the segments (in order of position): whether it starts earlier too."""
-    sizes = np.fromiter(map(len, contents), np.int64, len(contents))
-    begin = np.cumsum(sizes) - sizes
-    segment = np.repeat(np.arange(len(windows)), windows)
-    at = np.arange(len(segment)) - np.repeat(np.cumsum(windows) - windows, windows) + begin[segment]
-    found, source = longest_previous_factor(np.frombuffer(b"".join(contents), np.uint8), at, length)
-    early = found >= length
-    hit = np.flatnonzero(early)
-    other = np.searchsorted(begin, source[hit], "right") - 1
-    mine = segment[hit]
-    same = (ids[other] == ids[mine]) & (starts[other] + source[hit] - begin[other] == starts[mine] + at[hit] - begin[mine])
-    early[hit[same]] = False
-    return early
+class Shard:
+    """Segments (contents in order of their places, all different) and what is looked up among them."""
+
+    def __init__(self, contents: list[bytes], ids: np.ndarray, starts: np.ndarray, length: int = BYTES):
+        self.contents, self.ids, self.starts, self.length = contents, ids, starts, length
+
+    def early(self, windows: np.ndarray) -> np.ndarray:
+        """A flag for each window of the segments: whether it starts earlier too."""
+        sizes = np.fromiter(map(len, self.contents), np.int64, len(self.contents))
+        begin = np.cumsum(sizes) - sizes
+        segment = np.repeat(np.arange(len(windows)), windows)
+        at = ranges(begin, windows)
+        found, source = longest_previous_factor(np.frombuffer(b"".join(self.contents), np.uint8), at, self.length)
+        early = found >= self.length
+        hit = np.flatnonzero(early)
+        other = np.searchsorted(begin, source[hit], "right") - 1
+        mine = segment[hit]
+        same = (self.ids[other] == self.ids[mine]) & (self.starts[other] + source[hit] - begin[other] == self.starts[mine] + at[hit] - begin[mine])
+        early[hit[same]] = False
+        return early
+
+    def find(self, contents: list[bytes], ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(doc_id, start) of an earlier place where each whole content begins; start is -1 where there is none.
+
+        The previous factors of the contents and the segments at their first bytes: these suffixes are sorted as deep
+        as they are long, and the previous and next smaller places in that order tell the longest earlier match."""
+        texts, where_id, where_start = self.contents + contents, np.append(self.ids, ids), np.append(self.starts, starts)
+        order = np.lexsort((where_start, where_id))
+        new = (np.diff(where_id[order]) != 0) | (np.diff(where_start[order]) != 0)
+        place = np.empty(len(texts), np.int64)
+        place[order] = np.append(0, np.cumsum(new))  # equal places are equally early
+        order = np.array(sorted(range(len(texts)), key=lambda i: (texts[i], place[i])), np.int64)
+        x = place[order]
+        before = previous_smaller(x)
+        after = len(x) - 1 - previous_smaller(x[::-1])[::-1]
+        out_id, out_start = np.zeros(len(contents), np.int64), np.full(len(contents), -1, np.int64)
+        own = len(self.contents)
+        for k in np.flatnonzero(order >= own).tolist():
+            i = int(order[k])
+            for near in (int(before[k]), int(after[k])):
+                if 0 <= near < len(x) and texts[order[near]].startswith(texts[i]):
+                    out_id[i - own], out_start[i - own] = where_id[order[near]], where_start[order[near]]
+                    break
+        return out_id, out_start
 
 
 def finish(u: Units, mask: np.ndarray, d: int) -> tuple[int, int, int, bytes]:
@@ -119,4 +152,4 @@ def finish(u: Units, mask: np.ndarray, d: int) -> tuple[int, int, int, bytes]:
 
 def dedup_bytes(docs: DataFrame, shard_bytes: int = SHARD_BYTES, crowded: int = CROWDED, together: int = TOGETHER) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay; a cut may fall inside a character)."""
-    return remove_repeats(docs, byte_units, early_windows, BYTES, GRAM, shard_bytes, finish, "n_bytes long, n_removed long, n_spans long, kept binary", crowded, together)
+    return remove_repeats(docs, byte_units, Shard, BYTES, GRAM, shard_bytes, finish, "n_bytes long, n_removed long, n_spans long, kept binary", crowded, together)
