@@ -7,6 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import text as X
 from tidemark.operators import events, search, store, topics, vectors
 from tidemark.plans.queries import ORACLE, queries
 from tidemark.plans.views import Tables
@@ -180,3 +181,25 @@ def test_whole_items_same_as_sql(spark, name):
 def test_upsert_reads_all_items(spark):
     t = Tables(spark, DATA)
     assert queries()["s05_upsert_all"](spark, DATA).count() == t.items.select("external_id").distinct().count()
+
+
+def test_similar_titles_equal_all_pairs_and_stay_linear(spark):
+    import itertools
+    import random
+
+    from tidemark.operators.dedup import similar_titles
+
+    rng = random.Random(4)
+    stems = ["".join(rng.choice("ab ") for _ in range(60)) for _ in range(3)] + ["one more common title for all"]
+    rows = [(i, f"2024-06-{1 + i % 20:02}", rng.choice(stems)[: rng.choice([10, 20, 21, 30, 49, 50, 55, 60])] + rng.choice(["", "", "x", "tail y z"])) for i in range(300)]
+    items = spark.createDataFrame([*rows, (900, "2024-06-02", None), (901, "2024-06-02", "")], "id long, d string, title string").selectExpr("id", "to_timestamp(d) as published_at", "title")
+    norm = {r.id: r.t for r in items.select("id", X.normalize_title(F.col("title")).alias("t")).collect() if r.t}
+    day = dict((i, d) for i, d, _ in rows)
+    want = {}
+    for a, b in itertools.permutations(norm, 2):
+        t, u = norm[a], norm[b]
+        if day[b] >= "2024-06-08" and (t == u or (len(t) > 20 and len(u) > 20 and (t.startswith(u[:50]) or u.startswith(t[:50])))):
+            want[a] = max(want.get(a, ("", -1)), (day[b], b))
+    found = similar_titles(items, items, "2024-06-15 00:00:00")
+    assert {r.id: r.match for r in found.collect()} == {a: b for a, (_, b) in want.items()}
+    assert "WindowGroupLimit" in found._jdf.queryExecution().executedPlan().toString()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -14,19 +14,31 @@ def exact_duplicates(items: DataFrame, key) -> DataFrame:
     return items.withColumn("key", key).filter("key is not null").groupBy("key").agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
+def _prefixes(c: str, least: int, most: int):
+    """The starts of a text from `least` to `most` characters, as far as it goes."""
+    size = F.least(F.length(c), F.lit(most))
+    return F.when(size >= least, F.transform(F.sequence(F.lit(least), F.greatest(size, F.lit(least))), lambda n: F.substring(c, F.lit(1), n))).otherwise(F.array().cast("array<string>"))
+
+
 def similar_titles(items: DataFrame, existing: DataFrame, as_of: str, days: int = 7) -> DataFrame:
     """(id, match): for each item the newest other item of the last days whose normalised title is equal, or one of the two
-    starts with the first 50 characters of the other (both over 20). A common start of 20 characters is implied, so the
-    join is an equi-join on it."""
-    name = lambda df: df.select("id", "published_at", X.normalize_title(F.col("title")).alias("t"))
-    left = name(items).filter("t <> ''")
-    right = name(existing.filter(F.col("published_at") >= ago(as_of, days))).filter("t <> ''").select(F.col("id").alias("other"), F.col("published_at").alias("at"), F.col("t").alias("u"))
-    equal = left.join(right, (left["t"] == right["u"]) & (left["id"] != right["other"])).select("id", "other", "at")
-    long_left, long_right = left.filter("length(t) > 20"), right.filter("length(u) > 20")
-    start = (F.substring("t", 1, 20) == F.substring("u", 1, 20)) & (F.col("id") != F.col("other"))
-    near = long_left.join(long_right, start).filter(F.col("t").startswith(F.substring("u", 1, 50)) | F.col("u").startswith(F.substring("t", 1, 50)))
-    both = equal.unionByName(near.select("id", "other", "at"))
-    return both.groupBy("id").agg(F.max_by("other", F.struct("at", "other")).alias("match"))
+    starts with the first 50 characters of the other (both over 20). Ids are unique.
+
+    That is: the first 50 characters are equal, or a title of 21 to 49 characters is a start of the other. So each title has a few
+    dozen keys, of each key only the two newest items matter (one may be the item itself), and these are cut inside tasks
+    before they move: a common title or start yields two rows, not all pairs."""
+    name = lambda df: df.select("id", "published_at", X.normalize_title(F.col("title")).alias("t")).filter("t <> ''")
+    tag = lambda kind, keys: F.transform(keys, lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key")))
+    start = F.when(F.length("t") >= 50, F.array(F.substring("t", 1, 50))).otherwise(F.array().cast("array<string>"))
+    whole, short, starts = F.array("t"), F.when(F.length("t").between(21, 49), F.array("t")).otherwise(F.array().cast("array<string>")), _prefixes("t", 21, 49)
+    has = F.concat(tag("whole", whole), tag("start", starts), tag("fifty", start))
+    asks = F.concat(tag("whole", F.array_union(whole, starts)), tag("start", short), tag("fifty", start))
+    newest = Window.partitionBy("kind", "key").orderBy(F.desc("at"), F.desc("other"))
+    right = name(existing.filter(F.col("published_at") >= ago(as_of, days))).select(F.col("id").alias("other"), F.col("published_at").alias("at"), F.explode(has).alias("k")).select("other", "at", "k.*")
+    right = right.withColumn("n", F.row_number().over(newest)).filter("n <= 2").drop("n")
+    left = name(items).select("id", F.explode(asks).alias("k")).select("id", "k.*")
+    met = left.join(right, ["kind", "key"]).filter(F.col("id") != F.col("other"))
+    return met.groupBy("id").agg(F.max_by("other", F.struct("at", "other")).alias("match"))
 
 
 def prefilter(items: DataFrame, matches: DataFrame) -> DataFrame:
