@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from .items import ago
+from .store import settled
 
 
 def exact_duplicates(items: DataFrame, key) -> DataFrame:
@@ -14,29 +15,39 @@ def exact_duplicates(items: DataFrame, key) -> DataFrame:
     return items.withColumn("key", key).filter("key is not null").groupBy("key").agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-def _prefixes(c: str, least: int, most: int):
-    """The starts of a text from `least` to `most` characters, as far as it goes."""
-    size = F.least(F.length(c), F.lit(most))
-    return F.when(size >= least, F.transform(F.sequence(F.lit(least), F.greatest(size, F.lit(least))), lambda n: F.substring(c, F.lit(1), n))).otherwise(F.array().cast("array<string>"))
+#: A title of SHORT characters (first and last) is a start by itself; longer ones have one of LONG characters. Shorter ones are equal or nothing.
+SHORT, LONG = (21, 49), 50
 
 
 def similar_titles(items: DataFrame, existing: DataFrame, as_of: str, days: int = 7) -> DataFrame:
     """(id, match): for each item the newest other item of the last days whose normalised title is equal, or one of the two
-    starts with the first 50 characters of the other (both over 20). Ids are unique.
+    starts with the first 50 characters of the other (both over 20). Ids are unique. Titles that are null or empty have no match;
+    of equal dates the largest id counts.
 
-    That is: the first 50 characters are equal, or a title of 21 to 49 characters is a start of the other. So each title has a few
-    dozen keys, of each key only the two newest items matter (one may be the item itself), and these are cut inside tasks
-    before they move: a common title or start yields two rows, not all pairs."""
+    That is: titles of up to 20 characters are equal, those of 50 or more have equal first 50, and one of 21 to 49 is a start of the
+    other. For the last, the lengths at which titles of 21 to 49 characters stand are gathered for each start of 21 characters, so
+    a title asks only at lengths where such a title may be (29 at most). Of each key only the two newest items matter (one may be
+    the item itself), and these are cut inside tasks before they move: a common title or start yields two rows, not all pairs."""
+    size = F.length("t")
     name = lambda df: df.select("id", "published_at", X.normalize_title(F.col("title")).alias("t")).filter("t <> ''")
-    tag = lambda kind, keys: F.transform(keys, lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key")))
-    start = F.when(F.length("t") >= 50, F.array(F.substring("t", 1, 50))).otherwise(F.array().cast("array<string>"))
-    whole, short, starts = F.array("t"), F.when(F.length("t").between(21, 49), F.array("t")).otherwise(F.array().cast("array<string>")), _prefixes("t", 21, 49)
-    has = F.concat(tag("whole", whole), tag("start", starts), tag("fifty", start))
-    asks = F.concat(tag("whole", F.array_union(whole, starts)), tag("start", short), tag("fifty", start))
+    recent = existing.filter(F.col("published_at") >= ago(as_of, days))
+    short = name(items).unionByName(name(recent)).filter(size.between(*SHORT))
+    lengths = settled(short.select(F.substring("t", 1, SHORT[0]).alias("head"), size.alias("n")).distinct().groupBy("head").agg(F.sort_array(F.collect_list("n")).alias("ns")), "title-lengths")
+
+    def keyed(df: DataFrame, own: str, others: str) -> DataFrame:
+        """Rows of df by kind and key: its own key under `own` and its starts under `others`."""
+        tag = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+        full = F.when(size < SHORT[0], tag("equal", F.col("t"))).when(size < LONG, tag(own, F.col("t"))).otherwise(tag("long", F.substring("t", 1, LONG)))
+        starts = F.transform(F.filter(F.coalesce("ns", F.array().cast("array<int>")), lambda n: n <= size), lambda n: tag(others, F.substr("t", F.lit(1), n)))
+        known = df.withColumn("head", F.when(size >= SHORT[0], F.substring("t", 1, SHORT[0]))).join(lengths, "head", "left")
+        keys = F.explode(F.concat(F.array(full), starts)).alias("k")
+        return known.select(*(c for c in df.columns if c != "t"), keys).select(*(c for c in df.columns if c != "t"), "k.*")
+
     newest = Window.partitionBy("kind", "key").orderBy(F.desc("at"), F.desc("other"))
-    right = name(existing.filter(F.col("published_at") >= ago(as_of, days))).select(F.col("id").alias("other"), F.col("published_at").alias("at"), F.explode(has).alias("k")).select("other", "at", "k.*")
+    # a short title of existing answers as "end" and one of items asks as "begin"; the starts of either meet the short ones of the other
+    right = keyed(name(recent).select(F.col("id").alias("other"), F.col("published_at").alias("at"), "t"), "end", "begin")
     right = right.withColumn("n", F.row_number().over(newest)).filter("n <= 2").drop("n")
-    left = name(items).select("id", F.explode(asks).alias("k")).select("id", "k.*")
+    left = keyed(name(items).select("id", "t"), "begin", "end")
     met = left.join(right, ["kind", "key"]).filter(F.col("id") != F.col("other"))
     return met.groupBy("id").agg(F.max_by("other", F.struct("at", "other")).alias("match"))
 

@@ -8,24 +8,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 AS_OF = "2024-01-31 00:00:00"
 
+#: Of items, what is short is taken from the text before the joins, and labels and pages are one row a key, so that Spark leaves out a join
+#: whose columns a query doesn't ask for and doesn't move whole texts for a query on titles.
 SQL = {
     "items": """
 SELECT d.doc_id AS id, CAST(substring(d.source, 4) AS BIGINT) AS subscription_id,
  CASE d.doc_id % 4 WHEN 0 THEN 'reddit' WHEN 1 THEN 'twitter' WHEN 2 THEN 'hackernews' ELSE 'rss' END AS source_type,
  concat('x', d.doc_id % 980) AS external_id,
- substring(split_part(d.text, chr(10), 1), 1, 100) AS title, d.text AS content, p.url AS url,
+ d.title AS title, d.text AS content, p.url AS url,
  concat('@', d.source) AS author, d.lang AS category,
  {T0} + {SEC}((d.doc_id * 7919) % 2592000) AS published_at,
  l.doc_id IS NOT NULL AS processed,
  CASE WHEN l.doc_id IS NULL THEN NULL WHEN d.doc_id % 97 = 0 THEN 11 WHEN l.toxic = 1 THEN 1 + d.doc_id % 3
       WHEN l.quality = 1 THEN 5 + d.doc_id % 6 ELSE 3 + d.doc_id % 3 END AS importance_score,
- CASE WHEN l.doc_id IS NULL OR d.doc_id % 50 = 1 THEN NULL ELSE substring(d.text, 1, 200) END AS summary,
+ CASE WHEN l.doc_id IS NULL OR d.doc_id % 50 = 1 THEN NULL ELSE d.head END AS summary,
  CASE d.doc_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 'read' WHEN 2 THEN 'saved' WHEN 3 THEN 'archived'
       WHEN 4 THEN 'flagged' ELSE 'unread' END AS state,
  d.doc_id % 5 = 0 AS delivered,
  CASE WHEN d.doc_id % 5 = 0 THEN {T0} + {SEC}(86400 * (20 + d.doc_id % 11)) END AS delivered_at,
  CASE WHEN d.doc_id % 9 = 0 THEN {T0} + {SEC}(3600 * (690 + d.doc_id % 30)) END AS cluster_attempted_at
-FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN pages p ON p.page_id = d.doc_id""",
+FROM (SELECT *, substring(split_part(text, chr(10), 1), 1, 100) AS title, substring(text, 1, 200) AS head FROM documents) d
+ LEFT JOIN (SELECT doc_id, max(toxic) AS toxic, max(quality) AS quality FROM labels GROUP BY doc_id) l ON l.doc_id = d.doc_id
+ LEFT JOIN (SELECT page_id, max(url) AS url FROM pages GROUP BY page_id) p ON p.page_id = d.doc_id""",
     "members": """
 SELECT CAST(label AS BIGINT) AS event_cluster_id, vec_id AS content_item_id, CAST(vec_id % 100 AS DOUBLE) / 100 AS similarity_score
 FROM embeddings WHERE vec_id % 3 <> 2
