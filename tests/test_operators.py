@@ -16,7 +16,7 @@ from tidemark.streaming import jobs
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "documents labels pages embeddings events orders conversations".split()
-NAMES = ["f01_undelivered", "j05_digest_singles", "a13_cluster_rollup", "a14_event_timeline", "w02_topic_changes", "t03_build_digest", "p03_normalize_url", "p15_keywords", "c03_classify", "j11_cluster_candidates", "q11_lost_topics", "c17_search", "c01_classify_domain", "c15_update_centroids", "j10_match_topics", "t05_order_events", "q07_lost_members", "c08_assign_batches", "s01_feed_rows", "s02_post_rows", "s08_write_report", "p22_parse_results", "p23_parse_batches", "p26_nest_json", "p27_skip_results", "p28_call_tokens", "w06_sample_titles", "e01_rules_in_a_table", "e02_embed_by_function", "e03_enrich", "x01_ingest_stream", "x02_dedup_stream", "x04_trend_alerts_stream", "x05_usage_stream", "x03_windowed_counts_stream", "x06_ttl_cache_stream", "c14_attempted", "c14_cluster_events", "s05_versioned", "j12_nearest_processed", "a12_centroids"]
+NAMES = ["f01_undelivered", "j05_digest_singles", "a13_cluster_rollup", "a14_event_timeline", "w02_topic_changes", "t03_build_digest", "p03_normalize_url", "p15_keywords", "c03_classify", "j11_cluster_candidates", "q11_lost_topics", "c17_search", "c17_search_updates", "q08_unindexed", "c01_classify_domain", "c15_update_centroids", "j10_match_topics", "t05_order_events", "q07_lost_members", "c08_assign_batches", "s01_feed_rows", "s02_post_rows", "s08_write_report", "p22_parse_results", "p23_parse_batches", "p26_nest_json", "p27_skip_results", "p28_call_tokens", "w06_sample_titles", "e01_rules_in_a_table", "e02_embed_by_function", "e03_enrich", "x01_ingest_stream", "x02_dedup_stream", "x04_trend_alerts_stream", "x05_usage_stream", "x03_windowed_counts_stream", "x06_ttl_cache_stream", "c14_attempted", "c14_cluster_events", "s05_versioned", "j12_nearest_processed", "a12_centroids"]
 
 
 def plain(v):
@@ -104,6 +104,66 @@ def test_centroid_has_unit_length(spark):
     assert vectors.centroids(members.limit(0), emb).count() == 0
 
 
+def test_kept_index_follows_its_items(spark, tmp_path):
+    fields = ("title", "content")
+    frame = lambda rows: spark.createDataFrame(rows, "id long, title string, content string, seq int")
+    rows = {i: (i, f"word{i % 3} common", f"body of {i} of common", 0) for i in range(60)} | {60: (60, None, None, 0), 61: (61, "", "...", 0), 62: (62, "long", "x y " * 5000, 0)}
+    index = search.SearchIndex(spark, f"{tmp_path}/index", fields)
+
+    def same():
+        plain = lambda df: sorted((r.term, r.field, r.id, r.tf, tuple(r.positions)) for r in df.collect())
+        assert plain(index.postings()) == plain(search.build_index(frame([*rows.values()]), fields))
+        assert {r.id for r in index.entries().collect()} == set(rows)
+
+    assert index.postings().count() == 0
+    index.upsert(frame([*rows.values(), (None, "no id", "at all", 0)]))
+    same()
+    first = index.segments()
+    index.upsert(frame([*rows.values()]))  # nothing changed: no commit
+    index.delete(frame([(999, "", "", 0)]))
+    assert index.segments() == first
+
+    rows |= {5: (5, "word2 new", None, 1), 100: (100, "word1 late", "common", 1)}
+    index.upsert(frame([*rows.values()]))
+    same()
+    assert [s["items"] for s in index.segments()] == [63, 2]  # the other items' postings stay where they are
+    added = spark.read.parquet(f"{tmp_path}/index/postings/{index.segments()[-1]['segment']}")
+    assert {r.id for r in added.select("id").distinct().collect()} == {5, 100}
+
+    del rows[7], rows[100]
+    index.delete(frame([(7, "", "", 0), (100, "", "", 0)]))
+    same()
+    rows[7] = (7, "word1 back", "again", 2)  # a deleted item comes back
+    index.upsert(frame([*rows.values()]))
+    same()
+    search.build_index(frame([(1, "lost", "run", 0)]), fields).selectExpr("*", "99L as seq").write.parquet(f"{tmp_path}/index/postings/lost")
+    same()
+    found = search.search(index.postings(), frame([*rows.values()]).withColumn("importance_score", F.lit(1)).withColumn("published_at", F.lit(0)), 'title:word1 NOT "body of"', limit=None)
+    assert [r.id for r in found.collect()] == [7]
+
+    rows = {i: (i, f"new {i}", None, 3) for i in range(50, 90)}  # refresh takes others out, and merges what became large
+    index.refresh(frame([*rows.values()]), "a")
+    same()
+    assert len(index.segments()) == 1
+    index.refresh(frame([]), "a")  # the same mark: nothing is read
+    same()
+    index.vacuum()
+    same()
+    assert len(list((tmp_path / "index" / "postings").iterdir())) == 1
+    rows = {}
+    index.refresh(frame([]), "b")
+    same()
+
+
+def test_search_asks_the_kept_index_for_terms_only(spark, tmp_path):
+    items = spark.createDataFrame([(1, "a b"), (2, "b c")], "id long, title string")
+    index = search.SearchIndex(spark, f"{tmp_path}/index", ("title",))
+    index.upsert(items)
+    index.delete(items.filter("id = 2").select("id"))
+    plan = index.postings().filter(F.col("term") == "b").select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(term,b)" in plan
+
+
 def test_search_finds_phrases(spark):
     rows = [(1, "Big red apple", "a b a b c"), (2, "red big apple", "b a, c"), (3, "apple", "red; APPLE red"), (4, "Red", "apple pie")]
     items = spark.createDataFrame(rows, "id long, title string, content string").withColumns({"importance_score": F.lit(5), "published_at": F.lit(None).cast("timestamp_ntz")})

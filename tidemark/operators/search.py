@@ -1,12 +1,16 @@
-"""Full-text search over an inverted index that is a DataFrame (term, field, id, tf, positions)."""
+"""Full-text search over an inverted index that is a DataFrame (term, field, id, tf, positions), and an index that is kept."""
 
 from __future__ import annotations
 
 import re
+import time
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from .store import settled
+
 FIELDS = ("title", "content", "summary", "category", "author")
 TERM = r"([\p{L}\p{N}]+)"
 
@@ -87,3 +91,141 @@ def search(index: DataFrame, items: DataFrame, query: str, category: str | None
         out = out.filter(F.col("importance_score") >= min_importance)
     out = out.orderBy(F.desc_nulls_last("importance_score"), F.desc_nulls_last("published_at"), "id")
     return out.limit(limit) if limit is not None else out
+
+
+def file_state(*tables: DataFrame) -> str:
+    """A mark of the files behind tables: their names, sizes and times. It takes no column of the rows."""
+    marks = []
+    for df in tables:
+        files = df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+        n, mark = files.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*files.columns))).first()
+        marks.append(f"{n}:{mark}")
+    return ",".join(marks)
+
+
+class SearchIndex:
+    """An inverted index at a path, in segments. A write adds one segment with the postings of the items that changed and an entry for
+    each of them: (id, digest of its fields), the digest being null for an item that was deleted. An item's postings are those of the
+    last segment with an entry for it. Segments at the end are merged while the one before has at most twice their items, so there
+    are about as many as the logarithm of the items, and a posting is rewritten as seldom. Postings are sorted by term in
+    each file, so a search for terms or starts of terms reads pages of them; a common term lies in all files.
+
+    A version is a list of segments and counts when that small file stands, which is written last: a lost run leaves the version before
+    in force. One writer at a time. Ids are unique; items without id aren't indexed; null fields are empty."""
+
+    POSTINGS = "term string, field string, id long, tf long, positions array<int>, seq long"
+    ENTRIES = "id long, digest string, seq long"
+    COMMITS = "version string, segment string, seq long, items long, state string"
+
+    def __init__(self, spark: SparkSession, path: str, fields: tuple[str, ...] = FIELDS):
+        self.spark, self.path, self.fields = spark, path.rstrip("/"), fields
+        spark.createDataFrame([], self.COMMITS).write.mode("append").parquet(f"{self.path}/commits")
+
+    def segments(self) -> list[Row]:
+        """The segments of the last version, oldest first; one without a name if it has none."""
+        commits = self.spark.read.schema(self.COMMITS).parquet(f"{self.path}/commits")
+        last = commits.agg(F.max("version")).first()[0]
+        return commits.filter(F.col("version") == last).orderBy("seq").collect() if last else []
+
+    def _read(self, kind: str, schema: str, segments: list[Row]) -> DataFrame:
+        paths = [f"{self.path}/{kind}/{s['segment']}" for s in segments if s["segment"]]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _last(self, segments: list[Row]) -> DataFrame:
+        """(id, digest, seq) of the last entry of each item."""
+        return self._read("entries", self.ENTRIES, segments).groupBy("id").agg(F.max_by("digest", "seq").alias("digest"), F.max("seq").alias("seq"))
+
+    def _live(self, segments: list[Row]) -> DataFrame:
+        rows = self._read("postings", self.POSTINGS, segments)
+        if len(segments) < 2:
+            return rows
+        later = self._last(segments[1:]).select(F.col("id").alias("_id"), F.col("seq").alias("_seq"))
+        return rows.join(later, (F.col("id") == F.col("_id")) & (F.col("seq") < F.col("_seq")), "left_anti")
+
+    def postings(self) -> DataFrame:
+        """The index as `search` and `phrase_ids` read it."""
+        return self._live(self.segments()).drop("seq")
+
+    def entries(self) -> DataFrame:
+        """(id, digest) of the items that are indexed."""
+        return self._last(self.segments()).filter("digest is not null").select("id", "digest")
+
+    def _commit(self, segments: list[Row], state: str | None) -> None:
+        version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+        rows = [(version, s["segment"], s["seq"], s["items"], state) for s in segments] or [(version, "", 0, 0, state)]
+        self.spark.createDataFrame(rows, self.COMMITS).coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
+
+    def _segment(self, entries: DataFrame, postings: DataFrame, seq: int) -> Row:
+        name = f"{seq:08d}-{uuid.uuid4().hex[:8]}"
+        entries.select("id", "digest", F.lit(seq).cast("long").alias("seq")).write.parquet(f"{self.path}/entries/{name}")
+        columns = ["term", "field", "id", "tf", "positions"]
+        postings.select(*columns, F.lit(seq).cast("long").alias("seq")).sortWithinPartitions("term", "field", "id").write.parquet(f"{self.path}/postings/{name}")
+        return Row(segment=name, seq=seq, items=self._read("entries", self.ENTRIES, [Row(segment=name)]).count())
+
+    def _add(self, segments: list[Row], entries: DataFrame, postings: DataFrame) -> list[Row]:
+        segments = [s for s in segments if s["segment"]]
+        segments = [*segments, self._segment(entries, postings, segments[-1]["seq"] + 1 if segments else 1)]
+        first, n = len(segments) - 1, segments[-1]["items"]
+        while first and segments[first - 1]["items"] <= 2 * n:
+            first -= 1
+            n += segments[first]["items"]
+        tail = segments[first:]
+        if len(tail) == 1:
+            return segments
+        last = self._last(tail)
+        # before the first segment there is nothing that a deletion could hide
+        return [*segments[:first], self._segment(last if first else last.filter("digest is not null"), self._live(tail), tail[-1]["seq"])]
+
+    def _digest(self) -> Column:
+        return F.sha2(F.to_json(F.struct(*(F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f"f{k}") for k, f in enumerate(self.fields)))), 256)
+
+    def _upserted(self, segments: list[Row], items: DataFrame) -> list[Row]:
+        marked = items.filter("id is not null").select(F.col("id").cast("long").alias("id"), *self.fields, self._digest().alias("digest"))
+        known = any(s["segment"] for s in segments)
+        changed = marked.select("id", "digest")
+        if known:
+            changed = changed.join(self._last(segments).filter("digest is not null").select("id", "digest"), ["id", "digest"], "left_anti")
+        changed = settled(changed, "changed-items")
+        if changed.isEmpty():
+            return segments
+        return self._add(segments, changed, build_index(marked.join(changed.select("id"), "id", "left_semi") if known else marked, self.fields))
+
+    def _deleted(self, segments: list[Row], gone: DataFrame) -> list[Row]:
+        gone = settled(gone.select("id", F.lit(None).cast("string").alias("digest")), "gone-items")
+        return segments if gone.isEmpty() else self._add(segments, gone, self.spark.createDataFrame([], self.POSTINGS))
+
+    def _write(self, before: list[Row], after: list[Row], state: str | None = None) -> None:
+        if after != before or state is not None:
+            self._commit(after, state)
+
+    def upsert(self, items: DataFrame) -> None:
+        """Index items that are new or whose fields changed; others change nothing."""
+        before = self.segments()
+        self._write(before, self._upserted(before, items))
+
+    def delete(self, ids: DataFrame) -> None:
+        """Take the items of ids (id) out; ids that aren't indexed change nothing."""
+        before = self.segments()
+        live = self._last(before).filter("digest is not null")
+        self._write(before, self._deleted(before, live.join(ids.select("id"), "id", "left_semi")))
+
+    def refresh(self, items: DataFrame, state: str) -> None:
+        """Make the index that of `items`. `state` marks what they come from: if it is the last version's, nothing is read."""
+        before = self.segments()
+        if before and before[0]["state"] == state:
+            return
+        after = self._upserted(before, items)
+        if any(s["segment"] for s in before):  # a first write leaves nothing over
+            after = self._deleted(after, self._last(after).filter("digest is not null").join(items.select("id"), "id", "left_anti"))
+        self._write(before, after, state)
+
+    def vacuum(self) -> None:
+        """Delete the segments that the last version doesn't name; no reader of an earlier version may be at work."""
+        named = {s["segment"] for s in self.segments()}
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for kind in ("entries", "postings"):
+            folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
+            files = folder.getFileSystem(conf)
+            for status in files.listStatus(folder) if files.exists(folder) else ():
+                if status.getPath().getName() not in named:
+                    files.delete(status.getPath(), True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from types import SimpleNamespace
 
@@ -367,7 +368,26 @@ SELECT event_cluster_id, CAST(n AS BIGINT) AS members, CAST(p - 1 AS INTEGER) AS
 add("c16_extract_actions", lambda t: classify.extract_actions(t.items.withColumn("actionable_items", F.expr("transform(array(state, category), x -> struct(coalesce(x, 'none') AS type, title AS description, CASE WHEN delivered THEN 'low' ELSE 'high' END AS priority))"))),
     "SELECT id, coalesce(unnest([state, category]), 'none') AS type, title AS description, CASE WHEN delivered THEN 'low' ELSE 'high' END AS priority FROM items WHERE importance_score IS NULL OR importance_score >= 7")
 TERMS = "[w FOR w IN regexp_extract_all(lower(concat_ws(' ', title, content, coalesce(summary, ''), category, author)), '([\\p{L}\\p{N}]+)', 1)]"
-add("c17_search", lambda t: ids(search.search(store.settled(search.build_index(t.items), "search-index"), t.items, "the OR que th* NOT with", None, 3, 50)), f"SELECT id FROM (SELECT *, {TERMS} AS w FROM items) WHERE (list_contains(w, 'the') OR list_contains(w, 'que')) AND len([x FOR x IN w IF starts_with(x, 'th')]) > 0 AND NOT list_contains(w, 'with') AND importance_score >= 3 ORDER BY importance_score DESC, published_at DESC, id LIMIT 50")
+
+
+def _kept(t: Tables, name: str, rows: DataFrame, fields: tuple[str, ...] = search.FIELDS) -> search.SearchIndex:
+    """The kept index of rows in the shared folder; it is brought up to date when the files behind the items are others."""
+    index = search.SearchIndex(t.spark, f"{store.shared_dir(t.spark)}/{name}-{hashlib.sha256(t.dir.encode()).hexdigest()[:12]}", fields)
+    index.refresh(rows, search.file_state(t.documents, t.labels, t.pages))
+    return index
+
+
+def _updated(t: Tables) -> DataFrame:
+    """Postings after all items came with their titles for contents, then as they are, and the archived ones went."""
+    index = search.SearchIndex(t.spark, store.new_path(t.spark, "search-updates"))
+    index.upsert(t.items.withColumn("content", F.col("title")))
+    index.upsert(t.items)
+    index.delete(t.items.filter("state = 'archived'"))
+    return index.postings()
+
+
+add("c17_search", lambda t: ids(search.search(_kept(t, "search-items", t.items).postings(), t.items, "the OR que th* NOT with", None, 3, 50)), f"SELECT id FROM (SELECT *, {TERMS} AS w FROM items) WHERE (list_contains(w, 'the') OR list_contains(w, 'que')) AND len([x FOR x IN w IF starts_with(x, 'th')]) > 0 AND NOT list_contains(w, 'with') AND importance_score >= 3 ORDER BY importance_score DESC, published_at DESC, id LIMIT 50")
+add("c17_search_updates", lambda t: ids(search.search(_updated(t), t.items, "the OR que th* NOT with", limit=None)), f"SELECT id FROM (SELECT *, {TERMS} AS w FROM items) WHERE (list_contains(w, 'the') OR list_contains(w, 'que')) AND len([x FOR x IN w IF starts_with(x, 'th')]) > 0 AND NOT list_contains(w, 'with') AND coalesce(state, '') <> 'archived'")
 GRAMS = r"""SELECT id, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))])) AS g FROM (SELECT id, list_filter(regexp_split_to_array(lower(substring(concat_ws(' ', title, content), 1, 500)), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM items)"""
 add("c18_embed", lambda t: vectors.embed(t.items).select("content_id", F.posexplode("embedding").alias("pos", "x")).filter("x <> 0").select("content_id", "pos", F.round(F.col("x").cast("double"), 4).alias("x")),
     f"""WITH gr AS ({GRAMS}), s AS (SELECT id, CAST(CAST('0x' || substring(md5(g), 1, 8) AS BIGINT) % 256 AS INTEGER) AS k, sum(CASE WHEN substring(md5(g), 9, 1) < '8' THEN 1.0 ELSE -1.0 END) AS v FROM gr GROUP BY 1, 2),
@@ -570,7 +590,7 @@ add("q06_wrong_counts", checks.wrong_counts, "SELECT id, article_count, coalesce
 _some = lambda t, **tables: SimpleNamespace(**{n: getattr(t, n) for n in ("items", "members", "clusters")} | tables)
 add("q07_lost_members", lambda t: checks.lost_members(_some(t, items=t.items.filter("processed"), clusters=t.clusters.filter("article_count < 40"))),
     "SELECT event_cluster_id, content_item_id, 'cluster' AS missing FROM members WHERE event_cluster_id NOT IN (SELECT id FROM clusters WHERE article_count < 40) UNION ALL SELECT event_cluster_id, content_item_id, 'item' FROM members WHERE content_item_id NOT IN (SELECT id FROM items WHERE processed)")
-add("q08_unindexed", lambda t: checks.unindexed(t, search.build_index(t.items.filter(F.col("published_at") < F.lit(START).cast("timestamp_ntz")), ("title", "summary"))),
+add("q08_unindexed", lambda t: checks.unindexed(t, _kept(t, "search-early", t.items.filter(F.col("published_at") < F.lit(START).cast("timestamp_ntz")), ("title", "summary")).postings()),
     f"SELECT id FROM items WHERE processed AND NOT (published_at < {TS(START)} AND regexp_matches(concat_ws(' ', title, summary), '[\\p{{L}}\\p{{N}}]'))")
 add("q09_double_members", checks.double_members, "SELECT content_item_id, count(DISTINCT event_cluster_id) AS clusters FROM members GROUP BY 1 HAVING count(DISTINCT event_cluster_id) > 1")
 add("q10_lost_actions", checks.lost_actions, "SELECT id, content_item_id FROM actions WHERE content_item_id NOT IN (SELECT id FROM items)")
