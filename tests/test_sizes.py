@@ -1,0 +1,31 @@
+"""What keeps queries in bounds on larger tables: where work is done once, in blocks, or on fewer pairs, with the same results."""
+
+import hashlib
+import math
+import re
+
+import numpy as np
+
+from tidemark.operators import vectors
+
+
+def _plan(df) -> str:
+    df.sparkSession.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_embed_hashes_where_the_text_lies_and_adds_up_rows_of_one_id(spark):
+    rows = [(1, "One two", "two, THREE one two"), (2, None, "x"), (3, "", ""), (4, "a b", "a b a b"), (4, "b", "c"), (None, "null id", None)]
+    items = spark.createDataFrame(rows, "id long, title string, content string")
+    got = {r["content_id"]: r["embedding"] for r in vectors.embed(items).collect()}
+    want = {}
+    for i, title, content in rows:
+        ws = [w for w in re.split(r"[\W_]+", " ".join(x for x in (title, content) if x is not None).lower()) if w]
+        for g in ws + [f"{a} {b}" for a, b in zip(ws, ws[1:])]:
+            h = hashlib.md5(g.encode()).hexdigest()
+            want.setdefault(i, np.zeros(256))[int(h[:8], 16) % 256] += 1 if h[8] < "8" else -1
+    assert got.keys() == want.keys()
+    for i, v in want.items():
+        assert np.allclose(got[i], v / max(math.sqrt((v * v).sum()), 1e-30), atol=1e-6)
+    # rows of single ids aren't cut into one row a word
+    assert "Generate" not in _plan(vectors.embed(items.filter("id < 4")))
