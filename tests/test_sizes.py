@@ -5,6 +5,8 @@ import math
 import re
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import vectors
 
@@ -29,3 +31,35 @@ def test_embed_hashes_where_the_text_lies_and_adds_up_rows_of_one_id(spark):
         assert np.allclose(got[i], v / max(math.sqrt((v * v).sum()), 1e-30), atol=1e-6)
     # rows of single ids aren't cut into one row a word
     assert "Generate" not in _plan(vectors.embed(items.filter("id < 4")))
+
+
+@pytest.mark.parametrize("approximate", [False, True])
+def test_nearest_meets_in_blocks_of_any_size(spark, monkeypatch, approximate):
+    for name, size in (("ITEM_ROWS", 7), ("CANDIDATE_ROWS", 5), ("TASK_BLOCKS", 2), ("HELD_ITEMS", 3), ("HELD_CANDIDATES", 4)):
+        monkeypatch.setattr(vectors, name, size)
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(90, 8))
+    v[40:50] = v[3]  # equal vectors
+    v[60] = np.nan
+    v[61] = -v[3]
+    v[:30] /= np.linalg.norm(v[:30], axis=1, keepdims=True)
+    items = spark.createDataFrame([(i, i % 3 != 0) for i in range(90)], "id long, processed boolean").withColumn("published_at", F.to_timestamp_ntz(F.lit("2024-01-30 00:00:00")))
+    emb = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(90)], "content_id long, embedding array<double>")
+    if approximate:
+        found = vectors.nearest_approximate(items, emb, "2024-01-31 00:00:00", 0.6, probes=100)  # all cells find everything
+    else:
+        found = vectors.nearest_processed(items, emb, "2024-01-31 00:00:00", 0.6)
+    got = {r["id"]: (r["match"], r["score"]) for r in found.collect()}
+    want = {}
+    for i in range(90):
+        scores = []
+        for j in range(90):
+            dot = 0.0
+            for a, b in zip(v[i], v[j]):
+                dot += a * b
+            if j % 3 and j != i and (dot + 1) / 2 >= 0.6:
+                scores.append((-(dot + 1) / 2, j))
+        if scores:
+            s, j = min(scores)
+            want[i] = (j, -s)
+    assert got == want
