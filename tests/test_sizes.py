@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import vectors
+from tidemark.operators import classify, vectors
+from tidemark.operators import rules as R
 
 
 def _plan(df) -> str:
@@ -63,3 +64,24 @@ def test_nearest_meets_in_blocks_of_any_size(spark, monkeypatch, approximate):
             s, j = min(scores)
             want[i] = (j, -s)
     assert got == want
+
+
+def test_needles_leave_out_no_match_and_patterns_are_tried_once(spark):
+    texts = [
+        "OpenAI announces x", "meta  RELEASE", "$5B", "Major update", "significant advancement", "series d", "an IPO", "Acquired", "gpt5", "Claude 3", "gemini 2", "chatgpt", "an LLM.", "ml", "深度学习",
+        "we're hiring", "were hiring x", "job opening", "career opportunity", "join our team", "招聘", "岗位空缺", "apply now", "submit your resume", "send me your cv", "click here", "subscribe now", "limited time", "act now",
+        "don't miss", "dont miss", "免费领取", "扫码关注", "🔥🔥", "💰🎁", "giveaway", "airdrop", "free tokens", "cross-posted", "xpost", "x-post", "originally posted", "i am a bot", "this is an automated", "auto-generated", "[bot]",
+        "[automated]", "this action was performed automatically", "上线", "launch", "nothing of these", "", "RÉSUMÉ ı K",
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("low", F.lower("t"))
+    for pattern in R.NEEDLES:
+        text = F.col("t") if pattern.startswith("(?i)") else F.col("low")
+        rows = df.select(classify.has(text, F.col("low"), pattern).alias("a"), text.rlike(pattern).alias("b")).collect()
+        assert [r["a"] for r in rows] == [r["b"] for r in rows], pattern
+        assert any(r["b"] for r in rows), pattern
+    columns = "id long, title string, content string, url string, source_type string"
+    items = spark.createDataFrame([(k, "A title that is longer than fifty characters, so that it is", t, "http://a.example.com/", "rss") for k, t in enumerate(texts)], columns)
+    judged = classify.skip_reason(classify.estimate_importance(items))
+    assert judged.columns == [*items.columns, "domain_rule", "domain_category", "domain_importance", "est_score", "est_confidence", "est_reason", "skip_reason"]
+    for df in (judged, classify.skip_results(judged)):
+        assert _plan(df).count("(announces?|launches?|releases?)") == 1
