@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import classify, vectors
 from tidemark.operators import rules as R
+from tidemark.plans import queries
+from tidemark.plans.views import Tables
 
 
 def _plan(df) -> str:
@@ -85,3 +87,8 @@ def test_needles_leave_out_no_match_and_patterns_are_tried_once(spark):
     assert judged.columns == [*items.columns, "domain_rule", "domain_category", "domain_importance", "est_score", "est_confidence", "est_reason", "skip_reason"]
     for df in (judged, classify.skip_results(judged)):
         assert _plan(df).count("(announces?|launches?|releases?)") == 1
+
+
+def test_types_of_discussions_are_all_met(spark):
+    kinds = {r["kind"] for r in queries.SPARK["p11_hn_type"](Tables(spark, "/root/testdata/sf0.001")).collect()}
+    assert kinds == {None, "ask", "show", "tell", "launch"}
