@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import classify, vectors
+from tidemark.operators import classify, events, vectors
 from tidemark.operators import rules as R
 from tidemark.plans import queries
 from tidemark.plans.views import Tables
@@ -92,3 +92,21 @@ def test_needles_leave_out_no_match_and_patterns_are_tried_once(spark):
 def test_types_of_discussions_are_all_met(spark):
     kinds = {r["kind"] for r in queries.SPARK["p11_hn_type"](Tables(spark, "/root/testdata/sf0.001")).collect()}
     assert kinds == {None, "ask", "show", "tell", "launch"}
+
+
+def test_pairs_by_word_and_name_are_those_of_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    words, names = [f"w{'x' * (k % 4)}{k}" for k in range(14)], ["Google", "Meta", "Apple", "Tesla", "Intel"]
+    rows = []
+    for i in range(160):
+        title = " ".join(rng.choice(words, rng.integers(0, 15)).tolist() + (["GPT-4"] if i % 11 == 0 else []))
+        rows.append((i, "Ask HN: " + title if i % 13 == 0 else title, " ".join(rng.choice(names, rng.integers(0, 4)).tolist()), "en" if i % 5 else "de", int(i % 9)))
+    items = spark.createDataFrame(rows, "id long, title string, content string, category string, day int").withColumn("published_at", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, day)"))
+    f = events.features(items, "title", F.col("content")).cache()
+    pairs = f.drop("keys").select(*(F.col(c).alias("a_" + c) for c in f.columns if c != "keys")).crossJoin(f.select(*(F.col(c).alias("b_" + c) for c in f.columns if c != "keys")))
+    pairs = pairs.filter("a_id <> b_id and (a_hn is null or b_hn is null or a_hn = b_hn)").select("a_id", "b_id", events.event_score("a_", "b_")["score"].alias("s"))
+    for least in (0.52, 0.55, 0.7):
+        want = {tuple(r) for r in pairs.filter(F.col("s") >= least).collect()}
+        found = events.accepting(f.drop("keys"), f.drop("keys"), least)
+        got = [tuple(r) for r in found.collect()]
+        assert set(got) == want and len(got) == len(want) > 20
