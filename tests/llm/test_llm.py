@@ -136,6 +136,20 @@ def test_tree_links_span_all_links():
     assert groups([*every[::2], *jaccard.tree_links(sets, labels)]) == groups(every)
 
 
+def test_big_groups_are_cut_by_size(spark):
+    sizes = [1, 2, 3, 4, 5, 7, 8, 9, 10, 12, 15, 90, 100, 112, 113, 125, 126, 5000, 6249, 6250, 6251, 20000]
+    groups = spark.createDataFrame([(k, 0, n, 0) for k, n in enumerate(sizes)], "node long, component long, n long, head long")
+    cuts = {}
+    for r in jaccard._by_size(groups, jaccard.THRESHOLD).collect():
+        cuts.setdefault(r.component, set()).add((r.node, r.head))
+    assert all(len(c) > 1 and {h for _, h in c} == {min(n for n, _ in c)} for c in cuts.values())
+    together = {(a, b) for c in cuts.values() for a, _ in c for b, _ in c if a < b}
+    for a, n in enumerate(sizes):
+        for b in range(a + 1, len(sizes)):
+            assert n * 5 < sizes[b] * 4 or (a, b) in together
+    assert (0, 21) not in together and (11, 17) not in together
+
+
 def test_keep_one_tells_rows_apart(spark):
     t, u = " ".join(f"w{i}" for i in range(30)), " ".join(f"v{i}" for i in range(30))
     rows = [(1, t), (7, t), (None, t), (5, t + " more"), (5, u), (6, None), (8, ""), (9, u.upper())]

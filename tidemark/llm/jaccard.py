@@ -15,7 +15,8 @@ fewer). Documents link when |A and B| / |A or B| reaches `threshold`.
    of sizes and the most shingles that share a bit. Some members one by one, then all by a dual traversal, meet the tree's nodes;
    pairs of nodes whose greatest possible overlap is too small, or whose members are all in one component already, are dropped.
    The rest are verified on the sets.
-4. A group of more than CHUNK_SHINGLES shingles or CHUNK members is dealt into chunks, each with the group's first member; what
+4. A group of more than CHUNK_SHINGLES shingles or CHUNK members is cut by size, since linked sets are of like sizes, and a cut that
+   is still above is dealt into chunks, each with the cut's first member; what
    that leaves apart meets all chunks in a second pass. No task holds more than about two chunks. Texts travel, not sets: they pack to
    a third of the size of hashes.
 
@@ -298,7 +299,8 @@ class SignatureTree:
         while width > 256 and width * len(sets) > 1 << 25:
             width //= 2
         bits = np.zeros((len(sets), width), bool)
-        bits[np.repeat(np.arange(len(sets)), n), np.concatenate(sets).astype(np.int64) & (width - 1)] = True
+        for row, x in zip(bits, sets, strict=True):  # one by one: a copy of all sets would hold them twice
+            row[x.astype(np.int64) & (width - 1)] = True
         sig = np.packbits(bits, axis=1).view(np.uint64)
         crowd = n - np.bitwise_count(sig).sum(axis=1).astype(np.int64)
         self.levels = [(sig, n, n, crowd)]
@@ -339,21 +341,25 @@ class SignatureTree:
             at = np.arange(0, len(labels[-1]), FANOUT)
             low, high = np.minimum.reduceat(labels[-1], at), np.maximum.reduceat(labels[-1], at)
             labels.append(np.where(low == high, low, -1))
-        i = j = np.zeros(1, np.int64)
-        for level in range(len(self.levels) - 1, -1, -1):
+
+        def met(level: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             own = labels[level]
             keep = (own[i] != own[j]) | (own[i] < 0) | ((label is None) & (i == j))
             i, j = i[keep], j[keep]
             keep = self.may_link(level, i, j, t)
-            i, j = i[keep], j[keep]
-            if level:
-                below = len(self.levels[level - 1][0])
-                step = np.arange(FANOUT)
-                a = (i[:, None] * FANOUT + step)[:, :, None]
-                b = (j[:, None] * FANOUT + step)[:, None, :]
+            return i[keep], j[keep]
+
+        i, j = met(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))
+        step = np.arange(FANOUT)
+        for level in range(len(self.levels) - 1, 0, -1):
+            below, found = len(self.levels[level - 1][0]), [(i[:0], j[:0])]
+            for at in range(0, len(i), 10_000):  # of the pairs below, only those that may link are held together
+                a = (i[at : at + 10_000, None] * FANOUT + step)[:, :, None]
+                b = (j[at : at + 10_000, None] * FANOUT + step)[:, None, :]
                 a, b = np.broadcast_arrays(a, b)
                 ok = (a < below) & (b < below) & ((a < b) | ((level > 1) & (a == b)))
-                i, j = a[ok], b[ok]
+                found.append(met(level - 1, a[ok], b[ok]))
+            i, j = (np.concatenate(x) for x in zip(*found, strict=True))
         return i[i != j], j[i != j]
 
 
@@ -386,10 +392,10 @@ def tree_links(sets: list[np.ndarray], labels: list[int], t: Fraction = THRESHOL
         met.add(find(k))
         maybe = tree.near(k, t)
         maybe = maybe[[find(x) != find(k) for x in maybe.tolist()]] if len(maybe) else maybe
-        if len(maybe):
-            inside = np.isin(np.concatenate([sets[x] for x in maybe.tolist()]), sets[k], assume_unique=False)
-            both = np.add.reduceat(inside.astype(np.int64), np.cumsum(n[maybe]) - n[maybe])
-            for x in maybe[both * q >= (n[maybe] + n[k] - both) * p].tolist():
+        for part in np.split(maybe, np.flatnonzero(np.diff(np.cumsum(n[maybe]) >> 20)) + 1) if len(maybe) else ():  # about a million shingles
+            inside = np.isin(np.concatenate([sets[x] for x in part.tolist()]), sets[k], assume_unique=False)
+            both = np.add.reduceat(inside.astype(np.int64), np.cumsum(n[part]) - n[part])
+            for x in part[both * q >= (n[part] + n[k] - both) * p].tolist():
                 a, b = find(k), find(x)
                 if a != b:
                     root[max(a, b)] = min(a, b)
@@ -475,15 +481,38 @@ def _judged(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD
     return restore(out, "doc_id", "component_id").select("doc_id", "n_shingles", "component_id", "text_hash")
 
 
+def _by_size(groups: DataFrame, t: Fraction) -> DataFrame:
+    """Groups (node, component, n, head) cut by size. A set goes to its own class and to the class of the least set that it can link
+    with, which is the same or the one below; so each link lies whole in some class. Classes without a possible pair go."""
+    p, q = t.numerator, t.denominator
+    bounds = [1]
+    while bounds[-1] < 1 << 40:
+        bounds.append(max(bounds[-1] + 1, -(-bounds[-1] * 3 // 2), -(-bounds[-1] * q // p)))
+    cls = lambda n: F.size(F.filter(F.lit(bounds), lambda x: x <= n))
+    own, least = cls(F.col("n")), cls(F.floor((F.col("n") * p + (q - 1)) / q))
+    rows = groups.select("node", "n", "component", own.alias("own"), F.explode(F.array_distinct(F.array(own, least))).alias("cls"))
+    rows = stored(rows.select("node", "n", F.xxhash64("component", "cls").alias("component"), (F.col("own") == F.col("cls")).alias("here")), "sizes")
+    met = rows.groupBy("component").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("members"), F.bool_or("here").alias("some"))
+    return rows.join(met.filter("members > 1 and some"), "component").select("node", "component", "n", "head")
+
+
 def _links(docs: DataFrame, groups: DataFrame, words: int, t: Fraction, chunk: int, chunk_shingles: int) -> DataFrame:
     """(a, b): links that span the components of all links between the sets of each group (node, component, n)."""
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("mass"))
-    need = F.greatest(F.ceil(F.col("size") / chunk), F.least(F.ceil(F.col("mass") / chunk_shingles), F.col("size")))
-    chunks = sizes.select("component", need.cast("int").alias("chunks"))
-    big = stored(chunks.filter("chunks > 1"), "big-groups")
+
+    def over_a_chunk(groups: DataFrame) -> DataFrame:
+        sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("mass"))
+        need = F.greatest(F.ceil(F.col("size") / chunk), F.least(F.ceil(F.col("mass") / chunk_shingles), F.col("size")))
+        return stored(sizes.select("component", need.cast("int").alias("chunks")).filter("chunks > 1"), "big-groups")
+
+    big = over_a_chunk(groups)
+    groups = groups.withColumn("head", F.col("component"))
+    if big.count():
+        cut = groups.join(big.select("component"), "component", "left_semi")
+        groups = stored(groups.join(big.select("component"), "component", "left_anti").unionByName(_by_size(cut, t)), "groups-by-size")
+        big = over_a_chunk(groups)
     placed = groups.join(F.broadcast(big) if big.count() <= BROADCAST_MEMBERS else big, "component", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    at = F.when(F.col("node") == F.col("component"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(own))
+    at = F.when(F.col("node") == F.col("head"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(own))
     members = placed.select("component", F.col("node").alias("set_id"), F.col("node").alias("label"), F.explode(at).alias("chunk"))
     members = members.select(F.struct("component", "chunk").alias("g"), "set_id", "label").select(F.xxhash64("g").alias("group"), "set_id", "label")
     links = _join_texts(docs, members, words, t)
