@@ -164,6 +164,15 @@ def test_search_asks_the_kept_index_for_terms_only(spark, tmp_path):
     assert "EqualTo(term,b)" in plan
 
 
+def test_postings_are_made_without_a_shuffle(spark):
+    items = spark.createDataFrame([(2, "b a b", None), (1, "a \u00c4b a", "B"), (3, None, "...")], "id long, title string, content string")
+    index = search.build_index(items.coalesce(1), ("title", "content"))
+    want = [("a", "title", 1, 2, [0, 2]), ("a", "title", 2, 1, [1]), ("b", "content", 1, 1, [0]), ("b", "title", 2, 2, [0, 2]), ("\u00e4b", "title", 1, 1, [1])]
+    assert [tuple(r) for r in index.collect()] == want
+    assert sorted(map(tuple, search.build_index(items, ("title", "content"), most=1).collect())) == sorted(want)
+    assert "Exchange" not in index._jdf.queryExecution().executedPlan().toString()
+
+
 def test_search_finds_phrases(spark):
     rows = [(1, "Big red apple", "a b a b c"), (2, "red big apple", "b a, c"), (3, "apple", "red; APPLE red"), (4, "Red", "apple pie")]
     items = spark.createDataFrame(rows, "id long, title string, content string").withColumns({"importance_score": F.lit(5), "published_at": F.lit(None).cast("timestamp_ntz")})
