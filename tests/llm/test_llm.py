@@ -564,6 +564,27 @@ def test_language_model_is_a_distribution_and_learns(spark):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows) + 0.05 * sum(r.n_tokens for r in rows)  # the word before tells
 
 
+def test_history_tells_words_of_one_class_apart(spark):
+    import pyarrow as pa
+
+    rng = random.Random(13)
+    words = [(f"aa{i}", f"zz{i}") for i in range(40)]  # two groups of words by their first two bytes
+    texts = [(i, " ".join(x for _ in range(30) for x in rng.choice(words))) for i in range(400)]
+    frame = spark.createDataFrame(texts, SCHEMA).withColumn("held_out", lm.held_out())
+    model = lm.train(frame.filter("not held_out"))
+    rows = lm.score(frame.filter("held_out"), model).collect()
+    gain = (sum(r.score for r in rows) - sum(r.base_score for r in rows)) / sum(r.n_tokens for r in rows)
+    assert gain > 0.75, gain  # log10 a token; 0.3 is to be had from the alternation alone, log10(40) / 2 more from the word before
+    # from any history the leaves of a group share all of it
+    leaf = np.arange(lm.LEAVES)
+    past = [np.full(lm.LEAVES, x[7]) for x in lm.tokens(pa.array([texts[0][1]])).histories()]
+    log, shares = np.zeros(lm.LEAVES), model.counts.log_shares()
+    for level, node, branch, places in lm.choices(leaf, past):
+        log += lm._chosen(shares[level], node, model.inner[level], lm.inner_rows(level, node, places), branch)
+    assert np.allclose(np.exp(log).reshape(lm.GROUPS, -1).sum(axis=1), 1, atol=1e-3)
+    assert model.counts.leaves.reshape(lm.GROUPS, -1).sum(axis=1).tolist() == [x - 1 + lm.LEAVES // lm.GROUPS for x in model.counts.sums]
+
+
 def quality_counts(text):
     import re
 
