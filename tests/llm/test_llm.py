@@ -725,3 +725,20 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     kept = texts[5].split("\n", 1)[1]
     assert got[5].decoded_sha256 == hashlib.sha256(kept.encode()).hexdigest()
     assert got[2].decoded_sha256 != hashlib.sha256(texts[2].split("\n", 1)[1].encode()).hexdigest()
+
+
+def test_a_lean_codec_codes_alike_and_holds_less(spark, docs):
+    import public_tokenizers as P
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    ranks = bpe.read_ranks(path)
+    codec = bpe.Codec(ranks, bpe.merge_table(ranks), P.PATTERN, lean=True)
+    assert codec.chunks.most_bytes + codec.pieces.most_bytes <= 28 << 20 and codec.query_rows <= 400_000
+    rows = [sorted(map(str, bpe.encode(docs, path, P.PATTERN, keep_text=False, lean=x).collect())) for x in (False, True)]
+    assert rows[0] == rows[1]
+    odd = ["ab" * 500, "z" * 1000 + " q" * 400, "é" * 500]
+    import pyarrow as pa
+
+    ids, offs = codec.encode(pa.array(odd))
+    raw, at = codec.decode(ids, offs)
+    assert [raw[a:b].tobytes().decode() for a, b in zip(at, at[1:], strict=False)] == odd

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .arrays import SPACE, mix, prefix_sums, range_hash, ranges, slices, text_parts
-from .common import trimmed, tune, without
+from .common import give_back, trimmed, tune, without
 from .wordbook import Book, as_list, distinct_spans, ids_of_spans
 
 LONG = 1000
@@ -37,6 +37,8 @@ LONG = 1000
 QUERY_ROWS, QUERY_MEMORY = 1_500_000, "160MB"
 #: Bytes of text that a worker looks at together.
 SLICE = 2 << 20
+#: The same of a lean worker, and what its dictionaries of chunks and pieces may hold: more queries, less memory.
+LEAN_ROWS, LEAN_SLICE, LEAN_CHUNKS, LEAN_PIECES = 400_000, 1 << 20, 16 << 20, 12 << 20
 EXTRA = T.StructType().add("n_tokens", "long").add("ids", "binary").add("decoded", "binary")
 
 ENCODE = """
@@ -102,7 +104,7 @@ def chunk_starts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 class Codec:
     """What one Python worker keeps: a DuckDB connection with the merge table, and the chunks and pieces met so far."""
 
-    def __init__(self, ranks: dict[bytes, int], merges: tuple[np.ndarray, np.ndarray], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], merges: tuple[np.ndarray, np.ndarray], pattern: str, lean: bool = False):
         import duckdb
         import regex
 
@@ -122,7 +124,8 @@ class Codec:
         self.sizes[list(ranks.values())] = [len(t) for t in ranks]
         self.opens[[r for t, r in ranks.items() if SPACE[t[0]]]] = True
         self.single = np.array([ranks.get(bytes([i]), NO_TOKEN) for i in range(256)], np.int64)
-        self.chunks, self.pieces = Book(), Book(32 << 20)
+        self.chunks, self.pieces = (Book(LEAN_CHUNKS), Book(LEAN_PIECES)) if lean else (Book(), Book(32 << 20))
+        self.query_rows = LEAN_ROWS if lean else QUERY_ROWS
 
     def merge(self, words: list[bytes]) -> list[bytes]:
         """Ids of words of 1 to LONG bytes by the recursive query."""
@@ -130,7 +133,7 @@ class Codec:
         begin, rows = 0, 0
         for k, w in enumerate(words):
             rows += len(w) * len(w) // 2 + len(w)
-            if rows >= QUERY_ROWS or k + 1 == len(words):
+            if rows >= self.query_rows or k + 1 == len(words):
                 out += self._merge(words[begin : k + 1])
                 begin, rows = k + 1, 0
         return out
@@ -240,11 +243,12 @@ class Codec:
 _CODECS: dict[str, Codec] = {}
 
 
-def codec(sent, name: str) -> Codec:
+def codec(sent, name: str, lean: bool = False) -> Codec:
     """The worker's codec for a broadcast rank table; a worker keeps one from task to task."""
+    name += " lean" if lean else ""
     if name not in _CODECS:
         _CODECS.clear()
-        _CODECS[name] = Codec(*sent.value)
+        _CODECS[name] = Codec(*sent.value, lean)
     return _CODECS[name]
 
 
@@ -259,8 +263,9 @@ def _binary(flat: np.ndarray, offs: np.ndarray) -> pa.Array:
     return pa.array([raw[a:b] for a, b in zip(at, at[1:], strict=False)], pa.binary())
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, keep_text: bool = True) -> DataFrame:
-    """docs with n_tokens, ids (little-endian uint32) and decoded (the bytes that these ids decode to)."""
+def encode(docs: DataFrame, ranks_path: str, pattern: str, keep_text: bool = True, lean: bool = False) -> DataFrame:
+    """docs with n_tokens, ids (little-endian uint32) and decoded (the bytes that these ids decode to). lean: workers hold less and take longer, for
+    jobs that share their executors with more."""
     tune(docs.sparkSession)
     docs = without(docs, *EXTRA.names)
     sent, name = _send(docs, ranks_path, pattern)
@@ -268,11 +273,13 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep_text: bool = Tru
     schema = T.StructType([*(f for f in docs.schema.fields if f.name in stay), *EXTRA.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(sent, name)
+        own = codec(sent, name, lean)
         for batch in trimmed(batches):
-            for b in slices(batch, most=SLICE):
+            for b in slices(batch, most=LEAN_SLICE if lean else SLICE):
                 ids, offs = own.encode(b.column("text"))
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in stay), pa.array(np.diff(offs)), _binary(ids, offs), _binary(*own.decode(ids, offs))], names=schema.names)
+                if lean:
+                    give_back()
 
     return docs.mapInArrow(run, schema)
 

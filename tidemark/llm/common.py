@@ -28,6 +28,11 @@ def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches of a task; at the end of the task the worker, which Spark keeps, gives its free memory back to the system."""
     yield from batches
     gc.collect()
+    give_back()
+
+
+def give_back() -> None:
+    """Free memory of this process goes back to the system."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # a C library without it keeps its own counsel
         ctypes.CDLL(None).malloc_trim(0)
