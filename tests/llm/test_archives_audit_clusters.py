@@ -262,3 +262,27 @@ def test_scores_of_any_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id string, text string").withColumn("held_out", F.lit(False))
     got = sorted(((r["doc_id"], r["n_tokens"]) for r in lm.score(docs, lm.train(docs)).collect()), key=str)
     assert got == sorted([("b7", 5), ("a1", 3), (None, 2), ("a1", 1)], key=str)
+
+
+def test_tasks_send_packed_counts():
+    """One row a group and shard leaves a task, not one a term; sums come array by array."""
+    counts = divergence._Counts({}, 1, 1 << 20)
+    counts.dense = {("en", "a", 0): np.array([0, 3, 0, 2]), ("en", "b", 0): np.zeros(4, np.int64), ("fr", "a", 1): np.array([5])}
+    rows = list(counts.flush())
+    assert sum(b.num_rows for b in rows) == 2
+    got = [tuple(r.values()) for b in divergence._add_packed(iter([rows[0], rows[0], rows[1]])) for r in b.to_pylist()]
+    assert got == [("en", "a", 0, 1, 6), ("en", "a", 0, 3, 4), ("fr", "a", 1, 0, 5)]
+
+
+def test_terms_of_a_batch_are_counted_as_by_a_plain_loop():
+    texts = ["B\u00e9b\u00e9 a-a A1a", None, "", "zz a \u6f22z", "a zz"]
+    t = divergence.Terms(pa.array(texts))
+    group = np.array([0, 0, 1, 1, 0])
+    plain = [re.findall("[a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), x or "")) for x in texts]
+    for documents in (False, True):
+        want = {}
+        for g, words in zip(group.tolist(), plain, strict=True):
+            for w in set(words) if documents else words:
+                want[g, w] = want.get((g, w), 0) + 1
+        got = {(g, w.decode()): n for g, which, times in t.counts(group, documents) for w, n in zip(t.array(which).to_pylist(), times.tolist(), strict=True)}
+        assert got == want

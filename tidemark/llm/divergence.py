@@ -4,7 +4,7 @@ The first pass filters exactly: it counts in how many documents of its language
 The kept terms of a language are dealt by hash into shards of about SHARD_KEYS terms; each becomes a minimal perfect hash with its
 terms stored by slot. The second pass recounts: shards are broadcast in blocks of at most BLOCK_BYTES, and a task looks up its terms, compares
 them with the stored ones, and increments a dense array of slots for each group and shard; at DENSE_BYTES the arrays are
-emptied into (group, shard, slot, count) rows, which are summed. A vocabulary of several blocks is recounted block by block, one
+sent as one packed row for each group and shard, which are added up array by array. A vocabulary of several blocks is recounted block by block, one
 live broadcast at a time, which reads the texts once for each.
 
 Smoothed shares are whole numbers: 1 + floor(SCALE * (count + 1) / (N + V)). They are divided as decimals, so counts may be of any
@@ -18,7 +18,6 @@ without kept terms has pairs of value 0. An empty table gives no rows. Ties of v
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +26,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, stored, trimmed, tune
+from .arrays import LOWER, ranges, slices, span_hash, text_parts, word_spans
+from .common import discard, partitions, stored, trimmed, tune
 from .perfecthash import PerfectHash
+from .wordbook import distinct_spans
 
 SCALE = 1_000_000_000
 SHARD_KEYS = 1 << 16
@@ -43,8 +44,53 @@ PENDING_WORDS = 4_000_000
 RANGE_CELLS = 1 << 21
 #: Slots of a range at most, so that a large language is many ranges.
 RANGE_SLOTS = 1 << 13
-#: Fixed value: a term, over lower-cased UTF-8.
+#: Rows of counts that a task of the first pass holds before it adds them up.
+HELD = 600_000
+#: Fixed value: a term, over lower-cased UTF-8, and its bytes before that.
 TERM_BYTES = re.compile(rb"[a-z\x80-\xff]+")
+TERM = np.zeros(256, bool)
+TERM[0x41:0x5B] = TERM[0x61:0x7B] = TERM[0x80:] = True
+
+
+class Terms:
+    """The terms of a batch of texts: each different term once, which of them stands at every place, and each place's text."""
+
+    def __init__(self, column: pa.Array):
+        data, offs = text_parts(column)
+        start, end, word_offs = word_spans(data, offs, TERM)
+        self.low = LOWER[data]
+        self.first, self.which = distinct_spans(self.low, start, end, span_hash(self.low, start, end, False))
+        self.start, self.size = start[self.first], (end - start)[self.first]
+        self.text = np.repeat(np.arange(len(word_offs) - 1), np.diff(word_offs))
+
+    def array(self, which: np.ndarray) -> pa.Array:
+        """These terms' bytes."""
+        size = self.size[which]
+        offs = np.append(0, np.cumsum(size)).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(which), [None, pa.py_buffer(offs), pa.py_buffer(self.low[ranges(self.start[which], size)])])
+
+    def counts(self, group: np.ndarray, documents: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(group, terms, how often each stands there, or in how many texts) for each text's group from 0 on; texts of -1 are left out."""
+        n = max(len(self.first), 1)
+        if documents:
+            key = np.sort(self.text * n + self.which)
+            key = key[np.append(True, key[1:] != key[:-1])[: len(key)]]
+            text, which = key // n, key % n
+        else:
+            text, which = self.text, self.which
+        own = group[text]
+        key = np.sort((own * n + which)[own >= 0])
+        at = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        times, key = np.diff(np.append(at, len(key))), key[at]
+        cuts = np.flatnonzero(np.append(True, key[1:] // n != key[:-1] // n)[: len(key)])
+        for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(key)], strict=True):
+            yield int(key[a] // n), key[a:z] % n, times[a:z]
+
+
+def _codes(column: pa.Array) -> tuple[list[str], np.ndarray]:
+    """(the different values, each row's place among them)."""
+    coded = column.dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
@@ -55,19 +101,30 @@ def kept_terms(docs: DataFrame, min_docs: int = 3) -> DataFrame:
     """(lang, term) of the terms in at least min_docs documents of the language. Tasks count before the shuffle."""
     tune(docs.sparkSession)
 
-    def out(counts: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
-        for lang, counter in counts.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counter), pa.string()), pa.array(counter.keys(), pa.binary()).cast(pa.string()), pa.array(counter.values(), pa.int64())], names=["lang", "term", "n"])
+    def merged(held: list[pa.Table]) -> pa.Table:
+        rows = pa.concat_tables(held).group_by(["lang", "term"], use_threads=False).aggregate([("n", "sum")])
+        return rows.rename_columns({"n_sum": "n"}).select(["lang", "term", "n"])
+
+    def out(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        yield from rows.set_column(1, "term", rows.column("term").cast(pa.string())).to_batches()
 
     def run(batches):
-        counts: dict[str, Counter] = {}
-        for b in trimmed(batches):
-            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").cast(pa.large_binary()), strict=True):
-                counts.setdefault(lang, Counter()).update(set(TERM_BYTES.findall(text.as_py().lower())))
-            if sum(map(len, counts.values())) >= PENDING:
-                yield from out(counts)
-                counts = {}
-        yield from out(counts)
+        held, size = [], 0
+        for batch in trimmed(batches):
+            for b in slices(batch):
+                t = Terms(b.column("text"))
+                langs, lang = _codes(b.column("lang"))
+                for k, which, n in t.counts(lang, documents=True):
+                    held.append(pa.table({"lang": pa.array([langs[k]] * len(which), pa.string()), "term": t.array(which), "n": n}))
+                    size += len(which)
+                if size >= HELD:
+                    held = [merged(held)]
+                    size = held[0].num_rows
+                    if size >= PENDING:
+                        yield from out(held[0])
+                        held, size = [], 0
+        if held:
+            yield from out(merged(held))
 
     rows = _narrow(docs).select("lang", "text").mapInArrow(run, "lang string, term string, n long")
     return rows.groupBy("lang", "term").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs).select("lang", "term")
@@ -154,11 +211,36 @@ class _Counts:
     def flush(self) -> Iterator[pa.RecordBatch]:
         for (lang, source, shard), counts in self.dense.items():
             slots = np.flatnonzero(counts)
-            n = len(slots)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), pa.array(np.full(n, shard, np.int32)), pa.array(slots.astype(np.int32)), pa.array(counts[slots])], names=["lang", "source", "shard", "slot", "n"])
+            if len(slots):
+                row = [lang, source, shard, len(counts), slots.astype(np.int32).tobytes(), counts[slots].tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=PACKED_NAMES)
         self.dense, self.bytes = {}, 0
 
 
+PACKED = "lang string, source string, shard int, size int, slots binary, counts binary"
+PACKED_NAMES = [x.split()[0] for x in PACKED.split(", ")]
+
+
+def _add_packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task: tasks' counts in order of (lang, source, shard); their sums, one array of slots at a time."""
+    at, total = None, np.zeros(0, np.int64)
+
+    def out() -> Iterator[pa.RecordBatch]:
+        slots = np.flatnonzero(total)
+        if len(slots):
+            same = pa.array(np.zeros(len(slots), np.int32))
+            names = [pa.array([x], pa.string()).take(same) for x in at[:2]]
+            yield pa.RecordBatch.from_arrays([*names, pa.array(np.full(len(slots), at[2], np.int32)), pa.array(slots.astype(np.int32)), pa.array(total[slots])], names=["lang", "source", "shard", "slot", "n"])
+
+    for b in trimmed(batches):
+        for lang, source, shard, size, slots, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if (lang, source, shard) != at:
+                yield from out()
+                at, total = (lang, source, shard), np.zeros(size, np.int64)
+            total[np.frombuffer(slots, np.int32)] += np.frombuffer(counts, np.int64)
+    yield from out()
+
+
 def _blocks(shards: DataFrame, most: int) -> list[list[tuple[str, int]]]:
     """The shards' keys in blocks of at most `most` bytes (a larger shard alone); one short row a shard reaches the driver."""
     out, size = [[]], 0
@@ -198,7 +280,8 @@ def recount(docs: DataFrame, shards: DataFrame, n_shards: int, block_bytes: int
             yield from counts.settle()
             yield from counts.flush()
 
-        found = narrow.mapInArrow(run, schema).groupBy("lang", "source", "shard", "slot").agg(F.sum("n").alias("n"))
+        by = ["lang", "source", "shard"]
+        found = narrow.mapInArrow(run, PACKED).repartition(partitions(spark), *by).sortWithinPartitions(*by).mapInArrow(_add_packed, schema)
         parts.append(stored(found, "recounted"))
         sent.destroy()
     if not parts:
