@@ -155,6 +155,46 @@ def test_cache_hits_misses_and_ends_with_the_clock(spark, tmp_path):
     assert removed[-1] < max(removed)
 
 
+def test_cache_serves_many_keys_of_a_bucket_at_once(spark, tmp_path):
+    import pandas as pd
+
+    class Handle:
+        def __init__(self):
+            self.rows, self.calls, self.timers = [], 0, []
+
+        def getListState(self, name, schema):
+            return self
+
+        def exists(self):
+            return bool(self.rows)
+
+        def get(self):
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.rows, self.calls = rows, self.calls + 1
+
+        def clear(self):
+            self.rows = []
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    from types import SimpleNamespace as Space
+
+    handle, cache = Handle(), jobs.TtlCache(1000)
+    cache.init(handle)
+    at = lambda now: Space(getCurrentWatermarkInMs=lambda: now, getExpiryTimeInMs=lambda: now)
+    frame = pd.DataFrame({"key": [str(k % 50) for k in range(100)], "id": range(100), "at": [500 * (k // 50) for k in range(100)], "value": [f"v{k}" for k in range(100)]})
+    out = pd.concat(cache.handleInputRows((7,), iter([frame]), at(0)))
+    assert out["hit"].tolist() == [False] * 50 + [True] * 50 and out["value"].tolist() == [f"v{k % 50}" for k in range(100)]
+    assert handle.calls == 1 and len(handle.rows) == 50 and handle.timers == [1000]  # one write of state for all keys
+    out = pd.concat(cache.handleInputRows((7,), iter([pd.DataFrame({"key": ["3", None], "id": [100, 101], "at": [1500, 1500], "value": ["new", None]})]), at(1200)))
+    assert out["hit"].tolist() == [False, False] and handle.rows == [("3", "new", 2500), (None, None, 2500)]
+    list(cache.handleExpiredTimer((7,), at(0), at(2500)))
+    assert handle.rows == []
+
+
 def test_cursors_hold_across_batches(spark, tmp_path):
     kind = "user long, id long"
     frames = [spark.createDataFrame(b, kind) for b in ([(1, 1), (1, 2), (2, 1)], [(1, 2), (1, 3), (2, 1)], [(1, 1), (2, 4), (3, 1), (2, 3)])]
