@@ -174,6 +174,27 @@ def ranges(start: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(start - (ends - counts), counts)
 
 
+def distinct(keys: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the first place of each different key, by rising key; which of these every place has). bits: what a key takes.
+    One sort of numbers that hold the key above the place; keys too wide for that lose their lowest bits in it, and where that
+    leaves them out of order they are sorted whole."""
+    keys, low = keys.astype(np.uint64, copy=False), max(0, len(keys) - 1).bit_length()
+    place = np.uint64((1 << low) - 1)
+    packed = keys << np.uint64(low) if bits + low <= 64 else keys & ~place
+    packed |= np.arange(len(keys), dtype=np.uint64)
+    packed.sort()
+    order = (packed & place).astype(np.int64)
+    keys_in_order = keys[order]
+    if bits + low > 64 and (keys_in_order[1:] < keys_in_order[:-1]).any():
+        _, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        return first, which
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys_in_order[1:], keys_in_order[:-1], out=new[1:])
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
+
+
 def covered(length: int, start: np.ndarray, span: np.ndarray | int) -> np.ndarray:
     """Mask of the positions under any of the spans."""
     delta = np.zeros(length + 1, np.int64)

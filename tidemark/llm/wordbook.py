@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from .arrays import ranges, span_hash
+from .arrays import distinct, ranges, span_hash
 
 _MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
@@ -24,8 +24,8 @@ def loads(data: np.ndarray) -> np.ndarray:
 
 def equal_spans(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether a[a_start : a_start + size] and b[b_start : b_start + size] are equal; a and b are loads()."""
-    out = np.ones(len(size), bool)
-    todo, k = np.flatnonzero(size > 0), 0
+    out = ((a[a_start] ^ b[b_start]) & _MASK[np.minimum(size, 8)]) == 0
+    todo, k = np.flatnonzero(out & (size > 8)), 8
     while len(todo):
         left = size[todo] - k
         same = ((a[a_start[todo] + k] ^ b[b_start[todo] + k]) & _MASK[np.minimum(left, 8)]) == 0
@@ -37,7 +37,7 @@ def equal_spans(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.n
 
 def distinct_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(index of the first of each distinct span, which of these every span equals)."""
-    _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+    first, which = distinct(hashes)
     own, size, x = first[which], end - start, loads(data)
     if np.array_equal(size, size[own]) and equal_spans(x, start, x, start[own], size).all():
         return first, which
