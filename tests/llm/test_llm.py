@@ -91,6 +91,35 @@ def test_jaccard_lanes_are_split_by_key(docs):
     assert sorted(map(str, jaccard.near_duplicates(docs, lane_keys=50).collect())) == want
 
 
+def test_common_keys_are_counted_for_each_pair():
+    rng = np.random.default_rng(11)
+    for _ in range(60):
+        nodes, least, pairs = int(rng.integers(1, 30)), int(rng.integers(1, 6)), int(rng.choice([0, 5, 50, 10**6]))
+        keys, node = np.unique(np.stack([rng.integers(0, rng.integers(1, 80), 150), rng.integers(0, nodes, 150)]), axis=1)
+        root, a, b, n = jaccard.shared_keys(keys.astype(np.uint64), node, nodes, lambda a, b, least=least: np.full(len(a), least), pairs)
+        got = {(min(x), max(x)): k for *x, k in zip(a.tolist(), b.tolist(), n.tolist(), strict=True)}
+        for x in range(nodes):
+            for y in range(x + 1, nodes):
+                both = len(np.intersect1d(keys[node == x], keys[node == y]))
+                assert root[x] == root[y] or (both < least and got.get((x, y), 0) == both)
+
+
+def test_texts_that_share_a_little_form_no_group(spark, monkeypatch):
+    rng = random.Random(5)
+    some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows, tail = [], some(80)
+    for i in range(30):  # each shares a passage with the next: a chain of texts, none linked
+        body, head, tail = some(700 + 10 * i), tail, some(80)
+        rows.append((i, " ".join(head + body + tail)))
+    for i in range(5):
+        rows.append((100 + i, rows[i * 6][1].replace(" ", " new ", 20)))
+    seen, links = [], jaccard._links
+    monkeypatch.setattr(jaccard, "_links", lambda docs, groups, *a: (seen.extend(r.node for r in groups.collect()), links(docs, groups, *a))[1])
+    found = {(r.doc_id, r.component_id) for r in jaccard.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found == {(i, i % 100 * 6 if i >= 100 else i) for i, _ in rows}
+    assert sorted(seen) == [0, 6, 12, 18, 24, 100, 101, 102, 103, 104]
+
+
 def test_signature_tree_finds_all_pairs():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 400, rng.integers(5, 60)).astype(np.uint64)) for _ in range(80)]

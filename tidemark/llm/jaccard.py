@@ -8,8 +8,11 @@ fewer). Documents link when |A and B| / |A or B| reaches `threshold`.
    more, a linked set has one of these in full. Keys are hashes of (size class, part, what the part holds). Frequent
    shingles are left out of the parts (sets differ by no more without them). Sets with too few parts left, and all that
    they could miss are such too, give the keys of their prefix, in which frequent shingles come last.
-   Inside a task only the first document of a key travels on; the others become edges to it, so a key is never heavier
-   than the number of batches.
+   Linked sets have many keys in common; unlinked ones share a few by chance, the more so the larger the corpus. So common keys are
+   counted for each pair. The keys of a class are dealt into groups, one of which holds its share of what a link takes: where that
+   is three or more, pairs with so many in a group become edges. Where it is less, what a group counts of a pair goes on
+   as a narrow row, and the rows of a pair are added up. Keys of more pairs than a group counts (PAIRS) tie all their documents
+   together uncounted, which only makes groups larger.
 2. Components of the edges are the groups in which all links lie. Sets that are equal are one member.
 3. Every group gets a signature tree: members in order of size, nodes with OR-combined bitmaps of shingle hashes, ranges
    of sizes and the most shingles that share a bit. Some members one by one, then all by a dual traversal, meet the tree's nodes;
@@ -49,6 +52,8 @@ FANOUT, SINGLES = 8, 16
 AGAIN, COMMON = 2, 500_000
 #: Members of groups up to this number are broadcast (16 bytes each) to fetch their texts; more are joined by shuffle.
 BROADCAST_MEMBERS = 2_000_000
+#: Pairs that a bucket of keys counts at most (about 60 bytes each in a worker).
+PAIRS = 2_000_000
 #: Keys that meet in one group at most, by the count of what documents can give (about 50 bytes each in a worker).
 LANE_KEYS = 2_000_000
 _ODD = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
@@ -116,6 +121,14 @@ def _parts(high: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
     return differ, np.maximum(differ + 1, -(-high * 8 * (q - p) // (5 * (q + p))) + differ + differ // 6)
 
 
+def _prefix(n: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """(least common keys of two prefixes, length of the prefix) of linked sets by size: for one common key a prefix holds what may be missing and one
+    shingle more, and for each further one another."""
+    least = -(-n * t.numerator // t.denominator)
+    common = np.minimum(1 + n // 40, least)
+    return common, n - least + common
+
+
 def most_keys(n: np.ndarray, t: Fraction) -> np.ndarray:
     """The most keys that sets of these sizes can give, by class: every part with two shingles, and the prefix."""
     n = n[n > 0]
@@ -126,7 +139,7 @@ def most_keys(n: np.ndarray, t: Fraction) -> np.ndarray:
     first, last = np.searchsorted(high, n), np.searchsorted(high, n * q // p)
     cls = ranges(first, last - first + 1)
     n = np.repeat(n, last - first + 1)
-    return np.bincount(cls, weights=np.minimum(_parts(high, t)[1][cls], n // 2) + n - -(-n * p // q) + 1, minlength=len(high)).astype(np.int64)
+    return np.bincount(cls, weights=np.minimum(_parts(high, t)[1][cls], n // 2) + _prefix(n, t)[1], minlength=len(high)).astype(np.int64)
 
 
 def lane_splits(most: np.ndarray, lanes: int, t: Fraction, lane_keys: int = LANE_KEYS) -> np.ndarray:
@@ -141,13 +154,9 @@ def lane_splits(most: np.ndarray, lanes: int, t: Fraction, lane_keys: int = LANE
     return np.maximum(1, -(-fullest // lane_keys))
 
 
-def block_keys(h: np.ndarray, offs: np.ndarray, common: np.ndarray, t: Fraction = THRESHOLD, lanes: int = 6, splits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, document and lane of each key). Equal keys share a lane, and near copies share few lanes, so that an edge
-    between them is found a few times and not once for each key. common: hashes, sorted, that the keys leave out where they can; any will do.
-    splits: by class, the groups that each of its lanes is dealt into by key."""
+def _blocks(h: np.ndarray, offs: np.ndarray, common: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, document, class, part and full parts of its document in the class, by key). Keys of prefixes have a share of their hash for a part and -1 full ones."""
     n = np.diff(offs)
-    if not len(h):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     p, q = t.numerator, t.denominator
     high = size_classes(int(n.max()) * q // p + 1)
     differ, parts = _parts(high, t)
@@ -159,40 +168,105 @@ def block_keys(h: np.ndarray, offs: np.ndarray, common: np.ndarray, t: Fraction
     first, last = np.searchsorted(high, n[doc]), np.searchsorted(high, n[doc] * q // p)
     doc, cls = np.repeat(doc, last - first + 1), ranges(first, last - first + 1)
     keys, part, owner, filled = _part_keys(h[~known], own_offs, doc, cls, parts[cls])
-    out_keys, out_docs, out_lanes = [keys], [doc[owner]], [cls[owner] * lanes + part % lanes]
+    small = lambda *xs: tuple(x.astype(np.int32) for x in xs)
+    out = [(keys, *small(doc[owner], cls[owner], part, filled[owner]))]
     few = np.flatnonzero(filled <= differ[cls])
     if len(few):
         doc, cls = doc[few], cls[few]
         order = np.lexsort((h, known, np.repeat(np.arange(len(n)), n)))
-        prefix = n[doc] - -(-n[doc] * p // q) + 1
+        prefix = _prefix(n[doc], t)[1]
         x = h[order[ranges(offs[doc], prefix)]]
-        out_lanes.append(np.repeat(cls, prefix) * lanes + (x % np.uint64(lanes)).astype(np.int64))
+        cls = np.repeat(cls, prefix)
         with np.errstate(over="ignore"):
-            out_keys.append(mix(x * _ODD[3] + np.repeat(cls, prefix).astype(np.uint64)))
-        out_docs.append(np.repeat(doc, prefix))
-    keys, lane = np.concatenate(out_keys), np.concatenate(out_lanes)
-    if splits is not None:
-        split = np.ones(max(len(high), len(splits)), np.int64)
-        split[: len(splits)] = splits
-        own = split[lane // lanes]
-        base = (np.cumsum(split) - split)[lane // lanes] * lanes
-        lane = base + lane % lanes * own + (keys % own.astype(np.uint64)).astype(np.int64)
-    return keys, np.concatenate(out_docs), lane
-
-
-def _first_of_key(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(positions of the least id of each key, and edges from the other ids to it, each once)."""
-    order = np.lexsort((ids, keys))
-    k, i = keys[order], ids[order]
-    new = np.ones(len(k), bool)
-    new[1:] = k[1:] != k[:-1]
-    head = i[np.flatnonzero(new)][np.cumsum(new) - 1]
-    edge = i != head
-    pairs = np.unique(np.stack([i[edge], head[edge]], axis=1), axis=0) if edge.any() else np.zeros((0, 2), np.int64)
-    return order[new], pairs[:, 0], pairs[:, 1]
-
-
-_KEYS = "bucket int, kind int, ids binary, places binary, low binary, high binary"
+            keys = mix(x * _ODD[3] + cls.astype(np.uint64))
+        out.append((keys, *small(np.repeat(doc, prefix), cls, x >> np.uint64(33), np.full(len(x), -1))))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _lanes(keys: np.ndarray, cls: np.ndarray, part: np.ndarray, lanes: int, splits: np.ndarray | None) -> np.ndarray:
+    """The group in which each key meets its like: a lane of its class, or one of those that the lane is dealt into."""
+    cls = cls.astype(np.int64)
+    lane = cls * lanes + part % lanes
+    if splits is None:
+        return lane
+    split = np.ones(max(int(cls.max()) + 1, len(splits)), np.int64)
+    split[: len(splits)] = splits
+    own = split[cls]
+    return (np.cumsum(split) - split)[cls] * lanes + lane % lanes * own + (keys % own.astype(np.uint64)).astype(np.int64)
+
+
+def block_keys(h: np.ndarray, offs: np.ndarray, common: np.ndarray, t: Fraction = THRESHOLD, lanes: int = 6, splits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, document and lane of each key). Equal keys share a lane. common: hashes, sorted, that the keys leave out where they can; any will do.
+    splits: by class, the groups that each of its lanes is dealt into by key."""
+    if not len(h):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    keys, doc, cls, part, _ = _blocks(h, offs, common, t)
+    return keys, doc, _lanes(keys, cls, part, lanes, splits)
+
+
+def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least node that each of n nodes reaches by the edges."""
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        open_ = np.flatnonzero(x != y)
+        if not len(open_):
+            return root
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(root[root], root):
+            root = root[root]
+
+
+def _counted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each different pair and how often it comes."""
+    code, times = np.unique((a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64), return_counts=True)
+    return (code >> np.uint64(32)).astype(np.int64), (code & np.uint64(0xFFFFFFFF)).astype(np.int64), times
+
+
+def shared_keys(keys: np.ndarray, node: np.ndarray, nodes: int, need, pairs: int = PAIRS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(root of each node, and a, b, count of pairs). Every two nodes with a key in common have one root, or are a pair with the number of
+    their common keys. need(a, b): how many of these are enough for one root."""
+    low = max(1, int(nodes - 1).bit_length())
+    packed = (keys << np.uint64(low)) | node.astype(np.uint64)  # keys lose bits at the top, which only makes more of them equal
+    packed.sort()
+    k, node = packed >> np.uint64(low), (packed & np.uint64((1 << low) - 1)).astype(np.int64)
+    del packed
+
+    def runs(keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        nonlocal k, node
+        k, node = k[keep], node[keep]
+        start = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
+        size = np.diff(np.append(start, len(k)))
+        return start, size, np.repeat(start, size)
+
+    start, size, first = runs(np.ones(len(k), bool))
+    start, size, first = runs(np.repeat(size > 1, size))
+    # each with the first of its key: enough for most copies
+    a, b, times = _counted(node, node[first])
+    sure = times >= need(a, b)
+    root = _roots(a[sure], b[sure], nodes)
+    # keys whose nodes have several roots: their pairs, or one root for all where these are too many
+    if len(k):
+        apart = np.bitwise_or.reduceat(root[node] != root[node[first]], start)
+        start, size, first = runs(np.repeat(apart, size))
+    order = np.argsort(size, kind="stable")
+    much = np.ones(len(size), bool)
+    much[order] = np.cumsum(size[order] * (size[order] - 1) // 2) > pairs
+    tied = np.repeat(much, size)
+    root = _roots(np.append(node[tied], np.arange(nodes)), np.append(node[first[tied]], root), nodes)
+    start, size, first = runs(~tied)
+    after = size.repeat(size) - (np.arange(len(node)) - first) - 1
+    a, b = np.repeat(node, after), node[ranges(np.arange(len(node)) + 1, after)]
+    apart = root[a] != root[b]
+    a, b, times = _counted(np.minimum(a[apart], b[apart]), np.maximum(a[apart], b[apart]))
+    sure = times >= need(a, b)
+    root = _roots(np.append(a[sure], np.arange(nodes)), np.append(b[sure], root), nodes)
+    weak = root[a] != root[b]
+    return root, a[weak], b[weak], times[weak]
+
+
+_KEYS = "bucket int, kind int, ids binary, places binary, low binary, high binary, sizes binary"
 _COUNTS = "kind int, h long, n long"
 _FOUND = "kind int, a long, b long, n long, f long, g long, t long"
 
@@ -230,8 +304,9 @@ def common_shingles(docs: DataFrame, words: int = WORDS, t: Fraction = THRESHOLD
     return np.sort(top[top["kind"] == 0]["h"].to_numpy(np.int64).view(np.uint64)), classes["n"].to_numpy(np.int64)
 
 
-def _write_keys(buckets: int, words: int, t: Fraction, common, lanes: int, splits: np.ndarray):
-    """Task: documents in, their sizes and set hashes and their keys by bucket out."""
+def _write_keys(buckets: int, words: int, t: Fraction, common, splits: np.ndarray):
+    """Task: documents in, their sizes and set hashes and their keys by bucket out. Of equal sets only one gives keys. With the keys of a bucket go,
+    for each document, its full parts and its size, as steps of _step and rounded so that links are never lost."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in trimmed(batches):
@@ -241,53 +316,94 @@ def _write_keys(buckets: int, words: int, t: Fraction, common, lanes: int, split
                 n = np.diff(offs)
                 doc = np.repeat(np.arange(len(n)), n)
                 whole = [_sums(mix(h ^ odd), doc, len(n)) for odd in _ODD[:2]]
-                rows = [[int(ids[0] % buckets), 0, ids.tobytes(), np.append(n, b.column("t").to_numpy()).astype(np.int64).tobytes(), whole[0].tobytes(), whole[1].tobytes()]]
-                keys, owner, lane = block_keys(h, offs, common.value, t, lanes, splits)
-                local, a, z = _first_of_key(keys, ids[owner])
-                if len(a):
-                    rows.append([int(ids[0] % buckets), 1, a.tobytes(), z.tobytes(), b"", b""])
-                keys, owner, lane = keys[local], owner[local], lane[local]
-                order = np.argsort(lane, kind="stable")
-                keys, owner, lane = keys[order], owner[order], lane[order]
-                used, edges = np.unique(lane, return_index=True)
-                edges = np.append(edges, len(lane))
-                for k, bucket in enumerate(used.tolist()):
-                    at = slice(edges[k], edges[k + 1])
-                    names, places = np.unique(owner[at], return_inverse=True)
-                    x = keys[at]
-                    rows.append([bucket, 2, ids[names].tobytes(), places.astype(np.uint32 if len(names) > 65535 else np.uint16).tobytes(), (x & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), ((x >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16).tobytes()])
+                rows = [[int(ids[0] % buckets), 0, ids.tobytes(), np.append(n, b.column("t").to_numpy()).astype(np.int64).tobytes(), whole[0].tobytes(), whole[1].tobytes(), b""]]
+                one = np.sort(np.unique(np.stack([n.astype(np.uint64), *whole]), axis=1, return_index=True)[1])
+                one = one[n[one] > 0]
+                if len(one):
+                    keys, owner, cls, part, filled = _blocks(h[ranges(offs[one], n[one])], np.append(0, np.cumsum(n[one])), common.value, t)
+                    owner = one[owner]
+                    lane = np.where(filled < 0, 1 + 2 * _lanes(keys, cls, part, 1, _groups(splits, 3)), 2 * _lanes(keys, cls, part, 1, _groups(splits, 2)))
+                    order = np.argsort(lane, kind="stable")
+                    keys, owner, cls, filled, lane = keys[order], owner[order], cls[order], filled[order], lane[order]
+                    high = size_classes(int(n.max()) * t.denominator // t.numerator + 1)
+                    used, edges = np.unique(lane, return_index=True)
+                    edges = np.append(edges, len(lane))
+                    for k, bucket in enumerate(used.tolist()):
+                        at = slice(edges[k], edges[k + 1])
+                        names, first, places = np.unique(owner[at], return_index=True, return_inverse=True)
+                        x = keys[at]
+                        step = _step(high[cls[edges[k]]])
+                        sizes = np.append(np.maximum(filled[at][first], 0) // step, -(-n[names] // step)).astype(np.uint8)
+                        rows.append([bucket // 2, 2 + bucket % 2, ids[names].tobytes(), places.astype(np.uint32 if len(names) > 65535 else np.uint16).tobytes(), (x & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), ((x >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16).tobytes(), sizes.tobytes()])
                 yield _batch([*zip(*rows, strict=True)], _KEYS)
 
     return run
 
 
-def _read_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Task: rows in order of bucket; documents and edges out."""
-    bucket, keys, ids = None, [], []
-
-    def close() -> Iterator[pa.RecordBatch]:
-        if keys:
-            _, a, z = _first_of_key(np.concatenate(keys), np.concatenate(ids))
-            if len(a):
-                yield _batch([np.ones(len(a), np.int32), a, z, *[np.zeros(len(a), np.int64)] * 4], _FOUND)
-
-    for batch in trimmed(batches):
-        for k, kind, x, y, low, high in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-            if k != bucket:
-                yield from close()
-                bucket, keys, ids = k, [], []
-            names = np.frombuffer(x, np.int64)
-            if kind == 0:
-                none = np.zeros(len(names), np.int64)
-                sizes, texts = np.frombuffer(y, np.int64).reshape(2, -1)
-                yield _batch([none, names, none, sizes, np.frombuffer(low, np.int64), np.frombuffer(high, np.int64), texts], _FOUND)
-            elif kind == 1:
-                yield _batch([np.ones(len(names), np.int32), names, np.frombuffer(y, np.int64), *[np.zeros(len(names), np.int64)] * 4], _FOUND)
-            else:
+def _groups(splits: np.ndarray, kind: int) -> np.ndarray:
+    """Groups of each class for keys of parts (kind 2), which are two thirds of the most keys, and for those of prefixes (3)."""
+    return -(-splits * (4 - kind) // 3)
+
+
+def _step(high: int) -> int:
+    """Full parts and sizes of a class are told in multiples of this, so that they fit a byte."""
+    return -(-int(high) // 255)
+
+
+def _read_keys(t: Fraction, splits: np.ndarray):
+    """Task: rows in order of bucket; documents (kind 0), edges (1) and pairs to be added up (2: a, b, common keys, those that a link takes, class) out."""
+    p, q = t.numerator, t.denominator
+    highs = [4]
+    while len(highs) < len(splits):
+        highs.append(max(highs[-1] + 1, highs[-1] * 5 // 4))
+
+    def met(bucket: int, kind: int, rows: list) -> Iterator[pa.RecordBatch]:
+        if not rows:
+            return
+        ids, filled, size, keys, node = (np.concatenate(x) for x in zip(*rows, strict=True))
+        own = _groups(splits, kind)
+        cls = int(np.searchsorted(np.cumsum(own) - own, bucket, "right")) - 1
+        step, groups = _step(highs[cls]), int(own[cls])
+
+        def whole(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            """Keys that linked sets have in common at least: of parts the full ones of either without those in which they differ."""
+            if kind == 3:
+                return _prefix(np.maximum((np.minimum(size[a], size[b]) - 1) * step + 1, 1), t)[0]
+            return np.maximum(1, np.maximum(filled[a], filled[b]) * step - (size[a] + size[b]) * step * (q - p) // (q + p))
+
+        def need(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            return np.minimum(whole(a, b), np.maximum(3, -(-whole(a, b) // groups)))
+
+        root, a, b, times = shared_keys(keys, node, len(ids), need)
+        more = whole(a, b) < 3 * groups
+        a, b, times = a[more], b[more], times[more]
+        tied = np.flatnonzero(root != np.arange(len(ids)))
+        if len(tied):
+            yield _batch([np.ones(len(tied), np.int32), ids[tied], ids[root[tied]], *[np.zeros(len(tied), np.int64)] * 4], _FOUND)
+        if len(a):
+            yield _batch([np.full(len(a), 2, np.int32), np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]), times, whole(a, b), np.full(len(a), 2 * cls + kind), np.zeros(len(a), np.int64)], _FOUND)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, count = None, [], 0
+        for batch in trimmed(batches):
+            for bucket, kind, x, y, low, high, sizes in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                names = np.frombuffer(x, np.int64)
+                if kind == 0:
+                    none = np.zeros(len(names), np.int64)
+                    n, texts = np.frombuffer(y, np.int64).reshape(2, -1)
+                    yield _batch([none, names, none, n, np.frombuffer(low, np.int64), np.frombuffer(high, np.int64), texts], _FOUND)
+                    continue
+                if (bucket, kind) != now:
+                    yield from met(*(now or (0, 0)), rows)
+                    now, rows, count = (bucket, kind), [], 0
                 lows = np.frombuffer(low, np.uint32)
-                keys.append(lows.astype(np.uint64) | (np.frombuffer(high, np.uint16).astype(np.uint64) << np.uint64(32)))
-                ids.append(names[np.frombuffer(y, np.uint16 if len(y) == 2 * len(lows) else np.uint32)])
-    yield from close()
+                keys = lows.astype(np.uint64) | (np.frombuffer(high, np.uint16).astype(np.uint64) << np.uint64(32))
+                filled, size = np.frombuffer(sizes, np.uint8).astype(np.int64).reshape(2, -1)
+                rows.append((names, filled, size, keys, np.frombuffer(y, np.uint16 if len(y) == 2 * len(lows) else np.uint32).astype(np.int64) + count))
+                count += len(names)
+        yield from met(*(now or (0, 0)), rows)
+
+    return run
 
 
 class SignatureTree:
@@ -457,11 +573,10 @@ def _judged(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD
     spark = tune(docs.sparkSession)
     docs, restore = as_long(docs, "text")
     buckets = partitions(spark)
-    lanes = max(6, buckets // 40)
     frequent, most = common_shingles(docs, words, threshold)
-    common = spark.sparkContext.broadcast(frequent)
-    keys = docs.withColumn("t", F.xxhash64("text")).mapInArrow(_write_keys(buckets, words, threshold, common, lanes, lane_splits(most, lanes, threshold, lane_keys)), _KEYS)
-    found = stored(keys.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_read_keys, _FOUND), "blocks")
+    common, splits = spark.sparkContext.broadcast(frequent), lane_splits(most, 1, threshold, lane_keys)
+    keys = docs.withColumn("t", F.xxhash64("text")).mapInArrow(_write_keys(buckets, words, threshold, common, splits), _KEYS)
+    found = stored(keys.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_read_keys(threshold, splits), _FOUND), "blocks")
     rows = found.filter("kind = 0").select(F.col("a").alias("doc_id"), "n", "f", "g", "t")
     sets = stored(rows.filter("n > 0").groupBy("n", "f", "g").agg(F.min("doc_id").alias("set_id")), "set-ids")
     owned = stored(rows.join(sets, ["n", "f", "g"], "left").select("doc_id", "n", "t", "set_id"), "sets")
@@ -472,7 +587,9 @@ def _judged(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD
             edges = edges.join(to_set.select(F.col("doc_id").alias(c), "set_id"), c, "left").withColumn(c, F.coalesce("set_id", c)).drop("set_id")
         return edges.filter("a <> b").distinct()
 
-    groups = components(as_sets(found.filter("kind = 1").select("a", "b").distinct()))
+    added = found.filter("kind = 2").groupBy("a", "b", "g").agg(F.sum("n").alias("n"), F.min("f").alias("f")).filter("n >= f")
+    edges = found.filter("kind = 1").select("a", "b").unionByName(added.select("a", "b"))
+    groups = components(as_sets(edges.distinct()))
     mass = sets.groupBy(F.col("set_id").alias("node")).agg(F.max("n").alias("n"))
     groups = stored(groups.join(mass, "node", "left").select("node", "component", F.coalesce("n", F.lit(1)).alias("n")), "groups")
     parts = components(_links(docs, groups, words, threshold, chunk, chunk_shingles))
