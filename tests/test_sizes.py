@@ -110,3 +110,24 @@ def test_pairs_by_word_and_name_are_those_of_all_pairs(spark):
         found = events.accepting(f.drop("keys"), f.drop("keys"), least)
         got = [tuple(r) for r in found.collect()]
         assert set(got) == want and len(got) == len(want) > 20
+
+
+def test_event_pairs_meet_once_in_blocks(spark, monkeypatch):
+    """Every pair in one task by blocks, whatever the blocks; no join brings pairs together."""
+    rng = np.random.default_rng(12)
+    word = lambda n: " ".join(f"{rng.choice(['red', 'blue', 'new', 'old', 'big'])}{rng.integers(0, 4)}" for _ in range(n))
+    rows = [(i, str(rng.choice(["Ask HN: ", "", "", "GPT-4 "])) + word(rng.integers(0, 6)), word(8), [None, "a", "b"][i % 3], i % 11) for i in range(150)]
+    items = spark.createDataFrame(rows, "id long, title string, content string, category string, importance_score int").withColumn("published_at", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, cast(id % 9 as int))"))
+    order = F.struct(-F.col("importance_score"), -F.unix_micros(F.col("published_at").cast("timestamp")), "id")
+    f = events.settled(events.features(items, "title", F.col("content"), [r"(red\d|blue\d)"]).join(items.select("id", order.alias("o")), "id"), "f")
+    side = lambda p: f.drop("keys").select(*(F.col(c).alias(p + c) for c in f.columns if c != "keys"))
+    pairs = side("a_").crossJoin(side("b_")).filter("b_o < a_o and (a_hn is null or b_hn is null or a_hn = b_hn)").select("a_id", "b_id", events.event_score("a_", "b_")["score"].alias("s"))
+    want = {tuple(r) for r in pairs.filter("s >= 0.55").collect()}
+    for block in (40, 1000):
+        monkeypatch.setattr(events, "BLOCK", block)
+        found = events.accepting(f.drop("keys"), f.drop("keys"), 0.55, earlier_only=True)
+        assert "Join" not in _plan(found)
+        got = [tuple(r) for r in found.collect()]
+        assert set(got) == want and len(got) == len(want) > 50
+    none = f.drop("keys").filter("id < 0")
+    assert events.accepting(none, f.drop("keys"), 0.55, earlier_only=True).count() == 0 == events.accepting(f.drop("keys"), none, 0.55, earlier_only=True).count()
